@@ -183,3 +183,10 @@ def _unit(scale: int) -> str:
     if scale == 0:
         return "CAST(1 AS DECIMAL(1,0))"
     return f"CAST(0.{'0' * (scale - 1)}1 AS DECIMAL({scale + 1},{scale}))"
+
+
+def ratio_half_up(num: str, den: str, scale: int) -> str:
+    """num / den (non-negative integers) half-up to `scale` decimals, exact."""
+    m = 10 ** scale
+    return (f"CAST((CAST({num} AS HUGEINT) * {2 * m} + CAST({den} AS HUGEINT)) "
+            f"// (2 * CAST({den} AS HUGEINT)) AS DECIMAL(18,0)) * {_unit(scale)}")
