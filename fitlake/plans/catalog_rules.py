@@ -1 +1,286 @@
-"""Registered queries."""
+"""Registered rules, constraint audits and notification jobs (§2.6, §2.7)."""
+
+from __future__ import annotations
+
+from fitlake.operators import notices as N
+from fitlake.operators import rules as R
+from fitlake.plans.oracle import q
+from fitlake.plans.registry import register, tables
+from fitlake.sources.tables import metric_updates
+
+_NOTICE_COLS = "FALSE AS IsRead, TIMESTAMP '2024-01-30 00:00:00' AS CreatedAt"
+
+
+@register("validate_health_metrics", q("""
+SELECT *, CASE
+  WHEN Weight IS NOT NULL AND (Weight < 20 OR Weight > 300) THEN 'Weight must be between 20 and 300 kg'
+  WHEN Height IS NOT NULL AND (Height < 100 OR Height > 250) THEN 'Height must be between 100 and 250 cm'
+  WHEN SleepHours IS NOT NULL AND (SleepHours < 0 OR SleepHours > 24) THEN 'Sleep hours must be between 0 and 24'
+  WHEN WaterLiters IS NOT NULL AND (WaterLiters < 0 OR WaterLiters > 10) THEN 'Water intake must be between 0 and 10 liters'
+  WHEN Steps IS NOT NULL AND (Steps < 0 OR Steps > 100000) THEN 'Steps must be between 0 and 100,000'
+  END AS violation
+FROM health_metrics"""))
+def _validate_health_metrics(spark, d):
+    return R.validate_health_metrics(tables(spark, d).health_metrics)
+
+
+_WORKOUT_CASE = """
+  WHEN Duration IS NOT NULL AND (Duration < 5 OR Duration > 300) THEN 'Workout duration must be between 5 and 300 minutes'
+  WHEN CaloriesBurnt IS NOT NULL AND (CaloriesBurnt < 0 OR CaloriesBurnt > 2000) THEN 'Calories burnt must be between 0 and 2000'
+  WHEN Distance IS NOT NULL AND (Distance < 0 OR Distance > 50) THEN 'Distance must be between 0 and 50 km'
+  WHEN Date > DATE '2024-01-30' THEN 'Workout date cannot be in the future'"""
+
+
+@register("validate_workouts", q(f"""
+SELECT *, CASE {_WORKOUT_CASE} END AS violation FROM workout_log"""))
+def _validate_workouts(spark, d):
+    return R.validate_workouts(tables(spark, d).workout_log)
+
+
+@register("validate_booking_date", q("""
+SELECT wl.*, CASE WHEN wl.S_ID IS NOT NULL AND wl.Exercise = 'Session Booking'
+                       AND s.SessionDate < DATE '2024-01-30'
+                  THEN 'Cannot book sessions that have already passed' END AS violation
+FROM workout_log wl LEFT JOIN session s ON wl.S_ID = s.S_ID"""))
+def _validate_booking_date(spark, d):
+    return R.validate_booking_date(tables(spark, d))
+
+
+@register("validate_member_age", q("""
+SELECT *, CASE WHEN Age < 10 OR Age > 100 THEN 'Member age must be between 10 and 100 years' END AS violation
+FROM member"""))
+def _validate_member_age(spark, d):
+    return R.validate_member_age(tables(spark, d).member)
+
+
+@register("validate_log_rows", q(f"""
+, j0 AS (
+  SELECT wl.*, s.SessionDate AS sdate, s.MaxParticipants AS mx
+  FROM workout_log wl LEFT JOIN session s ON wl.S_ID = s.S_ID),
+  j AS (
+  SELECT *, (S_ID IS NOT NULL AND COALESCE(Exercise = 'Session Booking', FALSE)) AS bk,
+         (CASE {_WORKOUT_CASE} END) IS NOT NULL AS bad_range
+  FROM j0),
+  ok_bk AS (
+  SELECT S_ID, L_ID, mx, row_number() OVER (PARTITION BY S_ID ORDER BY L_ID) AS rn
+  FROM j WHERE bk AND NOT bad_range AND NOT COALESCE(sdate < DATE '2024-01-30', FALSE)),
+  cut AS (SELECT S_ID, L_ID AS cut FROM ok_bk WHERE rn = mx)
+SELECT j.L_ID, j.M_ID, j.S_ID, j.Exercise, j.Date, j.Duration, j.CaloriesBurnt, j.Distance, j.Progress,
+       CASE WHEN j.bk AND cut.cut IS NOT NULL AND j.L_ID > cut.cut
+              THEN 'Session is already full. Cannot book this session.'
+            {_WORKOUT_CASE.replace("WHEN ", "WHEN j.").replace("OR ", "OR j.").replace("(", "(j.").replace("(j.j.", "(j.")}
+            WHEN j.bk AND j.sdate < DATE '2024-01-30' THEN 'Cannot book sessions that have already passed'
+       END AS violation
+FROM j LEFT JOIN cut ON j.S_ID = cut.S_ID"""))
+def _validate_log_rows(spark, d):
+    return R.validate_log_rows(tables(spark, d))
+
+
+@register("overbooked_sessions", q("""
+SELECT s.S_ID, s.Details, s.MaxParticipants, COUNT(*) AS Bookings
+FROM session s JOIN workout_log wl ON s.S_ID = wl.S_ID AND wl.Exercise = 'Session Booking'
+GROUP BY s.S_ID, s.Details, s.MaxParticipants
+HAVING COUNT(*) > s.MaxParticipants"""))
+def _overbooked_sessions(spark, d):
+    return R.overbooked_sessions(tables(spark, d))
+
+
+def _dup_sql(table, col):
+    return (f"SELECT '{table}' AS table_name, '{col}' AS column_name, CAST({col} AS VARCHAR) AS value, "
+            f"COUNT(*) AS n FROM {table} WHERE {col} IS NOT NULL GROUP BY {col} HAVING COUNT(*) > 1")
+
+
+@register("check_unique", q("\n UNION ALL ".join(
+    [_dup_sql(t, c) for t, c in [("gym", "Gym_ID"), ("membership_type", "Type_ID"),
+                                 ("member", "M_ID"), ("member", "Email"), ("trainer", "T_ID"),
+                                 ("trainer", "Email"), ("session", "S_ID"),
+                                 ("workout_log", "L_ID"), ("health_metrics", "Metric_ID"),
+                                 ("notifications", "Notif_ID")]])))
+def _check_unique(spark, d):
+    t = tables(spark, d)
+    # admin is a one-row hand-made table; its keys are checked in the unit tests.
+    return R.check_unique(t.replace(admin=t.admin.limit(0)))
+
+
+def _fk_sql(child, ccol, parent, pcol):
+    return (f"SELECT '{child}' AS child_table, '{ccol}' AS child_column, '{parent}' AS parent_table, "
+            f"COUNT(*) AS orphans FROM {child} c WHERE c.{ccol} IS NOT NULL AND NOT EXISTS "
+            f"(SELECT 1 FROM {parent} p WHERE p.{pcol} = c.{ccol})")
+
+
+@register("check_foreign_keys", q("\n UNION ALL ".join(
+    [_fk_sql(*e[:4]) for e in __import__("fitlake.sources.schema", fromlist=["FK_GRAPH"]).FK_GRAPH])))
+def _check_foreign_keys(spark, d):
+    return R.check_foreign_keys(tables(spark, d))
+
+
+@register("check_domains", q("""
+SELECT 'gym' AS table_name, 'capacity_positive' AS rule, COUNT(CASE WHEN NOT (Capacity > 0) THEN 1 END) AS violations FROM gym
+UNION ALL SELECT 'membership_type', 'price_non_negative', COUNT(CASE WHEN NOT (Price >= 0) THEN 1 END) FROM membership_type
+UNION ALL SELECT 'member', 'age_10_100', COUNT(CASE WHEN NOT (Age BETWEEN 10 AND 100) THEN 1 END) FROM member
+UNION ALL SELECT 'member', 'not_null', COUNT(CASE WHEN Name IS NULL OR Email IS NULL OR JoinDate IS NULL
+                                              OR MembershipType_ID IS NULL OR Gym_ID IS NULL THEN 1 END) FROM member
+UNION ALL SELECT 'trainer', 'not_null', COUNT(CASE WHEN Name IS NULL OR Email IS NULL THEN 1 END) FROM trainer
+UNION ALL SELECT 'session', 'status_enum', COUNT(CASE WHEN Status NOT IN ('scheduled', 'completed', 'cancelled') THEN 1 END) FROM session
+UNION ALL SELECT 'workout_log', 'not_null', COUNT(CASE WHEN M_ID IS NULL THEN 1 END) FROM workout_log
+UNION ALL SELECT 'health_metrics', 'not_null', COUNT(CASE WHEN M_ID IS NULL OR Date IS NULL THEN 1 END) FROM health_metrics
+UNION ALL SELECT 'notifications', 'type_enum', COUNT(CASE WHEN Type NOT IN ('renewal', 'session_reminder', 'progress', 'system') THEN 1 END) FROM notifications"""))
+def _check_domains(spark, d):
+    return R.check_domains(tables(spark, d))
+
+
+@register("renewal_notices", q(f"""
+, due AS (
+  SELECT m.M_ID, m.Name, CAST(m.JoinDate + to_months(mt.Duration) AS DATE) AS rd
+  FROM member m JOIN membership_type mt ON m.MembershipType_ID = mt.Type_ID
+  WHERE m.IsActive = TRUE
+    AND CAST(m.JoinDate + to_months(mt.Duration) AS DATE) BETWEEN DATE '2024-01-30' AND DATE '2024-02-06')
+SELECT M_ID,
+       'Hello ' || Name || '! Your membership renews in ' || CAST(date_diff('day', DATE '2024-01-30', rd) AS VARCHAR)
+       || ' day' || (CASE WHEN date_diff('day', DATE '2024-01-30', rd) > 1 THEN 's' ELSE '' END)
+       || ' on ' || strftime(rd, '%B %d, %Y') || '. Please contact us to renew your membership.' AS Message,
+       'renewal' AS Type, {_NOTICE_COLS}
+FROM due d
+WHERE NOT EXISTS (SELECT 1 FROM notifications n WHERE n.M_ID = d.M_ID AND n.Type = 'renewal'
+                    AND n.CreatedAt >= TIMESTAMP '2024-01-23 00:00:00')"""))
+def _renewal_notices(spark, d):
+    return N.renewal_notices(tables(spark, d))
+
+
+@register("renewal_notices_stored_date", q(f"""
+SELECT m.M_ID,
+       'Your ' || COALESCE(mt.Name, 'None') || ' membership expires in '
+       || CAST(date_diff('day', DATE '2024-01-30', m.MembershipEndDate) AS VARCHAR) || ' day(s) on '
+       || strftime(m.MembershipEndDate, '%B %d, %Y') || '. Please renew to continue enjoying our services.' AS Message,
+       'renewal' AS Type, {_NOTICE_COLS}
+FROM member m JOIN membership_type mt ON m.MembershipType_ID = mt.Type_ID
+WHERE m.IsActive = TRUE AND m.MembershipEndDate IS NOT NULL
+  AND m.MembershipEndDate BETWEEN DATE '2024-01-30' AND DATE '2024-02-06'
+  AND NOT EXISTS (SELECT 1 FROM notifications n WHERE n.M_ID = m.M_ID AND n.Type = 'renewal'
+                    AND n.CreatedAt >= TIMESTAMP '2024-01-23 12:00:00')"""))
+def _renewal_notices_stored_date(spark, d):
+    return N.renewal_notices_stored_date(tables(spark, d))
+
+
+_INACTIVE = """
+, ina AS (
+  SELECT m.M_ID, m.Name, m.Email, MAX(wl.Date) AS last,
+         date_diff('day', MAX(wl.Date), DATE '2024-01-30') AS Days_Inactive
+  FROM member m LEFT JOIN workout_log wl ON m.M_ID = wl.M_ID
+  WHERE m.IsActive = TRUE
+  GROUP BY m.M_ID, m.Name, m.Email
+  HAVING Days_Inactive >= 14 OR last IS NULL),
+  todo AS (
+  SELECT * FROM ina i WHERE NOT EXISTS (
+    SELECT 1 FROM notifications n WHERE n.M_ID = i.M_ID AND n.Type = 'system'
+      AND n.Message LIKE '%We miss you%' AND n.CreatedAt >= TIMESTAMP '2024-01-23 00:00:00'))"""
+
+
+@register("inactive_member_notices", q(_INACTIVE + """
+SELECT M_ID AS Member_ID, Name AS Member_Name, Email, Days_Inactive, 'Notification Sent' AS Action_Taken
+FROM todo"""))
+def _inactive_member_notices(spark, d):
+    return N.inactive_member_report(tables(spark, d))
+
+
+@register("inactive_member_notice_rows", q(_INACTIVE + f"""
+SELECT M_ID, 'We miss you, ' || Name || '! It has been ' || CAST(Days_Inactive AS VARCHAR)
+       || ' days since your last workout. ' || 'Come back and continue your fitness journey!' AS Message,
+       'system' AS Type, {_NOTICE_COLS}
+FROM todo"""))
+def _inactive_member_notice_rows(spark, d):
+    return N.inactive_member_notices(tables(spark, d))
+
+
+@register("low_engagement_notice", q(f"""
+, touched AS (
+  SELECT DISTINCT u.M_ID FROM metric_updates u
+  WHERE EXISTS (SELECT 1 FROM health_metrics h WHERE h.M_ID = u.M_ID AND h.Date = u.Date)),
+  last AS (
+  SELECT M_ID, MAX(Date) AS last FROM workout_log WHERE Exercise != 'Session Booking' GROUP BY M_ID)
+SELECT t.M_ID,
+       'We have missed you! It has been a week since your last workout. Come back and continue your fitness journey!' AS Message,
+       'system' AS Type, {_NOTICE_COLS}
+FROM touched t JOIN last l ON t.M_ID = l.M_ID
+WHERE date_diff('day', l.last, DATE '2024-01-30') >= 7
+  AND NOT EXISTS (SELECT 1 FROM notifications n WHERE n.M_ID = t.M_ID AND n.Type = 'system'
+                    AND n.Message LIKE '%missed you%' AND n.CreatedAt >= TIMESTAMP '2024-01-23 00:00:00')"""))
+def _low_engagement_notice(spark, d):
+    t = tables(spark, d)
+    return N.low_engagement_notice(t, N.touched_by_metric_update(t, metric_updates(spark, d)))
+
+
+@register("renewal_notice_on_touch", q(f"""
+, r AS (
+  SELECT m.M_ID, CAST(m.JoinDate + to_months(mt.Duration) AS DATE) AS rd
+  FROM member m LEFT JOIN membership_type mt ON m.MembershipType_ID = mt.Type_ID)
+SELECT M_ID, 'Your membership expires on ' || strftime(rd, '%Y-%m-%d')
+             || '. Please renew to continue enjoying our services.' AS Message,
+       'renewal' AS Type, {_NOTICE_COLS}
+FROM r
+WHERE rd BETWEEN DATE '2024-01-30' AND DATE '2024-02-06'
+  AND NOT EXISTS (SELECT 1 FROM notifications n WHERE n.M_ID = r.M_ID AND n.Type = 'renewal'
+                    AND n.CreatedAt >= TIMESTAMP '2024-01-23 00:00:00')"""))
+def _renewal_notice_on_touch(spark, d):
+    return N.renewal_notice_on_touch(tables(spark, d))
+
+
+@register("renewal_flag_on_touch", q("""
+SELECT m.M_ID, m.Name, m.Email, m.Age, m.JoinDate, m.Phone, m.MembershipEndDate,
+       CASE WHEN CAST(m.JoinDate + to_months(mt.Duration) AS DATE) < DATE '2024-01-30' THEN FALSE
+            ELSE m.IsActive END AS IsActive,
+       m.MembershipType_ID, m.Gym_ID
+FROM member m LEFT JOIN membership_type mt ON m.MembershipType_ID = mt.Type_ID"""))
+def _renewal_flag_on_touch(spark, d):
+    return N.renewal_flag_on_touch(tables(spark, d))
+
+
+_REMIND = """
+, rem AS (
+  SELECT wl.L_ID, wl.M_ID, s.Details, s.SessionTime
+  FROM workout_log wl JOIN session s ON wl.S_ID = s.S_ID
+  WHERE s.SessionDate = DATE '2024-01-31' AND wl.Exercise = 'Session Booking'
+    AND NOT EXISTS (SELECT 1 FROM notifications n WHERE n.M_ID = wl.M_ID AND n.Type = 'session_reminder'
+                      AND CAST(n.CreatedAt AS DATE) = DATE '2024-01-30'
+                      AND n.Message LIKE '%' || s.Details || '%'))"""
+
+
+@register("session_reminders", q(_REMIND + f"""
+SELECT L_ID, M_ID,
+       'Reminder: You have a session "' || Details || '" scheduled for tomorrow at '
+       || strftime(CAST('2000-01-01 ' || SessionTime AS TIMESTAMP), '%I:%M %p') AS Message,
+       'session_reminder' AS Type, {_NOTICE_COLS}
+FROM rem"""))
+def _session_reminders(spark, d):
+    return N.session_reminders(tables(spark, d))
+
+
+@register("session_reminders_result", q(_REMIND + """
+SELECT 'Created ' || CAST(COUNT(*) AS VARCHAR) || ' session reminders' AS Result FROM rem"""))
+def _session_reminders_result(spark, d):
+    return N.session_reminders_result(tables(spark, d))
+
+
+@register("workout_milestones", q(f"""
+, run AS (
+  SELECT M_ID, L_ID,
+         SUM(CASE WHEN Exercise != 'Session Booking' THEN 1 ELSE 0 END)
+           OVER (PARTITION BY M_ID ORDER BY L_ID ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n
+  FROM workout_log)
+SELECT L_ID, M_ID,
+       CASE n WHEN 10 THEN 'Congratulations! You have completed 10 workouts. Keep up the great work!'
+              WHEN 25 THEN 'Amazing! 25 workouts completed. You are making excellent progress!'
+              WHEN 50 THEN 'Incredible milestone! 50 workouts completed. You are a fitness champion!'
+              WHEN 100 THEN 'Legendary achievement! 100 workouts completed. Outstanding dedication!' END AS Message,
+       'progress' AS Type, {_NOTICE_COLS}
+FROM run WHERE n IN (10, 25, 50, 100)"""))
+def _workout_milestones(spark, d):
+    return N.workout_milestones(tables(spark, d))
+
+
+@register("first_workout_welcome", q(f"""
+SELECT MIN(L_ID) AS L_ID, M_ID, 'Welcome! You have logged your first workout. Great start!' AS Message,
+       'system' AS Type, {_NOTICE_COLS}
+FROM workout_log GROUP BY M_ID"""))
+def _first_workout_welcome(spark, d):
+    return N.first_workout_welcome(tables(spark, d))
