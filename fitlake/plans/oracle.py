@@ -141,6 +141,14 @@ trainer_registrations AS (
          CASE WHEN s_suppkey % 9 = 0 THEN NULL ELSE 'Pilates' END AS Specialization,
          CAST(s_nationkey % 5 AS INT) AS Gym_ID
   FROM supplier),
+member_delete_requests AS (
+  SELECT c_custkey AS request_id,
+         CAST(CASE WHEN c_acctbal < 0 THEN c_custkey ELSE c_custkey + 100000 END AS INT) AS M_ID
+  FROM customer),
+trainer_delete_requests AS (
+  SELECT s_suppkey AS request_id,
+         CAST(CASE WHEN s_acctbal < 0 THEN s_suppkey ELSE s_suppkey + 100000 END AS INT) AS T_ID
+  FROM supplier),
 questions AS (
   SELECT conv_id, turn, text FROM conversations WHERE role = 'user')
 """

@@ -279,6 +279,22 @@ def trainer_registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("s_nationkey") % 5).cast("int").alias("Gym_ID"))
 
 
+def member_delete_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delete-by-id requests: customers with a negative balance name a real
+    member, the rest an id that does not exist."""
+    c = _raw(spark, sf_dir, "customer")
+    ck = F.col("c_custkey")
+    return c.select(ck.alias("request_id"),
+                    F.when(F.col("c_acctbal") < 0, ck).otherwise(ck + 100000).cast("int").alias("M_ID"))
+
+
+def trainer_delete_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _raw(spark, sf_dir, "supplier")
+    sk = F.col("s_suppkey")
+    return s.select(sk.alias("request_id"),
+                    F.when(F.col("s_acctbal") < 0, sk).otherwise(sk + 100000).cast("int").alias("T_ID"))
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns of `conversations` as chat questions (whole texts)."""
     cv = _raw(spark, sf_dir, "conversations")
