@@ -1 +1,242 @@
-"""Registered queries."""
+"""Registered application analytics, recommendations and dashboards (§2.8)."""
+
+from __future__ import annotations
+
+from fitlake.operators import app as A
+from fitlake.operators import dashboards as DB
+from fitlake.plans.oracle import avg_exact as AV
+from fitlake.plans.oracle import q
+from fitlake.plans.registry import register, tables
+from fitlake.sources.tables import questions
+
+_AS = "DATE '2024-01-30'"
+
+
+@register("today_stats", q(f"""
+SELECT m.M_ID,
+       CAST(COALESCE((SELECT SUM(CaloriesBurnt) FROM workout_log w WHERE w.M_ID = m.M_ID AND w.Date = {_AS}), 0) AS DECIMAL(16,2)) AS TodayCalories,
+       CAST(COALESCE((SELECT SUM(Distance) FROM workout_log w WHERE w.M_ID = m.M_ID AND w.Date = {_AS}), 0) AS DECIMAL(16,2)) AS TodayDistance,
+       (SELECT COUNT(*) FROM workout_log w WHERE w.M_ID = m.M_ID AND w.Date = {_AS}) AS TodayWorkouts
+FROM member m"""))
+def _today_stats(spark, d):
+    return A.today_stats(tables(spark, d))
+
+
+@register("today_health", q(f"""
+SELECT M_ID, Weight, Height, SleepHours, WaterLiters, Steps FROM (
+  SELECT *, row_number() OVER (PARTITION BY M_ID ORDER BY Metric_ID DESC) AS rn
+  FROM health_metrics WHERE Date = {_AS}) WHERE rn = 1"""))
+def _today_health(spark, d):
+    return A.today_health(tables(spark, d))
+
+
+@register("workout_frequency", q(f"""
+SELECT M_ID, Date, COUNT(*) AS workout_count FROM workout_log
+WHERE Date >= {_AS} - 30 GROUP BY M_ID, Date"""))
+def _workout_frequency(spark, d):
+    return A.workout_frequency(tables(spark, d))
+
+
+@register("weight_series", q("""
+SELECT M_ID, Date, Weight FROM health_metrics WHERE Weight IS NOT NULL"""))
+def _weight_series(spark, d):
+    return A.weight_series(tables(spark, d))
+
+
+@register("calorie_trend", q("""
+SELECT M_ID, Date, SUM(CaloriesBurnt) AS daily_calories FROM workout_log
+WHERE CaloriesBurnt IS NOT NULL GROUP BY M_ID, Date"""))
+def _calorie_trend(spark, d):
+    return A.calorie_trend(tables(spark, d))
+
+
+_PATTERNS = f"""
+, pat AS (
+  SELECT M_ID, Exercise, {AV('CaloriesBurnt', 2)} AS avg_calories, {AV('Duration')} AS avg_duration,
+         COUNT(*) AS frequency
+  FROM workout_log WHERE Date >= {_AS} - 30 GROUP BY M_ID, Exercise)"""
+
+
+@register("exercise_patterns", q(_PATTERNS + """
+SELECT * FROM pat"""))
+def _exercise_patterns(spark, d):
+    return A.exercise_patterns(tables(spark, d))
+
+
+def _rec_sql(order, rec, cond):
+    typ, msg, ex, mins = rec
+    msg = msg.replace("'", "''")
+    return (f"SELECT M_ID, {order} AS ord, '{typ}' AS type, '{msg}' AS message, '{ex}' AS exercise, "
+            f"{mins} AS duration FROM f WHERE {cond}")
+
+
+@register("rule_recommendations", q(_PATTERNS + f"""
+, pm AS (SELECT M_ID, COUNT(*) AS g, SUM(COALESCE(avg_calories, 0)) AS cs FROM pat GROUP BY M_ID),
+  hl AS (SELECT M_ID, Steps, SleepHours FROM (
+           SELECT *, row_number() OVER (PARTITION BY M_ID ORDER BY Date DESC, Metric_ID DESC) AS rn
+           FROM health_metrics) WHERE rn = 1),
+  wk AS (SELECT M_ID, COUNT(*) AS n FROM workout_log WHERE Date >= {_AS} - 7 GROUP BY M_ID),
+  f AS (SELECT m.M_ID, hl.Steps AS steps, hl.SleepHours AS sleep, COALESCE(wk.n, 0) AS weekly,
+               COALESCE(pm.g, 0) AS g, pm.cs
+        FROM member m LEFT JOIN pm ON m.M_ID = pm.M_ID LEFT JOIN hl ON m.M_ID = hl.M_ID
+        LEFT JOIN wk ON m.M_ID = wk.M_ID),
+  allr AS (
+  {_rec_sql(1, A.REC_STEPS_LOW, "steps < 5000")}
+  UNION ALL {_rec_sql(2, A.REC_STEPS_MID, "steps >= 5000 AND steps < 8000")}
+  UNION ALL {_rec_sql(3, A.REC_SLEEP, "sleep < 6")}
+  UNION ALL {_rec_sql(4, A.REC_FEW, "weekly < 3")}
+  UNION ALL {_rec_sql(5, A.REC_MANY, "weekly >= 5")}
+  UNION ALL {_rec_sql(6, A.REC_VARIETY, "g > 0 AND g < 2")}
+  UNION ALL {_rec_sql(7, A.REC_INTENSITY, "g > 0 AND cs < 200 * g")}),
+  withfb AS (
+  SELECT * FROM allr
+  UNION ALL {_rec_sql(8, A.REC_FALLBACK, "M_ID NOT IN (SELECT M_ID FROM allr)")}),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY M_ID ORDER BY ord) AS position FROM withfb)
+SELECT M_ID, position, type, message, exercise, duration FROM ranked WHERE position <= 3"""))
+def _rule_recommendations(spark, d):
+    return A.rule_recommendations(tables(spark, d))
+
+
+@register("notification_inbox", q("""
+SELECT Notif_ID, M_ID, Message, Type, IsRead, CreatedAt FROM (
+  SELECT *, row_number() OVER (PARTITION BY M_ID ORDER BY CreatedAt DESC, Notif_ID DESC) AS rn
+  FROM notifications) WHERE rn <= 10"""))
+def _notification_inbox(spark, d):
+    return A.notification_inbox(tables(spark, d))
+
+
+@register("unread_badge", q("""
+SELECT M_ID, COUNT(CASE WHEN IsRead = FALSE THEN 1 END) AS unread FROM (
+  SELECT *, row_number() OVER (PARTITION BY M_ID ORDER BY CreatedAt DESC, Notif_ID DESC) AS rn
+  FROM notifications) WHERE rn <= 10 GROUP BY M_ID"""))
+def _unread_badge(spark, d):
+    return A.unread_badge(tables(spark, d))
+
+
+@register("trainer_clients_today", q(f"""
+SELECT t.T_ID,
+       (SELECT COUNT(DISTINCT wl.M_ID) FROM session s JOIN workout_log wl ON s.S_ID = wl.S_ID
+         WHERE s.T_ID = t.T_ID) AS totalClients,
+       (SELECT COUNT(*) FROM session s WHERE s.T_ID = t.T_ID AND s.SessionDate = {_AS}) AS sessionsToday
+FROM trainer t"""))
+def _trainer_clients_today(spark, d):
+    return A.trainer_clients_today(tables(spark, d))
+
+
+@register("trainer_sessions", q(f"""
+SELECT s.*, (SELECT COUNT(*) FROM workout_log wl WHERE wl.S_ID = s.S_ID
+                                                  AND wl.Exercise = 'Session Booking') AS participantCount
+FROM session s WHERE s.SessionDate >= {_AS}"""))
+def _trainer_sessions(spark, d):
+    return A.trainer_sessions(tables(spark, d))
+
+
+@register("trainer_clients", q("""
+SELECT DISTINCT s.T_ID, m.M_ID, m.Name, m.Email,
+       (SELECT MAX(Date) FROM workout_log w2 WHERE w2.M_ID = m.M_ID) AS lastWorkout
+FROM member m JOIN workout_log wl ON m.M_ID = wl.M_ID JOIN session s ON wl.S_ID = s.S_ID"""))
+def _trainer_clients(spark, d):
+    return A.trainer_clients(tables(spark, d))
+
+
+@register("admin_totals", q(f"""
+SELECT (SELECT COUNT(*) FROM member) AS totalMembers,
+       (SELECT COUNT(*) FROM trainer) AS totalTrainers,
+       (SELECT COUNT(*) FROM session WHERE SessionDate >= {_AS}) AS activeSessions,
+       (SELECT CAST(COALESCE(SUM(mt.Price), 0) AS DECIMAL(18,2)) FROM member m
+          JOIN membership_type mt ON m.MembershipType_ID = mt.Type_ID) AS totalRevenue"""))
+def _admin_totals(spark, d):
+    return A.admin_totals(tables(spark, d))
+
+
+@register("admin_trainers", q("""
+SELECT t.T_ID, t.Name, t.Email, t.Specialization, g.Location AS GymLocation,
+       (SELECT COUNT(DISTINCT wl.M_ID) FROM session s JOIN workout_log wl ON s.S_ID = wl.S_ID
+         WHERE s.T_ID = t.T_ID) AS clientCount
+FROM trainer t LEFT JOIN gym g ON t.Gym_ID = g.Gym_ID"""))
+def _admin_trainers(spark, d):
+    return A.admin_trainers(tables(spark, d))
+
+
+@register("coach_eligible", q("""
+SELECT m.M_ID, m.Name, mt.Name AS MembershipType
+FROM member m JOIN membership_type mt ON m.MembershipType_ID = mt.Type_ID WHERE mt.Name = 'Gold'"""))
+def _coach_eligible(spark, d):
+    return A.coach_eligible(tables(spark, d))
+
+
+@register("coach_context", q(f"""
+, w AS (
+  SELECT M_ID, COUNT(*) AS n, SUM(COALESCE(Duration, 0)) AS dur,
+         SUM(COALESCE(CaloriesBurnt, 0)) AS cal,
+         string_agg(DISTINCT Exercise, ', ' ORDER BY Exercise) AS exercises
+  FROM workout_log WHERE Date >= {_AS} - 30 GROUP BY M_ID),
+  h5 AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY M_ID ORDER BY Date DESC, Metric_ID DESC) AS rn
+    FROM health_metrics) WHERE rn <= 5),
+  hs AS (
+  SELECT M_ID, COUNT(*) AS hn, MAX(rn) AS last_rn FROM h5 GROUP BY M_ID),
+  hx AS (
+  SELECT hs.M_ID, hs.hn, nw.Weight AS w_new, nw.Steps, nw.SleepHours, nw.WaterLiters, od.Weight AS w_old
+  FROM hs JOIN h5 nw ON nw.M_ID = hs.M_ID AND nw.rn = 1
+          JOIN h5 od ON od.M_ID = hs.M_ID AND od.rn = hs.last_rn),
+  base AS (
+  SELECT m.M_ID, m.Name, COALESCE(w.n, 0) AS total_workouts,
+         CASE WHEN COALESCE(w.n, 0) > 0 THEN CAST(w.dur AS DOUBLE) / w.n ELSE 0.0 END AS avg_duration,
+         CAST(COALESCE(w.cal, 0) AS DECIMAL(38,2)) AS total_calories,
+         CASE WHEN COALESCE(w.n, 0) > 0 THEN CAST(CAST(COALESCE(w.cal, 0) AS DECIMAL(38,2)) AS DOUBLE) / w.n
+              ELSE 0.0 END AS avg_calories,
+         w.exercises,
+         CAST(CASE WHEN hx.hn >= 2 THEN hx.w_new - hx.w_old ELSE 0 END AS DECIMAL(6,2)) AS weight_change,
+         hx.w_new AS current_weight, hx.Steps AS current_steps, hx.SleepHours AS current_sleep,
+         hx.WaterLiters AS current_water
+  FROM member m JOIN membership_type mt ON m.MembershipType_ID = mt.Type_ID
+  LEFT JOIN w ON m.M_ID = w.M_ID LEFT JOIN hx ON m.M_ID = hx.M_ID
+  WHERE mt.Name = 'Gold')
+SELECT M_ID, Name, total_workouts, avg_duration, total_calories, avg_calories, exercises, weight_change,
+       CASE WHEN weight_change < -0.5 THEN 'decreasing' WHEN weight_change > 0.5 THEN 'increasing'
+            ELSE 'stable' END AS weight_trend,
+       current_weight, current_steps, current_sleep, current_water
+FROM base"""))
+def _coach_context(spark, d):
+    return A.coach_context(tables(spark, d))
+
+
+def _intent_sql():
+    parts = []
+    for intent, words in A.INTENTS:
+        cond = " OR ".join(f"contains(text, '{w}')" for w in words)
+        parts.append(f"WHEN {cond} THEN '{intent}'")
+    return "CASE " + " ".join(parts) + f" ELSE '{A.INTENT_DEFAULT}' END"
+
+
+@register("question_intent", q(f"""
+SELECT conv_id, turn, {_intent_sql()} AS intent FROM questions"""))
+def _question_intent(spark, d):
+    return A.question_intent(questions(spark, d))
+
+
+@register("display_format", q("""
+SELECT wl.L_ID, wl.M_ID, COALESCE(strftime(wl.Date, '%b %-d, %Y'), 'N/A') AS DateText,
+       COALESCE(wl.Duration, 0) AS Minutes,
+       CAST(floor(COALESCE(wl.CaloriesBurnt, 0) + 0.5) AS BIGINT) AS Calories,
+       COALESCE(strftime(CAST('2000-01-01 ' || s.SessionTime AS TIMESTAMP), '%-I:%M %p'), 'N/A') AS SessionTimeText
+FROM workout_log wl LEFT JOIN session s ON wl.S_ID = s.S_ID"""))
+def _display_format(spark, d):
+    return A.display_format(tables(spark, d))
+
+
+@register("member_dashboard")
+def _member_dashboard(spark, d):
+    return DB.member_dashboard(tables(spark, d))
+
+
+@register("member_dashboard_json")
+def _member_dashboard_json(spark, d):
+    return DB.dashboard_json(DB.member_dashboard(tables(spark, d)), "M_ID")
+
+
+@register("trainer_dashboard")
+def _trainer_dashboard(spark, d):
+    return DB.trainer_dashboard(tables(spark, d))
