@@ -1 +1,68 @@
-"""Registered queries."""
+"""Registered streaming twins: each replays a derived table through a file
+stream and returns the streaming result as a batch frame."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from fitlake.plans.catalog_rules import _WORKOUT_CASE
+from fitlake.plans.oracle import q
+from fitlake.plans.registry import register, tables
+from fitlake.sources import schema as SC
+from fitlake.streaming import twins as ST
+
+_NOTICE_COLS = "FALSE AS IsRead, TIMESTAMP '2024-01-30 00:00:00' AS CreatedAt"
+
+
+def _log_stream(spark, d):
+    t = tables(spark, d)
+    src = ST.replay(t.workout_log, ST.scratch(spark, "replay-log"), "L_ID")
+    return ST._file_stream(spark, src, SC.WORKOUT_LOG)
+
+
+@register("stream_validate", q(f"""
+SELECT *, CASE {_WORKOUT_CASE} END AS violation FROM workout_log"""))
+def _stream_validate(spark, d):
+    stream = _log_stream(spark, d)
+    valid, quarantine = ST.scratch(spark, "valid"), ST.scratch(spark, "quarantine")
+    ST._run(ST.stream_validate(stream, valid, quarantine, ST.scratch(spark, "ck")))
+    good = spark.read.schema(SC.WORKOUT_LOG).parquet(f"{valid}/*").withColumn(
+        "violation", F.lit(None).cast("string"))
+    flagged = T.StructType([*SC.WORKOUT_LOG.fields, T.StructField("violation", T.StringType())])
+    bad = spark.read.schema(flagged).parquet(f"{quarantine}/*")
+    return good.unionByName(bad)
+
+
+@register("stream_milestones", q(f"""
+, run AS (
+  SELECT M_ID, L_ID,
+         SUM(CASE WHEN Exercise != 'Session Booking' THEN 1 ELSE 0 END)
+           OVER (PARTITION BY M_ID ORDER BY L_ID ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n
+  FROM workout_log)
+SELECT L_ID, M_ID,
+       CASE n WHEN 10 THEN 'Congratulations! You have completed 10 workouts. Keep up the great work!'
+              WHEN 25 THEN 'Amazing! 25 workouts completed. You are making excellent progress!'
+              WHEN 50 THEN 'Incredible milestone! 50 workouts completed. You are a fitness champion!'
+              WHEN 100 THEN 'Legendary achievement! 100 workouts completed. Outstanding dedication!' END AS Message,
+       'progress' AS Type, {_NOTICE_COLS}
+FROM run WHERE n IN (10, 25, 50, 100)"""))
+def _stream_milestones(spark, d):
+    return ST.run_to_table(spark, ST.stream_milestones(_log_stream(spark, d)))
+
+
+@register("stream_daily_calories", q("""
+SELECT M_ID, Date, SUM(CaloriesBurnt) AS daily_calories FROM workout_log
+WHERE CaloriesBurnt IS NOT NULL GROUP BY M_ID, Date"""))
+def _stream_daily_calories(spark, d):
+    # complete mode: the replay has no late rows, so the final result table
+    # equals the batch aggregate (append mode would hold back open windows).
+    return ST.run_to_table(spark, ST.stream_daily_calories(_log_stream(spark, d)), mode="complete")
+
+
+@register("stream_notice_dedupe")
+def _stream_notice_dedupe(spark, d):
+    t = tables(spark, d)
+    src = ST.replay(t.notifications, ST.scratch(spark, "replay-notif"), "Notif_ID")
+    stream = ST._file_stream(spark, src, SC.NOTIFICATIONS)
+    return ST.run_to_table(spark, ST.stream_notice_dedupe(stream))
