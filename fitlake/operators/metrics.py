@@ -67,7 +67,8 @@ def log_metrics_frame(t: Tables, as_of: dt.date = DEFAULT_AS_OF, calorie_days: i
         F.coalesce(F.round("_dur", 2), F.lit(0)).cast("decimal(6,2)").alias("AvgWorkoutDuration"))
 
 
-_ZERO2 = F.lit(0).cast("decimal(10,2)")
+def _zero2():
+    return F.lit(0).cast("decimal(10,2)")
 
 
 def _per_member(t: Tables, frame: DataFrame, col: str, default) -> DataFrame:
@@ -77,7 +78,7 @@ def _per_member(t: Tables, frame: DataFrame, col: str, default) -> DataFrame:
 
 def calories_burned(t: Tables, as_of: dt.date = DEFAULT_AS_OF, days: int = 30) -> DataFrame:
     f = log_metrics_frame(t, as_of, calorie_days=days)
-    return _per_member(t, f, "CaloriesLast30Days", _ZERO2)
+    return _per_member(t, f, "CaloriesLast30Days", _zero2())
 
 
 def workout_consistency(t: Tables, as_of: dt.date = DEFAULT_AS_OF, days: int = 30) -> DataFrame:
@@ -165,7 +166,7 @@ def member_metrics_panel(t: Tables, as_of: dt.date = DEFAULT_AS_OF) -> DataFrame
             .join(lm, "M_ID", "left")
             .select("M_ID", "Name", "DaysUntilExpiry",
                     F.coalesce("BMI", F.lit(0).cast("decimal(5,2)")).alias("BMI"),
-                    F.coalesce("CaloriesLast30Days", _ZERO2).alias("CaloriesLast30Days"),
+                    F.coalesce("CaloriesLast30Days", _zero2()).alias("CaloriesLast30Days"),
                     F.coalesce("ConsistencyPercent", F.lit(0).cast("decimal(18,2)"))
                     .alias("ConsistencyPercent"),
                     F.coalesce("AvgWorkoutDuration", F.lit(0).cast("decimal(6,2)"))

@@ -196,3 +196,38 @@ def _trainer_activity_panel(spark, d):
 SELECT * FROM grev"""))
 def _gym_revenue_panel(spark, d):
     return M.gym_revenue_panel(tables(spark, d))
+
+
+# ---- bench-size log (lineitem x orders), as_of 2001-08-01 -------------------
+_BAS = "DATE '2001-08-01'"
+
+
+@register("bench_log_metrics", q(f"""
+SELECT M_ID,
+       CAST(COALESCE(SUM(CASE WHEN Date >= {_BAS} - 30 AND CaloriesBurnt IS NOT NULL
+                              THEN CaloriesBurnt END), 0) AS DECIMAL(10,2)) AS CaloriesLast30Days,
+       {ratio_half_up(f"COUNT(DISTINCT CASE WHEN Date >= {_BAS} - 30 THEN Date END) * 100", "30", 2)} AS ConsistencyPercent,
+       CAST(COALESCE({round_half_up(A('Duration', 0, f"Date >= {_BAS} - 30 AND Duration IS NOT NULL AND Exercise != 'Session Booking'"), 4, 2)}, 0) AS DECIMAL(6,2)) AS AvgWorkoutDuration
+FROM bench_log GROUP BY M_ID"""))
+def _bench_log_metrics(spark, d):
+    from fitlake.sources.tables import BENCH_AS_OF, bench_tables
+    return M.log_metrics_frame(bench_tables(spark, d), BENCH_AS_OF)
+
+
+@register("bench_exercise_patterns", q(f"""
+SELECT M_ID, Exercise, {A('CaloriesBurnt', 2)} AS avg_calories, {A('Duration')} AS avg_duration,
+       COUNT(*) AS frequency
+FROM bench_log WHERE Date >= {_BAS} - 30 GROUP BY M_ID, Exercise"""))
+def _bench_exercise_patterns(spark, d):
+    from fitlake.operators.app import exercise_patterns
+    from fitlake.sources.tables import BENCH_AS_OF, bench_tables
+    return exercise_patterns(bench_tables(spark, d), BENCH_AS_OF)
+
+
+@register("bench_calorie_trend", q("""
+SELECT M_ID, Date, SUM(CaloriesBurnt) AS daily_calories FROM bench_log
+WHERE CaloriesBurnt IS NOT NULL GROUP BY M_ID, Date"""))
+def _bench_calorie_trend(spark, d):
+    from fitlake.operators.app import calorie_trend
+    from fitlake.sources.tables import bench_tables
+    return calorie_trend(bench_tables(spark, d))

@@ -149,6 +149,12 @@ trainer_delete_requests AS (
   SELECT s_suppkey AS request_id,
          CAST(CASE WHEN s_acctbal < 0 THEN s_suppkey ELSE s_suppkey + 100000 END AS INT) AS T_ID
   FROM supplier),
+bench_log AS (
+  SELECT CAST(o_custkey AS INT) AS M_ID, CAST(NULL AS INT) AS S_ID, l_returnflag AS Exercise,
+         CAST(l_shipdate AS DATE) AS Date, CAST(floor(l_quantity) AS INT) AS Duration,
+         CAST(l_extendedprice % 2000 AS DECIMAL(6,2)) AS CaloriesBurnt,
+         CAST(NULL AS DECIMAL(6,2)) AS Distance, CAST(NULL AS VARCHAR) AS Progress
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 questions AS (
   SELECT conv_id, turn, text FROM conversations WHERE role = 'user')
 """

@@ -21,9 +21,19 @@ _QUERIES: dict[str, Builder] = {}
 _SQL: dict[str, str] = {}
 
 
+_TABLES: dict[tuple[int, str], Tables] = {}
+
+
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    ensure_defaults(spark)
-    return derive_tables(spark, sf_dir, DEFAULT_AS_OF)
+    """Derived tables for `sf_dir`; the lazy plans are built once per session
+    and folder and shared by every query (building them costs more driver
+    round trips than most queries take to run on small inputs)."""
+    key = (id(spark), sf_dir)
+    t = _TABLES.get(key)
+    if t is None:
+        ensure_defaults(spark)
+        t = _TABLES[key] = derive_tables(spark, sf_dir, DEFAULT_AS_OF)
+    return t
 
 
 def register(name: str, sql: str | None = None):

@@ -28,6 +28,7 @@ _DEFAULTS = {
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
@@ -56,7 +57,7 @@ def ensure_defaults(spark: SparkSession) -> SparkSession:
     """Apply the operator-level defaults that are still unset on `spark`."""
     conf = spark.conf
     for k, v in _DEFAULTS.items():
-        if k == "spark.ui.enabled":
+        if k in ("spark.ui.enabled", "spark.ui.showConsoleProgress"):
             continue
         try:
             if k == "spark.sql.session.timeZone":

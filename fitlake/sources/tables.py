@@ -301,6 +301,14 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cv.filter(F.col("role") == "user").select("conv_id", "turn", "text")
 
 
+BENCH_AS_OF = dt.date(2001, 8, 1)
+
+
+def bench_tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """Derived tables with the workout log replaced by the bench-size log."""
+    return derive_tables(spark, sf_dir, BENCH_AS_OF).replace(workout_log=bench_log(spark, sf_dir))
+
+
 def bench_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bench-size workout log over lineitem x orders (no L_ID: aggregates only)."""
     li = _raw(spark, sf_dir, "lineitem")
@@ -311,7 +319,7 @@ def bench_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("S_ID"),
         F.col("l_returnflag").alias("Exercise"),
         F.col("l_shipdate").cast("date").alias("Date"),
-        F.col("l_quantity").cast("int").alias("Duration"),
+        F.floor(F.col("l_quantity")).cast("int").alias("Duration"),
         (F.col("l_extendedprice") % 2000).cast("decimal(6,2)").alias("CaloriesBurnt"),
         F.lit(None).cast("decimal(6,2)").alias("Distance"),
         F.lit(None).cast("string").alias("Progress"))
