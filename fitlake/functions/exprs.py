@@ -104,7 +104,7 @@ def pct_of_days(n: Column, days: int) -> Column:
 def ci(col: Column | str) -> Column:
     """Case/accent-insensitive comparison key (reference collation is *_unicode_ci)."""
     c = F.col(col) if isinstance(col, str) else col
-    return c.collate("UNICODE_CI_AI_RTRIM") if hasattr(c, "collate") else F.lower(c)
+    return F.collate(c, "UNICODE_CI_AI_RTRIM")
 
 
 def time_12h(time_col: str = "SessionTime") -> Column:
