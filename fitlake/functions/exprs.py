@@ -119,6 +119,13 @@ def long_date(col: Column | str) -> Column:
     return F.date_format(c, "MMMM dd, yyyy")
 
 
+def order_key(date_col: str, id_col: str) -> Column:
+    """(date, id) packed into one BIGINT that sorts like the pair, so
+    `max_by`/`min_by` keep fixed-width buffers and run as hash aggregates."""
+    return (F.unix_date(F.col(date_col)).cast("long") * F.lit(1 << 32)
+            + F.col(id_col).cast("long"))
+
+
 def max_by_struct(value: Column, *order: Column) -> Column:
     """Value of the row with the greatest `order` tuple (one aggregate pass,
     partial aggregation on the map side, so a hot key never lands whole in

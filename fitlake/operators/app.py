@@ -8,7 +8,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fitlake.functions.exprs import DEFAULT_AS_OF, avg_exact, days_before, is_booking, lit_date
+from fitlake.functions.exprs import (DEFAULT_AS_OF, avg_exact, days_before, lit_date,
+                                     order_key)
 from fitlake.operators.common import booking_counts, top_k
 from fitlake.sources.tables import Tables
 
@@ -61,8 +62,7 @@ def today_health(t: Tables, as_of: dt.date = DEFAULT_AS_OF) -> DataFrame:
     """Latest (by Metric_ID) metric row dated as_of, for members having one."""
     vals = ["Weight", "Height", "SleepHours", "WaterLiters", "Steps"]
     return (t.health_metrics.filter(F.col("Date") == lit_date(as_of)).groupBy("M_ID")
-            .agg(F.max_by(F.struct(*vals), "Metric_ID").alias("_r"))
-            .select("M_ID", *[F.col(f"_r.{c}").alias(c) for c in vals]))
+            .agg(*[F.max_by(c, "Metric_ID").alias(c) for c in vals]))
 
 
 def workout_frequency(t: Tables, as_of: dt.date = DEFAULT_AS_OF, days: int = 30) -> DataFrame:
@@ -101,13 +101,14 @@ def rule_recommendations(t: Tables, as_of: dt.date = DEFAULT_AS_OF, max_n: int =
     per_m = pat.groupBy("M_ID").agg(
         F.count(F.lit(1)).alias("_groups"),
         F.sum(F.coalesce("avg_calories", F.lit(0))).alias("_cal_sum"))
-    hm = t.health_metrics.groupBy("M_ID").agg(
-        F.max_by(F.struct("Steps", "SleepHours"), F.struct("Date", "Metric_ID")).alias("_h"))
+    key = order_key("Date", "Metric_ID")
+    hm = t.health_metrics.groupBy("M_ID").agg(F.max_by("Steps", key).alias("_steps"),
+                                              F.max_by("SleepHours", key).alias("_sleep"))
     wk = (t.workout_log.filter(F.col("Date") >= days_before(as_of, 7)).groupBy("M_ID")
           .agg(F.count(F.lit(1)).alias("_weekly")))
     f = (t.member.select("M_ID").join(per_m, "M_ID", "left").join(hm, "M_ID", "left")
          .join(wk, "M_ID", "left"))
-    steps, sleep = F.col("_h.Steps"), F.col("_h.SleepHours")
+    steps, sleep = F.col("_steps"), F.col("_sleep")
     weekly = F.coalesce("_weekly", F.lit(0))
     groups = F.coalesce("_groups", F.lit(0))
     recs = F.array(

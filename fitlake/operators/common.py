@@ -47,20 +47,21 @@ def scalar_int(df: DataFrame, expr: Column, default: int = 0) -> int:
 
 
 def assign_ids(df: DataFrame, order_col: str, base: Column | int, id_col: str) -> DataFrame:
-    """Dense ids `base + 1, base + 2, …` in `order_col` order, computed without
-    a single-partition window: rows are range-partitioned, numbered within
-    their partition, and offset by the (tiny, one row per partition) prefix
-    sums of the partition sizes."""
-    part = (df.repartitionByRange(F.col(order_col))
-            .withColumn("_pid", F.spark_partition_id()))
-    local = part.withColumn(
-        "_lix", F.row_number().over(Window.partitionBy("_pid").orderBy(order_col)))
+    """Dense ids `base + 1, base + 2, …` in `order_col` order (unique),
+    without a single-partition window: rows are range-partitioned and sorted
+    within each partition; `monotonically_increasing_id` then yields the
+    position inside the partition, offset by the prefix sums of partition
+    sizes (a tiny one-row-per-partition frame, broadcast)."""
+    part = (df.repartitionByRange(F.col(order_col)).sortWithinPartitions(order_col)
+            .withColumn("_pid", F.spark_partition_id())
+            .withColumn("_lix", F.monotonically_increasing_id()
+                        - F.shiftleft(F.col("_pid").cast("long"), 33) + 1))
     sizes = part.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offs = sizes.withColumn(
         "_off", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(
             Window.unboundedPreceding, -1)), F.lit(0))).select("_pid", "_off")
     b = base if isinstance(base, Column) else F.lit(base)
-    return (local.join(F.broadcast(offs), "_pid")
+    return (part.join(F.broadcast(offs), "_pid")
             .withColumn(id_col, (b + F.col("_off") + F.col("_lix")).cast("int"))
             .drop("_pid", "_lix", "_off"))
 

@@ -9,34 +9,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fitlake.functions.exprs import (DEFAULT_AS_OF, age_group, avg_exact, days_before,
-                                     duration_hhmm, half_up_ratio, lit_date, not_booking)
+                                     duration_hhmm, half_up_ratio, lit_date, not_booking,
+                                     order_key)
 from fitlake.operators.common import booking_counts
 from fitlake.sources.tables import Tables
 
 
-def expiry_frame(t: Tables, as_of: dt.date = DEFAULT_AS_OF) -> DataFrame:
-    """M_ID, ExpiryDate, DaysUntilExpiry (NULL when the member has no type)."""
-    mt = t.membership_type.select("Type_ID", F.col("Duration").alias("_months"))
+def with_expiry(t: Tables, members: DataFrame, as_of: dt.date = DEFAULT_AS_OF) -> DataFrame:
+    """Adds ExpiryDate / DaysUntilExpiry (NULL when the member has no type)
+    by a LEFT join to the small type dimension: the member side is scanned
+    once and never shuffled for it."""
+    mt = t.membership_type.select(F.col("Type_ID").alias("_tid"), F.col("Duration").alias("_months"))
     exp = F.add_months(F.col("JoinDate"), F.col("_months"))
-    return (t.member.select("M_ID", "JoinDate", "MembershipType_ID")
-            .join(mt, F.col("MembershipType_ID") == F.col("Type_ID"), "left")
-            .select("M_ID", exp.alias("ExpiryDate"),
-                    F.datediff(exp, lit_date(as_of)).alias("DaysUntilExpiry")))
+    return (members.join(mt, F.col("MembershipType_ID") == F.col("_tid"), "left")
+            .withColumn("ExpiryDate", exp)
+            .withColumn("DaysUntilExpiry", F.datediff(exp, lit_date(as_of)))
+            .drop("_tid", "_months"))
+
+
+def expiry_frame(t: Tables, as_of: dt.date = DEFAULT_AS_OF) -> DataFrame:
+    """M_ID, ExpiryDate, DaysUntilExpiry for every member."""
+    return with_expiry(t, t.member.select("M_ID", "JoinDate", "MembershipType_ID"), as_of) \
+        .select("M_ID", "ExpiryDate", "DaysUntilExpiry")
 
 
 def membership_expiry(t: Tables, as_of: dt.date = DEFAULT_AS_OF) -> DataFrame:
-    return (t.member.select("M_ID", "Name").join(expiry_frame(t, as_of), "M_ID", "left")
-            .select("M_ID", "Name", "DaysUntilExpiry"))
+    m = t.member.select("M_ID", "Name", "JoinDate", "MembershipType_ID")
+    return with_expiry(t, m, as_of).select("M_ID", "Name", "DaysUntilExpiry")
 
 
 def bmi_frame(t: Tables) -> DataFrame:
     """BMI from each member's latest metric row (Date, then Metric_ID):
     weight / (height/100)^2 as DECIMAL(5,2); 0 when either is missing."""
+    key = order_key("Date", "Metric_ID")
     latest = t.health_metrics.groupBy("M_ID").agg(
-        F.max_by(F.struct("Weight", "Height"), F.struct("Date", "Metric_ID")).alias("_l"))
-    w = F.col("_l.Weight").cast("double")
-    h = F.col("_l.Height").cast("double") / 100
-    ok = F.col("_l.Weight").isNotNull() & F.col("_l.Height").isNotNull() & (F.col("_l.Height") > 0)
+        F.max_by("Weight", key).alias("_w"), F.max_by("Height", key).alias("_h"))
+    w = F.col("_w").cast("double")
+    h = F.col("_h").cast("double") / 100
+    ok = F.col("_w").isNotNull() & F.col("_h").isNotNull() & (F.col("_h") > 0)
     return latest.select("M_ID", F.when(ok, (w / (h * h)).cast("decimal(5,2)"))
                          .otherwise(F.lit(0).cast("decimal(5,2)")).alias("BMI"))
 
@@ -113,7 +123,7 @@ def health_metrics_frame(t: Tables, as_of: dt.date = DEFAULT_AS_OF, weight_days:
                          step_days: int = 7) -> DataFrame:
     """Weight change (an as-of lookup: latest weight vs latest weight dated
     on/before as_of - days) and average steps, one pass over the metrics."""
-    order = F.struct("Date", "Metric_ID")
+    order = order_key("Date", "Metric_ID")
     past = F.col("Date") <= days_before(as_of, weight_days)
     steps_in = (F.col("Date") >= days_before(as_of, step_days)) & F.col("Steps").isNotNull()
     agg = t.health_metrics.groupBy("M_ID").agg(
@@ -160,9 +170,8 @@ def workout_durations_hhmm(t: Tables) -> DataFrame:
 
 def member_metrics_panel(t: Tables, as_of: dt.date = DEFAULT_AS_OF) -> DataFrame:
     lm = log_metrics_frame(t, as_of)
-    return (t.member.select("M_ID", "Name")
-            .join(expiry_frame(t, as_of).select("M_ID", "DaysUntilExpiry"), "M_ID", "left")
-            .join(bmi_frame(t), "M_ID", "left")
+    m = with_expiry(t, t.member.select("M_ID", "Name", "JoinDate", "MembershipType_ID"), as_of)
+    return (m.join(bmi_frame(t), "M_ID", "left")
             .join(lm, "M_ID", "left")
             .select("M_ID", "Name", "DaysUntilExpiry",
                     F.coalesce("BMI", F.lit(0).cast("decimal(5,2)")).alias("BMI"),

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fitlake.functions.exprs import (DEFAULT_AS_OF, avg_exact, days_before, half_up_ratio,
-                                     lit_date, not_booking)
+                                     lit_date, not_booking, order_key)
 from fitlake.operators.base_queries import _session_fanout, _trainer_clients, _weighted_avg_exact
-from fitlake.operators.metrics import expiry_frame
+from fitlake.operators.metrics import with_expiry
 from fitlake.sources.tables import Tables
 
 # ---- fixed values that must equal the reference's ---------------------------
@@ -43,15 +43,15 @@ def member_progress_summary(t: Tables, as_of: dt.date = DEFAULT_AS_OF) -> DataFr
         avg_exact(F.when(w30, F.col("CaloriesBurnt")), 2).alias("AvgMonthlyCalories"),
         F.sum(F.when(w30, F.col("CaloriesBurnt"))).alias("TotalMonthlyCalories"),
         F.countDistinct(F.when(w30, d)).alias("_days30"))
-    order = F.struct("Date", "Metric_ID")
+    order = order_key("Date", "Metric_ID")
     hm = t.health_metrics.groupBy("M_ID").agg(
         F.max_by("Weight", order).alias("CurrentWeight"),
         F.min_by("Weight", order).alias("StartingWeight"),
         avg_exact(F.when(w7, F.col("SleepHours"))).alias("AvgWeeklySleep"),
         avg_exact(F.when(w7, F.col("Steps"))).alias("AvgWeeklySteps"))
-    ex = expiry_frame(t, as_of).select("M_ID", "DaysUntilExpiry")
-    return (t.member.select("M_ID", "Name", "Email", "Age", "JoinDate")
-            .join(lg, "M_ID", "left").join(hm, "M_ID", "left").join(ex, "M_ID", "left")
+    m = with_expiry(t, t.member.select("M_ID", "Name", "Email", "Age", "JoinDate",
+                                       "MembershipType_ID"), as_of)
+    return (m.join(lg, "M_ID", "left").join(hm, "M_ID", "left")
             .select("M_ID", "Name", "Email", "Age", "JoinDate",
                     F.coalesce("WeeklyWorkouts", F.lit(0)).alias("WeeklyWorkouts"),
                     "AvgMonthlyCalories",
@@ -69,12 +69,13 @@ def priority_recommendation(t: Tables, as_of: dt.date = DEFAULT_AS_OF) -> DataFr
         F.count(F.when(w30, F.lit(1))).alias("_n"),
         F.round(avg_exact(F.when(w30, F.col("CaloriesBurnt")), 2), 2).alias("_cal"),
         F.countDistinct(F.when(w30, F.col("Exercise"))).alias("_var"))
-    hm = t.health_metrics.groupBy("M_ID").agg(
-        F.max_by(F.struct("SleepHours", "Steps"), F.struct("Date", "Metric_ID")).alias("_h"))
+    key = order_key("Date", "Metric_ID")
+    hm = t.health_metrics.groupBy("M_ID").agg(F.max_by("SleepHours", key).alias("_sleep"),
+                                              F.max_by("Steps", key).alias("_steps"))
     f = t.member.select("M_ID").join(lg, "M_ID", "left").join(hm, "M_ID", "left")
     n = F.coalesce("_n", F.lit(0))
     var = F.coalesce("_var", F.lit(0))
-    conds = [n < 3, F.col("_h.Steps") < 5000, F.col("_h.SleepHours") < 6, var < 2,
+    conds = [n < 3, F.col("_steps") < 5000, F.col("_sleep") < 6, var < 2,
              F.col("_cal") < 200]
     rule = None
     for c, (typ, msg, ex, mins) in zip(conds, PRIORITY_RULES):
