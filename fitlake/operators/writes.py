@@ -47,25 +47,26 @@ def apply_bookings(t: Tables, requests: DataFrame, precedence: str = "procedure"
     bk = t.workout_log.filter(is_booking() & F.col("S_ID").isNotNull())
     existing = bk.select("M_ID", "S_ID").distinct().withColumn("_booked", F.lit(True))
     counts = bk.groupBy("S_ID").agg(F.count(F.lit(1)).alias("_n0"))
-    sess = t.session.select("S_ID", F.col("MaxParticipants").alias("_max"),
-                            F.lit(True).alias("_found"))
+    # per-session state: capacity and seats still free before this batch
+    sess = (t.session.select("S_ID", F.col("MaxParticipants").alias("_max"))
+            .join(counts, "S_ID", "left")
+            .select("S_ID", "_max", F.lit(True).alias("_found"),
+                    (F.col("_max") - F.coalesce("_n0", F.lit(0))).alias("_free")))
     r = (requests.select("request_id", "M_ID", "S_ID")
          .join(sess, "S_ID", "left").join(existing, ["M_ID", "S_ID"], "left")
-         .join(counts, "S_ID", "left")
-         .withColumn("_booked", F.coalesce("_booked", F.lit(False)))
-         .withColumn("_free", F.col("_max") - F.coalesce("_n0", F.lit(0))))
-    live = r.filter(F.col("_found").isNotNull() & ~F.col("_booked"))
-    first = live.groupBy("M_ID", "S_ID").agg(F.min("request_id").alias("_first"))
-    cands = (live.join(first, ["M_ID", "S_ID"])
-             .filter(F.col("request_id") == F.col("_first"))
-             .select("S_ID", "request_id", "_free"))
+         .withColumn("_booked", F.coalesce("_booked", F.lit(False))))
+    first = (r.filter(F.col("_found").isNotNull() & ~F.col("_booked"))
+             .groupBy("M_ID", "S_ID").agg(F.min("request_id").alias("_first")))
+    r1 = r.join(first, ["M_ID", "S_ID"], "left")
+    cands = r1.filter(F.col("request_id") == F.col("_first")).select("S_ID", "request_id", "_free")
     k = max(scalar_int(t.session, F.max("MaxParticipants")), 1)
     ranked = top_k(cands, ["S_ID"], [F.col("request_id")], k, rank_col="_rk")
     # cut = request_id of the last admitted candidate; -1 when no seat is free.
-    cut_rows = ranked.filter(F.col("_rk") == F.col("_free")).select("S_ID", F.col("request_id").alias("_cut"))
-    no_seat = r.filter(F.col("_free") <= 0).select("S_ID").distinct().withColumn("_cut", F.lit(-1).cast("long"))
-    cuts = cut_rows.unionByName(no_seat)
-    j = (r.join(first, ["M_ID", "S_ID"], "left").join(cuts, "S_ID", "left"))
+    cuts = (ranked.filter(F.col("_rk") == F.col("_free"))
+            .select("S_ID", F.col("request_id").alias("_cut"))
+            .unionByName(sess.filter(F.col("_free") <= 0)
+                         .select("S_ID", F.lit(-1).cast("long").alias("_cut"))))
+    j = r1.join(cuts, "S_ID", "left")
     full_at = F.col("_cut").isNotNull() & (F.col("request_id") > F.col("_cut"))
     first_admitted = F.col("_cut").isNull() | (F.col("_first") <= F.col("_cut"))
     is_dup = F.col("_first").isNotNull() & (F.col("request_id") > F.col("_first"))
@@ -141,16 +142,18 @@ def upsert_health_metrics(t: Tables, updates: DataFrame) -> DataFrame:
     from fitlake.operators.rules import health_metric_violation
     vals = ["Weight", "Height", "SleepHours", "WaterLiters", "Steps"]
     per_key = updates.withColumn("_valid", health_metric_violation().isNull()).groupBy("M_ID", "Date").agg(
-        F.max_by(F.struct(*vals), F.col("request_id")).alias("_last"),
+        F.max("request_id").alias("_last"),
+        *[F.max_by(c, "request_id").alias(f"_v_{c}") for c in vals],
         F.min(F.when(F.col("_valid"), F.col("request_id"))).alias("_first_ok"))
     hm = t.health_metrics
-    upd = (hm.join(per_key.select("M_ID", "Date", "_last"), ["M_ID", "Date"], "left")
-           .select(*[F.when(F.col("_last").isNotNull(), F.col(f"_last.{c}")).otherwise(F.col(c)).alias(c)
+    upd = (hm.join(per_key.select("M_ID", "Date", "_last", *[f"_v_{c}" for c in vals]),
+                   ["M_ID", "Date"], "left")
+           .select(*[F.when(F.col("_last").isNotNull(), F.col(f"_v_{c}")).otherwise(F.col(c)).alias(c)
                      if c in vals else F.col(c) for c in hm.columns]))
     new_keys = (per_key.filter(F.col("_first_ok").isNotNull())
                 .join(hm.select("M_ID", "Date").distinct(), ["M_ID", "Date"], "left_anti"))
     ins = assign_ids(new_keys, "_first_ok", max_id(hm, "Metric_ID"), "Metric_ID")
-    ins = ins.select(*[F.col(f"_last.{c}").alias(c) if c in vals else F.col(c) for c in hm.columns])
+    ins = ins.select(*[F.col(f"_v_{c}").alias(c) if c in vals else F.col(c) for c in hm.columns])
     return upd.unionByName(ins)
 
 

@@ -210,8 +210,9 @@ SELECT M_ID,
        CAST(COALESCE({round_half_up(A('Duration', 0, f"Date >= {_BAS} - 30 AND Duration IS NOT NULL AND Exercise != 'Session Booking'"), 4, 2)}, 0) AS DECIMAL(6,2)) AS AvgWorkoutDuration
 FROM bench_log GROUP BY M_ID"""))
 def _bench_log_metrics(spark, d):
-    from fitlake.sources.tables import BENCH_AS_OF, bench_tables
-    return M.log_metrics_frame(bench_tables(spark, d), BENCH_AS_OF)
+    from fitlake.plans.registry import bench_tables_cached
+    from fitlake.sources.tables import BENCH_AS_OF
+    return M.log_metrics_frame(bench_tables_cached(spark, d), BENCH_AS_OF)
 
 
 @register("bench_exercise_patterns", q(f"""
@@ -220,8 +221,9 @@ SELECT M_ID, Exercise, {A('CaloriesBurnt', 2)} AS avg_calories, {A('Duration')}
 FROM bench_log WHERE Date >= {_BAS} - 30 GROUP BY M_ID, Exercise"""))
 def _bench_exercise_patterns(spark, d):
     from fitlake.operators.app import exercise_patterns
-    from fitlake.sources.tables import BENCH_AS_OF, bench_tables
-    return exercise_patterns(bench_tables(spark, d), BENCH_AS_OF)
+    from fitlake.plans.registry import bench_tables_cached
+    from fitlake.sources.tables import BENCH_AS_OF
+    return exercise_patterns(bench_tables_cached(spark, d), BENCH_AS_OF)
 
 
 @register("bench_calorie_trend", q("""
@@ -229,5 +231,5 @@ SELECT M_ID, Date, SUM(CaloriesBurnt) AS daily_calories FROM bench_log
 WHERE CaloriesBurnt IS NOT NULL GROUP BY M_ID, Date"""))
 def _bench_calorie_trend(spark, d):
     from fitlake.operators.app import calorie_trend
-    from fitlake.sources.tables import bench_tables
-    return calorie_trend(bench_tables(spark, d))
+    from fitlake.plans.registry import bench_tables_cached
+    return calorie_trend(bench_tables_cached(spark, d))

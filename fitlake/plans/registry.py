@@ -36,6 +36,18 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
     return t
 
 
+def bench_tables_cached(spark: SparkSession, sf_dir: str) -> Tables:
+    """Derived tables with the bench-size log (lineitem x orders), memoised."""
+    from fitlake.sources.tables import BENCH_AS_OF, bench_log
+    key = (id(spark), "bench:" + sf_dir)
+    t = _TABLES.get(key)
+    if t is None:
+        ensure_defaults(spark)
+        t = _TABLES[key] = derive_tables(spark, sf_dir, BENCH_AS_OF).replace(
+            workout_log=bench_log(spark, sf_dir))
+    return t
+
+
 def register(name: str, sql: str | None = None):
     def deco(fn: Builder) -> Builder:
         if name in _QUERIES:
