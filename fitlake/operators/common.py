@@ -78,3 +78,13 @@ def notice(df: DataFrame, message: Column, ntype: str, as_of: dt.date,
             F.lit(ntype).alias("Type"), F.lit(False).alias("IsRead"),
             F.lit(dt.datetime.combine(as_of, dt.time())).cast("timestamp_ntz").alias("CreatedAt")]
     return df.select(*(extra or []), *cols)
+
+
+def append_rows(target: DataFrame, rows: DataFrame, id_col: str, order_col: str) -> DataFrame:
+    """INSERT with generated ids: `rows` get ids after `max(target.id_col)`
+    in `order_col` order and are appended to `target` (columns aligned by
+    name; columns missing from `rows` are NULL)."""
+    new = assign_ids(rows, order_col, max_id(target, id_col), id_col)
+    cols = [F.col(c).cast(target.schema[c].dataType).alias(c) if c in new.columns
+            else F.lit(None).cast(target.schema[c].dataType).alias(c) for c in target.columns]
+    return target.unionByName(new.select(*cols))

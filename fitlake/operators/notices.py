@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fitlake.functions.exprs import (DEFAULT_AS_OF, days_after, is_booking, lit_date, long_date,
                                      midnight, not_booking, time_12h)
-from fitlake.operators.common import notice, top_k
+from fitlake.operators.common import append_rows, notice, top_k
 from fitlake.sources.tables import Tables
 
 # ---- fixed values that must equal the reference's ---------------------------
@@ -209,3 +209,29 @@ def first_workout_welcome(t: Tables, as_of: dt.date = DEFAULT_AS_OF,
     an aggregate, not a window)."""
     first = t.workout_log.groupBy("M_ID").agg(F.min("L_ID").alias("L_ID"))
     return notice(first, F.lit(message), "system", as_of, extra=["L_ID"])
+
+
+def session_reminder_rows(t: Tables, as_of: dt.date = DEFAULT_AS_OF) -> DataFrame:
+    """The application's reminder helper applied to every upcoming booking:
+    "Reminder: You have a session '<details>' scheduled for <YYYY-MM-DD> at
+    <H:MM:SS>." (the time is printed like a Python timedelta: no leading
+    zero on the hour)."""
+    s = t.session.filter(F.col("SessionDate") >= lit_date(as_of)) \
+        .select("S_ID", "Details", "SessionDate", "SessionTime")
+    b = t.workout_log.filter(is_booking()).select("L_ID", "M_ID", "S_ID").join(s, "S_ID")
+    hms = F.regexp_replace(F.col("SessionTime"), r"^0(\d:)", "$1")
+    msg = F.concat(F.lit("Reminder: You have a session '"), F.col("Details"),
+                   F.lit("' scheduled for "), F.date_format("SessionDate", "yyyy-MM-dd"),
+                   F.lit(" at "), hms, F.lit("."))
+    return notice(b, msg, "session_reminder", as_of, extra=["L_ID"])
+
+
+def progress_notice_rows(events: DataFrame, as_of: dt.date = DEFAULT_AS_OF) -> DataFrame:
+    """The application's progress helper: (M_ID, Message) events -> rows."""
+    return notice(events, F.col("Message"), "progress", as_of)
+
+
+def append_session_reminders(t: Tables, as_of: dt.date = DEFAULT_AS_OF) -> DataFrame:
+    """INSERT ... SELECT of the reminder job into Notifications: the new
+    table version with generated Notif_IDs (in booking order)."""
+    return append_rows(t.notifications, session_reminders(t, as_of), "Notif_ID", "L_ID")

@@ -129,10 +129,13 @@ def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 # ---- declared constraints ----------------------------------------------------
 
-def check_unique(t: Tables) -> DataFrame:
-    """Duplicate values of every primary key and UNIQUE column."""
+def check_unique(t: Tables, table_names: tuple[str, ...] | None = None) -> DataFrame:
+    """Duplicate values of every primary key and UNIQUE column (of all
+    tables, or of `table_names`)."""
     parts = []
     for table, pk in SC.PRIMARY_KEYS.items():
+        if table_names is not None and table not in table_names:
+            continue
         cols = [(pk,)] + [tuple(u) for u in ([SC.UNIQUE_KEYS[table]] if table in SC.UNIQUE_KEYS else [])]
         for key in cols:
             c = key[0]

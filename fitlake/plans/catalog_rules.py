@@ -6,6 +6,7 @@ from fitlake.operators import notices as N
 from fitlake.operators import rules as R
 from fitlake.plans.oracle import q
 from fitlake.plans.registry import register, tables
+from fitlake.sources import schema as SC
 from fitlake.sources.tables import metric_updates
 
 _NOTICE_COLS = "FALSE AS IsRead, TIMESTAMP '2024-01-30 00:00:00' AS CreatedAt"
@@ -97,9 +98,10 @@ def _dup_sql(table, col):
                                  ("workout_log", "L_ID"), ("health_metrics", "Metric_ID"),
                                  ("notifications", "Notif_ID")]])))
 def _check_unique(spark, d):
-    t = tables(spark, d)
-    # admin is a one-row hand-made table; its keys are checked in the unit tests.
-    return R.check_unique(t.replace(admin=t.admin.limit(0)))
+    # admin is a one-row hand-made table, not derived from the test data; its
+    # keys are checked in the unit tests.
+    derived = tuple(n for n in SC.TABLE_NAMES if n != "admin")
+    return R.check_unique(tables(spark, d), derived)
 
 
 def _fk_sql(child, ccol, parent, pcol):
@@ -284,3 +286,28 @@ SELECT MIN(L_ID) AS L_ID, M_ID, 'Welcome! You have logged your first workout. Gr
 FROM workout_log GROUP BY M_ID"""))
 def _first_workout_welcome(spark, d):
     return N.first_workout_welcome(tables(spark, d))
+
+
+@register("session_reminder_rows", q(f"""
+SELECT wl.L_ID, wl.M_ID,
+       'Reminder: You have a session ''' || s.Details || ''' scheduled for '
+       || strftime(s.SessionDate, '%Y-%m-%d') || ' at '
+       || regexp_replace(s.SessionTime, '^0([0-9]:)', '\\1') || '.' AS Message,
+       'session_reminder' AS Type, {_NOTICE_COLS}
+FROM workout_log wl JOIN session s ON wl.S_ID = s.S_ID
+WHERE wl.Exercise = 'Session Booking' AND s.SessionDate >= DATE '2024-01-30'"""))
+def _session_reminder_rows(spark, d):
+    return N.session_reminder_rows(tables(spark, d))
+
+
+@register("append_session_reminders", q(_REMIND + """
+SELECT Notif_ID, M_ID, Message, Type, IsRead, CreatedAt FROM notifications
+UNION ALL
+SELECT CAST((SELECT MAX(Notif_ID) FROM notifications) + row_number() OVER (ORDER BY L_ID) AS INT),
+       M_ID,
+       'Reminder: You have a session "' || Details || '" scheduled for tomorrow at '
+       || strftime(CAST('2000-01-01 ' || SessionTime AS TIMESTAMP), '%I:%M %p'),
+       'session_reminder', FALSE, TIMESTAMP '2024-01-30 00:00:00'
+FROM rem"""))
+def _append_session_reminders(spark, d):
+    return N.append_session_reminders(tables(spark, d))
