@@ -64,7 +64,8 @@ def log_metrics_frame(t: Tables, as_of: dt.date = DEFAULT_AS_OF, calorie_days: i
     in_cal = (d >= days_before(as_of, calorie_days)) & F.col("CaloriesBurnt").isNotNull()
     in_con = d >= days_before(as_of, consistency_days)
     in_dur = (d >= days_before(as_of, duration_days)) & F.col("Duration").isNotNull() & not_booking()
-    agg = t.workout_log.groupBy("M_ID").agg(
+    widest = days_before(as_of, max(calorie_days, consistency_days, duration_days))
+    agg = t.workout_log.filter(d >= widest).groupBy("M_ID").agg(
         F.sum(F.when(in_cal, F.col("CaloriesBurnt"))).alias("_cal"),
         F.countDistinct(F.when(in_con, d)).alias("_days"),
         avg_exact(F.when(in_dur, F.col("Duration"))).alias("_dur"))

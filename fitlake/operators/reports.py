@@ -38,7 +38,8 @@ def member_progress_summary(t: Tables, as_of: dt.date = DEFAULT_AS_OF) -> DataFr
     for every member: one aggregate pass per fact table."""
     d = F.col("Date")
     w7, w30 = d >= days_before(as_of, 7), d >= days_before(as_of, 30)
-    lg = t.workout_log.groupBy("M_ID").agg(
+    # every log measure is windowed: the widest window is pushed to the scan
+    lg = t.workout_log.filter(w30).groupBy("M_ID").agg(
         F.count(F.when(w7, F.lit(1))).alias("WeeklyWorkouts"),
         avg_exact(F.when(w30, F.col("CaloriesBurnt")), 2).alias("AvgMonthlyCalories"),
         F.sum(F.when(w30, F.col("CaloriesBurnt"))).alias("TotalMonthlyCalories"),
@@ -65,7 +66,7 @@ def member_progress_summary(t: Tables, as_of: dt.date = DEFAULT_AS_OF) -> DataFr
 def priority_recommendation(t: Tables, as_of: dt.date = DEFAULT_AS_OF) -> DataFrame:
     """First matching rule per member; a NULL operand skips its rule."""
     w30 = F.col("Date") >= days_before(as_of, 30)
-    lg = t.workout_log.groupBy("M_ID").agg(
+    lg = t.workout_log.filter(w30).groupBy("M_ID").agg(
         F.count(F.when(w30, F.lit(1))).alias("_n"),
         F.round(avg_exact(F.when(w30, F.col("CaloriesBurnt")), 2), 2).alias("_cal"),
         F.countDistinct(F.when(w30, F.col("Exercise"))).alias("_var"))

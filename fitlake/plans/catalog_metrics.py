@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from fitlake.operators import metrics as M
+from fitlake.operators.metrics import _zero2
 from fitlake.plans.oracle import avg_exact as A
 from fitlake.plans.oracle import q, ratio_half_up, round_half_up
 from fitlake.plans.registry import register, tables
@@ -203,16 +206,28 @@ _BAS = "DATE '2001-08-01'"
 
 
 @register("bench_log_metrics", q(f"""
-SELECT M_ID,
-       CAST(COALESCE(SUM(CASE WHEN Date >= {_BAS} - 30 AND CaloriesBurnt IS NOT NULL
-                              THEN CaloriesBurnt END), 0) AS DECIMAL(10,2)) AS CaloriesLast30Days,
-       {ratio_half_up(f"COUNT(DISTINCT CASE WHEN Date >= {_BAS} - 30 THEN Date END) * 100", "30", 2)} AS ConsistencyPercent,
-       CAST(COALESCE({round_half_up(A('Duration', 0, f"Date >= {_BAS} - 30 AND Duration IS NOT NULL AND Exercise != 'Session Booking'"), 4, 2)}, 0) AS DECIMAL(6,2)) AS AvgWorkoutDuration
-FROM bench_log GROUP BY M_ID"""))
+, agg AS (
+  SELECT M_ID,
+         SUM(CASE WHEN Date >= {_BAS} - 30 AND CaloriesBurnt IS NOT NULL THEN CaloriesBurnt END) AS cal,
+         {ratio_half_up(f"COUNT(DISTINCT CASE WHEN Date >= {_BAS} - 30 THEN Date END) * 100", "30", 2)} AS pct,
+         {round_half_up(A('Duration', 0, f"Date >= {_BAS} - 30 AND Duration IS NOT NULL AND Exercise != 'Session Booking'"), 4, 2)} AS dur
+  FROM bench_log GROUP BY M_ID)
+SELECT m.M_ID, CAST(COALESCE(a.cal, 0) AS DECIMAL(10,2)) AS CaloriesLast30Days,
+       COALESCE(a.pct, 0) AS ConsistencyPercent,
+       CAST(COALESCE(a.dur, 0) AS DECIMAL(6,2)) AS AvgWorkoutDuration
+FROM member m LEFT JOIN agg a ON m.M_ID = a.M_ID"""))
 def _bench_log_metrics(spark, d):
     from fitlake.plans.registry import bench_tables_cached
     from fitlake.sources.tables import BENCH_AS_OF
-    return M.log_metrics_frame(bench_tables_cached(spark, d), BENCH_AS_OF)
+    t = bench_tables_cached(spark, d)
+    f = M.log_metrics_frame(t, BENCH_AS_OF)
+    return (t.member.select("M_ID").join(f, "M_ID", "left")
+            .select("M_ID",
+                    F.coalesce("CaloriesLast30Days", _zero2()).alias("CaloriesLast30Days"),
+                    F.coalesce("ConsistencyPercent", F.lit(0).cast("decimal(18,2)"))
+                    .alias("ConsistencyPercent"),
+                    F.coalesce("AvgWorkoutDuration", F.lit(0).cast("decimal(6,2)"))
+                    .alias("AvgWorkoutDuration")))
 
 
 @register("bench_exercise_patterns", q(f"""

@@ -7,13 +7,14 @@ test tables (derived-table CTEs from `fitlake.plans.oracle`).
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from fitlake.functions.exprs import DEFAULT_AS_OF
-from fitlake.session import ensure_defaults
-from fitlake.sources.tables import Tables, derive_tables
+from fitlake.session import checkpoint_dir, ensure_defaults
+from fitlake.sources.tables import Tables, curated_tables, derive_tables
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -32,10 +33,16 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
     t = _TABLES.get(key)
     if t is None:
         ensure_defaults(spark)
-        t = _TABLES[key] = derive_tables(spark, sf_dir, DEFAULT_AS_OF)
+        t = _TABLES[key] = curated_tables(
+            spark, derive_tables(spark, sf_dir, DEFAULT_AS_OF), _curated_path(spark, sf_dir, "tables"))
     return t
 
 
+def _curated_path(spark: SparkSession, sf_dir: str, kind: str) -> str:
+    tag = hashlib.sha1(f"{sf_dir}|{kind}".encode()).hexdigest()[:16]
+    return f"{checkpoint_dir(spark).rstrip('/')}/fitlake-curated/{tag}"
+
+
 def bench_tables_cached(spark: SparkSession, sf_dir: str) -> Tables:
     """Derived tables with the bench-size log (lineitem x orders), memoised."""
     from fitlake.sources.tables import BENCH_AS_OF, bench_log
@@ -43,8 +50,9 @@ def bench_tables_cached(spark: SparkSession, sf_dir: str) -> Tables:
     t = _TABLES.get(key)
     if t is None:
         ensure_defaults(spark)
-        t = _TABLES[key] = derive_tables(spark, sf_dir, BENCH_AS_OF).replace(
-            workout_log=bench_log(spark, sf_dir))
+        t = _TABLES[key] = curated_tables(
+            spark, derive_tables(spark, sf_dir, BENCH_AS_OF).replace(
+                workout_log=bench_log(spark, sf_dir)), _curated_path(spark, sf_dir, "bench"))
     return t
 
 
