@@ -46,13 +46,22 @@ def scalar_int(df: DataFrame, expr: Column, default: int = 0) -> int:
     return default if v is None else int(v)
 
 
-def assign_ids(df: DataFrame, order_col: str, base: Column | int, id_col: str) -> DataFrame:
+def assign_ids(df: DataFrame, order_col: str | list[str], base: Column | int, id_col: str,
+               only: Column | None = None) -> DataFrame:
     """Dense ids `base + 1, base + 2, …` in `order_col` order (unique),
     without a single-partition window: rows are range-partitioned and sorted
     within each partition; `monotonically_increasing_id` then yields the
     position inside the partition, offset by the prefix sums of partition
-    sizes (a tiny one-row-per-partition frame, broadcast)."""
-    part = (df.repartitionByRange(F.col(order_col)).sortWithinPartitions(order_col)
+    sizes (a tiny one-row-per-partition frame, broadcast).
+
+    With `only`, ids go to the rows where `only` is true (others get NULL):
+    those rows are ordered first, so no join back to the input is needed."""
+    order = [order_col] if isinstance(order_col, str) else list(order_col)
+    src = df
+    if only is not None:
+        src = df.withColumn("_skip", F.when(only, F.lit(0)).otherwise(F.lit(1)))
+        order = ["_skip", *order]
+    part = (src.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
             .withColumn("_pid", F.spark_partition_id())
             .withColumn("_lix", F.monotonically_increasing_id()
                         - F.shiftleft(F.col("_pid").cast("long"), 33) + 1))
@@ -61,9 +70,12 @@ def assign_ids(df: DataFrame, order_col: str, base: Column | int, id_col: str) -
         "_off", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(
             Window.unboundedPreceding, -1)), F.lit(0))).select("_pid", "_off")
     b = base if isinstance(base, Column) else F.lit(base)
+    new_id = (b + F.col("_off") + F.col("_lix")).cast("int")
+    if only is not None:
+        new_id = F.when(F.col("_skip") == 0, new_id)
     return (part.join(F.broadcast(offs), "_pid")
-            .withColumn(id_col, (b + F.col("_off") + F.col("_lix")).cast("int"))
-            .drop("_pid", "_lix", "_off"))
+            .withColumn(id_col, new_id)
+            .drop("_pid", "_lix", "_off", "_skip"))
 
 
 def max_id(df: DataFrame, col: str) -> Column:

@@ -86,9 +86,8 @@ def apply_bookings(t: Tables, requests: DataFrame, precedence: str = "procedure"
     else:
         raise ValueError(precedence)
     st = j.select("request_id", "M_ID", "S_ID", status.alias("status"))
-    ok = st.filter(F.col("status") == BOOK_OK).select("request_id")
-    ids = assign_ids(ok, "request_id", max_id(t.workout_log, "L_ID"), "L_ID")
-    return st.join(ids, "request_id", "left")
+    return assign_ids(st, "request_id", max_id(t.workout_log, "L_ID"), "L_ID",
+                      only=F.col("status") == BOOK_OK)
 
 
 def booking_rows(t: Tables, statuses: DataFrame) -> DataFrame:
@@ -128,9 +127,8 @@ def add_workouts(t: Tables, requests: DataFrame, as_of: dt.date = DEFAULT_AS_OF)
     status = first_violation((F.col("_ok").isNull(), WORKOUT_INACTIVE),
                              *workout_range_rules(as_of))
     st = r.select(*requests.columns, F.coalesce(status, F.lit(WORKOUT_OK)).alias("status"))
-    ids = assign_ids(st.filter(F.col("status") == WORKOUT_OK).select("request_id"), "request_id",
-                     max_id(t.workout_log, "L_ID"), "L_ID")
-    return st.join(ids, "request_id", "left")
+    return assign_ids(st, "request_id", max_id(t.workout_log, "L_ID"), "L_ID",
+                      only=F.col("status") == WORKOUT_OK)
 
 
 def upsert_health_metrics(t: Tables, updates: DataFrame) -> DataFrame:
@@ -198,9 +196,7 @@ def _register(existing: DataFrame, requests: DataFrame, required: list[str], fk_
               .when(~F.col("_fk"), REG_FK)
               .otherwise(ok_msg))
     st = r.select("request_id", "Email", status.alias("status"))
-    ids = assign_ids(st.filter(F.col("status") == ok_msg).select("request_id"), "request_id",
-                     max_id(existing, pk), pk)
-    return st.join(ids, "request_id", "left")
+    return assign_ids(st, "request_id", max_id(existing, pk), pk, only=F.col("status") == ok_msg)
 
 
 def register_members(t: Tables, requests: DataFrame) -> DataFrame:
