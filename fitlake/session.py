@@ -76,13 +76,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Only when the session has none (tests, local runs) is a fresh scratch
     folder created and registered.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="fitlake-ckpt-", dir=os.environ.get("FITLAKE_SCRATCH", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", d)
         spark.sparkContext.setCheckpointDir(d)
+        try:
+            spark.conf.set("spark.checkpoint.dir", d)
+        except Exception:  # core conf may be read-only at runtime
+            pass
     elif not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d
