@@ -21,6 +21,11 @@ BOOK_OK = "SUCCESS: Session booked successfully"
 BOOK_ALREADY = "ERROR: You have already booked this session"
 BOOK_FULL = "ERROR: Session is full"
 BOOK_NOT_FOUND = "ERROR: Session not found"
+# The HTTP handler's wording for the same outcomes (precedence="app").
+APP_BOOK_OK = "Session booked successfully."
+APP_BOOK_ALREADY = "You have already booked this session"
+APP_BOOK_FULL = "Session is full"
+APP_BOOK_NOT_FOUND = "Session not found"
 CANCEL_OK = "Session booking canceled."
 CANCEL_MISSING = "Booking not found or you do not have permission to cancel it"
 WORKOUT_OK = "SUCCESS: Workout logged successfully"
@@ -78,16 +83,18 @@ def apply_bookings(t: Tables, requests: DataFrame, precedence: str = "procedure"
                   .when(is_dup, BOOK_FULL)
                   .when(full_at, BOOK_FULL)
                   .otherwise(BOOK_OK))
+        ok_msg = BOOK_OK
     elif precedence == "app":
-        status = (F.when(not_found, BOOK_NOT_FOUND)
-                  .when(full_at, BOOK_FULL)
-                  .when(F.col("_booked") | is_dup, BOOK_ALREADY)
-                  .otherwise(BOOK_OK))
+        status = (F.when(not_found, APP_BOOK_NOT_FOUND)
+                  .when(full_at, APP_BOOK_FULL)
+                  .when(F.col("_booked") | is_dup, APP_BOOK_ALREADY)
+                  .otherwise(APP_BOOK_OK))
+        ok_msg = APP_BOOK_OK
     else:
         raise ValueError(precedence)
     st = j.select("request_id", "M_ID", "S_ID", status.alias("status"))
     return assign_ids(st, "request_id", max_id(t.workout_log, "L_ID"), "L_ID",
-                      only=F.col("status") == BOOK_OK)
+                      only=F.col("status") == ok_msg)
 
 
 def booking_rows(t: Tables, statuses: DataFrame) -> DataFrame:

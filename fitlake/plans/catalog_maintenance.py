@@ -214,9 +214,10 @@ _BOOK = """
   FROM r2 LEFT JOIN live ON r2.request_id = live.request_id),
   st AS (
   SELECT request_id, M_ID, S_ID, {status} AS status FROM seq)
-SELECT st.*, CASE WHEN status = 'SUCCESS: Session booked successfully' THEN CAST(
-         (SELECT MAX(L_ID) FROM workout_log) + row_number() OVER (
-           PARTITION BY status = 'SUCCESS: Session booked successfully' ORDER BY request_id) AS INT) END AS L_ID
+SELECT st.*, CASE WHEN status IN ('SUCCESS: Session booked successfully', 'Session booked successfully.')
+                  THEN CAST((SELECT MAX(L_ID) FROM workout_log) + row_number() OVER (
+           PARTITION BY status IN ('SUCCESS: Session booked successfully', 'Session booked successfully.')
+           ORDER BY request_id) AS INT) END AS L_ID
 FROM st"""
 
 _PROC = """CASE WHEN NOT found THEN 'ERROR: Session not found'
@@ -225,10 +226,10 @@ _PROC = """CASE WHEN NOT found THEN 'ERROR: Session not found'
                WHEN occ > 1 THEN 'ERROR: Session is full'
                WHEN admitted THEN 'SUCCESS: Session booked successfully'
                ELSE 'ERROR: Session is full' END"""
-_APP = """CASE WHEN NOT found THEN 'ERROR: Session not found'
-               WHEN mx IS NOT NULL AND n0 + before_adm >= mx THEN 'ERROR: Session is full'
-               WHEN booked OR occ > 1 THEN 'ERROR: You have already booked this session'
-               ELSE 'SUCCESS: Session booked successfully' END"""
+_APP = """CASE WHEN NOT found THEN 'Session not found'
+               WHEN mx IS NOT NULL AND n0 + before_adm >= mx THEN 'Session is full'
+               WHEN booked OR occ > 1 THEN 'You have already booked this session'
+               ELSE 'Session booked successfully.' END"""
 
 
 @register("apply_bookings", q(_BOOK.format(status=_PROC)))

@@ -57,6 +57,34 @@ _SORT_ON_WRITE = {"workout_log": ("Date", "M_ID"), "health_metrics": ("Date", "M
                   "notifications": ("CreatedAt", "M_ID")}
 
 
+# Table names in the source database (the reference's DDL).
+JDBC_TABLE_NAMES = {
+    "gym": "Gym", "membership_type": "MembershipType", "member": "Member", "trainer": "Trainer",
+    "admin": "Admin", "session": "Session", "workout_log": "WorkoutLog",
+    "health_metrics": "HealthMetrics", "notifications": "Notifications",
+}
+
+
+def load_tables_jdbc(spark: SparkSession, url: str, properties: dict[str, str],
+                     num_partitions: int = 64, bounds: dict[str, tuple[int, int]] | None = None
+                     ) -> Tables:
+    """Read the nine tables from the operational database with Spark's JDBC
+    source: each table is read in `num_partitions` parallel range queries
+    over its integer primary key (bounds per table, default 0..2^31-1), and
+    only the declared columns are selected, so password columns never leave
+    the database.  (Needs the database's JDBC driver on the classpath.)"""
+    frames = {}
+    for name, sch in SC.SCHEMAS.items():
+        pk = SC.PRIMARY_KEYS[name]
+        lo, hi = (bounds or {}).get(name, (0, 2 ** 31 - 1))
+        cols = ", ".join(sch.names)
+        df = spark.read.jdbc(url, f"(SELECT {cols} FROM {JDBC_TABLE_NAMES[name]}) AS t",
+                             column=pk, lowerBound=lo, upperBound=hi,
+                             numPartitions=num_partitions, properties=properties)
+        frames[name] = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in sch.fields])
+    return Tables(**frames)
+
+
 def save_tables(t: Tables, path: str, mode: str = "overwrite") -> None:
     """Persist a table version (the sink for maintenance operators)."""
     for name, df in t.as_dict().items():

@@ -36,10 +36,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def replay(df: DataFrame, path: str, order_col: str, chunks: int = 4) -> str:
-    """Write `df` as `chunks` files in `order_col` order, one sequential
-    write per chunk, so a file stream with maxFilesPerTrigger=1 replays the
-    rows in key order (how an auto-increment table grows)."""
+def replay(df: DataFrame, path: str, order_col: str, chunks: int = 4,
+           max_rows_per_file: int = 1_000_000) -> str:
+    """Write `df` as key-ordered files, one sequential write per chunk, so a
+    file stream with maxFilesPerTrigger=1 replays the rows in key order (how
+    an auto-increment table grows).  At least `chunks` files, more when
+    needed to keep every file (= one task, one micro-batch) under
+    `max_rows_per_file` rows.  A test / backfill helper: live feeds arrive
+    in insertion order by themselves."""
+    n = df.count()
+    chunks = max(chunks, -(-n // max_rows_per_file))
     bounds = df.approxQuantile(order_col, [i / chunks for i in range(1, chunks)], 0.0)
     edges = [None, *sorted(set(bounds)), None]
     for i in range(len(edges) - 1):

@@ -139,7 +139,7 @@ def test_bookings_respect_capacity_and_precedence(spark):
     assert st[10][0] == W.BOOK_ALREADY and st[11] == (W.BOOK_OK, 2)
     assert st[12][0] == W.BOOK_ALREADY and st[13][0] == W.BOOK_FULL and st[14][0] == W.BOOK_NOT_FOUND
     app = {r.request_id: r.status for r in W.apply_bookings(t, req, "app").collect()}
-    assert app[10] == W.BOOK_ALREADY and app[12] == W.BOOK_FULL
+    assert app[10] == W.APP_BOOK_ALREADY and app[12] == W.APP_BOOK_FULL
     admitted = W.booking_rows(t, W.apply_bookings(t, req)).count()
     assert admitted + 1 <= 2
 
