@@ -221,3 +221,50 @@ def test_check_unique_flags_duplicates(spark):
 def test_case_insensitive_key(spark):  # T1
     df = spark.createDataFrame([("Run",), ("run",), ("RUN ",)], "e string")
     assert df.groupBy(X.ci("e").alias("k")).count().count() == 1
+
+
+def test_notice_jobs_idempotent_except_null_message(spark):  # SURVEY §5 (d), T5
+    from fitlake.operators.common import append_rows
+    t = _base(spark, member=[_member(1, join=dt.date(2023, 2, 1), name="Ann"), _member(2)],
+              workout_log=[_log(1, 1, date=D(-30))])
+    first = N.renewal_notices(t, AS_OF)
+    assert first.count() == 1
+    t2 = t.replace(notifications=append_rows(t.notifications, first, "Notif_ID", "M_ID"))
+    assert N.renewal_notices(t2, AS_OF).count() == 0
+    ina = N.inactive_member_notices(t, AS_OF)
+    t3 = t.replace(notifications=append_rows(t.notifications, ina, "Notif_ID", "M_ID"))
+    again = {r.M_ID: r.Message for r in N.inactive_member_notices(t3, AS_OF).collect()}
+    assert again == {2: None}  # the never-active member repeats: NULL never matches LIKE
+
+
+def test_expiry_overrides_reactivation_when_enabled(spark):  # T15
+    t = _base(spark, member=[_member(1, join=dt.date(2022, 1, 1), active=False)],
+              workout_log=[_log(1, 1, date=D(-1))])
+    assert MT.refresh_activity_flag(t, AS_OF).first().IsActive is True
+    assert MT.refresh_activity_flag(t, AS_OF, apply_expiry=True).first().IsActive is False
+
+
+def test_stored_end_date_job_skips_null_end_dates(spark):  # T16
+    t = _base(spark, member=[_member(1, join=dt.date(2023, 2, 1), end=None),
+                             _member(2, join=dt.date(2023, 2, 1), end=dt.date(2024, 2, 1))])
+    assert {r.M_ID for r in N.renewal_notices(t, AS_OF).collect()} == {1, 2}
+    assert {r.M_ID for r in N.renewal_notices_stored_date(t, AS_OF).collect()} == {2}
+
+
+def test_coach_context_counts_null_as_zero(spark):  # T17
+    t = _base(spark, member=[_member(1)],
+              workout_log=[_log(1, 1, dur=None, cal=None), _log(2, 1, dur=30, cal=Decimal("100.00"))])
+    c = A.coach_context(t, AS_OF).first()
+    assert c.avg_duration == 15.0 and c.avg_calories == 50.0 and c.total_calories == Decimal("100.00")
+    assert M.avg_workout_duration(t, AS_OF).first().AvgWorkoutDuration == Decimal("30.00")
+
+
+def test_trainer_report_rating_thresholds(spark):
+    sessions = [(i, f"S{i}", D(1), "07:00:00", 30, 1, 5, "scheduled") for i in range(1, 21)]
+    logs = [_log(100 + i, i, ex=BK, sid=i) for i in range(1, 11)]
+    t = _base(spark, member=[_member(i) for i in range(1, 11)],
+              trainer=[(1, "T1", "a@x", None, 1), (2, "T2", "b@x", "Yoga", 1)],
+              session=sessions, workout_log=logs)
+    rep = {r.Trainer_ID: r for r in R.trainer_report(t).collect()}
+    assert rep[1].Performance_Rating == "Excellent" and rep[1].Avg_Session_Duration == Decimal("30.00")
+    assert rep[2].Performance_Rating == "Needs Improvement" and rep[2].Total_Sessions == 0
