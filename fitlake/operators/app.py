@@ -213,11 +213,11 @@ def coach_context(t: Tables, as_of: dt.date = DEFAULT_AS_OF) -> DataFrame:
                F.array_join(F.array_sort(F.collect_set("Exercise")), ", ")).alias("exercises")))
     last5 = top_k(t.health_metrics, ["M_ID"], [F.col("Date").desc(), F.col("Metric_ID").desc()], 5,
                   rank_col="_rn")
-    vals = F.struct("Weight", "Steps", "SleepHours", "WaterLiters")
     h = last5.groupBy("M_ID").agg(F.count(F.lit(1)).alias("_hn"),
-                                  F.min_by(vals, "_rn").alias("_new"),
+                                  *[F.min_by(c, "_rn").alias(f"_new_{c}")
+                                    for c in ("Weight", "Steps", "SleepHours", "WaterLiters")],
                                   F.max_by("Weight", "_rn").alias("_old_w"))
-    change = F.when(F.col("_hn") >= 2, F.col("_new.Weight") - F.col("_old_w")) \
+    change = F.when(F.col("_hn") >= 2, F.col("_new_Weight") - F.col("_old_w")) \
         .otherwise(F.lit(0)).cast("decimal(6,2)")
     n = F.coalesce("_n", F.lit(0))
     cal = F.coalesce("_cal", F.lit(0)).cast("decimal(38,2)")
@@ -230,10 +230,10 @@ def coach_context(t: Tables, as_of: dt.date = DEFAULT_AS_OF) -> DataFrame:
                     "exercises", change.alias("weight_change"),
                     F.when(change < -0.5, "decreasing").when(change > 0.5, "increasing")
                     .otherwise("stable").alias("weight_trend"),
-                    F.col("_new.Weight").alias("current_weight"),
-                    F.col("_new.Steps").alias("current_steps"),
-                    F.col("_new.SleepHours").alias("current_sleep"),
-                    F.col("_new.WaterLiters").alias("current_water")))
+                    F.col("_new_Weight").alias("current_weight"),
+                    F.col("_new_Steps").alias("current_steps"),
+                    F.col("_new_SleepHours").alias("current_sleep"),
+                    F.col("_new_WaterLiters").alias("current_water")))
 
 
 def intent_expr(text: Column) -> Column:
