@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fitlake.functions.exprs import (DEFAULT_AS_OF, avg_exact, days_before, lit_date,
                                      order_key)
+from fitlake.functions.exprs import ci as ci_key
 from fitlake.operators.common import booking_counts, top_k
 from fitlake.sources.tables import Tables
 
@@ -79,9 +80,14 @@ def calorie_trend(t: Tables) -> DataFrame:
             .groupBy("M_ID", "Date").agg(F.sum("CaloriesBurnt").alias("daily_calories")))
 
 
-def exercise_patterns(t: Tables, as_of: dt.date = DEFAULT_AS_OF, days: int = 30) -> DataFrame:
+def exercise_patterns(t: Tables, as_of: dt.date = DEFAULT_AS_OF, days: int = 30,
+                      ci: bool = False) -> DataFrame:
+    """Per member and exercise over the last `days`.  `ci=True` groups
+    exercise names case/accent-insensitively like the reference's
+    *_unicode_ci collation ([T1])."""
+    ex = ci_key(F.col("Exercise")).alias("Exercise") if ci else F.col("Exercise")
     return (t.workout_log.filter(F.col("Date") >= days_before(as_of, days))
-            .groupBy("M_ID", "Exercise").agg(
+            .groupBy("M_ID", ex).agg(
                 avg_exact("CaloriesBurnt", 2).alias("avg_calories"),
                 avg_exact("Duration").alias("avg_duration"),
                 F.count(F.lit(1)).alias("frequency")))

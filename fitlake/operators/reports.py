@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fitlake.functions.exprs import (DEFAULT_AS_OF, avg_exact, days_before, half_up_ratio,
                                      lit_date, not_booking, order_key)
 from fitlake.operators.base_queries import _session_fanout, _trainer_clients, _weighted_avg_exact
+from fitlake.functions.exprs import ci as ci_key
 from fitlake.operators.metrics import with_expiry
 from fitlake.sources.tables import Tables
 
@@ -63,13 +64,15 @@ def member_progress_summary(t: Tables, as_of: dt.date = DEFAULT_AS_OF) -> DataFr
                     .alias("EngagementScore")))
 
 
-def priority_recommendation(t: Tables, as_of: dt.date = DEFAULT_AS_OF) -> DataFrame:
-    """First matching rule per member; a NULL operand skips its rule."""
+def priority_recommendation(t: Tables, as_of: dt.date = DEFAULT_AS_OF, ci: bool = False) -> DataFrame:
+    """First matching rule per member; a NULL operand skips its rule.
+    `ci=True` counts exercise variety case/accent-insensitively ([T1])."""
     w30 = F.col("Date") >= days_before(as_of, 30)
+    exercise = ci_key("Exercise") if ci else F.col("Exercise")
     lg = t.workout_log.filter(w30).groupBy("M_ID").agg(
         F.count(F.when(w30, F.lit(1))).alias("_n"),
         F.round(avg_exact(F.when(w30, F.col("CaloriesBurnt")), 2), 2).alias("_cal"),
-        F.countDistinct(F.when(w30, F.col("Exercise"))).alias("_var"))
+        F.countDistinct(F.when(w30, exercise)).alias("_var"))
     key = order_key("Date", "Metric_ID")
     hm = t.health_metrics.groupBy("M_ID").agg(F.max_by("SleepHours", key).alias("_sleep"),
                                               F.max_by("Steps", key).alias("_steps"))

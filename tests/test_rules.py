@@ -268,3 +268,12 @@ def test_trainer_report_rating_thresholds(spark):
     rep = {r.Trainer_ID: r for r in R.trainer_report(t).collect()}
     assert rep[1].Performance_Rating == "Excellent" and rep[1].Avg_Session_Duration == Decimal("30.00")
     assert rep[2].Performance_Rating == "Needs Improvement" and rep[2].Total_Sessions == 0
+
+
+def test_ci_option_merges_exercise_spellings(spark):  # T1
+    logs = [_log(1, 1, ex="Run"), _log(2, 1, ex="run"), _log(3, 1, ex="RUN ")]
+    t = _base(spark, member=[_member(1)], workout_log=logs)
+    assert A.exercise_patterns(t, AS_OF).count() == 3
+    ci = A.exercise_patterns(t, AS_OF, ci=True).collect()
+    assert len(ci) == 1 and ci[0].frequency == 3
+    assert R.priority_recommendation(t, AS_OF, ci=True).first().RecommendationType == "variety"
