@@ -39,10 +39,10 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
 
 
 def _curated_path(spark: SparkSession, sf_dir: str, kind: str) -> str:
-    """Per application: concurrent or later runs never read each other's
-    (possibly stale or half-written) curated tables."""
+    """Per application and session: concurrent or later runs never read or
+    overwrite each other's (possibly stale or half-written) curated tables."""
     app = spark.sparkContext.applicationId
-    tag = hashlib.sha1(f"{app}|{sf_dir}|{kind}".encode()).hexdigest()[:16]
+    tag = hashlib.sha1(f"{app}|{id(spark)}|{sf_dir}|{kind}".encode()).hexdigest()[:16]
     return f"{checkpoint_dir(spark).rstrip('/')}/fitlake-curated/{tag}"
 
 

@@ -94,20 +94,11 @@ def save_tables(t: Tables, path: str, mode: str = "overwrite") -> None:
         df.write.mode(mode).parquet(f"{path}/{name}")
 
 
-def tables_exist(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.schema(SC.SCHEMAS["notifications"]).parquet(f"{path}/notifications")
-        return True
-    except Exception:  # noqa: BLE001 - path not found
-        return False
-
-
 def curated_tables(spark: SparkSession, t: Tables, path: str) -> Tables:
-    """Write `t` once to `path` (a folder in the shared checkpoint dir) and
+    """Write `t` to `path` (a fresh folder in the shared checkpoint dir) and
     read it back with the declared schemas: lineage is cut, later queries
     scan stored Parquet with pushed filters and pruned columns."""
-    if not tables_exist(spark, path):
-        save_tables(t, path)
+    save_tables(t, path)
     return load_tables(spark, path)
 
 
