@@ -109,7 +109,7 @@ def ci(col: Column | str) -> Column:
 
 def time_12h(time_col: str = "SessionTime") -> Column:
     """`TIME_FORMAT(t, '%h:%i %p')`, e.g. '06:30 PM'."""
-    return F.date_format(F.to_timestamp(F.concat(F.lit("2000-01-01 "), F.col(time_col))),
+    return F.date_format(F.try_to_timestamp(F.concat(F.lit("2000-01-01 "), F.col(time_col))),
                          "hh:mm a")
 
 

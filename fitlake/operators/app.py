@@ -263,7 +263,7 @@ def display_format(t: Tables) -> DataFrame:
     rounded calories, session time 'h:mm AM' or 'N/A'."""
     s = t.session.select("S_ID", "SessionTime")
     j = t.workout_log.join(s, "S_ID", "left")
-    tm = F.date_format(F.to_timestamp(F.concat(F.lit("2000-01-01 "), F.col("SessionTime"))), "h:mm a")
+    tm = F.date_format(F.try_to_timestamp(F.concat(F.lit("2000-01-01 "), F.col("SessionTime"))), "h:mm a")
     return j.select("L_ID", "M_ID",
                     F.coalesce(F.date_format("Date", "MMM d, yyyy"), F.lit("N/A")).alias("DateText"),
                     F.coalesce("Duration", F.lit(0)).alias("Minutes"),

@@ -47,7 +47,9 @@ def bmi_frame(t: Tables) -> DataFrame:
     w = F.col("_w").cast("double")
     h = F.col("_h").cast("double") / 100
     ok = F.col("_w").isNotNull() & F.col("_h").isNotNull() & (F.col("_h") > 0)
-    return latest.select("M_ID", F.when(ok, (w / (h * h)).cast("decimal(5,2)"))
+    # try_cast: an out-of-range BMI (bad height data) becomes NULL instead of
+    # failing the whole job under ANSI mode.
+    return latest.select("M_ID", F.when(ok, (w / (h * h)).try_cast("decimal(5,2)"))
                          .otherwise(F.lit(0).cast("decimal(5,2)")).alias("BMI"))
 
 

@@ -217,7 +217,7 @@ def trainer_report(t: Tables, ordered: bool = True) -> DataFrame:
     out = out.select(F.col("T_ID").alias("Trainer_ID"), F.col("Name").alias("Trainer_Name"),
                      "Specialization", s.cast("int").alias("Total_Sessions"),
                      c.cast("int").alias("Unique_Clients"),
-                     F.coalesce(F.round("_avg", 2), F.lit(0)).cast("decimal(5,2)")
+                     F.coalesce(F.round("_avg", 2), F.lit(0)).try_cast("decimal(5,2)")
                      .alias("Avg_Session_Duration"),
                      rating.alias("Performance_Rating"))
     return out.orderBy(F.col("Total_Sessions").desc(), F.col("Unique_Clients").desc()) \
@@ -244,7 +244,9 @@ def engagement_report(t: Tables, as_of: dt.date = DEFAULT_AS_OF, ordered: bool =
     else:
         base = base.join(score.withColumnRenamed("score", "_score"), "M_ID", "left")
         sc = F.col("_score")
-    base = base.withColumn("_sc", F.coalesce(sc, F.lit(0)).cast("decimal(5,2)"))
+    # DECIMAL(5,2) like the report table; an out-of-range score (consistency
+    # has no upper date bound, [T6]) becomes NULL instead of failing the job.
+    base = base.withColumn("_sc", F.coalesce(sc, F.lit(0)).try_cast("decimal(5,2)"))
     level = None
     for thr, label in ENGAGEMENT_LEVELS:
         level = F.when(F.col("_sc") >= thr, label) if level is None \

@@ -25,7 +25,7 @@ _BMI = """
   bmi AS (
   SELECT M_ID,
          CASE WHEN Weight IS NOT NULL AND Height IS NOT NULL AND Height > 0
-              THEN CAST(CAST(Weight AS DOUBLE) / ((CAST(Height AS DOUBLE) / 100) * (CAST(Height AS DOUBLE) / 100)) AS DECIMAL(5,2))
+              THEN TRY_CAST(CAST(Weight AS DOUBLE) / ((CAST(Height AS DOUBLE) / 100) * (CAST(Height AS DOUBLE) / 100)) AS DECIMAL(5,2))
               ELSE CAST(0 AS DECIMAL(5,2)) END AS BMI
   FROM latest_hm WHERE rn = 1)"""
 
