@@ -85,13 +85,18 @@ def load_tables_jdbc(spark: SparkSession, url: str, properties: dict[str, str],
     return Tables(**frames)
 
 
+def save_table(df: DataFrame, name: str, path: str, mode: str = "overwrite") -> None:
+    """Persist one table (facts range-partitioned and sorted by date)."""
+    keys = _SORT_ON_WRITE.get(name)
+    if keys:
+        df = df.repartitionByRange(F.col(keys[0])).sortWithinPartitions(*keys)
+    df.write.mode(mode).parquet(f"{path}/{name}")
+
+
 def save_tables(t: Tables, path: str, mode: str = "overwrite") -> None:
     """Persist a table version (the sink for maintenance operators)."""
     for name, df in t.as_dict().items():
-        keys = _SORT_ON_WRITE.get(name)
-        if keys:
-            df = df.repartitionByRange(F.col(keys[0])).sortWithinPartitions(*keys)
-        df.write.mode(mode).parquet(f"{path}/{name}")
+        save_table(df, name, path, mode)
 
 
 def curated_tables(spark: SparkSession, t: Tables, path: str) -> Tables:
