@@ -30,6 +30,8 @@ CANCEL_OK = "Session booking canceled."
 CANCEL_MISSING = "Booking not found or you do not have permission to cancel it"
 WORKOUT_OK = "SUCCESS: Workout logged successfully"
 WORKOUT_INACTIVE = "ERROR: Member not found or inactive"
+APP_WORKOUT_OK = "success"
+APP_WORKOUT_MISSING = "Missing required fields: exercise, date, duration."
 METRIC_UPDATED = "SUCCESS: Health metrics updated"
 METRIC_ADDED = "SUCCESS: Health metrics added"
 REG_MISSING = "Missing required fields"
@@ -125,17 +127,39 @@ def cancel_bookings(t: Tables, requests: DataFrame) -> tuple[DataFrame, DataFram
     return st, new_log
 
 
-def add_workouts(t: Tables, requests: DataFrame, as_of: dt.date = DEFAULT_AS_OF) -> DataFrame:
-    """Log workouts for existing active members; the insert rules (ranges,
-    no future date) reject the rest.  Output: request columns + status + L_ID."""
-    active = t.member.filter(F.col("IsActive") == F.lit(True)).select("M_ID") \
-        .withColumn("_ok", F.lit(True))
-    r = requests.join(active, "M_ID", "left")
-    status = first_violation((F.col("_ok").isNull(), WORKOUT_INACTIVE),
-                             *workout_range_rules(as_of))
-    st = r.select(*requests.columns, F.coalesce(status, F.lit(WORKOUT_OK)).alias("status"))
+def add_workouts(t: Tables, requests: DataFrame, as_of: dt.date = DEFAULT_AS_OF,
+                 form: str = "procedure") -> DataFrame:
+    """Log workouts; the insert rules (ranges, no future date) reject bad rows.
+
+    `form="procedure"`: only existing active members may log.
+    `form="app"`: the HTTP handler's form, which only requires exercise,
+    date and duration (the session decides the member), with its wording.
+    Output: request columns + status + L_ID."""
+    ranges = workout_range_rules(as_of)
+    if form == "procedure":
+        active = t.member.filter(F.col("IsActive") == F.lit(True)).select("M_ID") \
+            .withColumn("_ok", F.lit(True))
+        r = requests.join(active, "M_ID", "left")
+        status = first_violation((F.col("_ok").isNull(), WORKOUT_INACTIVE), *ranges)
+        ok_msg = WORKOUT_OK
+    elif form == "app":
+        r = requests
+        missing = F.col("Exercise").isNull() | F.col("Date").isNull() | F.col("Duration").isNull()
+        status = first_violation((missing, APP_WORKOUT_MISSING), *ranges)
+        ok_msg = APP_WORKOUT_OK
+    else:
+        raise ValueError(form)
+    st = r.select(*requests.columns, F.coalesce(status, F.lit(ok_msg)).alias("status"))
     return assign_ids(st, "request_id", max_id(t.workout_log, "L_ID"), "L_ID",
-                      only=F.col("status") == WORKOUT_OK)
+                      only=F.col("status") == ok_msg)
+
+
+def normalize_workout_form(df: DataFrame) -> DataFrame:
+    """The browser form's input handling: calories are parsed as an integer
+    and a 0 (or unparsable) calories / distance value is sent as NULL."""
+    cal = F.floor(F.col("CaloriesBurnt"))
+    return (df.withColumn("CaloriesBurnt", F.when(cal != 0, cal).cast("decimal(6,2)"))
+              .withColumn("Distance", F.when(F.col("Distance") != 0, F.col("Distance"))))
 
 
 def upsert_health_metrics(t: Tables, updates: DataFrame) -> DataFrame:

@@ -367,3 +367,25 @@ def _register_members(spark, d):
     pk="T_ID", fk="EXISTS (SELECT 1 FROM gym g WHERE g.Gym_ID = r.Gym_ID)")))
 def _register_trainers(spark, d):
     return W.register_trainers(tables(spark, d), S.trainer_registrations(spark, d))
+
+
+@register("add_workouts_app", q("""
+, st AS (
+  SELECT r.*, CASE
+    WHEN r.Exercise IS NULL OR r.Date IS NULL OR r.Duration IS NULL THEN 'Missing required fields: exercise, date, duration.'
+    WHEN r.Duration IS NOT NULL AND (r.Duration < 5 OR r.Duration > 300) THEN 'Workout duration must be between 5 and 300 minutes'
+    WHEN r.CaloriesBurnt IS NOT NULL AND (r.CaloriesBurnt < 0 OR r.CaloriesBurnt > 2000) THEN 'Calories burnt must be between 0 and 2000'
+    WHEN r.Distance IS NOT NULL AND (r.Distance < 0 OR r.Distance > 50) THEN 'Distance must be between 0 and 50 km'
+    WHEN r.Date > DATE '2024-01-30' THEN 'Workout date cannot be in the future'
+    ELSE 'success' END AS status
+  FROM (SELECT request_id, M_ID, Exercise, Date, Duration,
+               CAST(CASE WHEN floor(CaloriesBurnt) <> 0 THEN floor(CaloriesBurnt) END AS DECIMAL(6,2)) AS CaloriesBurnt,
+               CASE WHEN Distance <> 0 THEN Distance END AS Distance, Progress
+        FROM workout_requests) r)
+SELECT st.*, CASE WHEN status = 'success' THEN CAST(
+         (SELECT MAX(L_ID) FROM workout_log) + row_number() OVER (
+           PARTITION BY status = 'success' ORDER BY request_id) AS INT) END AS L_ID
+FROM st"""))
+def _add_workouts_app(spark, d):
+    reqs = W.normalize_workout_form(S.workout_requests(spark, d))
+    return W.add_workouts(tables(spark, d), reqs, form="app")
