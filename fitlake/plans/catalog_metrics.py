@@ -248,3 +248,24 @@ def _bench_calorie_trend(spark, d):
     from fitlake.operators.app import calorie_trend
     from fitlake.plans.registry import bench_tables_cached
     return calorie_trend(bench_tables_cached(spark, d))
+
+
+@register("sql_functions", q("""
+SELECT m.M_ID, m.Age,
+       CASE WHEN Age < 18 THEN 'Teen' WHEN Age BETWEEN 18 AND 25 THEN 'Young Adult'
+            WHEN Age BETWEEN 26 AND 40 THEN 'Adult' WHEN Age BETWEEN 41 AND 60 THEN 'Middle Age'
+            ELSE 'Senior' END AS AgeGroup,
+       date_diff('day', DATE '2024-01-30', CAST(m.JoinDate + to_months(mt.Duration) AS DATE)) AS DaysUntilExpiry
+FROM member m LEFT JOIN membership_type mt ON m.MembershipType_ID = mt.Type_ID"""))
+def _sql_functions(spark, d):
+    """The same metrics through the SQL API and the SQL-bodied functions."""
+    from fitlake.functions.sql_functions import register_sql_functions
+    register_sql_functions(spark, prefix="fitlake_")
+    t = tables(spark, d)
+    t.member.createOrReplaceTempView("fitlake_member")
+    t.membership_type.createOrReplaceTempView("fitlake_membership_type")
+    return spark.sql("""
+        SELECT m.M_ID, m.Age, fitlake_age_group(m.Age) AS AgeGroup,
+               fitlake_expiry_days(m.JoinDate, mt.Duration, DATE '2024-01-30') AS DaysUntilExpiry
+        FROM fitlake_member m
+        LEFT JOIN fitlake_membership_type mt ON m.MembershipType_ID = mt.Type_ID""")

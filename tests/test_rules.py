@@ -277,3 +277,11 @@ def test_ci_option_merges_exercise_spellings(spark):  # T1
     ci = A.exercise_patterns(t, AS_OF, ci=True).collect()
     assert len(ci) == 1 and ci[0].frequency == 3
     assert R.priority_recommendation(t, AS_OF, ci=True).first().RecommendationType == "variety"
+
+
+def test_sql_functions_match_column_helpers(spark):
+    from fitlake.functions.sql_functions import register_sql_functions
+    register_sql_functions(spark, prefix="t_")
+    got = spark.sql("SELECT t_age_group(17), t_age_group(NULL), t_duration_hhmm(125), "
+                    "t_duration_hhmm(6000), t_expiry_days(DATE'2024-01-31', 1, DATE'2024-01-30')").first()
+    assert tuple(got) == ("Teen", "Senior", "02:05", "10:00", 30)
