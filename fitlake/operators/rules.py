@@ -105,10 +105,14 @@ def validate_log_rows(t: Tables, as_of: dt.date = DEFAULT_AS_OF) -> DataFrame:
     any_range = reduce(lambda a, b: a | b, [F.coalesce(c, F.lit(False)) for c, _ in ranges])
     valid_bk = j.filter(bk & ~any_range & ~F.coalesce(past, F.lit(False)))
     k = scalar_int(t.session, F.max("MaxParticipants"))
+    # cut-off per session: the L_ID of the max-th accepted booking, or "before
+    # everything" when the capacity is 0 or less.
     cut = (top_k(valid_bk.select("S_ID", "L_ID", "_max"), ["S_ID"], [F.col("L_ID")], max(k, 1),
                  rank_col="_rn")
            .filter(F.col("_rn") == F.col("_max"))
-           .select("S_ID", F.col("L_ID").alias("_cut")))
+           .select("S_ID", F.col("L_ID").cast("long").alias("_cut"))
+           .unionByName(t.session.filter(F.col("MaxParticipants") <= 0)
+                        .select("S_ID", F.lit(-(2 ** 63)).cast("long").alias("_cut"))))
     full = bk & F.col("_cut").isNotNull() & (F.col("L_ID") > F.col("_cut"))
     v = first_violation((full, MSG_FULL), *ranges, (past, MSG_PAST_SESSION))
     return j.join(cut, "S_ID", "left").select(*t.workout_log.columns, v.alias("violation"))

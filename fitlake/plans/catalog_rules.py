@@ -65,7 +65,8 @@ def _validate_member_age(spark, d):
   ok_bk AS (
   SELECT S_ID, L_ID, mx, row_number() OVER (PARTITION BY S_ID ORDER BY L_ID) AS rn
   FROM j WHERE bk AND NOT bad_range AND NOT COALESCE(sdate < DATE '2024-01-30', FALSE)),
-  cut AS (SELECT S_ID, L_ID AS cut FROM ok_bk WHERE rn = mx)
+  cut AS (SELECT S_ID, CAST(L_ID AS BIGINT) AS cut FROM ok_bk WHERE rn = mx
+          UNION ALL SELECT S_ID, CAST(-9223372036854775808 AS BIGINT) FROM session WHERE MaxParticipants <= 0)
 SELECT j.L_ID, j.M_ID, j.S_ID, j.Exercise, j.Date, j.Duration, j.CaloriesBurnt, j.Distance, j.Progress,
        CASE WHEN j.bk AND cut.cut IS NOT NULL AND j.L_ID > cut.cut
               THEN 'Session is already full. Cannot book this session.'
