@@ -116,3 +116,61 @@ def test_log_rules_equal_sequential_triggers(spark, capacities, logs):
             accepted[r.S_ID] = accepted.get(r.S_ID, 0) + 1
         want[r.L_ID] = v
     assert got == want
+
+
+upd = st.lists(st.tuples(st.integers(1, 2), st.integers(0, 2), st.sampled_from([10, 60, 80, 400])),
+               max_size=15)
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.integers(1, 2), st.integers(0, 2)), max_size=5), upd)
+def test_upsert_equal_sequential(spark, existing, updates):
+    hm = [(i + 1, m, AS_OF + dt.timedelta(days=d), Decimal("70.00"), None, None, None, None)
+          for i, (m, d) in enumerate(existing)]
+    t = frames(spark, {"health_metrics": hm})
+    req = spark.createDataFrame(
+        [(i + 1, m, AS_OF + dt.timedelta(days=d), Decimal(w), None, None, None, None)
+         for i, (m, d, w) in enumerate(updates)], SC.METRIC_UPDATE)
+    got = sorted((r.Metric_ID, r.M_ID, r.Date, r.Weight) for r in W.upsert_health_metrics(t, req).collect())
+    table = [list(r) for r in hm]
+    next_id = len(hm)
+    for i, (m, d, w) in enumerate(updates):
+        day = AS_OF + dt.timedelta(days=d)
+        rows = [r for r in table if r[1] == m and r[2] == day]
+        if rows:
+            for r in rows:
+                r[3] = Decimal(w)
+        elif 20 <= w <= 300:
+            next_id += 1
+            table.append([next_id, m, day, Decimal(w), None, None, None, None])
+    assert got == sorted((r[0], r[1], r[2], r[3]) for r in table)
+
+
+regs = st.lists(st.tuples(st.sampled_from(["a@x", "b@x", "c@x", None]), st.sampled_from([30, 5, None]),
+                          st.sampled_from([1, 9])), max_size=12)
+
+
+@SETTINGS
+@given(regs)
+def test_registration_equal_sequential(spark, requests):
+    t = frames(spark, {"gym": [(1, "G", 100)],
+                       "membership_type": [(1, "Gold", 12, Decimal("1.00"), 1)],
+                       "member": [(7, "Old", "a@x", 30, AS_OF, None, None, True, 1, 1)]})
+    req = spark.createDataFrame([(i + 1, "N", e, a, None, 1, g) for i, (e, a, g) in enumerate(requests)],
+                                SC.MEMBER_REGISTRATION)
+    got = {r.request_id: (r.status, r.M_ID) for r in W.register_members(t, req).collect()}
+    taken, next_id, want = {"a@x"}, 7, {}
+    for i, (e, a, g) in enumerate(requests):
+        if e is None or a is None:
+            want[i + 1] = (W.REG_MISSING, None)
+        elif not 10 <= a <= 100:
+            want[i + 1] = (RU.MSG_AGE, None)
+        elif e in taken:
+            want[i + 1] = (W.REG_DUPLICATE, None)
+        elif g != 1:
+            want[i + 1] = (W.REG_FK, None)
+        else:
+            taken.add(e)
+            next_id += 1
+            want[i + 1] = (W.MEMBER_ADDED, next_id)
+    assert got == want
