@@ -139,7 +139,10 @@ def stream_milestones(stream: DataFrame, as_of: dt.date = DEFAULT_AS_OF,
 
 def stream_daily_calories(stream: DataFrame, watermark: str = "1 day") -> DataFrame:
     """Per member and day: sum of non-NULL calories over a 1-day tumbling
-    window of the workout date; rows later than the watermark are dropped."""
+    window of the workout date.  In append mode a day is emitted once the
+    watermark passes its end and its state is then dropped; rows arriving
+    later than the watermark are not guaranteed to count (Spark's lateness
+    guarantee is one-directional)."""
     ev = (stream.filter(F.col("CaloriesBurnt").isNotNull())
           .withColumn("ts", F.col("Date").cast("timestamp")))
     return (ev.withWatermark("ts", watermark)
