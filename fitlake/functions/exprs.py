@@ -40,9 +40,6 @@ def not_booking(col: str = "Exercise") -> Column:
     return F.col(col) != F.lit(BOOKING)
 
 
-def expiry_date(join_col: str = "JoinDate", months_col: str = "Duration") -> Column:
-    """`DATE_ADD(JoinDate, INTERVAL Duration MONTH)`; clamps to month end like MySQL."""
-    return F.add_months(F.col(join_col), F.col(months_col))
 
 
 def age_group(age: Column | str) -> Column:
@@ -84,21 +81,8 @@ def half_up_ratio(num: Column, den: Column, scale: int) -> Column:
     return (q / F.lit(10 ** scale)).cast(f"decimal(18,{scale})")
 
 
-def round_dec(c: Column, scale: int) -> Column:
-    """Half-up rounding of a DECIMAL (assignment into DECIMAL(p, scale))."""
-    return F.round(c, scale)
 
 
-def pct_of_days(n: Column, days: int) -> Column:
-    """`(n / days) * 100` assigned to DECIMAL(5,2); 0 when days <= 0.
-
-    MySQL rounds n/days to 4 decimals (half-up) before the multiply, which is
-    the same as rounding 100*n/days to 2 decimals; computed in exact decimals.
-    """
-    if days <= 0:
-        return F.lit(0).cast("decimal(5,2)")
-    return F.round(n.cast("decimal(20,0)") * 100 / F.lit(days).cast("decimal(10,0)"), 2) \
-        .cast("decimal(10,2)")
 
 
 def ci(col: Column | str) -> Column:
@@ -126,12 +110,4 @@ def order_key(date_col: str, id_col: str) -> Column:
             + F.col(id_col).cast("long"))
 
 
-def max_by_struct(value: Column, *order: Column) -> Column:
-    """Value of the row with the greatest `order` tuple (one aggregate pass,
-    partial aggregation on the map side, so a hot key never lands whole in
-    one task)."""
-    return F.max_by(value, F.struct(*order))
-
 
-def min_by_struct(value: Column, *order: Column) -> Column:
-    return F.min_by(value, F.struct(*order))

@@ -114,9 +114,6 @@ def _raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _n_rows(df: DataFrame):
-    """Row count as a lazy scalar-subquery column (no driver action)."""
-    return df.select(F.count(F.lit(1))).scalar()
 
 
 def _d(s: str):
@@ -360,9 +357,6 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 BENCH_AS_OF = dt.date(2001, 8, 1)
 
 
-def bench_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """Derived tables with the workout log replaced by the bench-size log."""
-    return derive_tables(spark, sf_dir, BENCH_AS_OF).replace(workout_log=bench_log(spark, sf_dir))
 
 
 def bench_log(spark: SparkSession, sf_dir: str) -> DataFrame:

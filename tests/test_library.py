@@ -94,3 +94,21 @@ def test_daily_calories_stream_drops_late_rows(spark):
     assert set(got) == {d(1), d(2), d(10)}
     assert got[d(1)] in (Decimal("100.00"), Decimal("1099.00"))
     assert got[d(2)] == Decimal("50.00") and got[d(10)] == Decimal("10.00")
+
+
+def test_admin_dashboard_split_valid_and_new_members(spark):
+    from fitlake.operators import rules as RU
+    from fitlake.operators import writes as W
+    t = seed_tables(spark, AS_OF)
+    dash = DB.admin_dashboard(t, AS_OF)
+    stats = dash["stats"].first()
+    assert (stats.totalMembers, stats.totalTrainers, stats.activeSessions) == (3, 2, 3)
+    assert dash["members"].count() == 3 and dash["trainers"].count() == 2
+    valid, bad = RU.split_valid(RU.validate_workouts(t.workout_log, AS_OF))
+    assert valid.count() == 3 and bad.count() == 0 and "violation" not in valid.columns
+    req = spark.createDataFrame([(1, "Zed", "zed@example.org", 30, None, 1, 1),
+                                 (2, "Dup", "ana@example.org", 30, None, 1, 1)], SC.MEMBER_REGISTRATION)
+    st = W.register_members(t, req)
+    rows = W.new_member_rows(t, req, st, AS_OF).collect()
+    assert [(r.M_ID, r.Email, r.JoinDate, r.Phone, r.IsActive) for r in rows] == \
+        [(4, "zed@example.org", AS_OF, "", True)]
