@@ -8,6 +8,7 @@ test tables (derived-table CTEs from `fitlake.plans.oracle`).
 from __future__ import annotations
 
 import hashlib
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,10 @@ _QUERIES: dict[str, Builder] = {}
 _SQL: dict[str, str] = {}
 
 
-_TABLES: dict[tuple[int, str], Tables] = {}
+# (id(session), folder) -> (session, tables).  Holding the session object
+# keeps its id from being reused by a later session while the entry exists.
+_TABLES: dict[tuple[int, str], tuple[SparkSession, Tables]] = {}
+_LOCK = threading.RLock()  # queries may be built from several threads
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
@@ -30,18 +34,23 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
     and folder and shared by every query (building them costs more driver
     round trips than most queries take to run on small inputs)."""
     key = (id(spark), sf_dir)
-    t = _TABLES.get(key)
-    if t is None:
-        ensure_defaults(spark)
-        t = _TABLES[key] = curated_tables(
-            spark, derive_tables(spark, sf_dir, DEFAULT_AS_OF), _curated_path(spark, sf_dir, "tables"))
+    with _LOCK:
+        hit = _TABLES.get(key)
+        return hit[1] if hit is not None and hit[0] is spark else _curate(spark, sf_dir, key)
+
+
+def _curate(spark: SparkSession, sf_dir: str, key) -> Tables:
+    ensure_defaults(spark)
+    t = curated_tables(
+        spark, derive_tables(spark, sf_dir, DEFAULT_AS_OF), _curated_path(spark, sf_dir, "tables"))
+    _TABLES[key] = (spark, t)
     return t
 
 
 def _curated_path(spark: SparkSession, sf_dir: str, kind: str) -> str:
     """Per application and session: concurrent or later runs never read or
     overwrite each other's (possibly stale or half-written) curated tables."""
-    app = spark.sparkContext.applicationId
+    app = spark.conf.get("spark.app.id", "app")
     tag = hashlib.sha1(f"{app}|{id(spark)}|{sf_dir}|{kind}".encode()).hexdigest()[:16]
     return f"{checkpoint_dir(spark).rstrip('/')}/fitlake-curated/{tag}"
 
@@ -52,15 +61,18 @@ def bench_tables_cached(spark: SparkSession, sf_dir: str) -> Tables:
     from fitlake.sources.schema import SCHEMAS
     from fitlake.sources.tables import bench_log, save_table
     key = (id(spark), "bench:" + sf_dir)
-    t = _TABLES.get(key)
-    if t is None:
+    with _LOCK:
+        hit = _TABLES.get(key)
+        if hit is not None and hit[0] is spark:
+            return hit[1]
         ensure_defaults(spark)
         # Same curated dimension/fact tables; only the log is the bench-size one.
         path = _curated_path(spark, sf_dir, "bench")
         save_table(bench_log(spark, sf_dir), "workout_log", path)
         log = spark.read.schema(SCHEMAS["workout_log"]).parquet(f"{path}/workout_log")
-        t = _TABLES[key] = tables(spark, sf_dir).replace(workout_log=log)
-    return t
+        t = tables(spark, sf_dir).replace(workout_log=log)
+        _TABLES[key] = (spark, t)
+        return t
 
 
 def register(name: str, sql: str | None = None):

@@ -70,20 +70,29 @@ def ensure_defaults(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _context(spark: SparkSession):
+    try:
+        return spark.sparkContext
+    except Exception:  # Spark Connect sessions have no SparkContext
+        return None
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder: the cluster's `spark.checkpoint.dir` if set.
 
     Only when the session has none (tests, local runs) is a fresh scratch
     folder created and registered.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    sc = _context(spark)
+    d = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc else None)
     if not d:
         d = tempfile.mkdtemp(prefix="fitlake-ckpt-", dir=os.environ.get("FITLAKE_SCRATCH", "/tmp"))
-        spark.sparkContext.setCheckpointDir(d)
+        if sc is not None:
+            sc.setCheckpointDir(d)
         try:
             spark.conf.set("spark.checkpoint.dir", d)
         except Exception:  # core conf may be read-only at runtime
             pass
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(d)
+    elif sc is not None and not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
     return d
