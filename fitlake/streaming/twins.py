@@ -46,7 +46,7 @@ def replay(df: DataFrame, path: str, order_col: str, chunks: int = 4,
     in insertion order by themselves."""
     n = df.count()
     chunks = max(chunks, -(-n // max_rows_per_file))
-    bounds = df.approxQuantile(order_col, [i / chunks for i in range(1, chunks)], 0.0)
+    bounds = df.approxQuantile(order_col, [i / chunks for i in range(1, chunks)], 0.001)
     edges = [None, *sorted(set(bounds)), None]
     for i in range(len(edges) - 1):
         lo, hi = edges[i], edges[i + 1]
