@@ -57,9 +57,12 @@ def assign_ids(df: DataFrame, order_col: str | list[str], base: Column | int, id
     With `only`, ids go to the rows where `only` is true (others get NULL):
     those rows are ordered first, so no join back to the input is needed."""
     order = [order_col] if isinstance(order_col, str) else list(order_col)
-    src = df
+    # The range partitioner samples its input before the shuffle, which would
+    # run the whole upstream plan twice; a reliable checkpoint (written to
+    # the shared spark.checkpoint.dir) computes it once and cuts the lineage.
+    src = df.checkpoint(eager=True)
     if only is not None:
-        src = df.withColumn("_skip", F.when(only, F.lit(0)).otherwise(F.lit(1)))
+        src = src.withColumn("_skip", F.when(only, F.lit(0)).otherwise(F.lit(1)))
         order = ["_skip", *order]
     part = (src.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
             .withColumn("_pid", F.spark_partition_id())
