@@ -25,11 +25,17 @@ def _validate_health_metrics(spark, d):
     return R.validate_health_metrics(tables(spark, d).health_metrics)
 
 
-_WORKOUT_CASE = """
-  WHEN Duration IS NOT NULL AND (Duration < 5 OR Duration > 300) THEN 'Workout duration must be between 5 and 300 minutes'
-  WHEN CaloriesBurnt IS NOT NULL AND (CaloriesBurnt < 0 OR CaloriesBurnt > 2000) THEN 'Calories burnt must be between 0 and 2000'
-  WHEN Distance IS NOT NULL AND (Distance < 0 OR Distance > 50) THEN 'Distance must be between 0 and 50 km'
-  WHEN Date > DATE '2024-01-30' THEN 'Workout date cannot be in the future'"""
+def _workout_case(t: str = "") -> str:
+    """WHEN branches of the workout insert rules; `t` qualifies the columns."""
+    p = f"{t}." if t else ""
+    return f"""
+  WHEN {p}Duration IS NOT NULL AND ({p}Duration < 5 OR {p}Duration > 300) THEN 'Workout duration must be between 5 and 300 minutes'
+  WHEN {p}CaloriesBurnt IS NOT NULL AND ({p}CaloriesBurnt < 0 OR {p}CaloriesBurnt > 2000) THEN 'Calories burnt must be between 0 and 2000'
+  WHEN {p}Distance IS NOT NULL AND ({p}Distance < 0 OR {p}Distance > 50) THEN 'Distance must be between 0 and 50 km'
+  WHEN {p}Date > DATE '2024-01-30' THEN 'Workout date cannot be in the future'"""
+
+
+_WORKOUT_CASE = _workout_case()
 
 
 @register("validate_workouts", q(f"""
@@ -70,7 +76,7 @@ def _validate_member_age(spark, d):
 SELECT j.L_ID, j.M_ID, j.S_ID, j.Exercise, j.Date, j.Duration, j.CaloriesBurnt, j.Distance, j.Progress,
        CASE WHEN j.bk AND cut.cut IS NOT NULL AND j.L_ID > cut.cut
               THEN 'Session is already full. Cannot book this session.'
-            {_WORKOUT_CASE.replace("WHEN ", "WHEN j.").replace("OR ", "OR j.").replace("(", "(j.").replace("(j.j.", "(j.")}
+            {_workout_case("j")}
             WHEN j.bk AND j.sdate < DATE '2024-01-30' THEN 'Cannot book sessions that have already passed'
        END AS violation
 FROM j LEFT JOIN cut ON j.S_ID = cut.S_ID"""))
