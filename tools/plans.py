@@ -32,6 +32,42 @@ def summary(plan: str) -> dict:
     }
 
 
+NOTES = """## Reading the key plans
+
+* **member_progress_summary** (flagship). The curated log is scanned once,
+  with `PushedFilters: [GreaterThanOrEqual(Date, as_of-30)]` and a pruned
+  `ReadSchema`. A partial `HashAggregate` per (M_ID, Date) and then per M_ID
+  reduces the 7- and 30-day counts, sums, exact averages and distinct days
+  before any shuffle. The metrics table gets one hash aggregate: `max_by` /
+  `min_by` over a packed BIGINT (date, id) key keeps the buffers fixed-width.
+  Membership type is a broadcast dimension. The per-member aggregates come out
+  hash-partitioned by M_ID, so joining them to members adds no further
+  exchange on those sides.
+* **trainer_rollup / trainer_performance / gym_statistics** (faithful fan-out).
+  Each session's log-row count is aggregated first. The fanned-out sums and
+  averages are then `sum(value * weight)` over sessions: the
+  Trainer × Session × Log product is never built.
+* **recent_workouts / notification_inbox / member_dashboard / coach_context**.
+  `row_number() <= k` appears as a `WindowGroupLimit` pair. The partial limit
+  runs before the exchange, so a member with a third of the log ships at
+  most k rows per map task.
+* **workout_milestones**. A bounded top-101 per member (`WindowGroupLimit`)
+  finds the n-th counted rows. The remaining rows join the at most 4
+  milestone intervals per member on M_ID with a range residual; AQE splits a
+  hot member's partition on the large side.
+* **apply_bookings / validate_log_rows**. Per-session capacity state
+  (bookings counted per session) is a small aggregate. Candidates are ranked
+  per session by a top-K bounded by the largest capacity, and the cut-off
+  row per session decides "full". Ids for admitted rows come from
+  `assign_ids`: a checkpointed input, range partitioning, partition-local
+  positions and broadcast prefix sums. No single-partition window is used.
+* **session_reminders / inactive / low-engagement notices**. NOT EXISTS
+  becomes a `left_anti` join on M_ID. The LIKE part stays a residual
+  condition of that equi-join, applied to notifications pre-filtered by type
+  and date.
+"""
+
+
 def main() -> None:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = build_session("local[8]")
@@ -42,6 +78,8 @@ def main() -> None:
           "WindowGroupLimit (bounded top-k before the shuffle). Streaming twins are omitted "
           "(they run a stream). With AQE on, small sort-merge joins become broadcast joins at "
           "runtime.\n")
+    print(NOTES)
+    print("## Per query\n")
     print("| query | shuffles | BHJ | SMJ | hash agg | sort agg | object agg | WGL | Python | date/key filters pushed to Parquet |")
     print("|---|---|---|---|---|---|---|---|---|---|")
     for name, fn in sorted(queries().items()):
