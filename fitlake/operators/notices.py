@@ -27,10 +27,15 @@ LOW_ENGAGEMENT_MESSAGE = ("We have missed you! It has been a week since your las
 WELCOME_MESSAGE = "Welcome! You have logged your first workout. Great start!"
 
 
-def _recent(t: Tables, ntype: str, since: Column, like: str | None = None) -> DataFrame:
+def _recent(t: Tables, ntype: str, since: Column, like: str | None = None,
+            ci: bool = False) -> DataFrame:
+    """Members with a notice of `ntype` since `since` (optionally whose
+    message matches `like`; `ci=True` matches case-insensitively like the
+    reference's collation, [T1] — LIKE needs the UTF8_LCASE collation)."""
     n = t.notifications.filter((F.col("Type") == ntype) & (F.col("CreatedAt") >= since))
     if like is not None:
-        n = n.filter(F.col("Message").like(like))
+        msg = F.collate(F.col("Message"), "UTF8_LCASE") if ci else F.col("Message")
+        n = n.filter(msg.like(like))
     return n.select("M_ID").distinct()
 
 
@@ -74,27 +79,29 @@ def renewal_notices_stored_date(t: Tables, as_of: dt.date = DEFAULT_AS_OF,
     return notice(due, msg, "renewal", as_of)
 
 
-def _inactive(t: Tables, as_of: dt.date, days: int) -> DataFrame:
+def _inactive(t: Tables, as_of: dt.date, days: int, ci: bool = False) -> DataFrame:
     last = t.workout_log.groupBy("M_ID").agg(F.max("Date").alias("_last"))
     m = (t.member.filter(F.col("IsActive") == F.lit(True)).select("M_ID", "Name", "Email")
          .join(last, "M_ID", "left")
          .withColumn("Days_Inactive", F.datediff(lit_date(as_of), F.col("_last")))
          .filter((F.col("Days_Inactive") >= days) | F.col("_last").isNull()))
-    return m.join(_recent(t, "system", midnight(as_of - dt.timedelta(days=7)), "%We miss you%"),
+    return m.join(_recent(t, "system", midnight(as_of - dt.timedelta(days=7)), "%We miss you%", ci),
                   "M_ID", "left_anti")
 
 
-def inactive_member_report(t: Tables, as_of: dt.date = DEFAULT_AS_OF, days: int = 14) -> DataFrame:
+def inactive_member_report(t: Tables, as_of: dt.date = DEFAULT_AS_OF, days: int = 14,
+                           ci: bool = False) -> DataFrame:
     """Report rows of the inactive-member job (never-active members included,
     with NULL days, [T5])."""
-    return _inactive(t, as_of, days).select(
+    return _inactive(t, as_of, days, ci).select(
         F.col("M_ID").alias("Member_ID"), F.col("Name").alias("Member_Name"), "Email",
         "Days_Inactive", F.lit("Notification Sent").alias("Action_Taken"))
 
 
-def inactive_member_notices(t: Tables, as_of: dt.date = DEFAULT_AS_OF, days: int = 14) -> DataFrame:
+def inactive_member_notices(t: Tables, as_of: dt.date = DEFAULT_AS_OF, days: int = 14,
+                            ci: bool = False) -> DataFrame:
     """Notice rows; the message is NULL for never-active members ([T5])."""
-    m = _inactive(t, as_of, days)
+    m = _inactive(t, as_of, days, ci)
     msg = F.concat(F.lit("We miss you, "), F.col("Name"), F.lit("! It has been "),
                    F.col("Days_Inactive").cast("string"),
                    F.lit(" days since your last workout. "),
@@ -109,14 +116,15 @@ def touched_by_metric_update(t: Tables, updates: DataFrame) -> DataFrame:
             .select("M_ID").distinct())
 
 
-def low_engagement_notice(t: Tables, touched: DataFrame, as_of: dt.date = DEFAULT_AS_OF) -> DataFrame:
+def low_engagement_notice(t: Tables, touched: DataFrame, as_of: dt.date = DEFAULT_AS_OF,
+                          ci: bool = False) -> DataFrame:
     """For touched members whose last non-booking workout is >= 7 days old
     (members without one are skipped) and no 'missed you' notice in 7 days."""
     last = (t.workout_log.filter(not_booking()).groupBy("M_ID")
             .agg(F.max("Date").alias("_last")))
     m = (touched.select("M_ID").distinct().join(last, "M_ID")
          .filter(F.datediff(lit_date(as_of), F.col("_last")) >= 7)
-         .join(_recent(t, "system", midnight(as_of - dt.timedelta(days=7)), "%missed you%"),
+         .join(_recent(t, "system", midnight(as_of - dt.timedelta(days=7)), "%missed you%", ci),
                "M_ID", "left_anti"))
     return notice(m, F.lit(LOW_ENGAGEMENT_MESSAGE), "system", as_of)
 

@@ -285,3 +285,10 @@ def test_sql_functions_match_column_helpers(spark):
     got = spark.sql("SELECT t_age_group(17), t_age_group(NULL), t_duration_hhmm(125), "
                     "t_duration_hhmm(6000), t_expiry_days(DATE'2024-01-31', 1, DATE'2024-01-30')").first()
     assert tuple(got) == ("Teen", "Senior", "02:05", "10:00", 30)
+
+
+def test_ci_option_for_notice_dedupe(spark):  # T1, LIKE under a case-insensitive collation
+    t = _base(spark, member=[_member(1)], workout_log=[_log(1, 1, date=D(-30))],
+              notifications=[(1, 1, "WE MISS YOU, friend", "system", False, dt.datetime(2024, 1, 29))])
+    assert N.inactive_member_notices(t, AS_OF).count() == 1
+    assert N.inactive_member_notices(t, AS_OF, ci=True).count() == 0
