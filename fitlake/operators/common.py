@@ -30,11 +30,24 @@ def log_rows_per_session(log: DataFrame, name: str = "n_rows") -> DataFrame:
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int,
           rank_col: str | None = None) -> DataFrame:
-    """Newest/first `k` rows per key.  The `row_number() <= k` filter with a
-    literal k lets Spark insert a partial WindowGroupLimit before the shuffle,
-    so no key ships more than k rows per map task (hot keys stay bounded)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
+    """First `k` rows per key in `order` (which must be unique per key).
+
+    For k up to Spark's `windowGroupLimitThreshold`, the `row_number() <= k`
+    filter with a literal k gets a partial WindowGroupLimit before the
+    shuffle, so no key ships more than k rows per map task.  Above it, an
+    exact salted two-stage top-k is used instead: rank within (key, salt)
+    groups, then re-rank the at most salts x k survivors per key, so a hot key
+    is split over as many tasks as there are shuffle partitions."""
     rc = rank_col or "_rn"
+    spark = df.sparkSession
+    threshold = int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if k > threshold:
+        salts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+        salted = df.withColumn("_salt", F.pmod(F.hash(*[F.col(c) for c in df.columns]), F.lit(salts)))
+        w1 = Window.partitionBy(*keys, "_salt").orderBy(*order)
+        df = (salted.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= k)
+              .drop("_salt", "_r1"))
+    w = Window.partitionBy(*keys).orderBy(*order)
     out = df.withColumn(rc, F.row_number().over(w)).filter(F.col(rc) <= k)
     return out if rank_col else out.drop(rc)
 

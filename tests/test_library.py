@@ -112,3 +112,17 @@ def test_admin_dashboard_split_valid_and_new_members(spark):
     rows = W.new_member_rows(t, req, st, AS_OF).collect()
     assert [(r.M_ID, r.Email, r.JoinDate, r.Phone, r.IsActive) for r in rows] == \
         [(4, "zed@example.org", AS_OF, "", True)]
+
+
+def test_top_k_salted_path_equals_window_path(spark):
+    from fitlake.operators.common import top_k
+    rows = [(1 if i % 3 else 2, i) for i in range(200)]          # key 1 is hot
+    df = spark.createDataFrame(rows, "key int, v int")
+    expect = sorted(top_k(df, ["key"], [F.col("v").desc()], 5, rank_col="rk").collect())
+    old = spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "2")
+    try:
+        got = sorted(top_k(df, ["key"], [F.col("v").desc()], 5, rank_col="rk").collect())
+    finally:
+        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", old)
+    assert got == expect and len(got) == 10
