@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fitlake.functions.exprs import is_booking
+from fitlake.session import checkpoint_dir
 
 
 def bookings(log: DataFrame) -> DataFrame:
@@ -73,6 +74,7 @@ def assign_ids(df: DataFrame, order_col: str | list[str], base: Column | int, id
     # The range partitioner samples its input before the shuffle, which would
     # run the whole upstream plan twice; a reliable checkpoint (written to
     # the shared spark.checkpoint.dir) computes it once and cuts the lineage.
+    checkpoint_dir(df.sparkSession)  # the shared folder (set only if unset)
     src = df.checkpoint(eager=True)
     if only is not None:
         src = src.withColumn("_skip", F.when(only, F.lit(0)).otherwise(F.lit(1)))
