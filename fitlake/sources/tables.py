@@ -14,6 +14,7 @@
 from __future__ import annotations
 
 import dataclasses
+from concurrent.futures import ThreadPoolExecutor
 import datetime as dt
 from decimal import Decimal
 
@@ -96,10 +97,18 @@ def save_table(df: DataFrame, name: str, path: str, mode: str = "overwrite") ->
     df.write.mode(mode).parquet(f"{path}/{name}")
 
 
-def save_tables(t: Tables, path: str, mode: str = "overwrite") -> None:
-    """Persist a table version (the sink for maintenance operators)."""
-    for name, df in t.as_dict().items():
-        save_table(df, name, path, mode)
+def save_tables(t: Tables, path: str, mode: str = "overwrite", parallel: int = 4) -> None:
+    """Persist a table version (the sink for maintenance operators).  The
+    nine writes are independent Spark jobs, submitted from a few threads so
+    small dimension writes overlap the large fact writes."""
+    items = list(t.as_dict().items())
+    if parallel <= 1:
+        for name, df in items:
+            save_table(df, name, path, mode)
+        return
+    with ThreadPoolExecutor(max_workers=parallel) as pool:
+        for f in [pool.submit(save_table, df, name, path, mode) for name, df in items]:
+            f.result()
 
 
 def curated_tables(spark: SparkSession, t: Tables, path: str) -> Tables:
