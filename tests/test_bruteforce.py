@@ -174,3 +174,50 @@ def test_registration_equal_sequential(spark, requests):
             next_id += 1
             want[i + 1] = (W.MEMBER_ADDED, next_id)
     assert got == want
+
+
+@SETTINGS
+@given(st.lists(st.integers(1, 3), max_size=3),                      # types' gyms
+       st.lists(st.tuples(st.integers(1, 3), st.integers(1, 3)), max_size=5),   # members (gym, type)
+       st.lists(st.integers(1, 3), max_size=3),                      # trainers' gyms
+       st.lists(st.integers(1, 3), max_size=5),                      # sessions' trainers
+       st.lists(st.tuples(st.integers(1, 5), st.one_of(st.none(), st.integers(1, 5))), max_size=8),
+       st.sets(st.integers(1, 3), max_size=2))
+def test_cascade_equal_fk_actions(spark, type_gyms, members, trainer_gyms, sess_trainers, logs, gone):
+    from fitlake.operators.maintenance import cascade_delete
+    rows = {
+        "gym": [(g, f"G{g}", 100) for g in (1, 2, 3)],
+        "membership_type": [(i + 1, "T", 12, Decimal("1.00"), g) for i, g in enumerate(type_gyms)],
+        "member": [(i + 1, "M", f"m{i}@x", 30, AS_OF, None, None, True, ty, g)
+                   for i, (g, ty) in enumerate(members)],
+        "trainer": [(i + 1, "T", f"t{i}@x", "Yoga", g) for i, g in enumerate(trainer_gyms)],
+        "session": [(i + 1, "S", AS_OF, "07:00:00", 30, tr, 5, "scheduled") for i, tr in enumerate(sess_trainers)],
+        "workout_log": [(i + 1, m, s, "Run", AS_OF, 30, None, None, None) for i, (m, s) in enumerate(logs)],
+    }
+    t = frames(spark, rows)
+    out = cascade_delete(t, "gym", spark.createDataFrame([(g,) for g in gone], "Gym_ID int"))
+    types_gone = {r[0] for r in rows["membership_type"] if r[4] in gone}
+    trainers_gone = {r[0] for r in rows["trainer"] if r[4] in gone}
+    sessions_gone = {r[0] for r in rows["session"] if r[5] in trainers_gone}
+    want = {
+        "gym": sorted(r[0] for r in rows["gym"] if r[0] not in gone),
+        "membership_type": sorted(r[0] for r in rows["membership_type"] if r[0] not in types_gone),
+        "member": sorted((r[0], None if r[8] in types_gone else r[8], None if r[9] in gone else r[9])
+                         for r in rows["member"]),
+        "trainer": sorted(r[0] for r in rows["trainer"] if r[0] not in trainers_gone),
+        "session": sorted(r[0] for r in rows["session"] if r[0] not in sessions_gone),
+        "workout_log": sorted((r[0], None if r[2] in sessions_gone else r[2]) for r in rows["workout_log"]),
+    }
+    got = {
+        "gym": sorted(r.Gym_ID for r in out.gym.collect()),
+        "membership_type": sorted(r.Type_ID for r in out.membership_type.collect()),
+        "member": sorted((r.M_ID, r.MembershipType_ID, r.Gym_ID) for r in out.member.collect()),
+        "trainer": sorted(r.T_ID for r in out.trainer.collect()),
+        "session": sorted(r.S_ID for r in out.session.collect()),
+        "workout_log": sorted((r.L_ID, r.S_ID) for r in out.workout_log.collect()),
+    }
+    key = lambda v: (v is None, v)
+    assert {k: sorted(v, key=lambda x: tuple(map(key, x)) if isinstance(x, tuple) else key(x))
+            for k, v in got.items()} == \
+        {k: sorted(v, key=lambda x: tuple(map(key, x)) if isinstance(x, tuple) else key(x))
+         for k, v in want.items()}
