@@ -126,3 +126,13 @@ def test_top_k_salted_path_equals_window_path(spark):
     finally:
         spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", old)
     assert got == expect and len(got) == 10
+
+
+def test_id_generating_and_stream_queries_are_repeatable(spark):
+    """The driver may execute a returned DataFrame more than once."""
+    from fitlake.plans.registry import queries
+    qs = queries()
+    for name in ["apply_bookings", "add_workouts", "register_members", "upsert_health_metrics",
+                 "append_session_reminders", "stream_milestones"]:
+        df = qs[name](spark, "/root/testdata/sf0.001")
+        assert sorted(df.collect()) == sorted(df.collect()), name
