@@ -44,12 +44,17 @@ def bmi_frame(t: Tables) -> DataFrame:
     key = order_key("Date", "Metric_ID")
     latest = t.health_metrics.groupBy("M_ID").agg(
         F.max_by("Weight", key).alias("_w"), F.max_by("Height", key).alias("_h"))
-    w = F.col("_w").cast("double")
-    h = F.col("_h").cast("double") / 100
+    # Exact: weight/(height/100)^2 = W * 10^6 / H^2 with W, H in hundredths,
+    # rounded half-up (away from zero) to 2 decimals in integer arithmetic, so
+    # ties round the same in every engine.
+    w_units = (F.col("_w") * 100).cast("long")
+    h_units = (F.col("_h") * 100).cast("long")
+    mag = half_up_ratio(F.abs(w_units) * 1000000, h_units * h_units, 2)
+    value = F.when(w_units < 0, -mag).otherwise(mag)
     ok = F.col("_w").isNotNull() & F.col("_h").isNotNull() & (F.col("_h") > 0)
     # try_cast: an out-of-range BMI (bad height data) becomes NULL instead of
     # failing the whole job under ANSI mode.
-    return latest.select("M_ID", F.when(ok, (w / (h * h)).try_cast("decimal(5,2)"))
+    return latest.select("M_ID", F.when(ok, value.try_cast("decimal(5,2)"))
                          .otherwise(F.lit(0).cast("decimal(5,2)")).alias("BMI"))
 
 

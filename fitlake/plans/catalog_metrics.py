@@ -17,7 +17,7 @@ _EXPIRY = """
          date_diff('day', DATE '2024-01-30', CAST(m.JoinDate + to_months(mt.Duration) AS DATE)) AS DaysUntilExpiry
   FROM member m LEFT JOIN membership_type mt ON m.MembershipType_ID = mt.Type_ID)"""
 
-_BMI = """
+_BMI = f"""
 , latest_hm AS (
   SELECT M_ID, Weight, Height,
          row_number() OVER (PARTITION BY M_ID ORDER BY Date DESC, Metric_ID DESC) AS rn
@@ -25,7 +25,8 @@ _BMI = """
   bmi AS (
   SELECT M_ID,
          CASE WHEN Weight IS NOT NULL AND Height IS NOT NULL AND Height > 0
-              THEN TRY_CAST(CAST(Weight AS DOUBLE) / ((CAST(Height AS DOUBLE) / 100) * (CAST(Height AS DOUBLE) / 100)) AS DECIMAL(5,2))
+              THEN TRY_CAST((CASE WHEN Weight < 0 THEN -1 ELSE 1 END) *
+                   {ratio_half_up('abs(CAST(Weight * 100 AS BIGINT)) * 1000000', 'CAST(Height * 100 AS BIGINT) * CAST(Height * 100 AS BIGINT)', 2)} AS DECIMAL(5,2))
               ELSE CAST(0 AS DECIMAL(5,2)) END AS BMI
   FROM latest_hm WHERE rn = 1)"""
 

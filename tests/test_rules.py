@@ -292,3 +292,11 @@ def test_ci_option_for_notice_dedupe(spark):  # T1, LIKE under a case-insensitiv
               notifications=[(1, 1, "WE MISS YOU, friend", "system", False, dt.datetime(2024, 1, 29))])
     assert N.inactive_member_notices(t, AS_OF).count() == 1
     assert N.inactive_member_notices(t, AS_OF, ci=True).count() == 0
+
+
+def test_bmi_exact_half_up_on_ties(spark):
+    t = _base(spark, member=[_member(1), _member(2)],
+              health_metrics=[_hm(1, 1, D(0), w=Decimal("72.10"), h=Decimal("200.00")),
+                              _hm(2, 2, D(0), w=Decimal("72.08"), h=Decimal("200.00"))])
+    got = {r.M_ID: r.BMI for r in M.member_bmi(t).collect()}
+    assert got == {1: Decimal("18.03"), 2: Decimal("18.02")}   # 18.025 -> 18.03, 18.02 exact
