@@ -74,6 +74,8 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Separators for words of letters and digits: all of ASCII but 0-9, A-Z, a-z.
+NOT_ALNUM = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 #: Bytes of text that are hashed at a time (one text at least).
 BLOCK_BYTES = 1 << 20
 _POW: dict[str, np.ndarray] = {}
@@ -117,15 +119,14 @@ def text_blocks(col: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarr
         i = j
 
 
-def word_hashes(data: np.ndarray, off: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, text of each word) for words between ASCII white
-    space, A-Z folded to a-z if asked."""
+def word_hashes(data: np.ndarray, off: np.ndarray, between: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, text of each word), A-Z folded to a-z, for words
+    between the bytes marked in `between` (ASCII white space)."""
     n = len(data)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    if fold:
-        data = _FOLD[data]
-    full = ~_IS_SPACE[data]
+    data = _FOLD[data]
+    full = ~between[data]
     cut = np.ones(n + 1, bool)  # before byte i there is no byte of the same word
     cut[1:n] = ~full[:-1]
     cut[off[(off > 0) & (off < n)]] = True
