@@ -1,7 +1,7 @@
 """Operators for training-data corpora (see README).  Nothing outside this
 package imports it; `__spark_entry__.py` adds its queries if it is there."""
 
-from fitlake.llm import decontaminate, ngram_join, packing  # noqa: F401
+from fitlake.llm import decontaminate, line_dedup, ngram_join, packing, quality  # noqa: F401
 from fitlake.llm.base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -390,6 +390,19 @@ def ngram_components(docs: DataFrame, k: int = 5, pct: int = 80) -> DataFrame:
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of those that share a doc_id: the smallest by text (null
+    first), then by all other columns as JSON.  Rows whose id is not repeated
+    pass without a sort."""
+    again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(
+        F.col("doc_id").alias("_id"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    row = F.struct(*[docs[c] for c in docs.columns])
+    best = (docs.join(again, same, "left_semi").groupBy("doc_id")
+            .agg(F.min_by(row, F.struct(F.col("text"), F.to_json(row))).alias("_row")).select("_row.*"))
+    return docs.join(again, same, "left_anti").select(*docs.columns).unionByName(best)
+
+
 #: DuckDB: all pairs that share an n-gram, then the components.
 SQL = r"""
 WITH RECURSIVE w AS (
