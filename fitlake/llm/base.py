@@ -60,6 +60,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch: with texts of 100 kB a batch still is 50 MB.
+BATCH_ROWS = 512
+
+
+def for_python(df: DataFrame) -> DataFrame:
+    """`df`, about to be read by Python workers: keeps their batches small, so
+    that long texts do not fill a worker's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(key)) > BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 # --- word hashes of whole Arrow batches ---------------------------------
 # A word's hash is a polynomial over its bytes (random 64-bit value for each
 # byte, odd base, modulo 2**64) and a final mixing step; prefix sums give all

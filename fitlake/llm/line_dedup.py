@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitlake.llm.base import query, read, stored
+from fitlake.llm.base import for_python, query, read, stored
 
 ROUNDS, LONG, LEAST = 2, 50, 25
 #: Positions of the bit map of repeated digests that spares other chunks.
@@ -134,7 +134,7 @@ def _repeated(docs: DataFrame, digests: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, hash, spans) of the texts with chunks that stand earlier."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text")
+    rows = for_python(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text"))
     twice = _digests(rows).groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest")
     found = stored(_repeated(rows, stored(twice, "digests")), "chunks")
     first = (found.groupBy("chunk").agg(F.min(F.struct("doc_id", "hash", "line")).alias("first"),

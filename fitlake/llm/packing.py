@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitlake.llm.base import query, read
+from fitlake.llm.base import for_python, query, read
 
 #: Words whose ids a Python worker remembers; the memory starts anew beyond.
 CACHE_WORDS = 250_000
@@ -199,7 +199,7 @@ def _packed(rows: DataFrame, examples, limits, cut: bool) -> DataFrame:
         if packer.out:
             yield rows_out()
 
-    return rows.mapInArrow(run, _DDL)
+    return for_python(rows).mapInArrow(run, _DDL)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, tokens: int = 4096, segments: int = 512,
