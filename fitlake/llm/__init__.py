@@ -1,7 +1,7 @@
 """Operators for training-data corpora (see README).  Nothing outside this
 package imports it; `__spark_entry__.py` adds its queries if it is there."""
 
-from fitlake.llm import (decontaminate, licenses, line_dedup, lm_scoring, ngram_join, packing, pii,
+from fitlake.llm import (decontaminate, html_text, licenses, line_dedup, lm_scoring, ngram_join, packing, pii,
                          quality, secrets)  # noqa: F401
 from fitlake.llm.base import QUERIES, SQL
 
