@@ -104,10 +104,11 @@ def long_date(col: Column | str) -> Column:
 
 
 def order_key(date_col: str, id_col: str) -> Column:
-    """(date, id) packed into one BIGINT that sorts like the pair, so
-    `max_by`/`min_by` keep fixed-width buffers and run as hash aggregates."""
-    return (F.unix_date(F.col(date_col)).cast("long") * F.lit(1 << 32)
-            + F.col(id_col).cast("long"))
+    """(date, id) packed into one DECIMAL(38,0) that sorts like the pair for
+    every 64-bit id, so `max_by`/`min_by` keep updatable buffers and run as
+    hash aggregates."""
+    return (F.unix_date(F.col(date_col)).cast("decimal(18,0)") * F.lit("1" + "0" * 19).cast("decimal(20,0)")
+            + F.col(id_col).cast("decimal(20,0)")).cast("decimal(38,0)")
 
 
 

@@ -262,7 +262,10 @@ def display_format(t: Tables) -> DataFrame:
     """Workout cards as displayed: 'Jan 5, 2024', minutes (0 if none),
     rounded calories, session time 'h:mm AM' or 'N/A'."""
     s = t.session.select("S_ID", "SessionTime")
-    j = t.workout_log.join(s, "S_ID", "left")
+    # rows without a session (one NULL key) are not sent through the join
+    log = t.workout_log.select("L_ID", "M_ID", "S_ID", "Date", "Duration", "CaloriesBurnt")
+    j = log.filter(F.col("S_ID").isNotNull()).join(s, "S_ID", "left").unionByName(
+        log.filter(F.col("S_ID").isNull()).withColumn("SessionTime", F.lit(None).cast("string")))
     tm = F.date_format(F.try_to_timestamp(F.concat(F.lit("2000-01-01 "), F.col("SessionTime"))), "h:mm a")
     return j.select("L_ID", "M_ID",
                     F.coalesce(F.date_format("Date", "MMM d, yyyy"), F.lit("N/A")).alias("DateText"),

@@ -71,26 +71,30 @@ def assign_ids(df: DataFrame, order_col: str | list[str], base: Column | int, id
     With `only`, ids go to the rows where `only` is true (others get NULL):
     those rows are ordered first, so no join back to the input is needed."""
     order = [order_col] if isinstance(order_col, str) else list(order_col)
-    # The range partitioner samples its input before the shuffle, which would
-    # run the whole upstream plan twice; a reliable checkpoint (written to
-    # the shared spark.checkpoint.dir) computes it once and cuts the lineage.
     checkpoint_dir(df.sparkSession)  # the shared folder (set only if unset)
+    # The range partitioner samples its input before the shuffle, which would
+    # run the whole upstream plan twice: compute it once, lineage cut.
     src = df.checkpoint(eager=True)
     if only is not None:
         src = src.withColumn("_skip", F.when(only, F.lit(0)).otherwise(F.lit(1)))
         order = ["_skip", *order]
+    # Partition number and position are read twice below (rows and sizes).
+    # They are stored first: planned twice, the range shuffle would sample
+    # other bounds, and be coalesced otherwise, on the side that prunes columns.
     part = (src.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
             .withColumn("_pid", F.spark_partition_id())
             .withColumn("_lix", F.monotonically_increasing_id()
-                        - F.shiftleft(F.col("_pid").cast("long"), 33) + 1))
+                        - F.shiftleft(F.col("_pid").cast("long"), 33) + 1)
+            .checkpoint(eager=True))
     sizes = part.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offs = sizes.withColumn(
         "_off", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(
             Window.unboundedPreceding, -1)), F.lit(0))).select("_pid", "_off")
     b = base if isinstance(base, Column) else F.lit(base)
-    new_id = (b + F.col("_off") + F.col("_lix")).cast("int")
+    new_id = (b + F.col("_off") + F.col("_lix")).cast("bigint")
     if only is not None:
         new_id = F.when(F.col("_skip") == 0, new_id)
+    # one row a partition: bounded by the number of shuffle partitions
     return (part.join(F.broadcast(offs), "_pid")
             .withColumn(id_col, new_id)
             .drop("_pid", "_lix", "_off", "_skip"))
@@ -104,7 +108,7 @@ def max_id(df: DataFrame, col: str) -> Column:
 def notice(df: DataFrame, message: Column, ntype: str, as_of: dt.date,
            extra: list[str] | None = None) -> DataFrame:
     """Notification rows (M_ID, Message, Type, IsRead=false, CreatedAt=as_of)."""
-    cols = [F.col("M_ID").cast("int").alias("M_ID"), message.alias("Message"),
+    cols = [F.col("M_ID").cast("bigint").alias("M_ID"), message.alias("Message"),
             F.lit(ntype).alias("Type"), F.lit(False).alias("IsRead"),
             F.lit(dt.datetime.combine(as_of, dt.time())).cast("timestamp_ntz").alias("CreatedAt")]
     return df.select(*(extra or []), *cols)

@@ -119,6 +119,9 @@ def purge_read_notifications_result(t: Tables, as_of: dt.date = DEFAULT_AS_OF,
 
 # ---- cascades ---------------------------------------------------------------
 
+_PARENTS = {parent for _, _, parent, _, _ in SC.FK_GRAPH}
+
+
 def cascade_delete(t: Tables, table: str, keys: DataFrame) -> Tables:
     """Delete rows of `table` whose primary key is in `keys` and apply the
     foreign-key actions down the graph (cascade = anti join, set null =
@@ -130,16 +133,20 @@ def cascade_delete(t: Tables, table: str, keys: DataFrame) -> Tables:
         if parent != table:
             continue
         ck = keys.select(F.col(pk).alias(ccol))
+        cur = frames[child]
         if action == "cascade":
-            gone = frames[child].join(ck, ccol, "left_semi").select(SC.PRIMARY_KEYS[child])
-            frames = cascade_delete(Tables(**frames), child, gone).as_dict()
+            if child in _PARENTS:
+                gone = cur.join(ck, ccol, "left_semi").select(SC.PRIMARY_KEYS[child])
+                frames = cascade_delete(Tables(**frames), child, gone).as_dict()
+            else:  # nothing refers to it: no need to know which rows went
+                frames[child] = cur.join(ck, ccol, "left_anti")
         else:
             hit = ck.withColumn("_hit", F.lit(True))
-            cur = frames[child]
-            j = cur.join(hit, ccol, "left")
+            j = cur.filter(F.col(ccol).isNotNull()).join(hit, ccol, "left")
             frames[child] = j.select(*[F.when(F.col("_hit").isNotNull(), F.lit(None))
                                        .otherwise(F.col(c)).cast(cur.schema[c].dataType).alias(c)
-                                       if c == ccol else F.col(c) for c in cur.columns])
+                                       if c == ccol else F.col(c) for c in cur.columns]).unionByName(
+                cur.filter(F.col(ccol).isNull()))
     frames[table] = frames[table].join(keys, pk, "left_anti")
     return Tables(**frames)
 

@@ -40,7 +40,7 @@ def membership_expiry(t: Tables, as_of: dt.date = DEFAULT_AS_OF) -> DataFrame:
 
 def bmi_frame(t: Tables) -> DataFrame:
     """BMI from each member's latest metric row (Date, then Metric_ID):
-    weight / (height/100)^2 as DECIMAL(5,2); 0 when either is missing."""
+    weight / (height/100)^2 to 2 decimals; 0 when either is missing."""
     key = order_key("Date", "Metric_ID")
     latest = t.health_metrics.groupBy("M_ID").agg(
         F.max_by("Weight", key).alias("_w"), F.max_by("Height", key).alias("_h"))
@@ -52,15 +52,12 @@ def bmi_frame(t: Tables) -> DataFrame:
     mag = half_up_ratio(F.abs(w_units) * 1000000, h_units * h_units, 2)
     value = F.when(w_units < 0, -mag).otherwise(mag)
     ok = F.col("_w").isNotNull() & F.col("_h").isNotNull() & (F.col("_h") > 0)
-    # try_cast: an out-of-range BMI (bad height data) becomes NULL instead of
-    # failing the whole job under ANSI mode.
-    return latest.select("M_ID", F.when(ok, value.try_cast("decimal(5,2)"))
-                         .otherwise(F.lit(0).cast("decimal(5,2)")).alias("BMI"))
+    return latest.select("M_ID", F.when(ok, value).otherwise(F.lit(0)).cast("decimal(18,2)").alias("BMI"))
 
 
 def member_bmi(t: Tables) -> DataFrame:
     return (t.member.select("M_ID", "Name").join(bmi_frame(t), "M_ID", "left")
-            .select("M_ID", "Name", F.coalesce("BMI", F.lit(0).cast("decimal(5,2)")).alias("BMI")))
+            .select("M_ID", "Name", F.coalesce("BMI", F.lit(0).cast("decimal(18,2)")).alias("BMI")))
 
 
 def log_metrics_frame(t: Tables, as_of: dt.date = DEFAULT_AS_OF, calorie_days: int = 30,
@@ -80,13 +77,13 @@ def log_metrics_frame(t: Tables, as_of: dt.date = DEFAULT_AS_OF, calorie_days: i
            if consistency_days > 0 else F.lit(0).cast("decimal(18,2)"))
     return agg.select(
         "M_ID",
-        F.coalesce("_cal", F.lit(0)).cast("decimal(10,2)").alias("CaloriesLast30Days"),
+        F.coalesce("_cal", F.lit(0)).cast("decimal(38,2)").alias("CaloriesLast30Days"),
         pct.alias("ConsistencyPercent"),
-        F.coalesce(F.round("_dur", 2), F.lit(0)).cast("decimal(6,2)").alias("AvgWorkoutDuration"))
+        F.coalesce(F.round("_dur", 2), F.lit(0)).cast("decimal(18,2)").alias("AvgWorkoutDuration"))
 
 
 def _zero2():
-    return F.lit(0).cast("decimal(10,2)")
+    return F.lit(0).cast("decimal(38,2)")
 
 
 def _per_member(t: Tables, frame: DataFrame, col: str, default) -> DataFrame:
@@ -163,7 +160,7 @@ def gym_revenue(t: Tables) -> DataFrame:
            .groupBy("Gym_ID").agg(F.sum("Price").alias("_rev")))
     return (t.gym.select("Gym_ID", "Location").join(rev, "Gym_ID", "left")
             .select("Gym_ID", "Location",
-                    F.coalesce("_rev", F.lit(0)).cast("decimal(12,2)").alias("EstimatedRevenue")))
+                    F.coalesce("_rev", F.lit(0)).cast("decimal(38,2)").alias("EstimatedRevenue")))
 
 
 def member_age_groups(t: Tables) -> DataFrame:
@@ -182,7 +179,7 @@ def member_metrics_panel(t: Tables, as_of: dt.date = DEFAULT_AS_OF) -> DataFrame
     return (m.join(bmi_frame(t), "M_ID", "left")
             .join(lm, "M_ID", "left")
             .select("M_ID", "Name", "DaysUntilExpiry",
-                    F.coalesce("BMI", F.lit(0).cast("decimal(5,2)")).alias("BMI"),
+                    F.coalesce("BMI", F.lit(0).cast("decimal(18,2)")).alias("BMI"),
                     F.coalesce("CaloriesLast30Days", _zero2()).alias("CaloriesLast30Days"),
                     F.coalesce("ConsistencyPercent", F.lit(0).cast("decimal(18,2)"))
                     .alias("ConsistencyPercent"),

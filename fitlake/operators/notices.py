@@ -161,7 +161,8 @@ def renewal_flag_on_touch(t: Tables, touched: DataFrame | None = None,
 
 def session_reminders(t: Tables, as_of: dt.date = DEFAULT_AS_OF) -> DataFrame:
     """Bookings of tomorrow's sessions, unless a reminder created today
-    already mentions the session details (LIKE residual on the M_ID key)."""
+    already mentions the session details (LIKE residual on the M_ID key; `%`
+    and `_` in the details are wildcards, a backslash is itself)."""
     s = t.session.filter(F.col("SessionDate") == days_after(as_of, 1)) \
         .select("S_ID", "Details", "SessionTime")
     b = t.workout_log.filter(is_booking()).select("L_ID", "M_ID", "S_ID").join(s, "S_ID")
@@ -171,7 +172,9 @@ def session_reminders(t: Tables, as_of: dt.date = DEFAULT_AS_OF) -> DataFrame:
         & (F.col("CreatedAt") < midnight(as_of + dt.timedelta(days=1)))) \
         .select(F.col("M_ID").alias("_nm"), F.col("Message").alias("_msg"))
     fresh = b.join(today, (F.col("M_ID") == F.col("_nm"))
-                   & F.expr("_msg LIKE concat('%', Details, '%')"), "left_anti")
+                   & F.like(F.col("_msg"), F.concat(
+                       F.lit("%"), F.replace(F.col("Details"), F.lit("\\"), F.lit("\\\\")), F.lit("%"))),
+                   "left_anti")
     msg = F.concat(F.lit('Reminder: You have a session "'), F.col("Details"),
                    F.lit('" scheduled for tomorrow at '), time_12h("SessionTime"))
     return notice(fresh, msg, "session_reminder", as_of, extra=["L_ID"])

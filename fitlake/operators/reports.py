@@ -57,7 +57,7 @@ def member_progress_summary(t: Tables, as_of: dt.date = DEFAULT_AS_OF) -> DataFr
             .select("M_ID", "Name", "Email", "Age", "JoinDate",
                     F.coalesce("WeeklyWorkouts", F.lit(0)).alias("WeeklyWorkouts"),
                     "AvgMonthlyCalories",
-                    F.col("TotalMonthlyCalories").cast("decimal(16,2)").alias("TotalMonthlyCalories"),
+                    F.col("TotalMonthlyCalories").cast("decimal(38,2)").alias("TotalMonthlyCalories"),
                     "CurrentWeight", "StartingWeight", "AvgWeeklySleep", "AvgWeeklySteps",
                     "DaysUntilExpiry",
                     half_up_ratio(F.coalesce("_days30", F.lit(0)) * 100, F.lit(30), 2)
@@ -193,9 +193,10 @@ def deactivate_expired(t: Tables, as_of: dt.date = DEFAULT_AS_OF) -> DataFrame:
 
 def deactivate_expired_result(t: Tables, as_of: dt.date = DEFAULT_AS_OF) -> DataFrame:
     """The procedure's result line, from a global count (one row)."""
-    new = deactivate_expired(t, as_of)
-    n = (new.join(t.member.select("M_ID", F.col("IsActive").alias("_was")), "M_ID")
-         .agg(F.count(F.when((F.col("_was") == F.lit(True)) & (F.col("IsActive") == F.lit(False)),
+    mt = t.membership_type.select("Type_ID", F.col("Duration").alias("_months"))
+    n = (t.member.filter(F.col("IsActive") == F.lit(True))
+         .join(mt, F.col("MembershipType_ID") == F.col("Type_ID"))
+         .agg(F.count(F.when(F.add_months(F.col("JoinDate"), F.col("_months")) < lit_date(as_of),
                              F.lit(1))).alias("n")))
     return n.select(F.concat(F.lit("Deactivated "), F.col("n").cast("string"),
                              F.lit(" expired memberships")).alias("Result"))
@@ -204,7 +205,7 @@ def deactivate_expired_result(t: Tables, as_of: dt.date = DEFAULT_AS_OF) -> Data
 def trainer_report(t: Tables, ordered: bool = True) -> DataFrame:
     """Per trainer: sessions and clients from separate aggregates (no
     fan-out), average duration (0 default) and a rating."""
-    ps = t.session.groupBy("T_ID").agg(F.countDistinct("S_ID").alias("_s"),
+    ps = t.session.groupBy("T_ID").agg(F.count("S_ID").alias("_s"),
                                        avg_exact("Duration").alias("_avg"))
     out = (t.trainer.select("T_ID", "Name", "Specialization")
            .join(ps, "T_ID", "left").join(_trainer_clients(t), "T_ID", "left"))
@@ -217,7 +218,7 @@ def trainer_report(t: Tables, ordered: bool = True) -> DataFrame:
     out = out.select(F.col("T_ID").alias("Trainer_ID"), F.col("Name").alias("Trainer_Name"),
                      "Specialization", s.cast("int").alias("Total_Sessions"),
                      c.cast("int").alias("Unique_Clients"),
-                     F.coalesce(F.round("_avg", 2), F.lit(0)).try_cast("decimal(5,2)")
+                     F.coalesce(F.round("_avg", 2), F.lit(0)).cast("decimal(18,2)")
                      .alias("Avg_Session_Duration"),
                      rating.alias("Performance_Rating"))
     return out.orderBy(F.col("Total_Sessions").desc(), F.col("Unique_Clients").desc()) \
@@ -244,9 +245,8 @@ def engagement_report(t: Tables, as_of: dt.date = DEFAULT_AS_OF, ordered: bool =
     else:
         base = base.join(score.withColumnRenamed("score", "_score"), "M_ID", "left")
         sc = F.col("_score")
-    # DECIMAL(5,2) like the report table; an out-of-range score (consistency
-    # has no upper date bound, [T6]) becomes NULL instead of failing the job.
-    base = base.withColumn("_sc", F.coalesce(sc, F.lit(0)).try_cast("decimal(5,2)"))
+    # wide: the score has no upper bound (consistency counts future days, [T6])
+    base = base.withColumn("_sc", F.coalesce(sc, F.lit(0)).cast("decimal(18,2)"))
     level = None
     for thr, label in ENGAGEMENT_LEVELS:
         level = F.when(F.col("_sc") >= thr, label) if level is None \

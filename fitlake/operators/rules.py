@@ -72,6 +72,10 @@ def validate_workouts(df: DataFrame, as_of: dt.date = DEFAULT_AS_OF,
     return df.withColumn("violation", first_violation(*workout_range_rules(as_of, exempt_bookings)))
 
 
+def _is_session_booking() -> Column:
+    return F.col("S_ID").isNotNull() & F.coalesce(is_booking(), F.lit(False))
+
+
 def _booking_with_session(log: DataFrame, session: DataFrame) -> DataFrame:
     s = session.select("S_ID", F.col("SessionDate").alias("_sdate"),
                        F.col("MaxParticipants").alias("_max"))
@@ -80,10 +84,11 @@ def _booking_with_session(log: DataFrame, session: DataFrame) -> DataFrame:
 
 def validate_booking_date(t: Tables, as_of: dt.date = DEFAULT_AS_OF) -> DataFrame:
     """Booking rows for sessions dated before as_of are rejected."""
-    j = _booking_with_session(t.workout_log, t.session)
-    cond = F.col("S_ID").isNotNull() & is_booking() & (F.col("_sdate") < lit_date(as_of))
-    return j.select(*t.workout_log.columns,
-                    F.when(cond, F.lit(MSG_PAST_SESSION)).alias("violation"))
+    bk = _is_session_booking()
+    j = _booking_with_session(t.workout_log.filter(bk), t.session).select(
+        *t.workout_log.columns,
+        F.when(F.col("_sdate") < lit_date(as_of), F.lit(MSG_PAST_SESSION)).alias("violation"))
+    return j.unionByName(t.workout_log.filter(~bk).withColumn("violation", F.lit(None).cast("string")))
 
 
 def validate_member_age(df: DataFrame) -> DataFrame:
@@ -97,13 +102,15 @@ def validate_log_rows(t: Tables, as_of: dt.date = DEFAULT_AS_OF) -> DataFrame:
     L_ID order.  A booking fails capacity once `MaxParticipants` earlier
     bookings of its session were accepted; rejected rows do not consume
     capacity.  The cut-off is the L_ID of the max-th accepted booking per
-    session, found with a top-K bounded by the largest capacity (a scalar)."""
-    j = _booking_with_session(t.workout_log, t.session)
-    bk = F.col("S_ID").isNotNull() & F.coalesce(is_booking(), F.lit(False))
+    session, found with a top-K bounded by the largest capacity (a scalar).
+    Only booking rows are joined to sessions; the others (no session for most:
+    one NULL key) pass straight through their own rules."""
+    bk = _is_session_booking()
+    j = _booking_with_session(t.workout_log.filter(bk), t.session)
     ranges = workout_range_rules(as_of)
-    past = bk & (F.col("_sdate") < lit_date(as_of))
+    past = F.col("_sdate") < lit_date(as_of)
     any_range = reduce(lambda a, b: a | b, [F.coalesce(c, F.lit(False)) for c, _ in ranges])
-    valid_bk = j.filter(bk & ~any_range & ~F.coalesce(past, F.lit(False)))
+    valid_bk = j.filter(~any_range & ~F.coalesce(past, F.lit(False)))
     k = scalar_int(t.session, F.max("MaxParticipants"))
     # cut-off per session: the L_ID of the max-th accepted booking, or "before
     # everything" when the capacity is 0 or less.
@@ -113,9 +120,11 @@ def validate_log_rows(t: Tables, as_of: dt.date = DEFAULT_AS_OF) -> DataFrame:
            .select("S_ID", F.col("L_ID").cast("long").alias("_cut"))
            .unionByName(t.session.filter(F.col("MaxParticipants") <= 0)
                         .select("S_ID", F.lit(-(2 ** 63)).cast("long").alias("_cut"))))
-    full = bk & F.col("_cut").isNotNull() & (F.col("L_ID") > F.col("_cut"))
+    full = F.col("_cut").isNotNull() & (F.col("L_ID") > F.col("_cut"))
     v = first_violation((full, MSG_FULL), *ranges, (past, MSG_PAST_SESSION))
-    return j.join(cut, "S_ID", "left").select(*t.workout_log.columns, v.alias("violation"))
+    booked = j.join(cut, "S_ID", "left").select(*t.workout_log.columns, v.alias("violation"))
+    return booked.unionByName(
+        t.workout_log.filter(~bk).withColumn("violation", first_violation(*ranges)))
 
 
 def overbooked_sessions(t: Tables) -> DataFrame:
@@ -155,7 +164,7 @@ def check_foreign_keys(t: Tables) -> DataFrame:
     """Orphan count per foreign key (child rows whose non-NULL key has no parent)."""
     parts = []
     for child, ccol, parent, pcol, _action in SC.FK_GRAPH:
-        keys = getattr(t, parent).select(F.col(pcol).alias(ccol)).distinct()
+        keys = getattr(t, parent).select(F.col(pcol).alias(ccol))
         orphans = (getattr(t, child).filter(F.col(ccol).isNotNull()).select(ccol)
                    .join(keys, ccol, "left_anti"))
         parts.append(orphans.agg(F.count(F.lit(1)).alias("orphans")).select(

@@ -68,11 +68,12 @@ def apply_bookings(t: Tables, requests: DataFrame, precedence: str = "procedure"
     cands = r1.filter(F.col("request_id") == F.col("_first")).select("S_ID", "request_id", "_free")
     k = max(scalar_int(t.session, F.max("MaxParticipants")), 1)
     ranked = top_k(cands, ["S_ID"], [F.col("request_id")], k, rank_col="_rk")
-    # cut = request_id of the last admitted candidate; -1 when no seat is free.
+    # cut = request_id of the last admitted candidate; before every id when no
+    # seat is free.
     cuts = (ranked.filter(F.col("_rk") == F.col("_free"))
             .select("S_ID", F.col("request_id").alias("_cut"))
             .unionByName(sess.filter(F.col("_free") <= 0)
-                         .select("S_ID", F.lit(-1).cast("long").alias("_cut"))))
+                         .select("S_ID", F.lit(-(2 ** 63)).cast("long").alias("_cut"))))
     j = r1.join(cuts, "S_ID", "left")
     full_at = F.col("_cut").isNotNull() & (F.col("request_id") > F.col("_cut"))
     first_admitted = F.col("_cut").isNull() | (F.col("_first") <= F.col("_cut"))
@@ -103,7 +104,7 @@ def booking_rows(t: Tables, statuses: DataFrame) -> DataFrame:
     """Log rows for admitted bookings: dated at the session, with its duration."""
     s = t.session.select("S_ID", "SessionDate", F.col("Duration").alias("_d"))
     return (statuses.filter(F.col("L_ID").isNotNull()).join(s, "S_ID")
-            .select(F.col("L_ID").cast("int"), "M_ID", "S_ID", F.lit(BOOKING).alias("Exercise"),
+            .select(F.col("L_ID").cast("bigint"), "M_ID", "S_ID", F.lit(BOOKING).alias("Exercise"),
                     F.col("SessionDate").alias("Date"), F.col("_d").alias("Duration"),
                     F.lit(None).cast("decimal(6,2)").alias("CaloriesBurnt"),
                     F.lit(None).cast("decimal(6,2)").alias("Distance"),

@@ -26,8 +26,8 @@ _BMI = f"""
   SELECT M_ID,
          CASE WHEN Weight IS NOT NULL AND Height IS NOT NULL AND Height > 0
               THEN TRY_CAST((CASE WHEN Weight < 0 THEN -1 ELSE 1 END) *
-                   {ratio_half_up('abs(CAST(Weight * 100 AS BIGINT)) * 1000000', 'CAST(Height * 100 AS BIGINT) * CAST(Height * 100 AS BIGINT)', 2)} AS DECIMAL(5,2))
-              ELSE CAST(0 AS DECIMAL(5,2)) END AS BMI
+                   {ratio_half_up('abs(CAST(Weight * 100 AS BIGINT)) * 1000000', 'CAST(Height * 100 AS BIGINT) * CAST(Height * 100 AS BIGINT)', 2)} AS DECIMAL(18,2))
+              ELSE CAST(0 AS DECIMAL(18,2)) END AS BMI
   FROM latest_hm WHERE rn = 1)"""
 
 _LOGM = f"""
@@ -82,7 +82,7 @@ _GYM_REV = """
   SELECT g.Gym_ID, g.Location,
          CAST(COALESCE((SELECT SUM(mt.Price) FROM member m JOIN membership_type mt
                          ON m.MembershipType_ID = mt.Type_ID
-                        WHERE m.Gym_ID = g.Gym_ID AND m.IsActive = TRUE), 0) AS DECIMAL(12,2))
+                        WHERE m.Gym_ID = g.Gym_ID AND m.IsActive = TRUE), 0) AS DECIMAL(38,2))
            AS EstimatedRevenue
   FROM gym g)"""
 
@@ -94,14 +94,14 @@ def _membership_expiry(spark, d):
 
 
 @register("member_bmi", q(_BMI + """
-SELECT m.M_ID, m.Name, COALESCE(b.BMI, CAST(0 AS DECIMAL(5,2))) AS BMI
+SELECT m.M_ID, m.Name, COALESCE(b.BMI, CAST(0 AS DECIMAL(18,2))) AS BMI
 FROM member m LEFT JOIN bmi b ON m.M_ID = b.M_ID"""))
 def _member_bmi(spark, d):
     return M.member_bmi(tables(spark, d))
 
 
 @register("calories_burned", q(_LOGM + """
-SELECT m.M_ID, m.Name, CAST(COALESCE(l.CaloriesLast30Days, 0) AS DECIMAL(10,2)) AS CaloriesLast30Days
+SELECT m.M_ID, m.Name, CAST(COALESCE(l.CaloriesLast30Days, 0) AS DECIMAL(38,2)) AS CaloriesLast30Days
 FROM member m LEFT JOIN logm l ON m.M_ID = l.M_ID"""))
 def _calories_burned(spark, d):
     return M.calories_burned(tables(spark, d))
@@ -115,7 +115,7 @@ def _workout_consistency(spark, d):
 
 
 @register("avg_workout_duration", q(_LOGM + """
-SELECT m.M_ID, m.Name, CAST(COALESCE(l.AvgWorkoutDuration, 0) AS DECIMAL(6,2)) AS AvgWorkoutDuration
+SELECT m.M_ID, m.Name, CAST(COALESCE(l.AvgWorkoutDuration, 0) AS DECIMAL(18,2)) AS AvgWorkoutDuration
 FROM member m LEFT JOIN logm l ON m.M_ID = l.M_ID"""))
 def _avg_workout_duration(spark, d):
     return M.avg_workout_duration(tables(spark, d))
@@ -167,10 +167,10 @@ def _duration_hhmm(spark, d):
 
 
 @register("member_metrics_panel", q(_EXPIRY + _BMI + _LOGM + """
-SELECT m.M_ID, m.Name, e.DaysUntilExpiry, COALESCE(b.BMI, CAST(0 AS DECIMAL(5,2))) AS BMI,
-       CAST(COALESCE(l.CaloriesLast30Days, 0) AS DECIMAL(10,2)) AS CaloriesLast30Days,
+SELECT m.M_ID, m.Name, e.DaysUntilExpiry, COALESCE(b.BMI, CAST(0 AS DECIMAL(18,2))) AS BMI,
+       CAST(COALESCE(l.CaloriesLast30Days, 0) AS DECIMAL(38,2)) AS CaloriesLast30Days,
        COALESCE(l.ConsistencyPercent, 0) AS ConsistencyPercent,
-       CAST(COALESCE(l.AvgWorkoutDuration, 0) AS DECIMAL(6,2)) AS AvgWorkoutDuration
+       CAST(COALESCE(l.AvgWorkoutDuration, 0) AS DECIMAL(18,2)) AS AvgWorkoutDuration
 FROM member m LEFT JOIN expiry e ON m.M_ID = e.M_ID LEFT JOIN bmi b ON m.M_ID = b.M_ID
 LEFT JOIN logm l ON m.M_ID = l.M_ID"""))
 def _member_metrics_panel(spark, d):
@@ -213,9 +213,9 @@ _BAS = "DATE '2001-08-01'"
          {ratio_half_up(f"COUNT(DISTINCT CASE WHEN Date >= {_BAS} - 30 THEN Date END) * 100", "30", 2)} AS pct,
          {round_half_up(A('Duration', 0, f"Date >= {_BAS} - 30 AND Duration IS NOT NULL AND Exercise != 'Session Booking'"), 4, 2)} AS dur
   FROM bench_log GROUP BY M_ID)
-SELECT m.M_ID, CAST(COALESCE(a.cal, 0) AS DECIMAL(10,2)) AS CaloriesLast30Days,
+SELECT m.M_ID, CAST(COALESCE(a.cal, 0) AS DECIMAL(38,2)) AS CaloriesLast30Days,
        COALESCE(a.pct, 0) AS ConsistencyPercent,
-       CAST(COALESCE(a.dur, 0) AS DECIMAL(6,2)) AS AvgWorkoutDuration
+       CAST(COALESCE(a.dur, 0) AS DECIMAL(18,2)) AS AvgWorkoutDuration
 FROM member m LEFT JOIN agg a ON m.M_ID = a.M_ID"""))
 def _bench_log_metrics(spark, d):
     from fitlake.plans.registry import bench_tables_cached

@@ -12,18 +12,18 @@ AS_OF = "DATE '2024-01-30'"
 
 _TABLES = r"""
 gym AS (
-  SELECT CAST(r_regionkey AS INT) AS Gym_ID, r_name AS Location,
+  SELECT CAST(r_regionkey AS BIGINT) AS Gym_ID, r_name AS Location,
          CAST(100 + 50 * r_regionkey AS INT) AS Capacity
   FROM region),
 membership_type AS (
-  SELECT CAST(n_nationkey AS INT) AS Type_ID,
+  SELECT CAST(n_nationkey AS BIGINT) AS Type_ID,
          CASE n_nationkey % 3 WHEN 0 THEN 'Gold' WHEN 1 THEN 'Silver' ELSE 'Platinum' END AS Name,
          CAST(CASE n_nationkey % 3 WHEN 1 THEN 6 ELSE 12 END AS INT) AS Duration,
          CAST(5000 + 500 * n_nationkey AS DECIMAL(8,2)) AS Price,
-         CAST(n_regionkey AS INT) AS Gym_ID
+         CAST(n_regionkey AS BIGINT) AS Gym_ID
   FROM nation),
 member AS (
-  SELECT CAST(c_custkey AS INT) AS M_ID, c_name AS Name,
+  SELECT CAST(c_custkey AS BIGINT) AS M_ID, c_name AS Name,
          concat('m', CAST(c_custkey AS VARCHAR), '@example.org') AS Email,
          CASE WHEN c_custkey % 29 = 0 THEN NULL ELSE CAST(8 + c_custkey % 95 AS INT) END AS Age,
          CAST(DATE '2022-12-01' + CAST(c_custkey % 425 AS INT) AS DATE) AS JoinDate,
@@ -33,31 +33,31 @@ member AS (
                         + to_months(CASE c_nationkey % 3 WHEN 1 THEN 6 ELSE 12 END) AS DATE)
          END AS MembershipEndDate,
          c_acctbal > 0 AS IsActive,
-         CAST(c_nationkey AS INT) AS MembershipType_ID,
-         CAST(n_regionkey AS INT) AS Gym_ID
+         CAST(c_nationkey AS BIGINT) AS MembershipType_ID,
+         CAST(n_regionkey AS BIGINT) AS Gym_ID
   FROM customer JOIN nation ON c_nationkey = n_nationkey),
 trainer AS (
-  SELECT CAST(s_suppkey AS INT) AS T_ID, s_name AS Name,
+  SELECT CAST(s_suppkey AS BIGINT) AS T_ID, s_name AS Name,
          concat('t', CAST(s_suppkey AS VARCHAR), '@example.org') AS Email,
          CASE s_suppkey % 4 WHEN 0 THEN 'Strength' WHEN 1 THEN 'Yoga' WHEN 2 THEN 'Cardio' END
            AS Specialization,
-         CAST(n_regionkey AS INT) AS Gym_ID
+         CAST(n_regionkey AS BIGINT) AS Gym_ID
   FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 session AS (
-  SELECT CAST(p_partkey AS INT) AS S_ID, p_name AS Details,
+  SELECT CAST(p_partkey AS BIGINT) AS S_ID, p_name AS Details,
          CAST(DATE '2024-01-21' + CAST(p_partkey % 21 AS INT) AS DATE) AS SessionDate,
          concat(lpad(CAST(6 + p_size % 15 AS VARCHAR), 2, '0'), ':30:00') AS SessionTime,
          CAST(30 + 15 * (p_size % 5) AS INT) AS Duration,
-         CAST((p_partkey * p_size) % (SELECT count(*) FROM supplier) AS INT) AS T_ID,
+         CAST((p_partkey * p_size) % (SELECT count(*) FROM supplier) AS BIGINT) AS T_ID,
          CAST(1 + p_size % 4 AS INT) AS MaxParticipants,
          CASE WHEN p_partkey % 5 = 0 THEN 'cancelled'
               WHEN p_partkey % 21 < 9 AND p_partkey % 3 = 0 THEN 'completed'
               ELSE 'scheduled' END AS Status
   FROM part),
 workout_log AS (
-  SELECT CAST(event_id AS INT) AS L_ID, CAST(user_id AS INT) AS M_ID,
+  SELECT CAST(event_id AS BIGINT) AS L_ID, CAST(user_id AS BIGINT) AS M_ID,
          CASE WHEN event_type = 'signup'
-              THEN CAST((event_id * 7) % (SELECT count(*) FROM part) AS INT) END AS S_ID,
+              THEN CAST((event_id * 7) % (SELECT count(*) FROM part) AS BIGINT) END AS S_ID,
          CASE WHEN event_type = 'signup' THEN 'Session Booking' ELSE event_type END AS Exercise,
          CASE WHEN event_type = 'signup'
               THEN CAST(DATE '2024-01-21' + CAST(((event_id * 7) % (SELECT count(*) FROM part)) % 21 AS INT) AS DATE)
@@ -73,7 +73,7 @@ workout_log AS (
     AND NOT (user_id % 5 = 1 AND CAST(ts AS DATE) >= DATE '2024-01-21')
     AND NOT (user_id % 10 = 0 AND event_type = 'signup')),
 health_metrics AS (
-  SELECT CAST(o_orderkey AS INT) AS Metric_ID, CAST(o_custkey AS INT) AS M_ID,
+  SELECT CAST(o_orderkey AS BIGINT) AS Metric_ID, CAST(o_custkey AS BIGINT) AS M_ID,
          CAST(DATE '2023-11-20' + CAST((o_orderkey * 11) % 72 AS INT) AS DATE) AS Date,
          CASE WHEN o_orderkey % 19 = 0 THEN NULL
               ELSE CAST((150 + (o_orderkey * 7) % 2900) / 10.0 AS DECIMAL(5,2)) END AS Weight,
@@ -83,13 +83,13 @@ health_metrics AS (
          CASE WHEN o_orderkey % 23 = 0 THEN NULL ELSE CAST((o_orderkey * 37) % 12000 AS INT) END AS Steps
   FROM orders),
 notifications AS (
-  SELECT CAST(c_custkey AS INT) AS Notif_ID, CAST(c_custkey AS INT) AS M_ID,
+  SELECT CAST(c_custkey AS BIGINT) AS Notif_ID, CAST(c_custkey AS BIGINT) AS M_ID,
          'Renewal notice' AS Message, 'renewal' AS Type, c_custkey % 5 = 0 AS IsRead,
          CAST(CAST(DATE '2024-01-30' - CAST(CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 8
                                                  ELSE c_custkey % 130 END AS INT) AS DATE) AS TIMESTAMP) AS CreatedAt
   FROM customer WHERE c_custkey % 2 = 0
   UNION ALL
-  SELECT CAST(10000000 + event_id AS INT), CAST(user_id AS INT),
+  SELECT CAST(10000000 + event_id AS BIGINT), CAST(user_id AS BIGINT),
          CASE event_id % 5 WHEN 0 THEN 'Reminder for cold widget' WHEN 1 THEN 'Reminder for small widget'
               WHEN 2 THEN 'We miss you' WHEN 3 THEN 'We have missed you' ELSE 'Milestone' END,
          CASE WHEN event_id % 5 <= 1 THEN 'session_reminder' WHEN event_id % 5 <= 3 THEN 'system'
@@ -97,15 +97,15 @@ notifications AS (
          event_id % 8 = 0, CAST(ts AS TIMESTAMP)
   FROM events WHERE event_id % 4 = 0),
 booking_requests AS (
-  SELECT event_id AS request_id, CAST(user_id AS INT) AS M_ID,
-         CAST(event_id % (SELECT count(*) FROM part) AS INT) AS S_ID
+  SELECT event_id AS request_id, CAST(user_id AS BIGINT) AS M_ID,
+         CAST(event_id % (SELECT count(*) FROM part) AS BIGINT) AS S_ID
   FROM events WHERE event_type = 'view'),
 cancel_requests AS (
-  SELECT event_id AS request_id, CAST(event_id AS INT) AS L_ID,
-         CAST(CASE WHEN event_id % 7 < 4 THEN user_id ELSE user_id + 1 END AS INT) AS M_ID
+  SELECT event_id AS request_id, CAST(event_id AS BIGINT) AS L_ID,
+         CAST(CASE WHEN event_id % 7 < 4 THEN user_id ELSE user_id + 1 END AS BIGINT) AS M_ID
   FROM events),
 workout_requests AS (
-  SELECT event_id AS request_id, CAST(user_id AS INT) AS M_ID,
+  SELECT event_id AS request_id, CAST(user_id AS BIGINT) AS M_ID,
          CASE event_id % 3 WHEN 0 THEN 'Running' WHEN 1 THEN 'Cycling' ELSE 'Rowing' END AS Exercise,
          CAST(DATE '2024-01-30' - CAST(event_id % 3 AS INT) AS DATE) AS Date,
          CAST(20 + event_id % 60 AS INT) AS Duration,
@@ -114,7 +114,7 @@ workout_requests AS (
          'Logged' AS Progress
   FROM events WHERE event_type = 'purchase'),
 metric_updates AS (
-  SELECT o_orderkey AS request_id, CAST(o_custkey AS INT) AS M_ID,
+  SELECT o_orderkey AS request_id, CAST(o_custkey AS BIGINT) AS M_ID,
          CASE WHEN o_orderkey % 2 = 0
               THEN CAST(DATE '2023-11-20' + CAST((o_orderkey * 11) % 72 AS INT) AS DATE)
               ELSE CAST(DATE '2024-02-01' + CAST(o_orderkey % 5 AS INT) AS DATE) END AS Date,
@@ -131,26 +131,26 @@ member_registrations AS (
               ELSE concat('new', CAST(c_custkey % 97 AS VARCHAR), '@example.org') END AS Email,
          CAST(18 + c_custkey % 50 AS INT) AS Age,
          CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE CAST(c_custkey AS VARCHAR) END AS Phone,
-         CAST(c_nationkey AS INT) AS MembershipType_ID,
-         CAST(c_nationkey % 5 AS INT) AS Gym_ID
+         CAST(c_nationkey AS BIGINT) AS MembershipType_ID,
+         CAST(c_nationkey % 5 AS BIGINT) AS Gym_ID
   FROM customer),
 trainer_registrations AS (
   SELECT s_suppkey AS request_id, s_name AS Name,
          CASE WHEN s_suppkey % 2 = 0 THEN concat('t', CAST(s_suppkey AS VARCHAR), '@example.org')
               ELSE concat('coach', CAST(s_suppkey AS VARCHAR), '@example.org') END AS Email,
          CASE WHEN s_suppkey % 9 = 0 THEN NULL ELSE 'Pilates' END AS Specialization,
-         CAST(s_nationkey % 5 AS INT) AS Gym_ID
+         CAST(s_nationkey % 5 AS BIGINT) AS Gym_ID
   FROM supplier),
 member_delete_requests AS (
   SELECT c_custkey AS request_id,
-         CAST(CASE WHEN c_acctbal < 0 THEN c_custkey ELSE c_custkey + 100000 END AS INT) AS M_ID
+         CAST(CASE WHEN c_acctbal < 0 THEN c_custkey ELSE c_custkey + 100000 END AS BIGINT) AS M_ID
   FROM customer),
 trainer_delete_requests AS (
   SELECT s_suppkey AS request_id,
-         CAST(CASE WHEN s_acctbal < 0 THEN s_suppkey ELSE s_suppkey + 100000 END AS INT) AS T_ID
+         CAST(CASE WHEN s_acctbal < 0 THEN s_suppkey ELSE s_suppkey + 100000 END AS BIGINT) AS T_ID
   FROM supplier),
 bench_log AS (
-  SELECT CAST(o_custkey AS INT) AS M_ID, CAST(NULL AS INT) AS S_ID, l_returnflag AS Exercise,
+  SELECT CAST(o_custkey AS BIGINT) AS M_ID, CAST(NULL AS BIGINT) AS S_ID, l_returnflag AS Exercise,
          CAST(l_shipdate AS DATE) AS Date, CAST(floor(l_quantity) AS INT) AS Duration,
          CAST(l_extendedprice % 2000 AS DECIMAL(6,2)) AS CaloriesBurnt,
          CAST(NULL AS DECIMAL(6,2)) AS Distance, CAST(NULL AS VARCHAR) AS Progress

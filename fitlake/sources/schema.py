@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# Keys are 64 bits wide: a log of 100 TB has more than 2**31 rows.
+L = T.LongType()
 I, S, D, B = T.IntegerType(), T.StringType(), T.DateType(), T.BooleanType()
 
 
@@ -15,22 +17,22 @@ def _st(*fields) -> T.StructType:
     return T.StructType([T.StructField(n, t, True) for n, t in fields])
 
 
-GYM = _st(("Gym_ID", I), ("Location", S), ("Capacity", I))
-MEMBERSHIP_TYPE = _st(("Type_ID", I), ("Name", S), ("Duration", I), ("Price", dec(8, 2)),
-                      ("Gym_ID", I))
-MEMBER = _st(("M_ID", I), ("Name", S), ("Email", S), ("Age", I), ("JoinDate", D), ("Phone", S),
-             ("MembershipEndDate", D), ("IsActive", B), ("MembershipType_ID", I), ("Gym_ID", I))
-TRAINER = _st(("T_ID", I), ("Name", S), ("Email", S), ("Specialization", S), ("Gym_ID", I))
-ADMIN = _st(("A_ID", I), ("Name", S), ("Email", S))
-SESSION = _st(("S_ID", I), ("Details", S), ("SessionDate", D), ("SessionTime", S),
-              ("Duration", I), ("T_ID", I), ("MaxParticipants", I), ("Status", S))
-WORKOUT_LOG = _st(("L_ID", I), ("M_ID", I), ("S_ID", I), ("Exercise", S), ("Date", D),
+GYM = _st(("Gym_ID", L), ("Location", S), ("Capacity", I))
+MEMBERSHIP_TYPE = _st(("Type_ID", L), ("Name", S), ("Duration", I), ("Price", dec(8, 2)),
+                      ("Gym_ID", L))
+MEMBER = _st(("M_ID", L), ("Name", S), ("Email", S), ("Age", I), ("JoinDate", D), ("Phone", S),
+             ("MembershipEndDate", D), ("IsActive", B), ("MembershipType_ID", L), ("Gym_ID", L))
+TRAINER = _st(("T_ID", L), ("Name", S), ("Email", S), ("Specialization", S), ("Gym_ID", L))
+ADMIN = _st(("A_ID", L), ("Name", S), ("Email", S))
+SESSION = _st(("S_ID", L), ("Details", S), ("SessionDate", D), ("SessionTime", S),
+              ("Duration", I), ("T_ID", L), ("MaxParticipants", I), ("Status", S))
+WORKOUT_LOG = _st(("L_ID", L), ("M_ID", L), ("S_ID", L), ("Exercise", S), ("Date", D),
                   ("Duration", I), ("CaloriesBurnt", dec(6, 2)), ("Distance", dec(6, 2)),
                   ("Progress", S))
-HEALTH_METRICS = _st(("Metric_ID", I), ("M_ID", I), ("Date", D), ("Weight", dec(5, 2)),
+HEALTH_METRICS = _st(("Metric_ID", L), ("M_ID", L), ("Date", D), ("Weight", dec(5, 2)),
                      ("Height", dec(5, 2)), ("SleepHours", I), ("WaterLiters", dec(4, 2)),
                      ("Steps", I))
-NOTIFICATIONS = _st(("Notif_ID", I), ("M_ID", I), ("Message", S), ("Type", S), ("IsRead", B),
+NOTIFICATIONS = _st(("Notif_ID", L), ("M_ID", L), ("Message", S), ("Type", S), ("IsRead", B),
                     ("CreatedAt", T.TimestampNTZType()))
 
 SCHEMAS = {
@@ -41,18 +43,18 @@ SCHEMAS = {
 TABLE_NAMES = tuple(SCHEMAS)
 
 # Request tables for the write-style operators.
-BOOKING_REQUEST = _st(("request_id", T.LongType()), ("M_ID", I), ("S_ID", I))
-CANCEL_REQUEST = _st(("request_id", T.LongType()), ("L_ID", I), ("M_ID", I))
-WORKOUT_REQUEST = _st(("request_id", T.LongType()), ("M_ID", I), ("Exercise", S), ("Date", D),
+BOOKING_REQUEST = _st(("request_id", L), ("M_ID", L), ("S_ID", L))
+CANCEL_REQUEST = _st(("request_id", L), ("L_ID", L), ("M_ID", L))
+WORKOUT_REQUEST = _st(("request_id", L), ("M_ID", L), ("Exercise", S), ("Date", D),
                       ("Duration", I), ("CaloriesBurnt", dec(6, 2)), ("Distance", dec(6, 2)),
                       ("Progress", S))
-METRIC_UPDATE = _st(("request_id", T.LongType()), ("M_ID", I), ("Date", D),
+METRIC_UPDATE = _st(("request_id", L), ("M_ID", L), ("Date", D),
                     ("Weight", dec(5, 2)), ("Height", dec(5, 2)), ("SleepHours", I),
                     ("WaterLiters", dec(4, 2)), ("Steps", I))
-MEMBER_REGISTRATION = _st(("request_id", T.LongType()), ("Name", S), ("Email", S), ("Age", I),
-                          ("Phone", S), ("MembershipType_ID", I), ("Gym_ID", I))
-TRAINER_REGISTRATION = _st(("request_id", T.LongType()), ("Name", S), ("Email", S),
-                           ("Specialization", S), ("Gym_ID", I))
+MEMBER_REGISTRATION = _st(("request_id", L), ("Name", S), ("Email", S), ("Age", I),
+                          ("Phone", S), ("MembershipType_ID", L), ("Gym_ID", L))
+TRAINER_REGISTRATION = _st(("request_id", L), ("Name", S), ("Email", S),
+                           ("Specialization", S), ("Gym_ID", L))
 
 # ---- fixed values that must equal the reference's -------------------------
 # Marker stored in WorkoutLog.Exercise for a session booking row.

@@ -144,23 +144,23 @@ def derive_tables(spark: SparkSession, sf_dir: str, as_of: dt.date = DEFAULT_AS_
     n_supp = F.lit(supplier.count())
 
     gym = region.select(
-        F.col("r_regionkey").cast("int").alias("Gym_ID"),
+        F.col("r_regionkey").cast("bigint").alias("Gym_ID"),
         F.col("r_name").alias("Location"),
         (F.lit(100) + F.lit(50) * F.col("r_regionkey")).cast("int").alias("Capacity"))
 
     nk = F.col("n_nationkey")
     mtype = nation.select(
-        nk.cast("int").alias("Type_ID"),
+        nk.cast("bigint").alias("Type_ID"),
         F.when(nk % 3 == 0, "Gold").when(nk % 3 == 1, "Silver").otherwise("Platinum").alias("Name"),
         F.when(nk % 3 == 1, 6).otherwise(12).cast("int").alias("Duration"),
         (F.lit(5000) + F.lit(500) * nk).cast("decimal(8,2)").alias("Price"),
-        F.col("n_regionkey").cast("int").alias("Gym_ID"))
+        F.col("n_regionkey").cast("bigint").alias("Gym_ID"))
 
     ck = F.col("c_custkey")
     join_date = F.date_add(_d("2022-12-01"), (ck % 425).cast("int"))
     months = F.when(F.col("c_nationkey") % 3 == 1, 6).otherwise(12)
     member = customer.join(nation, customer.c_nationkey == nation.n_nationkey).select(
-        ck.cast("int").alias("M_ID"),
+        ck.cast("bigint").alias("M_ID"),
         F.col("c_name").alias("Name"),
         F.concat(F.lit("m"), ck.cast("string"), F.lit("@example.org")).alias("Email"),
         F.when(ck % 29 == 0, F.lit(None)).otherwise((F.lit(8) + ck % 95).cast("int"))
@@ -170,29 +170,29 @@ def derive_tables(spark: SparkSession, sf_dir: str, as_of: dt.date = DEFAULT_AS_
         F.when(ck % 4 == 0, F.lit(None).cast("date")).otherwise(F.add_months(join_date, months))
         .alias("MembershipEndDate"),
         (F.col("c_acctbal") > 0).alias("IsActive"),
-        F.col("c_nationkey").cast("int").alias("MembershipType_ID"),
-        F.col("n_regionkey").cast("int").alias("Gym_ID"))
+        F.col("c_nationkey").cast("bigint").alias("MembershipType_ID"),
+        F.col("n_regionkey").cast("bigint").alias("Gym_ID"))
 
     sk = F.col("s_suppkey")
     trainer = supplier.join(nation, supplier.s_nationkey == nation.n_nationkey).select(
-        sk.cast("int").alias("T_ID"),
+        sk.cast("bigint").alias("T_ID"),
         F.col("s_name").alias("Name"),
         F.concat(F.lit("t"), sk.cast("string"), F.lit("@example.org")).alias("Email"),
         F.when(sk % 4 == 0, "Strength").when(sk % 4 == 1, "Yoga").when(sk % 4 == 2, "Cardio")
         .alias("Specialization"),
-        F.col("n_regionkey").cast("int").alias("Gym_ID"))
+        F.col("n_regionkey").cast("bigint").alias("Gym_ID"))
 
     admin = spark.createDataFrame([(1, "Site Admin", "admin@example.org")], SC.ADMIN)
 
     pk, psz = F.col("p_partkey"), F.col("p_size")
     session = part.select(
-        pk.cast("int").alias("S_ID"),
+        pk.cast("bigint").alias("S_ID"),
         F.col("p_name").alias("Details"),
         F.date_add(_d("2024-01-21"), (pk % 21).cast("int")).alias("SessionDate"),
         F.concat(F.lpad((F.lit(6) + psz % 15).cast("string"), 2, "0"), F.lit(":30:00"))
         .alias("SessionTime"),
         (F.lit(30) + F.lit(15) * (psz % 5)).cast("int").alias("Duration"),
-        ((pk * psz) % n_supp).cast("int").alias("T_ID"),
+        ((pk * psz) % n_supp).cast("bigint").alias("T_ID"),
         (F.lit(1) + psz % 4).cast("int").alias("MaxParticipants"),
         F.when(pk % 5 == 0, "cancelled")
         .when(((pk % 21) < 9) & (pk % 3 == 0), "completed")
@@ -207,9 +207,9 @@ def derive_tables(spark: SparkSession, sf_dir: str, as_of: dt.date = DEFAULT_AS_
     signup = et == "signup"
     sess_of = (eid * 7) % n_part
     workout_log = kept.select(
-        eid.cast("int").alias("L_ID"),
-        uid.cast("int").alias("M_ID"),
-        F.when(signup, sess_of.cast("int")).alias("S_ID"),
+        eid.cast("bigint").alias("L_ID"),
+        uid.cast("bigint").alias("M_ID"),
+        F.when(signup, sess_of.cast("bigint")).alias("S_ID"),
         F.when(signup, F.lit(SC.BOOKING)).otherwise(et).alias("Exercise"),
         F.when(signup, F.date_add(_d("2024-01-21"), (sess_of % 21).cast("int")))
         .otherwise(ev_date).alias("Date"),
@@ -225,8 +225,8 @@ def derive_tables(spark: SparkSession, sf_dir: str, as_of: dt.date = DEFAULT_AS_
 
     ok, oc = F.col("o_orderkey"), F.col("o_custkey")
     health = orders.select(
-        ok.cast("int").alias("Metric_ID"),
-        oc.cast("int").alias("M_ID"),
+        ok.cast("bigint").alias("Metric_ID"),
+        oc.cast("bigint").alias("M_ID"),
         F.date_add(_d("2023-11-20"), ((ok * 11) % 72).cast("int")).alias("Date"),
         F.when(ok % 19 == 0, F.lit(None))
         .otherwise((F.lit(150) + (ok * 7) % 2900).cast("decimal(20,0)") / 10)
@@ -240,13 +240,13 @@ def derive_tables(spark: SparkSession, sf_dir: str, as_of: dt.date = DEFAULT_AS_
     even = customer.filter(ck % 2 == 0)
     back = F.when(ck % 3 == 0, ck % 8).otherwise(ck % 130).cast("int")
     notif_a = even.select(
-        ck.cast("int").alias("Notif_ID"), ck.cast("int").alias("M_ID"),
+        ck.cast("bigint").alias("Notif_ID"), ck.cast("bigint").alias("M_ID"),
         F.lit("Renewal notice").alias("Message"), F.lit("renewal").alias("Type"),
         (ck % 5 == 0).alias("IsRead"),
         F.date_sub(F.lit(as_of), back).cast("timestamp_ntz").alias("CreatedAt"))
     k = eid % 5
     notif_b = events.filter(eid % 4 == 0).select(
-        (F.lit(10000000) + eid).cast("int").alias("Notif_ID"), uid.cast("int").alias("M_ID"),
+        (F.lit(10000000) + eid).cast("bigint").alias("Notif_ID"), uid.cast("bigint").alias("M_ID"),
         F.when(k == 0, "Reminder for cold widget").when(k == 1, "Reminder for small widget")
         .when(k == 2, "We miss you").when(k == 3, "We have missed you").otherwise("Milestone")
         .alias("Message"),
@@ -268,8 +268,8 @@ def booking_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = _raw(spark, sf_dir, "events")
     n_part = F.lit(_raw(spark, sf_dir, "part").count())
     return ev.filter(F.col("event_type") == "view").select(
-        F.col("event_id").alias("request_id"), F.col("user_id").cast("int").alias("M_ID"),
-        (F.col("event_id") % n_part).cast("int").alias("S_ID"))
+        F.col("event_id").alias("request_id"), F.col("user_id").cast("bigint").alias("M_ID"),
+        (F.col("event_id") % n_part).cast("bigint").alias("S_ID"))
 
 
 def cancel_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,16 +277,16 @@ def cancel_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = _raw(spark, sf_dir, "events")
     eid = F.col("event_id")
     return ev.select(
-        eid.alias("request_id"), eid.cast("int").alias("L_ID"),
+        eid.alias("request_id"), eid.cast("bigint").alias("L_ID"),
         F.when(eid % 7 < 4, F.col("user_id")).otherwise(F.col("user_id") + 1)
-        .cast("int").alias("M_ID"))
+        .cast("bigint").alias("M_ID"))
 
 
 def workout_requests(spark: SparkSession, sf_dir: str, as_of: dt.date = DEFAULT_AS_OF) -> DataFrame:
     ev = _raw(spark, sf_dir, "events")
     eid = F.col("event_id")
     return ev.filter(F.col("event_type") == "purchase").select(
-        eid.alias("request_id"), F.col("user_id").cast("int").alias("M_ID"),
+        eid.alias("request_id"), F.col("user_id").cast("bigint").alias("M_ID"),
         F.when(eid % 3 == 0, "Running").when(eid % 3 == 1, "Cycling").otherwise("Rowing")
         .alias("Exercise"),
         F.date_sub(F.lit(as_of), (eid % 3).cast("int")).alias("Date"),
@@ -305,7 +305,7 @@ def metric_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     same_day = F.date_add(_d("2023-11-20"), ((ok * 11) % 72).cast("int"))
     new_day = F.date_add(_d("2024-02-01"), (ok % 5).cast("int"))
     return o.select(
-        ok.alias("request_id"), oc.cast("int").alias("M_ID"),
+        ok.alias("request_id"), oc.cast("bigint").alias("M_ID"),
         F.when(ok % 2 == 0, same_day).otherwise(new_day).alias("Date"),
         ((F.lit(500) + ok % 1000).cast("decimal(20,0)") / 10).cast("decimal(5,2)").alias("Weight"),
         (F.lit(150) + oc % 50).cast("decimal(5,2)").alias("Height"),
@@ -326,8 +326,8 @@ def member_registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(ck % 11 == 0, F.lit(None)).otherwise(email).alias("Email"),
         (F.lit(18) + ck % 50).cast("int").alias("Age"),
         F.when(ck % 5 == 0, F.lit(None)).otherwise(ck.cast("string")).alias("Phone"),
-        F.col("c_nationkey").cast("int").alias("MembershipType_ID"),
-        (F.col("c_nationkey") % 5).cast("int").alias("Gym_ID"))
+        F.col("c_nationkey").cast("bigint").alias("MembershipType_ID"),
+        (F.col("c_nationkey") % 5).cast("bigint").alias("Gym_ID"))
 
 
 def trainer_registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -338,7 +338,7 @@ def trainer_registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(
         sk.alias("request_id"), F.col("s_name").alias("Name"), email.alias("Email"),
         F.when(sk % 9 == 0, F.lit(None)).otherwise(F.lit("Pilates")).alias("Specialization"),
-        (F.col("s_nationkey") % 5).cast("int").alias("Gym_ID"))
+        (F.col("s_nationkey") % 5).cast("bigint").alias("Gym_ID"))
 
 
 def member_delete_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -347,14 +347,14 @@ def member_delete_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _raw(spark, sf_dir, "customer")
     ck = F.col("c_custkey")
     return c.select(ck.alias("request_id"),
-                    F.when(F.col("c_acctbal") < 0, ck).otherwise(ck + 100000).cast("int").alias("M_ID"))
+                    F.when(F.col("c_acctbal") < 0, ck).otherwise(ck + 100000).cast("bigint").alias("M_ID"))
 
 
 def trainer_delete_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _raw(spark, sf_dir, "supplier")
     sk = F.col("s_suppkey")
     return s.select(sk.alias("request_id"),
-                    F.when(F.col("s_acctbal") < 0, sk).otherwise(sk + 100000).cast("int").alias("T_ID"))
+                    F.when(F.col("s_acctbal") < 0, sk).otherwise(sk + 100000).cast("bigint").alias("T_ID"))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -374,8 +374,8 @@ def bench_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _raw(spark, sf_dir, "orders")
     j = li.join(o, li.l_orderkey == o.o_orderkey)
     return j.select(
-        F.col("o_custkey").cast("int").alias("M_ID"),
-        F.lit(None).cast("int").alias("S_ID"),
+        F.col("o_custkey").cast("bigint").alias("M_ID"),
+        F.lit(None).cast("bigint").alias("S_ID"),
         F.col("l_returnflag").alias("Exercise"),
         F.col("l_shipdate").cast("date").alias("Date"),
         F.floor(F.col("l_quantity")).cast("int").alias("Duration"),

@@ -93,8 +93,8 @@ def stream_validate(stream: DataFrame, valid_path: str, quarantine_path: str, ch
 
 # ---- milestones -------------------------------------------------------------
 
-_MILESTONE_OUT = T.StructType([T.StructField("M_ID", T.IntegerType()),
-                               T.StructField("L_ID", T.IntegerType()),
+_MILESTONE_OUT = T.StructType([T.StructField("M_ID", T.LongType()),
+                               T.StructField("L_ID", T.LongType()),
                                T.StructField("n", T.IntegerType())])
 _MILESTONE_STATE = T.StructType([T.StructField("count", T.LongType())])
 
