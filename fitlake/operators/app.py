@@ -4,14 +4,16 @@ the two rule engines (recommendations, chat intent) as column expressions."""
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fitlake.functions.exprs import (DEFAULT_AS_OF, avg_exact, days_before, lit_date,
+from fitlake.functions.exprs import (DEFAULT_AS_OF, avg_exact, days_before, is_booking, lit_date,
                                      order_key)
 from fitlake.functions.exprs import ci as ci_key
 from fitlake.operators.common import booking_counts, top_k
+from fitlake.sources import schema as SC
 from fitlake.sources.tables import Tables
 
 # ---- fixed values that must equal the reference's ---------------------------
@@ -45,6 +47,16 @@ INTENTS = (
 )
 INTENT_DEFAULT = "greeting"
 COACH_TYPE = "Gold"
+# Tables that a role may read.
+ROLE_TABLES = {
+    "admin": ("gym", "membership_type", "member", "trainer", "admin", "session", "workout_log",
+              "health_metrics", "notifications"),
+    "trainer": ("session", "member", "workout_log", "health_metrics", "gym", "membership_type",
+                "trainer"),
+    "member": ("member", "workout_log", "health_metrics", "session", "trainer", "gym",
+               "membership_type", "notifications"),
+}
+# ---- end of fixed values ----------------------------------------------------
 
 
 def today_stats(t: Tables, as_of: dt.date = DEFAULT_AS_OF) -> DataFrame:
@@ -103,17 +115,18 @@ def rule_recommendations(t: Tables, as_of: dt.date = DEFAULT_AS_OF, max_n: int =
     """Ordered rule list per member, first `max_n` kept, flattened to
     (M_ID, position, type, message, exercise, duration).  Built as an array of
     optional structs: no Python on the data path."""
-    pat = exercise_patterns(t, as_of)
+    # One scan: the 7-day rows are counted inside the 30-day groups.
+    pat = (t.workout_log.filter(F.col("Date") >= days_before(as_of, 30)).groupBy("M_ID", "Exercise").agg(
+        avg_exact("CaloriesBurnt", 2).alias("avg_calories"),
+        F.count(F.when(F.col("Date") >= days_before(as_of, 7), F.lit(1))).alias("_week")))
     per_m = pat.groupBy("M_ID").agg(
         F.count(F.lit(1)).alias("_groups"),
-        F.sum(F.coalesce("avg_calories", F.lit(0))).alias("_cal_sum"))
+        F.sum(F.coalesce("avg_calories", F.lit(0))).alias("_cal_sum"),
+        F.sum("_week").alias("_weekly"))
     key = order_key("Date", "Metric_ID")
     hm = t.health_metrics.groupBy("M_ID").agg(F.max_by("Steps", key).alias("_steps"),
                                               F.max_by("SleepHours", key).alias("_sleep"))
-    wk = (t.workout_log.filter(F.col("Date") >= days_before(as_of, 7)).groupBy("M_ID")
-          .agg(F.count(F.lit(1)).alias("_weekly")))
-    f = (t.member.select("M_ID").join(per_m, "M_ID", "left").join(hm, "M_ID", "left")
-         .join(wk, "M_ID", "left"))
+    f = t.member.select("M_ID").join(per_m, "M_ID", "left").join(hm, "M_ID", "left")
     steps, sleep = F.col("_steps"), F.col("_sleep")
     weekly = F.coalesce("_weekly", F.lit(0))
     groups = F.coalesce("_groups", F.lit(0))
@@ -183,7 +196,7 @@ def admin_totals(t: Tables, as_of: dt.date = DEFAULT_AS_OF) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("activeSessions"))
     rev = (t.member.join(t.membership_type.select("Type_ID", "Price"),
                          F.col("MembershipType_ID") == F.col("Type_ID"))
-           .agg(F.coalesce(F.sum("Price"), F.lit(0)).cast("decimal(18,2)").alias("totalRevenue")))
+           .agg(F.coalesce(F.sum("Price"), F.lit(0)).cast("decimal(38,2)").alias("totalRevenue")))
     # one-row frames: joining them on a constant key is a 1x1 join
     k = F.lit(1).alias("_k")
     out = m.select(k, "*")
@@ -204,19 +217,42 @@ def coach_eligible(t: Tables) -> DataFrame:
     mt = t.membership_type.select("Type_ID", F.col("Name").alias("MembershipType"))
     return (t.member.join(mt, F.col("MembershipType_ID") == F.col("Type_ID"))
             .filter(F.col("MembershipType") == COACH_TYPE)
-            .select("M_ID", "Name", "MembershipType"))
+            .select("M_ID", "Name", "MembershipType", "Age", "JoinDate"))
+
+
+def coach_exercises(t: Tables, as_of: dt.date = DEFAULT_AS_OF) -> DataFrame:
+    """(M_ID, Exercise): what eligible members did in the last 30 days."""
+    return (t.workout_log.filter((F.col("Date") >= days_before(as_of, 30)) & F.col("Exercise").isNotNull())
+            .select("M_ID", "Exercise").distinct().join(coach_eligible(t).select("M_ID"), "M_ID", "left_semi"))
+
+
+def coach_recent_workouts(t: Tables, as_of: dt.date = DEFAULT_AS_OF, k: int = 5) -> DataFrame:
+    """The k newest log rows of the last 30 days of each eligible member."""
+    log = (t.workout_log.filter(F.col("Date") >= days_before(as_of, 30))
+           .select("M_ID", "L_ID", "Exercise", "Date", "Duration", "CaloriesBurnt")
+           .join(coach_eligible(t).select("M_ID"), "M_ID", "left_semi"))
+    return top_k(log, ["M_ID"], [F.col("Date").desc(), F.col("L_ID").desc()], k, rank_col="position")
+
+
+def coach_next_sessions(t: Tables, as_of: dt.date = DEFAULT_AS_OF, k: int = 3) -> DataFrame:
+    """The k next booked sessions of each eligible member."""
+    s = t.session.filter(F.col("SessionDate") >= lit_date(as_of)) \
+        .select("S_ID", "Details", "SessionDate", "SessionTime")
+    b = (t.workout_log.filter(is_booking()).select("M_ID", "L_ID", "S_ID").join(s, "S_ID")
+         .join(coach_eligible(t).select("M_ID"), "M_ID", "left_semi")
+         .select("M_ID", "L_ID", "Details", "SessionDate", "SessionTime"))
+    return top_k(b, ["M_ID"], [F.col("SessionDate"), F.col("SessionTime"), F.col("L_ID")], k, rank_col="position")
 
 
 def coach_context(t: Tables, as_of: dt.date = DEFAULT_AS_OF) -> DataFrame:
     """Flat data part of the coach prompt for every eligible member: 30-day
-    workout stats (NULL duration/calories as 0), exercise list, weight trend
-    over the 5 newest metric rows, latest metrics."""
+    workout stats (NULL duration/calories as 0), weight trend over the 5
+    newest metric rows, latest metrics.  Its lists are frames of their own:
+    `coach_exercises`, `coach_recent_workouts`, `coach_next_sessions`."""
     w = (t.workout_log.filter(F.col("Date") >= days_before(as_of, 30)).groupBy("M_ID").agg(
         F.count(F.lit(1)).alias("_n"),
         F.sum(F.coalesce("Duration", F.lit(0))).alias("_dur"),
-        F.sum(F.coalesce("CaloriesBurnt", F.lit(0))).alias("_cal"),
-        F.when(F.size(F.collect_set("Exercise")) > 0,
-               F.array_join(F.array_sort(F.collect_set("Exercise")), ", ")).alias("exercises")))
+        F.sum(F.coalesce("CaloriesBurnt", F.lit(0))).alias("_cal")))
     last5 = top_k(t.health_metrics, ["M_ID"], [F.col("Date").desc(), F.col("Metric_ID").desc()], 5,
                   rank_col="_rn")
     h = last5.groupBy("M_ID").agg(F.count(F.lit(1)).alias("_hn"),
@@ -228,12 +264,12 @@ def coach_context(t: Tables, as_of: dt.date = DEFAULT_AS_OF) -> DataFrame:
     n = F.coalesce("_n", F.lit(0))
     cal = F.coalesce("_cal", F.lit(0)).cast("decimal(38,2)")
     return (coach_eligible(t).join(w, "M_ID", "left").join(h, "M_ID", "left")
-            .select("M_ID", "Name", n.alias("total_workouts"),
+            .select("M_ID", "Name", "Age", "JoinDate", "MembershipType", n.alias("total_workouts"),
                     F.when(n > 0, F.col("_dur").cast("double") / n).otherwise(F.lit(0.0))
                     .alias("avg_duration"),
                     cal.alias("total_calories"),
                     F.when(n > 0, cal.cast("double") / n).otherwise(F.lit(0.0)).alias("avg_calories"),
-                    "exercises", change.alias("weight_change"),
+                    change.alias("weight_change"),
                     F.when(change < -0.5, "decreasing").when(change > 0.5, "increasing")
                     .otherwise("stable").alias("weight_trend"),
                     F.col("_new_Weight").alias("current_weight"),
@@ -275,16 +311,6 @@ def display_format(t: Tables) -> DataFrame:
                     F.coalesce(tm, F.lit("N/A")).alias("SessionTimeText"))
 
 
-ROLE_TABLES = {
-    "admin": ("gym", "membership_type", "member", "trainer", "admin", "session", "workout_log",
-              "health_metrics", "notifications"),
-    "trainer": ("session", "member", "workout_log", "health_metrics", "gym", "membership_type",
-                "trainer"),
-    "member": ("member", "workout_log", "health_metrics", "session", "trainer", "gym",
-               "membership_type", "notifications"),
-}
-
-
 def role_scope(t: Tables, role: str, user_id: int | None = None) -> dict[str, DataFrame]:
     """Tables a role may read, with the application's own-rows filter:
     members see their own member / log / metric / notification rows;
@@ -303,3 +329,10 @@ def role_scope(t: Tables, role: str, user_id: int | None = None) -> dict[str, Da
         allowed["member"] = allowed["member"].join(clients, "M_ID", "left_semi")
         allowed["health_metrics"] = allowed["health_metrics"].join(clients, "M_ID", "left_semi")
     return allowed
+
+
+def scope_keys(t: Tables, role: str, user_id: int | None = None) -> DataFrame:
+    """(table_name, id): the primary keys of every row in a role's scope."""
+    parts = [df.select(F.lit(n).alias("table_name"), F.col(SC.PRIMARY_KEYS[n]).alias("id"))
+             for n, df in role_scope(t, role, user_id).items()]
+    return reduce(DataFrame.unionByName, parts)

@@ -160,6 +160,17 @@ def table_counts(t: Tables) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def remaining_rows(t: Tables) -> DataFrame:
+    """(table_name, id, link): the key of every row, with the session of a log
+    row and the gym or owner of the others: what cascades may touch."""
+    links = {"gym": None, "membership_type": "Gym_ID", "member": "Gym_ID", "trainer": "Gym_ID", "admin": None,
+             "session": "T_ID", "workout_log": "S_ID", "health_metrics": "M_ID", "notifications": "M_ID"}
+    parts = [getattr(t, n).select(F.lit(n).alias("table_name"), F.col(SC.PRIMARY_KEYS[n]).alias("id"),
+                                  (F.col(c) if c else F.lit(None)).cast("bigint").alias("link"))
+             for n, c in links.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def purge_cancelled_sessions(t: Tables, as_of: dt.date = DEFAULT_AS_OF, days: int = 30) -> Tables:
     """Cancelled sessions older than `days` are deleted; log rows keep their
     row with S_ID set to NULL."""

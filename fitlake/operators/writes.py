@@ -258,3 +258,16 @@ def new_member_rows(t: Tables, requests: DataFrame, statuses: DataFrame,
                     F.coalesce("Phone", F.lit("")).alias("Phone"),
                     F.lit(None).cast("date").alias("MembershipEndDate"),
                     F.lit(True).alias("IsActive"), "MembershipType_ID", "Gym_ID"))
+
+
+def new_trainer_rows(requests: DataFrame, statuses: DataFrame) -> DataFrame:
+    ok = statuses.filter(F.col("T_ID").isNotNull()).select("request_id", "T_ID")
+    return (requests.join(ok, "request_id")
+            .select("T_ID", "Name", "Email", "Specialization", "Gym_ID"))
+
+
+def workout_rows(statuses: DataFrame) -> DataFrame:
+    """Log rows of accepted workouts (no session)."""
+    return (statuses.filter(F.col("L_ID").isNotNull())
+            .select("L_ID", "M_ID", F.lit(None).cast("bigint").alias("S_ID"), "Exercise", "Date", "Duration",
+                    "CaloriesBurnt", "Distance", "Progress"))

@@ -111,10 +111,21 @@ def _purge_cancelled_sessions_log(spark, d):
     return MT.purge_cancelled_sessions(tables(spark, d)).workout_log
 
 
+def _rows_sql(member="member", trainer="trainer", session="session", log="workout_log",
+              hm="health_metrics", notif="notifications"):
+    parts = [("gym", "gym", "Gym_ID", "NULL"), ("membership_type", "membership_type", "Type_ID", "Gym_ID"),
+             ("member", member, "M_ID", "Gym_ID"), ("trainer", trainer, "T_ID", "Gym_ID"),
+             ("admin", "admin", "A_ID", "NULL"), ("session", session, "S_ID", "T_ID"),
+             ("workout_log", log, "L_ID", "S_ID"), ("health_metrics", hm, "Metric_ID", "M_ID"),
+             ("notifications", notif, "Notif_ID", "M_ID")]
+    return "\n UNION ALL ".join(f"SELECT '{n}' AS table_name, {k} AS id, CAST({c} AS BIGINT) AS link FROM {src} x"
+                                for n, src, k, c in parts)
+
+
 def _counts_sql(member="member", trainer="trainer", session="session", log="workout_log",
                 hm="health_metrics", notif="notifications"):
     parts = [("gym", "gym"), ("membership_type", "membership_type"), ("member", member),
-             ("trainer", trainer), ("admin", "(SELECT 1)"), ("session", session),
+             ("trainer", trainer), ("admin", "admin"), ("session", session),
              ("workout_log", log), ("health_metrics", hm), ("notifications", notif)]
     sql = "\n UNION ALL ".join(f"SELECT '{n}' AS table_name, COUNT(*) AS row_count FROM {src} x"
                                for n, src in parts)
@@ -135,6 +146,18 @@ def _delete_inactive_members(spark, d):
     return MT.table_counts(MT.delete_inactive_members(tables(spark, d)))
 
 
+def _without(col, gone):
+    return {"member": f"(SELECT * FROM member WHERE {col} NOT IN {gone})",
+            "log": f"(SELECT * FROM workout_log WHERE {col} NOT IN {gone})",
+            "hm": f"(SELECT * FROM health_metrics WHERE {col} NOT IN {gone})",
+            "notif": f"(SELECT * FROM notifications WHERE {col} NOT IN {gone})"}
+
+
+@register("delete_inactive_members_rows", q(_rows_sql(**_without("M_ID", _GONE_MEMBERS))))
+def _delete_inactive_members_rows(spark, d):
+    return MT.remaining_rows(MT.delete_inactive_members(tables(spark, d)))
+
+
 @register("delete_trainers", q("""
 , f AS (SELECT T_ID, MIN(request_id) AS first FROM trainer_delete_requests GROUP BY T_ID)
 SELECT r.request_id, r.T_ID,
@@ -158,6 +181,15 @@ def _delete_trainers_cascade(spark, d):
     return MT.table_counts(W_delete(spark, d, "trainer")[1])
 
 
+@register("delete_trainers_rows", q(_rows_sql(
+    trainer=f"(SELECT * FROM trainer WHERE T_ID NOT IN {_GONE_TRAINERS})",
+    session=f"(SELECT * FROM session WHERE T_ID NOT IN {_GONE_TRAINERS})",
+    log=f"""(SELECT L_ID, CASE WHEN S_ID IN {_GONE_TSESS} THEN NULL ELSE S_ID END AS S_ID
+             FROM workout_log)""")))
+def _delete_trainers_rows(spark, d):
+    return MT.remaining_rows(W_delete(spark, d, "trainer")[1])
+
+
 @register("delete_members", q("""
 , f AS (SELECT M_ID, MIN(request_id) AS first FROM member_delete_requests GROUP BY M_ID)
 SELECT r.request_id, r.M_ID,
@@ -180,6 +212,11 @@ def _delete_members_cascade(spark, d):
     return MT.table_counts(W_delete(spark, d, "member")[1])
 
 
+@register("delete_members_rows", q(_rows_sql(**_without("M_ID", _GONE_M))))
+def _delete_members_rows(spark, d):
+    return MT.remaining_rows(W_delete(spark, d, "member")[1])
+
+
 def W_delete(spark, d, which):
     t = tables(spark, d)
     if which == "trainer":
@@ -217,7 +254,7 @@ _BOOK = """
 SELECT st.*, CASE WHEN status IN ('SUCCESS: Session booked successfully', 'Session booked successfully.')
                   THEN CAST((SELECT MAX(L_ID) FROM workout_log) + row_number() OVER (
            PARTITION BY status IN ('SUCCESS: Session booked successfully', 'Session booked successfully.')
-           ORDER BY request_id) AS INT) END AS L_ID
+           ORDER BY request_id) AS BIGINT) END AS L_ID
 FROM st"""
 
 _PROC = """CASE WHEN NOT found THEN 'ERROR: Session not found'
@@ -276,7 +313,7 @@ def _cancel_bookings_log(spark, d):
   FROM workout_requests r)
 SELECT st.*, CASE WHEN status = 'SUCCESS: Workout logged successfully' THEN CAST(
          (SELECT MAX(L_ID) FROM workout_log) + row_number() OVER (
-           PARTITION BY status = 'SUCCESS: Workout logged successfully' ORDER BY request_id) AS INT) END AS L_ID
+           PARTITION BY status = 'SUCCESS: Workout logged successfully' ORDER BY request_id) AS BIGINT) END AS L_ID
 FROM st"""))
 def _add_workouts(spark, d):
     return W.add_workouts(tables(spark, d), S.workout_requests(spark, d))
@@ -308,7 +345,7 @@ SELECT h.Metric_ID, h.M_ID, h.Date,
        CASE WHEN l.M_ID IS NOT NULL THEN l.Steps ELSE h.Steps END AS Steps
 FROM health_metrics h LEFT JOIN lastv l ON h.M_ID = l.M_ID AND h.Date = l.Date
 UNION ALL
-SELECT CAST((SELECT MAX(Metric_ID) FROM health_metrics) + row_number() OVER (ORDER BY f) AS INT),
+SELECT CAST((SELECT MAX(Metric_ID) FROM health_metrics) + row_number() OVER (ORDER BY f) AS BIGINT),
        M_ID, Date, Weight, Height, SleepHours, WaterLiters, Steps
 FROM newk"""))
 def _upsert_health_metrics(spark, d):
@@ -347,7 +384,7 @@ _REG = """
   FROM pre LEFT JOIN win ON pre.Email = win.Email)
 SELECT st.*, CASE WHEN status = '{ok}' THEN CAST(
          (SELECT MAX({pk}) FROM {table}) + row_number() OVER (
-           PARTITION BY status = '{ok}' ORDER BY request_id) AS INT) END AS {pk}
+           PARTITION BY status = '{ok}' ORDER BY request_id) AS BIGINT) END AS {pk}
 FROM st"""
 
 
@@ -384,8 +421,50 @@ def _register_trainers(spark, d):
         FROM workout_requests) r)
 SELECT st.*, CASE WHEN status = 'success' THEN CAST(
          (SELECT MAX(L_ID) FROM workout_log) + row_number() OVER (
-           PARTITION BY status = 'success' ORDER BY request_id) AS INT) END AS L_ID
+           PARTITION BY status = 'success' ORDER BY request_id) AS BIGINT) END AS L_ID
 FROM st"""))
 def _add_workouts_app(spark, d):
     reqs = W.normalize_workout_form(S.workout_requests(spark, d))
     return W.add_workouts(tables(spark, d), reqs, form="app")
+
+
+# The rows that accepted requests write, from the status statements above.
+def _accepted(statuses: str, select: str) -> str:
+    head, _, tail = statuses.rpartition("\nSELECT st.*,")
+    return f"{head},\n  done AS (SELECT st.*,{tail})\n{select}"
+
+
+from fitlake.plans.registry import _SQL  # noqa: E402
+
+
+@register("booking_rows", _accepted(_SQL["apply_bookings"], """
+SELECT d.L_ID, d.M_ID, d.S_ID, 'Session Booking' AS Exercise, s.SessionDate AS Date, s.Duration,
+       CAST(NULL AS DECIMAL(6,2)) AS CaloriesBurnt, CAST(NULL AS DECIMAL(6,2)) AS Distance, 'Booked' AS Progress
+FROM done d JOIN session s USING (S_ID) WHERE d.L_ID IS NOT NULL"""))
+def _booking_rows(spark, d):
+    t = tables(spark, d)
+    return W.booking_rows(t, W.apply_bookings(t, S.booking_requests(spark, d)))
+
+
+@register("workout_rows", _accepted(_SQL["add_workouts"], """
+SELECT L_ID, M_ID, CAST(NULL AS BIGINT) AS S_ID, Exercise, Date, Duration, CaloriesBurnt, Distance, Progress
+FROM done WHERE L_ID IS NOT NULL"""))
+def _workout_rows(spark, d):
+    return W.workout_rows(W.add_workouts(tables(spark, d), S.workout_requests(spark, d)))
+
+
+@register("new_member_rows", _accepted(_SQL["register_members"], """
+SELECT d.M_ID, r.Name, r.Email, r.Age, DATE '2024-01-30' AS JoinDate, COALESCE(r.Phone, '') AS Phone,
+       CAST(NULL AS DATE) AS MembershipEndDate, TRUE AS IsActive, r.MembershipType_ID, r.Gym_ID
+FROM member_registrations r JOIN done d USING (request_id) WHERE d.M_ID IS NOT NULL"""))
+def _new_member_rows(spark, d):
+    t, r = tables(spark, d), S.member_registrations(spark, d)
+    return W.new_member_rows(t, r, W.register_members(t, r))
+
+
+@register("new_trainer_rows", _accepted(_SQL["register_trainers"], """
+SELECT d.T_ID, r.Name, r.Email, r.Specialization, r.Gym_ID
+FROM trainer_registrations r JOIN done d USING (request_id) WHERE d.T_ID IS NOT NULL"""))
+def _new_trainer_rows(spark, d):
+    r = S.trainer_registrations(spark, d)
+    return W.new_trainer_rows(r, W.register_trainers(tables(spark, d), r))

@@ -3,6 +3,9 @@ stream and returns the streaming result as a batch frame."""
 
 from __future__ import annotations
 
+import datetime as dt
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,18 +18,12 @@ from fitlake.streaming import twins as ST
 _NOTICE_COLS = "FALSE AS IsRead, TIMESTAMP '2024-01-30 00:00:00' AS CreatedAt"
 
 
-def _log_stream(spark, d):
-    t = tables(spark, d)
-    src = ST.replay(t.workout_log, ST.scratch(spark, "replay-log"), "L_ID")
-    return ST._file_stream(spark, src, SC.WORKOUT_LOG)
-
-
 @register("stream_validate", q(f"""
 SELECT *, CASE {_WORKOUT_CASE} END AS violation FROM workout_log"""))
 def _stream_validate(spark, d):
-    stream = _log_stream(spark, d)
     valid, quarantine = ST.scratch(spark, "valid"), ST.scratch(spark, "quarantine")
-    ST._run(ST.stream_validate(stream, valid, quarantine, ST.scratch(spark, "ck")))
+    ST.replay(spark, [tables(spark, d).workout_log],
+              lambda stream, ck: ST.stream_validate(stream, valid, quarantine, ck), SC.WORKOUT_LOG)
     good = spark.read.schema(SC.WORKOUT_LOG).parquet(f"{valid}/*").withColumn(
         "violation", F.lit(None).cast("string"))
     flagged = T.StructType([*SC.WORKOUT_LOG.fields, T.StructField("violation", T.StringType())])
@@ -48,21 +45,29 @@ SELECT L_ID, M_ID,
        'progress' AS Type, {_NOTICE_COLS}
 FROM run WHERE n IN (10, 25, 50, 100)"""))
 def _stream_milestones(spark, d):
-    return ST.run_to_table(spark, ST.stream_milestones(_log_stream(spark, d)))
+    # the only one that needs its input in L_ID order
+    parts = ST.slices(tables(spark, d).workout_log, "L_ID", 4)
+    return ST.replay_to_table(spark, parts, SC.WORKOUT_LOG, ST.stream_milestones)
 
 
 @register("stream_daily_calories", q("""
 SELECT M_ID, Date, SUM(CaloriesBurnt) AS daily_calories FROM workout_log
 WHERE CaloriesBurnt IS NOT NULL GROUP BY M_ID, Date"""))
 def _stream_daily_calories(spark, d):
-    # complete mode: the replay has no late rows, so the final result table
-    # equals the batch aggregate (append mode would hold back open windows).
-    return ST.run_to_table(spark, ST.stream_daily_calories(_log_stream(spark, d)), mode="complete")
+    # Append mode.  First the log, then one row of a far day, whose watermark
+    # closes every window of the log and lets its state go; then the log once
+    # more, each row now later than the watermark, so none may count again.
+    log = tables(spark, d).workout_log
+    far = spark.createDataFrame([(0, 0, None, None, dt.date(2200, 1, 1), None, Decimal("1.00"), None, None)],
+                                SC.WORKOUT_LOG)
+    return ST.replay_to_table(spark, [log, far, log], SC.WORKOUT_LOG, ST.stream_daily_calories)
 
 
-@register("stream_notice_dedupe")
+@register("stream_notice_dedupe", q("""
+SELECT DISTINCT M_ID, Type FROM notifications"""))
 def _stream_notice_dedupe(spark, d):
-    t = tables(spark, d)
-    src = ST.replay(t.notifications, ST.scratch(spark, "replay-notif"), "Notif_ID")
-    stream = ST._file_stream(spark, src, SC.NOTIFICATIONS)
-    return ST.run_to_table(spark, ST.stream_notice_dedupe(stream))
+    # The delay is longer than the data, so each (member, type) passes once
+    # whatever the watermark does; which of its notices is not defined.
+    n = tables(spark, d).notifications
+    return ST.replay_to_table(spark, [n, n], SC.NOTIFICATIONS,
+                              lambda s: ST.stream_notice_dedupe(s, "4000 days").select("M_ID", "Type"))

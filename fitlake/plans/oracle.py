@@ -38,7 +38,7 @@ member AS (
   FROM customer JOIN nation ON c_nationkey = n_nationkey),
 trainer AS (
   SELECT CAST(s_suppkey AS BIGINT) AS T_ID, s_name AS Name,
-         concat('t', CAST(s_suppkey AS VARCHAR), '@example.org') AS Email,
+         concat('t', CAST(CASE WHEN s_suppkey % 17 = 0 THEN s_suppkey % 34 ELSE s_suppkey END AS VARCHAR), '@example.org') AS Email,
          CASE s_suppkey % 4 WHEN 0 THEN 'Strength' WHEN 1 THEN 'Yoga' WHEN 2 THEN 'Cardio' END
            AS Specialization,
          CAST(n_regionkey AS BIGINT) AS Gym_ID
@@ -56,22 +56,22 @@ session AS (
   FROM part),
 workout_log AS (
   SELECT CAST(event_id AS BIGINT) AS L_ID, CAST(user_id AS BIGINT) AS M_ID,
-         CASE WHEN event_type = 'signup'
+         CASE WHEN event_type = 'signup' AND user_id % 10 <> 0
               THEN CAST((event_id * 7) % (SELECT count(*) FROM part) AS BIGINT) END AS S_ID,
-         CASE WHEN event_type = 'signup' THEN 'Session Booking' ELSE event_type END AS Exercise,
-         CASE WHEN event_type = 'signup'
+         CASE WHEN event_type = 'signup' AND user_id % 10 <> 0 THEN 'Session Booking' ELSE event_type END AS Exercise,
+         CASE WHEN event_type = 'signup' AND user_id % 10 <> 0
               THEN CAST(DATE '2024-01-21' + CAST(((event_id * 7) % (SELECT count(*) FROM part)) % 21 AS INT) AS DATE)
+              WHEN (user_id % 5 = 0 AND CAST(ts AS DATE) >= DATE '2024-01-14')
+                   OR (user_id % 5 = 1 AND CAST(ts AS DATE) >= DATE '2024-01-21') THEN CAST(CAST(ts AS DATE) - 40 AS DATE)
               ELSE CAST(ts AS DATE) END AS Date,
          CASE WHEN event_id % 13 = 0 THEN NULL ELSE CAST(3 + (event_id * 11) % 320 AS INT) END AS Duration,
-         CASE WHEN event_type = 'signup' OR event_id % 17 = 0 THEN NULL
+         CASE WHEN (event_type = 'signup' AND user_id % 10 <> 0) OR event_id % 17 = 0 THEN NULL
               ELSE CAST(((event_id * 37) % 210000) / 100.0 AS DECIMAL(6,2)) END AS CaloriesBurnt,
          CASE WHEN event_id % 3 = 0 THEN NULL
               ELSE CAST(((event_id * 13) % 5200) / 100.0 AS DECIMAL(6,2)) END AS Distance,
-         CASE WHEN event_type = 'signup' THEN 'Booked' END AS Progress
-  FROM events
-  WHERE NOT (user_id % 5 = 0 AND CAST(ts AS DATE) >= DATE '2024-01-14')
-    AND NOT (user_id % 5 = 1 AND CAST(ts AS DATE) >= DATE '2024-01-21')
-    AND NOT (user_id % 10 = 0 AND event_type = 'signup')),
+         CASE WHEN event_type = 'signup' AND user_id % 10 <> 0 THEN 'Booked' END AS Progress
+  FROM events),
+admin AS (SELECT CAST(1 AS BIGINT) AS A_ID, 'Site Admin' AS Name, 'admin@example.org' AS Email),
 health_metrics AS (
   SELECT CAST(o_orderkey AS BIGINT) AS Metric_ID, CAST(o_custkey AS BIGINT) AS M_ID,
          CAST(DATE '2023-11-20' + CAST((o_orderkey * 11) % 72 AS INT) AS DATE) AS Date,
@@ -87,15 +87,15 @@ notifications AS (
          'Renewal notice' AS Message, 'renewal' AS Type, c_custkey % 5 = 0 AS IsRead,
          CAST(CAST(DATE '2024-01-30' - CAST(CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 8
                                                  ELSE c_custkey % 130 END AS INT) AS DATE) AS TIMESTAMP) AS CreatedAt
-  FROM customer WHERE c_custkey % 2 = 0
+  FROM customer
   UNION ALL
   SELECT CAST(10000000 + event_id AS BIGINT), CAST(user_id AS BIGINT),
          CASE event_id % 5 WHEN 0 THEN 'Reminder for cold widget' WHEN 1 THEN 'Reminder for small widget'
               WHEN 2 THEN 'We miss you' WHEN 3 THEN 'We have missed you' ELSE 'Milestone' END,
          CASE WHEN event_id % 5 <= 1 THEN 'session_reminder' WHEN event_id % 5 <= 3 THEN 'system'
               ELSE 'progress' END,
-         event_id % 8 = 0, CAST(ts AS TIMESTAMP)
-  FROM events WHERE event_id % 4 = 0),
+         event_id % 8 <= 1, CAST(ts AS TIMESTAMP)
+  FROM events),
 booking_requests AS (
   SELECT event_id AS request_id, CAST(user_id AS BIGINT) AS M_ID,
          CAST(event_id % (SELECT count(*) FROM part) AS BIGINT) AS S_ID

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import threading
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,35 +24,59 @@ _QUERIES: dict[str, Builder] = {}
 _SQL: dict[str, str] = {}
 
 
-# (id(session), folder) -> (session, tables).  Holding the session object
-# keeps its id from being reused by a later session while the entry exists.
-_TABLES: dict[tuple[int, str], tuple[SparkSession, Tables]] = {}
+# (id(session), folder) -> (session, state of the source files, tables).
+# Holding the session object keeps its id from being reused by a later session
+# while the entry exists.
+_TABLES: dict[tuple, tuple[SparkSession, tuple, Tables]] = {}
 _LOCK = threading.RLock()  # queries may be built from several threads
+_RAW = ("region", "nation", "customer", "supplier", "part", "orders", "events", "lineitem")
+
+
+def source_state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of the source's files (any Hadoop file system):
+    a curated copy is used only while these stay as they were."""
+    sc = spark.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = folder.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = []
+    for name in _RAW:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder, f"{name}.parquet")
+        if fs.exists(path):
+            files = fs.listStatus(path)
+            out.append((name, tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime())
+                                           for f in files))))
+    return tuple(out)
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """Derived tables for `sf_dir`; the lazy plans are built once per session
-    and folder and shared by every query (building them costs more driver
-    round trips than most queries take to run on small inputs)."""
+    """Curated tables for `sf_dir`: derived and stored once per session and
+    folder (`curate`), again as soon as the source's files have changed."""
     key = (id(spark), sf_dir)
     with _LOCK:
         hit = _TABLES.get(key)
-        return hit[1] if hit is not None and hit[0] is spark else _curate(spark, sf_dir, key)
+        state = source_state(spark, sf_dir)
+        if hit is not None and hit[0] is spark and hit[1] == state:
+            return hit[2]
+        return curate(spark, sf_dir)
 
 
-def _curate(spark: SparkSession, sf_dir: str, key) -> Tables:
-    ensure_defaults(spark)
-    t = curated_tables(
-        spark, derive_tables(spark, sf_dir, DEFAULT_AS_OF), _curated_path(spark, sf_dir, "tables"))
-    _TABLES[key] = (spark, t)
-    return t
+def curate(spark: SparkSession, sf_dir: str) -> Tables:
+    """Derive the nine tables from `sf_dir` and store them in a new folder
+    below the shared checkpoint folder."""
+    with _LOCK:
+        ensure_defaults(spark)
+        state = source_state(spark, sf_dir)
+        t = curated_tables(
+            spark, derive_tables(spark, sf_dir, DEFAULT_AS_OF), _curated_path(spark, sf_dir, "tables"))
+        _TABLES[(id(spark), sf_dir)] = (spark, state, t)
+        return t
 
 
 def _curated_path(spark: SparkSession, sf_dir: str, kind: str) -> str:
     """Per application and session: concurrent or later runs never read or
     overwrite each other's (possibly stale or half-written) curated tables."""
     app = spark.conf.get("spark.app.id", "app")
-    tag = hashlib.sha1(f"{app}|{id(spark)}|{sf_dir}|{kind}".encode()).hexdigest()[:16]
+    tag = hashlib.sha1(f"{app}|{uuid.uuid4()}|{sf_dir}|{kind}".encode()).hexdigest()[:16]
     return f"{checkpoint_dir(spark).rstrip('/')}/fitlake-curated/{tag}"
 
 
@@ -63,15 +88,16 @@ def bench_tables_cached(spark: SparkSession, sf_dir: str) -> Tables:
     key = (id(spark), "bench:" + sf_dir)
     with _LOCK:
         hit = _TABLES.get(key)
-        if hit is not None and hit[0] is spark:
-            return hit[1]
+        state = source_state(spark, sf_dir)
+        if hit is not None and hit[0] is spark and hit[1] == state:
+            return hit[2]
         ensure_defaults(spark)
         # Same curated dimension/fact tables; only the log is the bench-size one.
         path = _curated_path(spark, sf_dir, "bench")
         save_table(bench_log(spark, sf_dir), "workout_log", path)
         log = spark.read.schema(SCHEMAS["workout_log"]).parquet(f"{path}/workout_log")
         t = tables(spark, sf_dir).replace(workout_log=log)
-        _TABLES[key] = (spark, t)
+        _TABLES[key] = (spark, state, t)
         return t
 
 

@@ -8,6 +8,7 @@ dir, broadcast threshold) always win.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import time
 
@@ -80,12 +81,17 @@ def _context(spark: SparkSession):
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder: the cluster's `spark.checkpoint.dir` if set.
 
-    Only when the session has none (tests, local runs) is a fresh scratch
-    folder created and registered.
+    Only a local session that has none (tests, one-machine runs) gets a fresh
+    scratch folder; on a cluster executors would not see it, so there the
+    setting is required.
     """
     sc = _context(spark)
     d = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc else None)
     if not d:
+        master = spark.conf.get("spark.master", "local")
+        if not re.match(r"local(\[|$)", master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share "
+                               f"(master is {master})")
         d = tempfile.mkdtemp(prefix="fitlake-ckpt-", dir=os.environ.get("FITLAKE_SCRATCH", "/tmp"))
         if sc is not None:
             sc.setCheckpointDir(d)

@@ -61,6 +61,9 @@ _SORT_ON_WRITE = {"workout_log": ("Date", "M_ID", "L_ID"),
                   "notifications": ("CreatedAt", "M_ID", "Notif_ID")}
 
 
+#: The plan whose members the coach serves (a fixed value of the application).
+COACH_PLAN = "Gold"
+
 # Table names in the source database (the reference's DDL).
 JDBC_TABLE_NAMES = {
     "gym": "Gym", "membership_type": "MembershipType", "member": "Member", "trainer": "Trainer",
@@ -70,21 +73,24 @@ JDBC_TABLE_NAMES = {
 
 
 def load_tables_jdbc(spark: SparkSession, url: str, properties: dict[str, str],
-                     num_partitions: int = 64, bounds: dict[str, tuple[int, int]] | None = None
-                     ) -> Tables:
+                     num_partitions: int = 64) -> Tables:
     """Read the nine tables from the operational database with Spark's JDBC
     source: each table is read in `num_partitions` parallel range queries
-    over its integer primary key (bounds per table, default 0..2^31-1), and
-    only the declared columns are selected, so password columns never leave
-    the database.  (Needs the database's JDBC driver on the classpath.)"""
+    between the least and the greatest value of its integer primary key (one
+    small query a table; a table without rows is read in one), and only the
+    declared columns are selected, so password columns never leave the
+    database.  (Needs the database's JDBC driver on the classpath.)"""
     frames = {}
     for name, sch in SC.SCHEMAS.items():
         pk = SC.PRIMARY_KEYS[name]
-        lo, hi = (bounds or {}).get(name, (0, 2 ** 31 - 1))
+        source = JDBC_TABLE_NAMES[name]
+        lo, hi = spark.read.jdbc(url, f"(SELECT MIN({pk}) AS lo, MAX({pk}) AS hi FROM {source}) AS b",
+                                 properties=properties).first()
+        lo, hi = (0, 0) if lo is None else (int(lo), int(hi))
         cols = ", ".join(sch.names)
-        df = spark.read.jdbc(url, f"(SELECT {cols} FROM {JDBC_TABLE_NAMES[name]}) AS t",
-                             column=pk, lowerBound=lo, upperBound=hi,
-                             numPartitions=num_partitions, properties=properties)
+        df = spark.read.jdbc(url, f"(SELECT {cols} FROM {source}) AS t",
+                             column=pk, lowerBound=lo, upperBound=hi + 1,
+                             numPartitions=max(1, min(num_partitions, hi - lo + 1)), properties=properties)
         frames[name] = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in sch.fields])
     return Tables(**frames)
 
@@ -177,7 +183,9 @@ def derive_tables(spark: SparkSession, sf_dir: str, as_of: dt.date = DEFAULT_AS_
     trainer = supplier.join(nation, supplier.s_nationkey == nation.n_nationkey).select(
         sk.cast("bigint").alias("T_ID"),
         F.col("s_name").alias("Name"),
-        F.concat(F.lit("t"), sk.cast("string"), F.lit("@example.org")).alias("Email"),
+        # some trainers share an address: the unique-key audit has work to do
+        F.concat(F.lit("t"), F.when(sk % 17 == 0, sk % 34).otherwise(sk).cast("string"),
+                 F.lit("@example.org")).alias("Email"),
         F.when(sk % 4 == 0, "Strength").when(sk % 4 == 1, "Yoga").when(sk % 4 == 2, "Cardio")
         .alias("Specialization"),
         F.col("n_regionkey").cast("bigint").alias("Gym_ID"))
@@ -200,19 +208,19 @@ def derive_tables(spark: SparkSession, sf_dir: str, as_of: dt.date = DEFAULT_AS_
 
     eid, uid, et = F.col("event_id"), F.col("user_id"), F.col("event_type")
     ev_date = F.col("ts").cast("date")
-    kept = events.filter(
-        ~((uid % 5 == 0) & (ev_date >= _d("2024-01-14")))
-        & ~((uid % 5 == 1) & (ev_date >= _d("2024-01-21")))
-        & ~((uid % 10 == 0) & (et == "signup")))
-    signup = et == "signup"
+    # Every event is kept.  Idle members are made by moving their late events
+    # back, members without a booking by leaving their sign-ups as workouts.
+    idle = ((uid % 5 == 0) & (ev_date >= _d("2024-01-14"))) | ((uid % 5 == 1) & (ev_date >= _d("2024-01-21")))
+    log_date = F.when(idle, F.date_sub(ev_date, 40)).otherwise(ev_date)
+    signup = (et == "signup") & (uid % 10 != 0)
     sess_of = (eid * 7) % n_part
-    workout_log = kept.select(
+    workout_log = events.select(
         eid.cast("bigint").alias("L_ID"),
         uid.cast("bigint").alias("M_ID"),
         F.when(signup, sess_of.cast("bigint")).alias("S_ID"),
         F.when(signup, F.lit(SC.BOOKING)).otherwise(et).alias("Exercise"),
         F.when(signup, F.date_add(_d("2024-01-21"), (sess_of % 21).cast("int")))
-        .otherwise(ev_date).alias("Date"),
+        .otherwise(log_date).alias("Date"),
         F.when(eid % 13 == 0, F.lit(None)).otherwise((F.lit(3) + (eid * 11) % 320).cast("int"))
         .cast("int").alias("Duration"),
         F.when(signup | (eid % 17 == 0), F.lit(None))
@@ -237,22 +245,21 @@ def derive_tables(spark: SparkSession, sf_dir: str, as_of: dt.date = DEFAULT_AS_
         F.when(ok % 23 == 0, F.lit(None)).otherwise(((ok * 37) % 12000).cast("int"))
         .cast("int").alias("Steps"))
 
-    even = customer.filter(ck % 2 == 0)
     back = F.when(ck % 3 == 0, ck % 8).otherwise(ck % 130).cast("int")
-    notif_a = even.select(
+    notif_a = customer.select(
         ck.cast("bigint").alias("Notif_ID"), ck.cast("bigint").alias("M_ID"),
         F.lit("Renewal notice").alias("Message"), F.lit("renewal").alias("Type"),
         (ck % 5 == 0).alias("IsRead"),
         F.date_sub(F.lit(as_of), back).cast("timestamp_ntz").alias("CreatedAt"))
     k = eid % 5
-    notif_b = events.filter(eid % 4 == 0).select(
+    notif_b = events.select(
         (F.lit(10000000) + eid).cast("bigint").alias("Notif_ID"), uid.cast("bigint").alias("M_ID"),
         F.when(k == 0, "Reminder for cold widget").when(k == 1, "Reminder for small widget")
         .when(k == 2, "We miss you").when(k == 3, "We have missed you").otherwise("Milestone")
         .alias("Message"),
         F.when(k <= 1, "session_reminder").when(k <= 3, "system").otherwise("progress")
         .alias("Type"),
-        (eid % 8 == 0).alias("IsRead"),
+        (eid % 8 <= 1).alias("IsRead"),
         F.col("ts").cast("timestamp_ntz").alias("CreatedAt"))
     notifications = notif_a.unionByName(notif_b)
 
@@ -384,36 +391,27 @@ def bench_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("Progress"))
 
 
-# ---- tiny seed (shape of the reference's seed rows; invented names) ---------
-
-def seed_tables(spark: SparkSession, as_of: dt.date = DEFAULT_AS_OF) -> Tables:
-    d = lambda n: as_of + dt.timedelta(days=n)
-    gym = [(1, "Downtown", 200), (2, "Riverside", 150)]
-    mtype = [(1, "Gold", 12, Decimal("12000.00"), 1), (2, "Silver", 6, Decimal("7000.00"), 1),
-             (3, "Platinum", 12, Decimal("15000.00"), 2)]
-    member = [
-        (1, "Ana Lopez", "ana@example.org", 28, d(-200), "5550001", None, True, 1, 1),
-        (2, "Ben Okafor", "ben@example.org", 35, d(-100), "5550002", None, True, 2, 1),
-        (3, "Chen Wei", "chen@example.org", 42, d(-50), "5550003", None, True, 3, 2)]
-    trainer = [(1, "Dana Reyes", "dana@example.org", "Strength", 1),
-               (2, "Eli Novak", "eli@example.org", "Yoga", 2)]
-    admin = [(1, "Site Admin", "admin@example.org")]
-    session = [(1, "Morning Strength", d(0), "07:00:00", 60, 1, 15, "scheduled"),
-               (2, "Sunset Yoga", d(1), "18:30:00", 45, 2, 10, "scheduled"),
-               (3, "Power Circuit", d(2), "12:00:00", 30, 1, 5, "scheduled")]
-    log = [(1, 1, 1, "Weightlifting", d(0), 60, Decimal("450.00"), None, "Good form"),
-           (2, 2, None, "Running", d(-1), 30, Decimal("300.00"), Decimal("5.00"), "Steady"),
-           (3, 3, None, "Yoga", d(-2), 45, Decimal("150.00"), None, "Relaxed")]
-    metrics = [(1, 1, d(0), Decimal("70.50"), Decimal("175.00"), 7, Decimal("2.50"), 8500),
-               (2, 2, d(0), Decimal("82.00"), Decimal("180.00"), 6, Decimal("3.00"), 6000),
-               (3, 3, d(0), Decimal("60.00"), Decimal("165.00"), 8, Decimal("2.00"), 10000)]
-    mk = lambda rows, s: spark.createDataFrame(rows, s)
-    return Tables(gym=mk(gym, SC.GYM), membership_type=mk(mtype, SC.MEMBERSHIP_TYPE),
-                  member=mk(member, SC.MEMBER), trainer=mk(trainer, SC.TRAINER),
-                  admin=mk(admin, SC.ADMIN), session=mk(session, SC.SESSION),
-                  workout_log=mk(log, SC.WORKOUT_LOG),
-                  health_metrics=mk(metrics, SC.HEALTH_METRICS),
-                  notifications=mk([], SC.NOTIFICATIONS))
+# ---- tiny fixture for unit tests --------------------------------------------
+
+def seed_tables(spark: SparkSession, as_of: dt.date = DEFAULT_AS_OF, members: int = 8) -> Tables:
+    """A small invented world, built from counters: four halls, five plans,
+    `members` members, four trainers with a session each, two log rows and one
+    metric row a member, and one unread notice for every other member."""
+    day = lambda n: as_of + dt.timedelta(days=n)
+    ids = range(1, members + 1)
+    gym = [(i, f"Hall {i}", 40 * i) for i in range(1, 5)]
+    plans = [(i, COACH_PLAN if i == 3 else f"Plan {i}", 3 * i, Decimal(90 * i), 1 + i % 4) for i in range(1, 6)]
+    member = [(i, f"Member {i}", f"member{i}@example.org", 20 + 3 * i, day(-11 * i),
+               f"+000{i}" if i % 2 else None, None, True, 1 + i % 5, 1 + i % 4) for i in ids]
+    trainer = [(i, f"Coach {i}", f"coach{i}@example.org", f"Skill {i}", i) for i in range(1, 5)]
+    session = [(i, f"Class {i}", day(i - 2), f"{8 + i:02d}:15:00", 25 * i, i, 2 + i, "scheduled") for i in range(1, 5)]
+    log = [(2 * i - 1, i, None, f"Move {i % 3}", day(-i), 10 + i, Decimal(7 * i), None, None) for i in ids]
+    log += [(2 * i, i, 1 + i % 4, SC.BOOKING, day(1 + i % 4 - 2), 25 * (1 + i % 4), None, None, "Booked") for i in ids]
+    metrics = [(i, i, day(-i), Decimal(50 + 2 * i), Decimal(150 + 3 * i), 4 + i % 5, Decimal(i) / 4, 1111 * i) for i in ids]
+    notes = [(i, i, f"Note {i}", "system", False, dt.datetime.combine(day(-i), dt.time())) for i in ids if i % 2 == 0]
+    return frames(spark, {"gym": gym, "membership_type": plans, "member": member, "trainer": trainer,
+                          "admin": [(1, "Keeper", "keeper@example.org")], "session": session, "workout_log": log,
+                          "health_metrics": metrics, "notifications": notes})
 
 
 def frames(spark: SparkSession, rows: dict, base: Tables | None = None) -> Tables:

@@ -8,8 +8,8 @@ whose output matches on a bounded replay.
 * `stream_daily_calories`  1-day tumbling window with a watermark.
 * `stream_notice_dedupe`   `dropDuplicatesWithinWatermark` on (M_ID, Type).
 
-`replay` writes a batch frame as an ordered sequence of files so a file
-source delivers it in key order, one file per trigger.
+`replay` feeds a sequence of batch frames through a file source, each frame
+read by parallel tasks; only milestones need the frames in key order.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import datetime as dt
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,31 +37,30 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def replay(df: DataFrame, path: str, order_col: str, chunks: int = 4,
-           max_rows_per_file: int = 1_000_000) -> str:
-    """Write `df` as key-ordered files, one sequential write per chunk, so a
-    file stream with maxFilesPerTrigger=1 replays the rows in key order (how
-    an auto-increment table grows).  At least `chunks` files, more when
-    needed to keep every file (= one task, one micro-batch) under
-    `max_rows_per_file` rows.  A test / backfill helper: live feeds arrive
-    in insertion order by themselves."""
-    n = df.count()
-    chunks = max(chunks, -(-n // max_rows_per_file))
-    bounds = df.approxQuantile(order_col, [i / chunks for i in range(1, chunks)], 0.001)
-    edges = [None, *sorted(set(bounds)), None]
-    for i in range(len(edges) - 1):
-        lo, hi = edges[i], edges[i + 1]
-        part = df
-        if lo is not None:
-            part = part.filter(F.col(order_col) > lo)
-        if hi is not None:
-            part = part.filter(F.col(order_col) <= hi)
-        part.coalesce(1).sortWithinPartitions(order_col).write.mode("append").parquet(path)
-    return path
+def slices(df: DataFrame, order_col: str, n: int) -> list[DataFrame]:
+    """`df` as `n` frames by ranges of `order_col` (rows without one first)."""
+    bounds = sorted(set(df.approxQuantile(order_col, [i / n for i in range(1, n)], 0.001)))
+    c, out = F.col(order_col), []
+    for lo, hi in zip([None, *bounds], [*bounds, None]):
+        part = df if lo is None else df.filter(c > lo)
+        out.append(part if hi is None else part.filter((c <= hi) | c.isNull() if lo is None else c <= hi))
+    return out
+
+
+def replay(spark: SparkSession, parts: list[DataFrame], start, schema: T.StructType) -> None:
+    """Feeds the frames to a stream one after another: each is written by all
+    its tasks into the stream's folder, and `start(stream, checkpoint)` is run
+    on it until nothing is left.  The checkpoint carries state, watermark and
+    offsets from one to the next, so frames arrive in order while the files of
+    one frame are read in parallel."""
+    src, ck = scratch(spark, "replay"), scratch(spark, "replay-ck")
+    for part in parts:
+        part.write.mode("append").parquet(src)
+        _run(start(_file_stream(spark, src, schema), ck))
 
 
 def _file_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path))
+    return spark.readStream.schema(schema).parquet(path)
 
 
 def _run(query) -> None:
@@ -79,7 +79,7 @@ def stream_validate(stream: DataFrame, valid_path: str, quarantine_path: str, ch
     flagged = stream.withColumn("violation", first_violation(*workout_range_rules(as_of)))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
+        batch = batch.persist()
         (batch.filter(F.col("violation").isNull()).drop("violation")
          .write.mode("overwrite").parquet(f"{valid_path}/batch_{batch_id}"))
         (batch.filter(F.col("violation").isNotNull())
@@ -100,20 +100,24 @@ _MILESTONE_STATE = T.StructType([T.StructField("count", T.LongType())])
 
 
 def _milestone_state(workouts_only: bool):
-    marks = set(MILESTONES)
+    marks = np.array(list(MILESTONES))
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         count = state.get[0] if state.exists else 0
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("L_ID", kind="stable")
-        counted = pdf["Exercise"].notna() & (pdf["Exercise"] != BOOKING)
-        running = counted.astype("int64").cumsum() + count
-        fire = running.isin(marks)
+        ids, counted = [], []  # nine bytes a row; the rows themselves are let go
+        for pdf in pdfs:
+            ids.append(pdf["L_ID"].to_numpy("int64"))
+            counted.append((pdf["Exercise"].notna() & (pdf["Exercise"] != BOOKING)).to_numpy(bool))
+        ids, counted = np.concatenate(ids), np.concatenate(counted)
+        order = np.argsort(ids, kind="stable")
+        ids, counted = ids[order], counted[order]
+        running = np.cumsum(counted) + count
+        fire = np.isin(running, marks)
         if workouts_only:
             fire &= counted
-        state.update((int(running.iloc[-1]) if len(running) else count,))
-        out = pdf.loc[fire, ["M_ID", "L_ID"]].copy()
-        out["n"] = running[fire].astype("int32")
-        yield out
+        state.update((int(running[-1]),))
+        yield pd.DataFrame({"M_ID": np.full(int(fire.sum()), key[0], "int64"), "L_ID": ids[fire],
+                            "n": running[fire].astype("int32")})
 
     return fn
 
@@ -161,6 +165,22 @@ def stream_notice_dedupe(stream: DataFrame, within: str = "7 days") -> DataFrame
 
 # ---- drivers used by the registry / tests -----------------------------------
 
+def replay_to_table(spark: SparkSession, parts: list[DataFrame], schema: T.StructType, transform) -> DataFrame:
+    """`replay` into Parquet in append mode under the shared checkpoint dir;
+    returns the result as a batch frame."""
+    out = scratch(spark, "stream-out")
+    result: list[T.StructType] = []
+
+    def start(stream: DataFrame, ck: str):
+        df = transform(stream)
+        result.append(df.schema)
+        return (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
+                .outputMode("append").trigger(availableNow=True).start())
+
+    replay(spark, parts, start, schema)
+    return spark.read.schema(result[0]).parquet(out)
+
+
 def run_to_table(spark: SparkSession, streaming_df: DataFrame, mode: str = "append") -> DataFrame:
     """Run a streaming frame to completion (availableNow) into Parquet under
     the shared checkpoint dir and return the result as a batch frame."""

@@ -59,8 +59,8 @@ def test_dashboard_json_is_valid(spark):
     t = seed_tables(spark, AS_OF)
     rows = DB.dashboard_json(DB.member_dashboard(t, AS_OF), "M_ID").collect()
     doc = json.loads(next(r.json for r in rows if r.M_ID == 1))
-    assert doc["member"]["Name"] == "Ana Lopez" and len(doc["recentWorkouts"]) == 1
-    assert doc["upcomingSessions"] == []
+    assert doc["member"]["Name"] == "Member 1" and len(doc["recentWorkouts"]) == 2
+    assert [x["Details"] for x in doc["upcomingSessions"]] == ["Class 2"]
 
 
 def test_notice_dedupe_stream(spark):
@@ -69,31 +69,29 @@ def test_notice_dedupe_stream(spark):
             (3, 1, "c", "system", False, dt.datetime(2024, 1, 2)),
             (4, 2, "d", "renewal", False, dt.datetime(2024, 1, 3))]
     df = spark.createDataFrame(rows, SC.NOTIFICATIONS)
-    src = ST.replay(df, ST.scratch(spark, "t-notif"), "Notif_ID", chunks=2)
-    out = ST.run_to_table(spark, ST.stream_notice_dedupe(ST._file_stream(spark, src, SC.NOTIFICATIONS)))
-    assert sorted(r.Notif_ID for r in out.collect()) == [1, 3, 4]
+    out = ST.replay_to_table(spark, ST.slices(df, "Notif_ID", 2), SC.NOTIFICATIONS, ST.stream_notice_dedupe)
+    # rows of one micro-batch have no order: one of each pair, whichever it is
+    assert sorted((r.M_ID, r.Type) for r in out.collect()) == [(1, "renewal"), (1, "system"), (2, "renewal")]
 
 
 def test_daily_calories_stream_drops_late_rows(spark):
     from decimal import Decimal
-    src = ST.scratch(spark, "t-late")
     d = lambda day: dt.date(2024, 1, day)
-    batches = [[(1, 1, None, "Run", d(1), 30, Decimal("100.00"), None, None),
-                (2, 1, None, "Run", d(2), 30, Decimal("50.00"), None, None)],
-               [(3, 1, None, "Run", d(10), 30, Decimal("10.00"), None, None)],
-               [(4, 1, None, "Run", d(1), 30, Decimal("999.00"), None, None)],   # late
-               [(5, 1, None, "Run", d(20), 30, Decimal("1.00"), None, None)]]
-    for rows in batches:  # one file per write, written in order
-        spark.createDataFrame(rows, SC.WORKOUT_LOG).coalesce(1).write.mode("append").parquet(src)
-    stream = ST._file_stream(spark, src, SC.WORKOUT_LOG)
-    out = ST.run_to_table(spark, ST.stream_daily_calories(stream), mode="append")
-    got = dict((r.Date, r.daily_calories) for r in out.collect())
-    # Append mode emits a day only once the watermark has passed it: Jan 20 is
-    # still open.  Spark's lateness guarantee is one-directional: the late
-    # Jan 1 row may be merged (its window was still in state) or dropped.
-    assert set(got) == {d(1), d(2), d(10)}
-    assert got[d(1)] in (Decimal("100.00"), Decimal("1099.00"))
-    assert got[d(2)] == Decimal("50.00") and got[d(10)] == Decimal("10.00")
+    row = lambda i, day, cal: (i, 1, None, "Run", d(day), 30, Decimal(cal), None, None)
+    batches = [[row(1, 1, "100.00"), row(2, 2, "50.00")], [row(3, 10, "10.00")],
+               [row(4, 1, "999.00")],  # later than the watermark of Jan 9, its state gone
+               [row(5, 20, "1.00")]]
+    parts = [spark.createDataFrame(rows, SC.WORKOUT_LOG) for rows in batches]
+    out = ST.replay_to_table(spark, parts, SC.WORKOUT_LOG, ST.stream_daily_calories)
+    assert {(r.Date, r.daily_calories) for r in out.collect()} == {
+        (d(1), Decimal("100.00")), (d(2), Decimal("50.00")), (d(10), Decimal("10.00"))}  # Jan 20 is open
+
+
+def test_slices_keep_rows_without_an_order(spark):
+    df = spark.createDataFrame([(None,), *[(i,) for i in range(20)]], "k long")
+    parts = [sorted((r.k is not None, r.k or 0) for r in p.collect()) for p in ST.slices(df, "k", 3)]
+    assert sum(map(len, parts)) == 21 and parts[0][0] == (False, 0)
+    assert all(a[-1] < b[0] for a, b in zip(parts, parts[1:]))
 
 
 def test_admin_dashboard_split_valid_and_new_members(spark):
@@ -102,16 +100,16 @@ def test_admin_dashboard_split_valid_and_new_members(spark):
     t = seed_tables(spark, AS_OF)
     dash = DB.admin_dashboard(t, AS_OF)
     stats = dash["stats"].first()
-    assert (stats.totalMembers, stats.totalTrainers, stats.activeSessions) == (3, 2, 3)
-    assert dash["members"].count() == 3 and dash["trainers"].count() == 2
+    assert (stats.totalMembers, stats.totalTrainers, stats.activeSessions) == (8, 4, 3)
+    assert dash["members"].count() == 8 and dash["trainers"].count() == 4
     valid, bad = RU.split_valid(RU.validate_workouts(t.workout_log, AS_OF))
-    assert valid.count() == 3 and bad.count() == 0 and "violation" not in valid.columns
+    assert valid.count() + bad.count() == 16 and bad.count() == 4 and "violation" not in valid.columns
     req = spark.createDataFrame([(1, "Zed", "zed@example.org", 30, None, 1, 1),
-                                 (2, "Dup", "ana@example.org", 30, None, 1, 1)], SC.MEMBER_REGISTRATION)
+                                 (2, "Dup", "member1@example.org", 30, None, 1, 1)], SC.MEMBER_REGISTRATION)
     st = W.register_members(t, req)
     rows = W.new_member_rows(t, req, st, AS_OF).collect()
     assert [(r.M_ID, r.Email, r.JoinDate, r.Phone, r.IsActive) for r in rows] == \
-        [(4, "zed@example.org", AS_OF, "", True)]
+        [(9, "zed@example.org", AS_OF, "", True)]
 
 
 def test_top_k_salted_path_equals_window_path(spark):
@@ -136,3 +134,69 @@ def test_id_generating_and_stream_queries_are_repeatable(spark):
                  "append_session_reminders", "stream_milestones"]:
         df = qs[name](spark, "/root/testdata/sf0.001")
         assert sorted(df.collect()) == sorted(df.collect()), name
+
+
+CONFS = [{"spark.sql.adaptive.enabled": "true"},
+         {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.coalescePartitions.enabled": "false"},
+         {"spark.sql.adaptive.enabled": "false"}]
+
+
+def _with(spark, conf, fn):
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        return fn()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_assign_ids_on_a_million_rows(spark):
+    """Dense, unique and complete however the range shuffle is planned."""
+    n = 1_000_000
+    df = spark.range(n).select(F.col("id").alias("k"), F.repeat(F.lit("x"), 20).alias("text"),
+                               (F.col("id") % 3 == 0).alias("ok"))
+    for conf in CONFS:
+        conf = {**conf, "spark.sql.shuffle.partitions": "8"}
+        r = _with(spark, conf, lambda: assign_ids(df, "k", 10, "nid").agg(
+            F.count("*"), F.countDistinct("nid"), F.min("nid"), F.max("nid"),
+            F.sum((F.col("nid") == F.col("k") + 11).cast("long"))).first())
+        assert tuple(r) == (n, n, 11, n + 10, n), conf
+        ok = (n + 2) // 3
+        r = _with(spark, conf, lambda: assign_ids(df, "k", 0, "nid", only=F.col("ok")).agg(
+            F.count("*"), F.count("nid"), F.countDistinct("nid"), F.max("nid")).first())
+        assert tuple(r) == (n, ok, ok, ok), conf
+
+
+def test_changed_source_is_seen(spark, tmp_path):
+    import shutil
+    from fitlake.plans.registry import queries
+    for name in ("region", "nation", "customer", "supplier", "part", "orders", "events"):
+        shutil.copy(f"/root/testdata/sf0.001/{name}.parquet", tmp_path / f"{name}.parquet")
+    q = queries()["admin_totals"]
+    before = q(spark, str(tmp_path)).first().totalMembers
+    import pyarrow.parquet as pq
+    rows = pq.read_table(tmp_path / "customer.parquet")
+    pq.write_table(rows.slice(0, 40), tmp_path / "customer.parquet")
+    spark.catalog.clearCache()
+    assert before > 40 and q(spark, str(tmp_path)).first().totalMembers == 40
+
+
+def test_cluster_needs_a_shared_folder():
+    import pytest
+    from fitlake.session import checkpoint_dir as folder
+
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "spark://host:7077"}.get(key, default)
+
+    class Context:
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        folder(Session())

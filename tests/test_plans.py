@@ -40,4 +40,25 @@ def test_date_window_reaches_the_log_scan(static_plans, name):
 
 def test_scans_are_column_pruned(static_plans):
     plan = static_plans["member_progress_summary"]
-    assert "ReadSchema: struct<M_ID:int,Date:date,CaloriesBurnt:decimal(6,2)>" in plan
+    assert "ReadSchema: struct<M_ID:bigint,Date:date,CaloriesBurnt:decimal(6,2)>" in plan
+
+
+def test_null_session_keys_stay_out_of_joins(spark):
+    """Broadcasts off: only booking rows are shuffled to sessions; each leaf
+    table of a delete is shuffled once."""
+    from fitlake.plans.registry import queries
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = lambda n: queries()[n](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        log = plan("validate_log_rows")
+        rows = plan("delete_inactive_members_rows")
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    scans = [x for x in log.splitlines() if "FileScan" in x and "workout_log" in x]
+    assert len(scans) >= 2 and "IsNotNull(S_ID)" in log
+    joined = [x for x in log.splitlines() if "SortMergeJoin" in x and "S_ID" in x]
+    assert joined and "UnionExec" not in joined[0]
+    assert rows.count("LeftAnti") == 4  # member and its three leaves, each once

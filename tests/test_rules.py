@@ -42,7 +42,8 @@ def _base(spark, **rows):
 
 def test_seed_tables_load(spark):
     t = seed_tables(spark, AS_OF)
-    assert t.member.count() == 3 and t.session.count() == 3 and t.notifications.count() == 0
+    assert t.member.count() == 8 and t.session.count() == 4 and t.notifications.count() == 4
+    assert all(r.orphans == 0 for r in RU.check_foreign_keys(t).collect())
 
 
 def test_age_group_boundaries(spark):
@@ -207,9 +208,9 @@ def test_question_intent_order(spark):
 def test_role_scope(spark):
     t = seed_tables(spark, AS_OF)
     m = A.role_scope(t, "member", 1)
-    assert "admin" not in m and m["workout_log"].count() == 1
+    assert "admin" not in m and m["workout_log"].count() == 2
     tr = A.role_scope(t, "trainer", 1)
-    assert "notifications" not in tr and tr["session"].count() == 2
+    assert "notifications" not in tr and tr["session"].count() == 1
 
 
 def test_check_unique_flags_duplicates(spark):
@@ -300,3 +301,40 @@ def test_bmi_exact_half_up_on_ties(spark):
                               _hm(2, 2, D(0), w=Decimal("72.08"), h=Decimal("200.00"))])
     got = {r.M_ID: r.BMI for r in M.member_bmi(t).collect()}
     assert got == {1: Decimal("18.03"), 2: Decimal("18.02")}   # 18.025 -> 18.03, 18.02 exact
+
+
+def test_session_reminders_take_any_text_in_details(spark):
+    details = ["a\\b", "50% off", "x_y", "plain", None]
+    sessions = [(i, x, D(1), "07:00:00", 30, 1, 5, "scheduled") for i, x in enumerate(details, 1)]
+    log = [_log(i, i, ex=BK, sid=i, date=D(1)) for i in range(1, 6)]
+    now = dt.datetime.combine(AS_OF, dt.time(8))
+    said = [(1, 1, "about a\\b", "session_reminder", False, now), (2, 2, "50 percent off", "session_reminder", False, now),
+            (3, 3, "about xzy", "session_reminder", False, now)]
+    t = _base(spark, member=[_member(i) for i in range(1, 6)], trainer=[(1, "T", "t@x", None, 1)],
+              session=sessions, workout_log=log, notifications=said)
+    got = {r.M_ID for r in N.session_reminders(t, AS_OF).collect()}
+    assert got == {4, 5}  # a backslash is itself, _ stands for one character, % for any run
+
+
+def test_values_beyond_the_report_columns_stay(spark):
+    far = [_log(i, 1, date=D(-30 + i)) for i in range(1, 330)]  # a score of over 999
+    t = _base(spark, member=[_member(1)], workout_log=far,
+              trainer=[(1, "T", "t@x", None, 1)], session=[(1, "S", D(1), "07:00:00", 5000, 1, 5, "scheduled")],
+              health_metrics=[_hm(1, 1, D(0), w=Decimal("299.00"), h=Decimal("10.00"))])
+    r = R.engagement_report(t, AS_OF).first()
+    assert r.Engagement_Score == Decimal("1096.67") and r.Engagement_Level == "Highly Engaged"
+    assert M.member_bmi(t).first().BMI == Decimal("29900.00")
+    assert R.trainer_report(t).first().Avg_Session_Duration == Decimal("5000.00")
+
+
+def test_order_key_with_wide_ids(spark):
+    df = spark.createDataFrame([(D(0), 2 ** 62, "new"), (D(0), 5, "old"), (D(-1), 2 ** 63 - 1, "older")],
+                               "Date date, id long, v string")
+    assert df.agg(F.max_by("v", X.order_key("Date", "id"))).first()[0] == "new"
+
+
+def test_bookings_with_negative_request_ids(spark):
+    t = _base(spark, member=[_member(1)], trainer=[(1, "T", "t@x", None, 1)],
+              session=[(1, "S", D(1), "07:00:00", 30, 1, 0, "scheduled")])
+    req = spark.createDataFrame([(-5, 1, 1)], SC.BOOKING_REQUEST)
+    assert W.apply_bookings(t, req).first().status == W.BOOK_FULL
