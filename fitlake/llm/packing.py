@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from fitlake.llm.base import for_python, query, read
 
-#: Words whose ids a Python worker remembers; the memory starts anew beyond.
-CACHE_WORDS = 250_000
+#: Words whose ids a Python worker remembers: the first that it meets, the
+#: common ones among them.  About 200 bytes each.
+CACHE_WORDS = 1_000_000
 #: Pieces that wait in a task's buffer.
 BUFFER = 1024
 _CACHE: dict[str, tuple] = {}
@@ -32,38 +33,76 @@ _CACHE: dict[str, tuple] = {}
 
 class WordTokens:
     """Ids (as little-endian unsigned 32-bit bytes) by a tokenizer that drops
-    white space, so that a text's ids are its words' ids one after another."""
+    white space and marks the last piece of a word, so that a text's ids are
+    its words' ids one after another: each word is encoded once and looked up
+    after that."""
 
     def __init__(self, path: str):
         import os
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         if path not in _CACHE:
             from tokenizers import Tokenizer
-            _CACHE[path] = Tokenizer.from_file(path), {}
-        self.tokenizer, self.known = _CACHE[path]
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        got = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+            t = Tokenizer.from_file(path)
+            last = np.zeros(t.get_vocab_size(), bool)
+            for piece, i in t.get_vocab().items():
+                last[i] = piece.endswith("</w>")
+            bare = Tokenizer.from_file(path)
+            bare.normalizer = None  # it leaves a-z as they are
+            _CACHE[path] = t, bare, last, {}
+        self.tokenizer, self.bare, self.last, self.known = _CACHE[path]
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in got]
 
-    def __call__(self, text: str) -> bytes:
-        raw = text.encode()
-        if b"<|" in raw:  # may name a special token, which is matched before letters are folded
-            return self._ids([text])[0]
-        ws, known = raw.lower().split(), self.known
-        try:
-            return b"".join(map(known.__getitem__, ws))
-        except KeyError:
-            new = [w for w in set(ws) if w not in known]
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = list(set(ws))
-        known.update(zip(new, self._ids([w.decode() for w in new])))
-        out = b"".join(map(known.__getitem__, ws))
-        if len(known) > CACHE_WORDS:
-            known.clear()
+    def _letters(self, words: list[bytes], tokenizer) -> list[bytes]:
+        """Words of letters alone, encoded together and parted at last pieces."""
+        text = b" ".join(words).decode()
+        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words) or (len(ends) and ends[-1] != len(ids)):
+            return self._each([w.decode() for w in words])
+        raw, cuts = ids.tobytes(), (4 * ends).tolist()
+        return [raw[i:j] for i, j in zip([0, *cuts], cuts)]
+
+    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of words not known yet; remembered while there is room."""
+        known, out = self.known, {}
+        # a comma or full stop after a letter is a token of its own
+        marked = [w for w in words if len(w) > 1 and w[-1] in b".," and w[:-1].decode()[-1].isalpha()]
+        whole = words.difference(marked)
+        whole.update(w[:-1] for w in marked)
+        whole.update({b".", b","} if marked else ())
+        whole = [w for w in whole if w not in known]
+        ascii_ = [w for w in whole if w.isalpha()]
+        other = [w for w in whole if not w.isascii() and w.decode().isalpha()]
+        for plain, tokenizer in ((ascii_, self.bare), (other, self.tokenizer)):
+            for k in range(0, len(plain), 4096):
+                out.update(zip(plain[k:k + 4096], self._letters(plain[k:k + 4096], tokenizer)))
+        rest = [w for w in whole if w not in out]
+        out.update(zip(rest, self._each([w.decode() for w in rest])))
+        for w in marked:
+            x, y = w[:-1], w[-1:]
+            out[w] = (known[x] if x in known else out[x]) + (known[y] if y in known else out[y])
+        if len(known) + len(out) <= CACHE_WORDS:
+            known.update(out)
         return out
 
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        # "<|" may name a special token, which is matched before letters are folded
+        ws = [None if "<|" in t else t.encode().lower().split() for t in texts]
+        here: set[bytes] = set()
+        for x in ws:
+            if x is not None:
+                here.update(x)
+        # a table of these texts' words: small enough for a processor's cache
+        table = dict(zip(here, map(self.known.get, here)))
+        new = {w for w, ids in table.items() if ids is None}
+        if new:
+            learnt = self._learn(new)
+            table.update(zip(new, map(learnt.__getitem__, new)))
+        return [self._each([t])[0] if x is None else b"".join(map(table.__getitem__, x)) for t, x in zip(texts, ws)]
+
 
 class Packer:
     """Pieces are (key, start, ids, loss, total): `ids` bytes of 4 an id,
@@ -215,10 +254,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, tokens: int
     end = np.array([end_id], "<u4").tobytes()
 
     def examples(b):
-        encode = WordTokens(tokenizer)
-        text = b.column("text")
-        for i, key in enumerate(b.column("doc_id").to_pylist()):
-            yield key, encode(text[i].as_py() or "") + end, None
+        texts = [t or "" for t in b.column("text").to_pylist()]
+        for key, ids in zip(b.column("doc_id").to_pylist(), WordTokens(tokenizer)(texts)):
+            yield key, ids + end, None
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = _packed(rows, examples, (tokens, segments, loss_tokens or tokens), True)
@@ -242,8 +280,8 @@ def pack_conversations(turns: DataFrame, tokenizer: str, end_id: int = 2, tokens
         encode = WordTokens(tokenizer)
         for key, parts in zip(b.column("conv_id").to_pylist(), b.column("parts").to_pylist()):
             ids, loss = [], []
-            for p in parts:
-                x = encode(p["text"] or "") + end
+            for p, x in zip(parts, encode([p["text"] or "" for p in parts])):
+                x += end
                 ids.append(x)
                 loss.append(bytes([p["role"] in roles]) * (len(x) // 4))
             yield key, b"".join(ids), b"".join(loss)
