@@ -104,7 +104,10 @@ class Lattice:
     def _find(self, h: np.ndarray) -> np.ndarray:
         """The piece with each hash, n if there is none."""
         i = self.t1[self._place(h, 44)]
-        miss = np.flatnonzero(self.hash[i] != h)
+        other = self.hash[i] != h
+        # an empty place: no piece; one that another piece has: look further
+        miss = np.flatnonzero(other & (i != self.n))
+        i[other] = self.n
         if len(miss):
             j = self.t2[self._place(h[miss] ^ np.uint64(0x5555), 48)]
             j[self.hash[j] != h[miss]] = self.n
@@ -132,7 +135,9 @@ class Lattice:
         for j, arcs in self._arcs(x):
             terms = np.stack([a[:, i] + lp[p] for i, p in arcs])
             top = terms.max(axis=0)
-            a[:, j] = top + np.log(np.exp(terms - top).sum(axis=0))
+            low = np.where(np.isneginf(top), 0.0, top)  # nothing ends here
+            with np.errstate(divide="ignore"):
+                a[:, j] = low + np.log(np.exp(terms - low).sum(axis=0))
             if keep is not None:
                 keep.append((j, arcs))
         return a
@@ -280,11 +285,11 @@ def _answers(key, t, values):
     order = np.argsort(values.column("place").to_numpy())
     known, base, model = (values.column(c).to_numpy()[order] for c in ("known", "base", "model"))
     texts = [text_words(x.as_py()) for x in t.column("text")]
-    ws = sorted(set().union(*texts)) if texts else []
+    ws = sorted(set().union(*texts))
     place = dict(zip(ws, range(1, len(ws) + 1)))
     out = []
     for text in texts:
-        at = np.fromiter((place[w] for w in text), np.int64, len(text))
+        at = np.fromiter(map(place.__getitem__, text), np.int64, len(text))
         at = np.append(at, 0)
         out.append((len(at), int(known[at].sum()), float(base[at].sum()), float(model[at].sum())))
     cols = list(zip(*out)) if out else [(), (), (), ()]
