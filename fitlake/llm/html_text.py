@@ -324,7 +324,8 @@ def dressed(page_blocks, y, rng: random.Random):
     return [b for b, _ in page], [k for _, k in page]
 
 
-#: Pages for a table without any labelled ones.
+#: Makes up the number where a table has fewer labelled pages than LEAST.
+LEAST = 20
 _PLAIN = "<article><h1>A title of some words</h1><p>One sentence of plain text follows another.</p><p>Short.</p>" \
          "<p>This is a longer paragraph, as they are found in most articles, with commas and a full stop.</p></article>"
 
@@ -332,7 +333,7 @@ _PLAIN = "<article><h1>A title of some words</h1><p>One sentence of plain text f
 def train(pages: list[str]) -> Chain:
     """Fits the chain on labelled pages (and their dressings)."""
     rng, data = random.Random(0), []
-    for page in pages or [_PLAIN] * 20:
+    for page in pages + [_PLAIN] * max(0, LEAST - len(pages)):
         b = blocks(page)
         y = labelled(b)
         data.append((features(b), y))
@@ -344,10 +345,15 @@ def train(pages: list[str]) -> Chain:
 
 
 def labelled_sample(pages: DataFrame, n: int = SAMPLE) -> list[str]:
-    """At most n pages of those that mark their main part, by hash."""
-    rows = (pages.filter(F.col("html").rlike(r"(?i)<(article|main)[\s>]") & (F.length("html") < 200_000))
-            .orderBy(F.xxhash64("html"), "html").select("html").limit(n).collect())
-    return [r["html"] for r in rows]
+    """At most n pages of those that mark their main part, by hash: the n
+    smallest hashes first, then one page for each."""
+    marked = pages.filter(F.col("html").rlike(r"(?i)<(article|main)[\s>]") & (F.length("html") < 200_000)).select(
+        F.xxhash64("html").alias("hash"), "html")
+    least = marked.select("hash").distinct().orderBy("hash").limit(n).agg(F.max("hash")).first()[0]
+    if least is None:
+        return []
+    rows = marked.filter(F.col("hash") <= least).groupBy("hash").agg(F.min("html").alias("html")).collect()
+    return [r["html"] for r in sorted(rows, key=lambda r: r["hash"])]
 
 
 def main_text(page: str | None, weight, t) -> str:
