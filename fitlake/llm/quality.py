@@ -33,6 +33,8 @@ SHRINK, USUAL_LENGTH = 50.0, 5.0
 #: Least standard deviation of each: many groups have no marks at all.
 FLOOR = (0.15, 0.02, 0.02, 0.05, 0.03)
 SUBSET, STEPS, LEAST_ROWS = 0.75, 3, 50
+#: Parts of a group that are joined and pre-aggregated apart.
+SALTS = 64
 #: Squared Mahalanobis distance beyond which a row is an outlier.
 CUTOFF = 50.0
 _N = len(FEATURES)
@@ -124,10 +126,18 @@ def _cholesky(est: DataFrame) -> DataFrame:
     return est.select("grp", *[f"m{i}" for i in range(_N)], *[f"l{i}{j}" for i in range(_N) for j in range(i + 1)])
 
 
+def _beside(rows: DataFrame, per_group: DataFrame) -> DataFrame:
+    """Rows with the columns of their group, one row a group, which goes to
+    SALTS parts of each: a group with a third of all rows is spread out, and
+    what is summed after it is summed in parts first."""
+    spread = per_group.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(spread, ["grp", "salt"])
+
+
 def _start(rows: DataFrame) -> DataFrame:
     """Medians and absolute deviations of each group."""
     med = rows.groupBy("grp").agg(*[F.percentile_approx(f, 0.5, 10000).alias(f"m{i}") for i, f in enumerate(FEATURES)])
-    mad = rows.join(med, "grp").groupBy("grp").agg(
+    mad = _beside(rows, med).groupBy("grp").agg(
         *[F.percentile_approx(F.abs(F.col(f) - _m(i)), 0.5, 10000).alias(f"a{i}") for i, f in enumerate(FEATURES)])
     est = med.join(mad, "grp")
     return est.select("grp", *[f"m{i}" for i in range(_N)], *[
@@ -137,9 +147,9 @@ def _start(rows: DataFrame) -> DataFrame:
 
 def _step(rows: DataFrame, est: DataFrame) -> DataFrame:
     """A concentration step: mean and covariance of the closest rows."""
-    near = rows.join(est, "grp").withColumn("d2", _d2())
+    near = _beside(rows, est).withColumn("d2", _d2())
     cut = near.groupBy("grp").agg(F.percentile_approx("d2", SUBSET, 10000).alias("cut"))
-    kept = near.join(cut, "grp").filter("d2 <= cut")
+    kept = _beside(near, cut).filter("d2 <= cut")
     cov = [(i, j) for i in range(_N) for j in range(i + 1)]
     out = kept.groupBy("grp").agg(
         *[F.avg(f).alias(f"m{i}") for i, f in enumerate(FEATURES)],
@@ -169,7 +179,8 @@ def _estimates(rows: DataFrame) -> DataFrame:
     fit = rows.filter("fit")
     levels = [F.to_json(F.array("g_lang", "g_source")), F.to_json(F.array("g_lang")), F.lit("[]")]
     fit = (fit.withColumn("grp", F.explode(F.array(*levels)))
-           .join(use.select("grp").distinct(), "grp", "left_semi").select("grp", *FEATURES))
+           .withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS)).cast("int")))
+    fit = _beside(fit, use.select("grp").distinct()).select("grp", "salt", *FEATURES)
     est = stored(_start(fit), "mcd")
     for _ in range(STEPS):
         est = stored(_step(fit, est), "mcd")
