@@ -138,7 +138,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     twice = _digests(rows).groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest")
     found = stored(_repeated(rows, stored(twice, "digests")), "chunks")
     first = (found.groupBy("chunk").agg(F.min(F.struct("doc_id", "hash", "line")).alias("first"),
-                                        F.count(F.lit(1)).alias("n")).filter("n > 1"))
+                                        F.count(F.lit(1)).alias("n")).filter("n > 1").select("chunk", "first"))
+    # stored, so that the join is one of two shuffles and a passage that stands
+    # everywhere can be split over tasks
+    first = stored(first, "first")
     later = found.join(first, "chunk").filter(
         ~F.struct("doc_id", "hash", "line").eqNullSafe(F.col("first")))
     return later.groupBy("doc_id", "hash").agg(F.collect_set(F.struct("line", "to")).alias("spans"))
