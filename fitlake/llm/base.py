@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -60,6 +61,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of what finished jobs have left: Spark deletes a shuffle's files
+    once the driver has collected the frames that refer to it."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Rows of an Arrow batch: with texts of 100 kB a batch still is 50 MB.
 BATCH_ROWS = 512
 

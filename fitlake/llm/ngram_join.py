@@ -11,13 +11,15 @@ similarity of their sets reaches the threshold.  The steps:
    (n - ceil(t n) + 1 n-grams), once per node and task.
 3. Prefix rows meet by n-gram, sorted by set size.  Each list of two or more
    nodes is linked as a star: every node with the list's smallest node that
-   the length filter allows.  Star pairs pass the positional filter and are
-   verified, once each, on the whole sets.
+   the length filter allows.  Star pairs that pass the positional and suffix
+   filters (shared counts over classes of n-grams) are verified, once each, on
+   the whole sets.
 4. Lists whose nodes are not yet in one component are gone through again, cut
-   into blocks: only pairs across components, and of them only those that the
-   length, positional and suffix filters (shared counts over classes of
-   n-grams) let through, are verified.  No other pair can change a component,
-   so none is missed and no group of copies is expanded into all pairs.
+   into blocks, for pairs across components that the length, positional and
+   suffix filters let through: first only each node's likeliest partner, which
+   joins nearly all that belongs together, then every pair that is left.  A
+   pair inside a component cannot change it, so none is missed and no group of
+   copies is expanded into all pairs.
 5. Components by alternating large and small stars, checkpointed.
 
 Only bounded things reach the driver: the counter table (SKETCH bytes) and a
@@ -34,31 +36,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitlake.llm.base import (query, read, sequence_hash, shingle_hashes, stored, text_blocks,
-                              word_hashes)
+from fitlake.llm.base import (for_python, query, read, release, sequence_hash, shingle_hashes, stored,
+                              text_blocks, word_hashes)
 from fitlake.session import checkpoint_dir
 
 #: Counters of the n-gram table, and in how many pieces it travels.
 SKETCH, PIECES = 1 << 22, 64
 #: Positions of the bit map of wanted nodes.
 BITS = 1 << 22
-#: Classes of the suffix filter's profile (counts of 16 bits).
+#: Classes of the suffix filter's profile (a byte each).
 CLASSES = 128
+#: Counts of a class stop here (255: "or more").
+FULL = 255
 #: Nodes of a list that meet in one task; longer lists go in pairs of blocks.
 LIST_BLOCK = 512
+#: Links that one task thins to stars before components are searched.
+FOREST_LINKS = 250_000
 
 
-def _sets(col, k: int):
-    """(row, node, sorted distinct n-gram hashes) of each text of a column."""
+def _words(col):
+    """(row, node, hashes of the words) of each text of a column."""
     for first, data, off in text_blocks(col):
         h, doc = word_hashes(data, off)
         at = np.searchsorted(doc, np.arange(len(off)))
         for r in range(len(off) - 1):
             own = h[at[r]:at[r + 1]]
-            if len(own):
-                yield first + r, sequence_hash(own), np.unique(shingle_hashes(own, k))
-            else:
-                yield first + r, None, own
+            yield first + r, sequence_hash(own) if len(own) else None, own
 
 
 def _need(n: int, pct: int) -> int:
@@ -66,32 +69,37 @@ def _need(n: int, pct: int) -> int:
 
 
 def _nodes(docs: DataFrame, k: int) -> DataFrame:
-    """Rows (doc_id, node, n) of the texts, and rows (piece, counts)."""
+    """Rows (doc_id, node, n, profile) of the texts, and rows (piece, counts)."""
     def run(batches):
         table = np.zeros(SKETCH, np.uint32)
-        seen: set[int] = set()
+        seen: dict[int, tuple] = {}
         for b in batches:
-            nodes, sizes = [], []
-            for _, node, s in _sets(b.column("text"), k):
+            nodes, own = [], []
+            for _, node, h in _words(b.column("text")):
                 nodes.append(node)
-                sizes.append(len(s))
-                if node is not None and node not in seen:
-                    seen.add(node)
-                    np.add.at(table, (s % np.uint64(SKETCH)).astype(np.int64), 1)
+                if node is None:
+                    own.append((0, None))
+                    continue
+                if node not in seen:
+                    s = np.unique(shingle_hashes(h, k))
+                    place = (s % np.uint64(SKETCH)).astype(np.int64)
+                    np.add.at(table, place, 1)
+                    prof = np.bincount((s >> np.uint64(40)).astype(np.int64) % CLASSES, minlength=CLASSES)
+                    seen[node] = len(s), np.minimum(prof, FULL).astype(np.uint8).tobytes()
+                own.append(seen[node])
             m = len(nodes)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()),
-                 pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
+                [b.column("doc_id"), pa.array(nodes, pa.int64()), pa.array([x[0] for x in own], pa.int64()),
+                 pa.array([x[1] for x in own], pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
         if seen:
             cut = table.reshape(PIECES, -1)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(PIECES, pa.int64()), pa.nulls(PIECES, pa.int64()), pa.nulls(PIECES, pa.int64()),
-                 pa.array(range(PIECES), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in cut])],
-                names=names)
+                [pa.nulls(PIECES, pa.int64())] * 3 + [pa.nulls(PIECES, pa.binary()), pa.array(range(PIECES), pa.int32()),
+                 pa.array([zlib.compress(x.tobytes(), 1) for x in cut])], names=names)
 
-    names = ["doc_id", "node", "n", "piece", "counts"]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, node long, n long, piece int, counts binary")
+    names = ["doc_id", "node", "n", "profile", "piece", "counts"]
+    return for_python(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(
+        run, "doc_id long, node long, n long, profile binary, piece int, counts binary")
 
 
 def _ranks(counts: DataFrame) -> np.ndarray:
@@ -123,10 +131,11 @@ def _prefixes(docs: DataFrame, rank: np.ndarray, k: int, pct: int) -> DataFrame:
         for b in batches:
             out: list[tuple] = []
             rows = 0
-            for _, node, s in _sets(b.column("text"), k):
+            for _, node, h in _words(b.column("text")):
                 if node is None or node in seen:
                     continue
                 seen.add(node)
+                s = np.unique(shingle_hashes(h, k))
                 n = len(s)
                 p = n - _need(n, pct) + 1
                 first = s[np.lexsort((s, table[(s % np.uint64(SKETCH)).astype(np.int64)]))[:p]]
@@ -147,18 +156,19 @@ def _prefixes(docs: DataFrame, rank: np.ndarray, k: int, pct: int) -> DataFrame:
                       | np.concatenate([np.arange(x) for x in p]))],
             names=["token", "node", "size_at"])
 
-    return docs.select("text").mapInArrow(run, "token long, node long, size_at long")
+    return for_python(docs.select("text")).mapInArrow(run, "token long, node long, size_at long")
 
 
 def _lists(prefixes: DataFrame, pct: int) -> DataFrame:
     """The rows of n-grams that two nodes or more have in their prefixes,
-    each with its star's centre (a centre is its own)."""
-    names = ["token", "node", "size_at", "centre", "centre_size_at"]
+    each with its star's centre (a centre is its own), and whether the list
+    has a third node: a list of two is nothing but its star."""
+    names = ["token", "node", "size_at", "centre", "centre_size_at", "open"]
 
     def run(batches):
         token = centre = last = None
         centre_at = 0
-        waits = None  # the first row of a list, until a second one comes
+        waits: list[tuple] = []  # the first rows of a list, until a third one comes
         for b in batches:
             cols = [b.column(i).to_numpy() for i in range(3)]
             same = np.zeros(len(cols[0]), bool)
@@ -169,23 +179,31 @@ def _lists(prefixes: DataFrame, pct: int) -> DataFrame:
             keep[:-1] |= same[1:]
             if len(keep):
                 keep[-1] = True  # its list may go on in the next batch
-            out = []
+            out: list[tuple] = []
             for t, node, at in zip(*(c[keep].tolist() for c in cols)):
                 if t != token:
+                    if len(waits) == 2:
+                        out += [(*x, 0) for x in waits]
                     token, centre, centre_at, last = t, node, at, node
-                    waits = (t, node, at, node, at)
+                    waits = [(t, node, at, node, at)]
                     continue
                 if node == last:  # the same class from another task
                     continue
                 last = node
-                if waits:
-                    out.append(waits)
-                    waits = None
                 if 100 * (centre_at >> 32) < pct * (at >> 32):  # length filter
                     centre, centre_at = node, at
-                out.append((t, node, at, centre, centre_at))
+                row = (t, node, at, centre, centre_at)
+                if len(waits) == 1:
+                    waits.append(row)
+                    continue
+                if waits:
+                    out += [(*x, 1) for x in waits]
+                    waits = []
+                out.append((*row, 1))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=names)
+        if len(waits) == 2:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*[(*x, 0) for x in waits])], names=names)
 
     return (prefixes.repartition("token").sortWithinPartitions("token", "size_at", "node")
             .mapInArrow(run, ", ".join(f"{n} long" for n in names)))
@@ -199,9 +217,13 @@ def _size(c: str):
     return F.shiftright(F.col(c), 32)
 
 
-def _wanted(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """(node, set, profile) of the given nodes, one row each."""
-    at = nodes.select(F.pmod(F.col("node"), F.lit(BITS)).cast("int").alias("b")).distinct()
+def _wanted(docs: DataFrame, nodes: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """(node, grams): the sets of the given nodes, from the row with the class's
+    smallest doc_id; the bit map lets a few others through, and a repeated row
+    may come from several tasks."""
+    nodes = nodes.join(classes.select("node", "least"), "node")
+    at = nodes.select(F.pmod(F.col("node").bitwiseXOR(F.coalesce("least", F.lit(0))), F.lit(BITS))
+                      .cast("int").alias("b")).distinct()
     bits = np.zeros(BITS, bool)
     bits[at.toPandas()["b"].to_numpy(np.int64)] = True  # at most BITS integers
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
@@ -211,23 +233,81 @@ def _wanted(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
         seen: set[int] = set()
         for b in batches:
             out = []
-            for _, node, s in _sets(b.column("text"), k):
-                if node is not None and mask[node % BITS] and node not in seen:
+            ids = b.column("doc_id").to_pylist()
+            for r, node, h in _words(b.column("text")):
+                if node is not None and mask[_place(node, ids[r])] and node not in seen:
                     seen.add(node)
-                    prof = np.bincount((s >> np.uint64(40)).astype(np.int64) % CLASSES, minlength=CLASSES)
-                    out.append((node, s.tobytes(), np.minimum(prof, 65535).astype(np.uint16).tobytes()))
+                    out.append((node, np.unique(shingle_hashes(h, k)).tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary()),
-                     pa.array([x[2] for x in out], pa.binary())], names=["node", "grams", "profile"])
+                    [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())],
+                    names=["node", "grams"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return for_python(rows).mapInArrow(run, "node long, grams binary")
+
+
+def _place(node: int, doc_id: int | None) -> int:
+    return (node ^ (doc_id or 0)) % BITS
+
+
+def _matrix(col, dtype, width: int) -> np.ndarray:
+    """A column of binaries of one length as rows of a matrix."""
+    return np.frombuffer(b"".join(col.to_pylist()), dtype).reshape(-1, width)
+
 
-    found = docs.select("text").mapInArrow(run, "node long, grams binary, profile binary")
-    # one of several tasks' copies of a class; the bit map lets a few others through
-    return found.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+def _most_shared(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The most n-grams that sets with these profiles can share."""
+    least = np.minimum(p, q)
+    return np.where((least == FULL).any(axis=-1), 1 << 60, least.sum(axis=-1, dtype=np.int64))
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the threshold."""
+def _plausible(pairs: DataFrame, classes: DataFrame, pct: int) -> DataFrame:
+    """The pairs (a, b) that pass the suffix filter."""
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                both = b.column("na").to_numpy() + b.column("nb").to_numpy()
+                most = _most_shared(_matrix(b.column("pa"), np.uint8, CLASSES), _matrix(b.column("pb"), np.uint8, CLASSES))
+                yield b.select(["a", "b"]).filter(pa.array(most * (100 + pct) >= pct * both))
+
+    def side(x):
+        return classes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("profile").alias(f"p{x}"))
+
+    return for_python(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "pa", "pb")
+                      ).mapInArrow(run, "a long, b long")
+
+
+def _forest(pairs) -> list[tuple[int, int]]:
+    """(node, smallest node connected with it) of the nodes of some pairs."""
+    up: dict[int, int] = {}
+
+    def top(x):
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    for a, b in pairs:
+        x, y = top(a), top(b)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+    return [(x, top(x)) for x in list(up) if top(x) != x]
+
+
+def _pairs_out(pairs):
+    a, b = zip(*pairs) if pairs else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, pct: int) -> DataFrame:
+    """Pairs (node, other) that connect the same nodes as those of the pairs
+    (a, b) whose whole sets reach the threshold."""
+    pairs = stored(pairs, "pairs")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    # one shuffle by node serves this and both joins
+    sets = stored(_wanted(docs, nodes, classes, k), "sets").dropDuplicates(["node"])
+
     def run(batches):
         for b in batches:
             keep = []
@@ -238,12 +318,21 @@ def _verify(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
                 n = int((both[1:] == both[:-1]).sum())
                 if 100 * n >= pct * (len(p) + len(q) - n):
                     keep.append(i)
-            yield b.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+            if keep:
+                yield b.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    def forest(batches):
+        held: list = []
+        for b in batches:
+            held = _forest([*held, *zip(b.column(0).to_pylist(), b.column(1).to_pylist())])
+        yield _pairs_out(held)
 
-    g = sets.select("node", "grams")
-    one = pairs.join(g.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a")
-    two = one.join(g.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
-    return two.select("a", "b", "ga", "gb").mapInArrow(run, "a long, b long")
+    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a")
+    two = one.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
+    links = stored(for_python(two.select("a", "b", "ga", "gb")).mapInArrow(run, "a long, b long"), "links")
+    few = -(-links.count() // FOREST_LINKS) or 1
+    release(docs.sparkSession)
+    return links.coalesce(few).mapInArrow(forest, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -279,28 +368,30 @@ def components(edges: DataFrame) -> DataFrame:
         e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _rest(lists: DataFrame, roots: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
-    """Candidate pairs across the components of step 3 that the filters let
-    through."""
-    labelled = (lists.select("token", "node", "size_at").join(roots, "node", "left")
-                .withColumn("root", F.coalesce("root", "node")))
-    open_ = (labelled.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"),
-                                           F.max("root").alias("hi"))
-             .filter("m > 2 AND lo <> hi")  # a list of two is its star
+def _rest(lists: DataFrame, roots: DataFrame, classes: DataFrame, pct: int, best: bool) -> DataFrame:
+    """(token, a, b): candidate pairs across components that the filters let
+    through; with `best` only each node's likeliest one (that may share the
+    largest part) of each list and block."""
+    known = classes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "profile")
+    long_ = (lists.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > LIST_BLOCK)
              .select("token", F.ceil(F.col("m") / LIST_BLOCK).cast("int").alias("blocks")))
-    rows = (labelled.join(open_, "token").join(sets.select("node", "profile"), "node")
+    rows = (lists.select("token", "node", "size_at").join(known, "node").join(long_, "token", "left")
+            .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
             .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .select("token", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"),
                     "own", "node", "size_at", "root", "profile"))
 
-    def cell(g, sent):
+    def cell(token, g, sent):
         own, node, at, root, prof = g
         n, pos = at >> 32, at & 0xFFFFFFFF
-        prof = np.stack([np.frombuffer(x, np.uint16) for x in prof]).astype(np.int32)
+        if (root == root[0]).all():
+            return
+        prof = np.frombuffer(b"".join(prof), np.uint8).reshape(-1, CLASSES)
         cross = len(np.unique(own)) > 1
-        for i in range(len(node) - 1):
-            j = np.arange(i + 1, len(node))
+        everyone = np.arange(len(node))
+        for i in range(len(node) if best else len(node) - 1):
+            j = everyone if best else everyone[i + 1:]
             ok = root[j] != root[i]
             if cross:
                 ok &= own[j] != own[i]
@@ -310,18 +401,21 @@ def _rest(lists: DataFrame, roots: DataFrame, sets: DataFrame, pct: int) -> Data
             ok &= np.minimum(pos[j], pos[i]) + np.minimum(n[j] - pos[j], n[i] - pos[i]) >= need
             j, need = j[ok], need[ok]
             if len(j):
-                fit = np.minimum(prof[j], prof[i]).sum(axis=1) >= need
-                fit |= np.maximum(n[j], n[i])[...] > 65535  # the counts of the profile are clipped there
+                most = _most_shared(prof[j], prof[i])
+                fit = most >= need
+                if best and fit.any():
+                    at = int(np.argmax(np.where(fit, most / need, 0.0)))
+                    fit = np.arange(len(j)) == at
                 for o in node[j[fit]].tolist():
-                    sent.add((min(o, int(node[i])), max(o, int(node[i]))))
+                    sent.add((token, min(o, int(node[i])), max(o, int(node[i]))))
 
     def run(batches):
         key, held, sent = None, [], set()
 
         def flush():
             if held and sum(len(x[0]) for x in held) > 1:
-                cell([np.concatenate([x[c] for x in held]) if c < 4 else sum((x[c] for x in held), [])
-                      for c in range(5)], sent)
+                cell(key[0], [np.concatenate([x[c] for x in held]) if c < 4 else sum((x[c] for x in held), [])
+                             for c in range(5)], sent)
 
         for b in batches:
             c = [b.column(i).to_numpy() for i in range(3)]
@@ -345,11 +439,10 @@ def _rest(lists: DataFrame, roots: DataFrame, sets: DataFrame, pct: int) -> Data
             yield out(sent)
 
     def out(sent):
-        a, b = zip(*sent)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*sent)], names=["token", "a", "b"])
 
-    return (rows.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y")
-            .mapInArrow(run, "a long, b long").distinct())
+    return (for_python(rows.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y"))
+            .mapInArrow(run, "token long, a long, b long"))
 
 
 def ngram_components(docs: DataFrame, k: int = 5, pct: int = 80) -> DataFrame:
@@ -366,25 +459,32 @@ def ngram_components(docs: DataFrame, k: int = 5, pct: int = 80) -> DataFrame:
     2**-64 a pair.
     """
     both = stored(_nodes(docs, k), "nodes")
-    members = both.filter("piece IS NULL").select("doc_id", "node", "n")
+    members = both.filter("piece IS NULL").select("doc_id", "node", "n", "profile")
+    classes = stored(members.filter("node IS NOT NULL").groupBy("node").agg(
+        F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("profile").alias("profile")), "classes")
     rank = _ranks(both.filter("piece IS NOT NULL").select("piece", "counts"))
     lists = stored(_lists(_prefixes(docs, rank, k, pct), pct), "lists")
+    release(docs.sparkSession)
 
-    sets = stored(_wanted(docs, lists.select("node").distinct(), k), "sets")
     need = F.ceil(F.lit(pct) * (_size("size_at") + _size("centre_size_at")) / F.lit(100 + pct))
     most = (F.least(_at("size_at"), _at("centre_size_at"))
             + F.least(_size("size_at") - _at("size_at"), _size("centre_size_at") - _at("centre_size_at")))
     stars = (lists.filter(F.col("node") != F.col("centre")).filter(most >= need)
              .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
-    links = stored(_verify(stars, sets, pct), "links")
+    links = stored(_verified(docs, _plausible(stars, classes, pct), classes, k, pct), "links")
+    # lists without a pair that the filters let through are settled
+    open_ = lists.filter("open = 1").select("token", "node", "size_at")
+    likely = stored(_rest(open_, components(links), classes, pct, True), "pairs")
+    links = links.union(stored(_verified(docs, likely.select("a", "b").distinct(), classes, k, pct), "links"))
+    open_ = open_.join(likely.select("token").distinct(), "token", "left_semi")
+    rest = _rest(open_, components(links), classes, pct, False)
+    links = links.union(stored(_verified(docs, rest.select("a", "b").distinct(), classes, k, pct), "links"))
     roots = components(links)
-    more = _verify(_rest(lists, roots, sets, pct), sets, pct)
-    roots = components(links.union(stored(more, "links")))
 
-    classes = (members.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
-               .join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    named = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = classes.join(named, "root").select("node", "component_id")
+    rooted = (classes.select("node", "least").join(roots, "node", "left")
+              .withColumn("root", F.coalesce("root", "node")))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = rooted.join(named, "root").select("node", "component_id")
     return members.join(of, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
