@@ -25,7 +25,7 @@ from fitlake.llm.base import for_python, query, read
 
 #: Words whose ids a Python worker remembers: the first that it meets, the
 #: common ones among them.  About 200 bytes each.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 #: Pieces that wait in a task's buffer.
 BUFFER = 1024
 _CACHE: dict[str, tuple] = {}
@@ -46,19 +46,19 @@ class WordTokens:
             last = np.zeros(t.get_vocab_size(), bool)
             for piece, i in t.get_vocab().items():
                 last[i] = piece.endswith("</w>")
-            bare = Tokenizer.from_file(path)
-            bare.normalizer = None  # it leaves a-z as they are
-            _CACHE[path] = t, bare, last, {}
-        self.tokenizer, self.bare, self.last, self.known = _CACHE[path]
+            _CACHE[path] = t, t.normalizer, last, {}
+        self.tokenizer, self.normalizer, self.last, self.known = _CACHE[path]
 
     def _each(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in got]
 
-    def _letters(self, words: list[bytes], tokenizer) -> list[bytes]:
+    def _letters(self, words: list[bytes], normalizer) -> list[bytes]:
         """Words of letters alone, encoded together and parted at last pieces."""
+        self.tokenizer.normalizer = normalizer
         text = b" ".join(words).decode()
-        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        self.tokenizer.normalizer = self.normalizer
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) != len(words) or (len(ends) and ends[-1] != len(ids)):
             return self._each([w.decode() for w in words])
@@ -76,9 +76,10 @@ class WordTokens:
         whole = [w for w in whole if w not in known]
         ascii_ = [w for w in whole if w.isalpha()]
         other = [w for w in whole if not w.isascii() and w.decode().isalpha()]
-        for plain, tokenizer in ((ascii_, self.bare), (other, self.tokenizer)):
+        # a-z are left as they are by the normalizer: do without it
+        for plain, normalizer in ((ascii_, None), (other, self.normalizer)):
             for k in range(0, len(plain), 4096):
-                out.update(zip(plain[k:k + 4096], self._letters(plain[k:k + 4096], tokenizer)))
+                out.update(zip(plain[k:k + 4096], self._letters(plain[k:k + 4096], normalizer)))
         rest = [w for w in whole if w not in out]
         out.update(zip(rest, self._each([w.decode() for w in rest])))
         for w in marked:
