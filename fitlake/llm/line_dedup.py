@@ -1,18 +1,17 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by chunks of lines.
 
-Rolling hashes over the hashes of two neighbouring lines choose boundaries: a
-chunk starts at a line whose window (it and the next line) is marked and ends
-at the first later line whose window (the line before and it) is marked.  Both
-windows lie inside the chunk, so it depends on its own lines only and a
-passage is cut alike wherever it stands.  `ROUNDS` independent hash functions
-mark half of the windows each.  A line of `LONG` words or more is a chunk by
-itself.  Blank lines are passed over.
+The chunks of a text are all windows of two neighbouring lines, and each line of
+`LONG` words or more by itself; blank lines are passed over.  A chunk depends on
+its own lines only, so a passage has the same chunks wherever it stands, and a
+run of repeated lines is the union of its windows: it is found whole, whatever
+its length, with nothing left to the luck of a hash.
 
 Digests of all chunks are counted first (64 bits each); only chunks whose
 digest comes twice are fetched with their bytes, grouped by these bytes (the
 comparison, with partial aggregation, so that a passage in a third of all
 documents reaches no task whole), and every occurrence but the first by
 (doc_id, text hash, line) is removed, if the removed run has `LEAST` words.
+Neighbouring windows make one run even if they stand in different earlier texts.
 """
 
 from __future__ import annotations
@@ -26,36 +25,19 @@ from pyspark.sql import functions as F
 
 from fitlake.llm.base import for_python, query, read, stored
 
-ROUNDS, LONG, LEAST = 2, 50, 25
+LONG, LEAST = 50, 25
 #: Positions of the bit map of repeated digests that spares other chunks.
 BITS = 1 << 22
-_A = [0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0xAEF17502108EF2D9, 0x8CB92BA72F3D8DD7]
 
 
 def _n_words(line: str) -> int:
     return len(line.encode().split())
 
 
-def _marks(h: np.ndarray, k: int) -> np.ndarray:
-    """Marks of the windows (line i, line i + 1) in round k."""
-    a = np.uint64(_A[k % len(_A)])
-    x = (h[:-1] * a + h[1:] + np.uint64(k)) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return x >> np.uint64(63) == 1
-
-
 def chunks(lines: list[str]) -> list[tuple[int, int]]:
     """[from, to) of the chunks of a text's non-blank lines."""
-    n = len(lines)
     out = [(i, i + 1) for i, x in enumerate(lines) if len(x) >= 2 * LONG - 1 and _n_words(x) >= LONG]
-    if n > 1:
-        h = np.array([xxhash.xxh3_64_intdigest(x) for x in lines], np.uint64)
-        found = set()
-        for k in range(ROUNDS):
-            starts, ends = np.flatnonzero(_marks(h, 2 * k)), np.flatnonzero(_marks(h, 2 * k + 1)) + 1
-            at = np.searchsorted(ends, starts + 1)
-            found.update((int(i), int(ends[e]) + 1) for i, e in zip(starts, at) if e < len(ends))
-        out += sorted(found)
-    return out
+    return out + [(i, i + 2) for i in range(len(lines) - 1)]
 
 
 def full_lines(text: str) -> list[str]:

@@ -232,6 +232,24 @@ def test_passages_are_found_wherever_they_stand(spark):
     assert out[4] == own[6] and out[2].endswith(own[3]) and out[2].count("passage") <= 2
 
 
+def test_every_repeated_run_goes(spark):
+    """Runs of 2 to 12 short lines, over 50 words in all, between own lines."""
+    import random
+    rng = random.Random(11)
+    line = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    docs, want = [], {}
+    for n in range(2, 13):
+        for _ in range(30):
+            run = "\n".join(line(rng.randint(50 // n + 1, 49)) for _ in range(n))
+            for later in (False, True):
+                before, after = ("\n".join(line(rng.randint(1, 40)) for _ in range(rng.randint(0, 4))) for _ in range(2))
+                i = len(docs)
+                docs.append((i, "\n".join(x for x in (before, run, after) if x)))
+                want[i] = ("\n".join(x for x in (before, after) if x), n) if later else (docs[i][1], 0)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
+    assert {r.doc_id: (r.text, r.gone) for r in line_dedup.deduplicated(df, "gone").collect()} == want
+
+
 # --- op7 -----------------------------------------------------------------
 
 def plain_statistics(t):
