@@ -37,12 +37,13 @@ MORE = (
     ("bearer", re.compile(r"\bBearer\x20+[A-Za-z0-9+/_.=-]{20,}"), 0, 1),
     ("url", re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,200}:[^\s/@]{1,200}@"), 0, 1),
 )
-#: A literal that each of these patterns needs, to pass texts without it quickly.
-_NEEDS = {"access": ("AKIA",), "key": ("PRIVATE KEY",), "jwt": ("eyJ",), "github": ("gh", ), "slack": ("xox",),
+#: Literals of which each of these patterns needs one, to pass texts without them quickly.
+_NEEDS = {"access": ("AKIA",), "key": ("PRIVATE KEY",), "jwt": ("eyJ",), "github": ("gh", "github_pat_"), "slack": ("xox",),
           "google": ("AIza",), "bearer": ("Bearer",), "url": ("://",)}
 KINDS = tuple(k for k, *_ in BASE + MORE)
-#: Changes with any rule; part of the ledger's key.
-RULES = hashlib.sha256("\n".join(f"{k}\t{p.pattern}\t{p.flags}\t{g}\t{n}" for k, p, g, n in BASE + MORE).encode()).hexdigest()[:16]
+#: Changes with any rule or its literals; part of the ledger's key.
+RULES = hashlib.sha256("\n".join(f"{k}\t{p.pattern}\t{p.flags}\t{g}\t{n}\t{_NEEDS.get(k)}"
+                                 for k, p, g, n in BASE + MORE).encode()).hexdigest()[:16]
 
 
 def findings(text: str) -> list[tuple[int, int, int]]:
