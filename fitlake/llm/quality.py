@@ -2,12 +2,14 @@
 determinant, in DataFrame operations only.
 
 Each text becomes a vector of transformed statistics.  For every language and
-source the location and scatter of the vectors are estimated on the half-clean
-part of the rows: starting from medians and absolute deviations, concentration
-steps take the `SUBSET` share of rows with the smallest Mahalanobis distances
-and compute mean and covariance of those anew, which lowers the covariance's
-determinant each time.  A row is rejected when its squared distance under the
-last estimate passes `CUTOFF`.  Groups with fewer than `LEAST_ROWS` rows have
+source the location and scatter of the vectors are estimated on the closer half
+of the rows, so that nearly half of a group may be junk: starting from medians
+and absolute deviations, concentration steps take the `SUBSET` share of rows
+with the smallest Mahalanobis distances and compute mean and covariance of those
+anew, which lowers the covariance's determinant each time, until it stands
+still.  A row is rejected when its squared distance under the last estimate
+passes `CUTOFF`: a quantile of chi-square, times the factor by which the
+distances under a half's covariance are too large.  Groups with fewer than `LEAST_ROWS` rows have
 too few for a covariance and use their language's estimate, languages with
 fewer the estimate of all rows.
 
@@ -32,11 +34,15 @@ FEATURES = ("f_length", "f_marks", "f_capitals", "f_lines", "f_repeats")
 SHRINK, USUAL_LENGTH = 50.0, 5.0
 #: Least standard deviation of each: many groups have no marks at all.
 FLOOR = (0.15, 0.02, 0.02, 0.05, 0.03)
-SUBSET, STEPS, LEAST_ROWS = 0.75, 3, 50
+SUBSET, STEPS, LEAST_ROWS = 0.5, 30, 50
+#: Change of the determinant's logarithm at which a group's steps end (STEPS at most).
+STILL = 1e-4
 #: Parts of a group that are joined and pre-aggregated apart.
 SALTS = 64
-#: Squared Mahalanobis distance beyond which a row is an outlier.
-CUTOFF = 50.0
+#: Consistency factor of the half, SUBSET / P(chi2_7 <= median of chi2_5), and the 0.9999 quantile of chi2_5.
+CONSISTENCY, QUANTILE = 1.912208, 25.7448
+#: Squared Mahalanobis distance, as measured under the half's covariance, beyond which a row is an outlier.
+CUTOFF = CONSISTENCY * QUANTILE
 _N = len(FEATURES)
 
 
@@ -158,6 +164,25 @@ def _step(rows: DataFrame, est: DataFrame) -> DataFrame:
         (F.col(f"v{i}{j}") + (FLOOR[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i, j in cov]))
 
 
+def _log_det() -> Column:
+    return reduce(lambda a, b: a + b, [F.log(_l(i, i)) for i in range(_N)])
+
+
+def _settled(rows: DataFrame, est: DataFrame) -> DataFrame:
+    """Concentration steps until each group's determinant stands still; groups
+    that do are left out of later steps."""
+    done: list[DataFrame] = []
+    for _ in range(STEPS):
+        was = est.select("grp", _log_det().alias("was"))
+        new = stored(_step(rows, est).join(was, "grp").withColumn("still", F.abs(_log_det() - F.col("was")) <= STILL)
+                     .drop("was"), "mcd")
+        done.append(new.filter("still").drop("still"))
+        est = new.filter("NOT still").drop("still")
+        if est.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, done, est)
+
+
 def _grouped(rows: DataFrame) -> DataFrame:
     """Rows with `grp`: the language and source, the language or all."""
     some = rows.groupBy("g_lang", "g_source").agg(F.sum(F.when(F.col("fit"), 1).otherwise(0)).alias("n"))
@@ -181,9 +206,7 @@ def _estimates(rows: DataFrame) -> DataFrame:
     fit = (fit.withColumn("grp", F.explode(F.array(*levels)))
            .withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS)).cast("int")))
     fit = _beside(fit, use.select("grp").distinct()).select("grp", "salt", *FEATURES)
-    est = stored(_start(fit), "mcd")
-    for _ in range(STEPS):
-        est = stored(_step(fit, est), "mcd")
+    est = _settled(fit, stored(_start(fit), "mcd"))
     return use.join(est, "grp", "left").drop("grp")
 
 

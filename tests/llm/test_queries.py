@@ -317,6 +317,25 @@ def test_quality_keeps_clean_documents(spark):
     assert all(kept for q, kept in judged if q) and sum(kept for q, kept in judged if not q) <= 3
 
 
+def test_quality_of_groups_with_much_junk_of_one_kind(spark):
+    import random
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 8)))
+    clean = lambda: ". ".join(" ".join([word().title(), *(word() for _ in range(9))]) for _ in range(rng.randint(5, 30)))
+    junk = {"marks": lambda: " ".join(word() + rng.choice("#*$%&|") * rng.randint(1, 3) for _ in range(200)),
+            "capitals": lambda: clean().upper(),
+            "copies": lambda: "#one *two " + " ".join(f"$three{i}" for i in range(100))}
+    docs, bad = [], set()
+    for kind, make in junk.items():
+        for pct in (30, 35, 40, 45):
+            for k in range(200):
+                if k < 2 * pct:
+                    bad.add(len(docs))
+                docs.append((len(docs), "en", f"{kind}{pct}", make() if k < 2 * pct else clean()))
+    rows = quality.judged(spark.createDataFrame(docs, "doc_id long, lang string, source string, text string")).collect()
+    assert not any(r.base_failed for r in rows) and {r.doc_id for r in rows if not r.kept} == bad
+
+
 # --- op8 -----------------------------------------------------------------
 
 def plain_tiles(a, b, least):
