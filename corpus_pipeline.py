@@ -30,12 +30,9 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones: that with the group's
-    smallest id (of rows that repeat it, the one with the smallest text)."""
-    comp = ngram_join.ngram_components(docs)
-    # a null id is alone only if nothing with an id is linked to it
-    first = comp.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return ngram_join.one_of_each(kept)
+    smallest id (of rows that repeat it, the one with the smallest text).
+    Rows that nothing is linked to stay, whatever their id."""
+    return ngram_join.one_of_each(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

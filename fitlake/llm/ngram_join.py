@@ -69,7 +69,8 @@ def _need(n: int, pct: int) -> int:
 
 
 def _nodes(docs: DataFrame, k: int) -> DataFrame:
-    """Rows (doc_id, node, n, profile) of the texts, and rows (piece, counts)."""
+    """Rows (doc_id, hash, node, n, profile) of the texts, and rows (piece,
+    counts)."""
     def run(batches):
         table = np.zeros(SKETCH, np.uint32)
         seen: dict[int, tuple] = {}
@@ -89,17 +90,18 @@ def _nodes(docs: DataFrame, k: int) -> DataFrame:
                 own.append(seen[node])
             m = len(nodes)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(nodes, pa.int64()), pa.array([x[0] for x in own], pa.int64()),
+                [b.column("doc_id"), b.column("hash"), pa.array(nodes, pa.int64()), pa.array([x[0] for x in own], pa.int64()),
                  pa.array([x[1] for x in own], pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
         if seen:
             cut = table.reshape(PIECES, -1)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(PIECES, pa.int64())] * 3 + [pa.nulls(PIECES, pa.binary()), pa.array(range(PIECES), pa.int32()),
+                [pa.nulls(PIECES, pa.int64())] * 4 + [pa.nulls(PIECES, pa.binary()), pa.array(range(PIECES), pa.int32()),
                  pa.array([zlib.compress(x.tobytes(), 1) for x in cut])], names=names)
 
-    names = ["doc_id", "node", "n", "profile", "piece", "counts"]
-    return for_python(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(
-        run, "doc_id long, node long, n long, profile binary, piece int, counts binary")
+    names = ["doc_id", "hash", "node", "n", "profile", "piece", "counts"]
+    return for_python(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"),
+                                  "text")).mapInArrow(
+        run, "doc_id long, hash long, node long, n long, profile binary, piece int, counts binary")
 
 
 def _ranks(counts: DataFrame) -> np.ndarray:
@@ -458,9 +460,18 @@ def ngram_components(docs: DataFrame, k: int = 5, pct: int = 80) -> DataFrame:
     n-grams are 64-bit hashes; two different ones agree with a probability of
     2**-64 a pair.
     """
+    members, of = _rooted(docs, k, pct)
+    return members.join(of, "node", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"),
+        F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def _rooted(docs: DataFrame, k: int, pct: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, hash of the text, node, n) of each row; (node, root,
+    component_id) of each node."""
     both = stored(_nodes(docs, k), "nodes")
-    members = both.filter("piece IS NULL").select("doc_id", "node", "n", "profile")
-    classes = stored(members.filter("node IS NOT NULL").groupBy("node").agg(
+    members = both.filter("piece IS NULL").select("doc_id", "hash", "node", "n")
+    classes = stored(both.filter("piece IS NULL").filter("node IS NOT NULL").groupBy("node").agg(
         F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("profile").alias("profile")), "classes")
     rank = _ranks(both.filter("piece IS NOT NULL").select("piece", "counts"))
     lists = stored(_lists(_prefixes(docs, rank, k, pct), pct), "lists")
@@ -484,23 +495,34 @@ def ngram_components(docs: DataFrame, k: int = 5, pct: int = 80) -> DataFrame:
     rooted = (classes.select("node", "least").join(roots, "node", "left")
               .withColumn("root", F.coalesce("root", "node")))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.join(named, "root").select("node", "component_id")
-    return members.join(of, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return members, rooted.join(named, "root").select("node", "root", "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of those that share a doc_id: the smallest by text (null
-    first), then by all other columns as JSON.  Rows whose id is not repeated
-    pass without a sort."""
-    again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(
-        F.col("doc_id").alias("_id"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    row = F.struct(*[docs[c] for c in docs.columns])
-    best = (docs.join(again, same, "left_semi").groupBy("doc_id")
-            .agg(F.min_by(row, F.struct(F.col("text"), F.to_json(row))).alias("_row")).select("_row.*"))
-    return docs.join(again, same, "left_anti").select(*docs.columns).unionByName(best)
+def one_of_each(docs: DataFrame, k: int = 5, pct: int = 80) -> DataFrame:
+    """`docs`, all columns, with one row of each component: of the rows with
+    its smallest doc_id (null only if there is no other) the one with the
+    smallest text, then the smallest by all columns as JSON.
+
+    Rows without an n-gram link with nothing and all stay; so does every row
+    that is alone in its component, whatever rows share its doc_id.  Rows are
+    told apart by doc_id and hash of the text.
+    """
+    members, of = _rooted(docs, k, pct)
+    rows = (members.filter("node IS NOT NULL").groupBy("node", "doc_id", "hash").agg(F.count(F.lit(1)).alias("rows"))
+            .join(of, "node"))
+    # stored: what leads a component goes back to the texts three times
+    lead = stored(rows.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
+        "root", F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), "rows"), "leaders")
+    many = lead.groupBy("root").agg(F.sum("rows").alias("n")).filter("n > 1").select("root")
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_key"),
+                      F.xxhash64("text").alias("_own"), "text")
+    same = F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash"))
+    words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))  # what has a node
+    single = lead.join(many, "root", "left_anti").select("_id", "_hash")
+    whole = own.filter(words).join(single, same, "left_semi").select("_row.*")
+    best = (own.filter(words).join(lead.join(many, "root", "left_semi"), same).groupBy("root")
+            .agg(F.min_by("_row", F.struct(F.col("_row.text"), F.to_json("_row"))).alias("_row")).select("_row.*"))
+    return docs.filter(~words).unionByName(whole).unionByName(best)
 
 
 #: DuckDB: all pairs that share an n-gram, then the components.

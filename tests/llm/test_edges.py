@@ -159,6 +159,20 @@ def test_stage_edges(spark, edges, empty, k):
     assert stage(spark, empty, SF).count() == 0
 
 
+def test_unlinked_rows_stay_whatever_their_id(spark):
+    """Different texts with null and equal ids; one of each group of links."""
+    text = lambda w, n=40: " ".join(f"{w}{i}" for i in range(n))
+    near = text("c", 39) + " end"
+    rows = [(None, text("a")), (None, text("b")), (None, text("c")), (None, ""), (None, None), (None, text("z")),
+            (None, text("z")), (None, text("z").upper()), (5, text("d")), (5, text("e")), (5, ""), (7, near), (8, text("c")),
+            (9, text("f")), (5, text("f")), (5, text("f")), (5, text("f").upper())]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, node int").repartition(4)
+    out = CP.near_duplicates(spark, df, SF)
+    assert out.columns == df.columns
+    # of rows 6 and 7 / 15 to 16 the smallest by text goes on, capitals first
+    assert sorted(r.node for r in out.collect()) == [0, 1, 3, 4, 7, 8, 9, 10, 11, 16]
+
+
 def test_pipeline(spark):
     """Stage by stage, each against what its operator says of its own input."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
