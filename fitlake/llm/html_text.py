@@ -37,23 +37,35 @@ _TAG = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _CLASS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-# Fixed values of HTML: elements without content, with raw content, inside a line, closing an open p.
+# Fixed values of HTML: elements without content, with raw content, whose content is not text of the page, inside a line,
+# start tags that end an open svg.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg iframe object select button".split())
+RAW = frozenset("script style textarea title iframe".split())
+HIDDEN = frozenset("noscript template svg object select button".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s "
                    "samp small span strike strong sub sup time tt u var wbr".split())
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li menu meta "
+                     "nobr ol p pre ruby s small span strike strong sub sup table tt u ul var article section main header "
+                     "footer nav aside form figure".split())
 _LINKS = frozenset({"a"})
 
 
 def blocks(page: str | None) -> list[tuple[tuple, str, int]]:
     """The leaf blocks of a page in order: (ancestors, text, characters in
     links).  An ancestor is (tag, words of class, id and role).  Character
-    references are decoded, white space becomes single spaces."""
+    references are decoded, white space becomes single spaces.
+
+    An element of RAW holds no tags and ends at its end tag, or with the page.
+    One of HIDDEN may hold others; its blocks are dropped at its own end tag.
+    Without one it ends with its parent and what it holds is text of the page;
+    an svg ends at the first start tag of BREAKOUT.
+    """
     out: list[tuple[tuple, str, int]] = []
     if not page:
         return out
     stack: list[tuple] = []
     parts: list[str] = []
+    hidden: list[tuple[int, int, int]] = []  # open ones: place on the stack, blocks and links before
     links = link_chars = 0
     pos = 0
 
@@ -62,10 +74,21 @@ def blocks(page: str | None) -> list[tuple[tuple, str, int]]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append((tuple(stack), text, link_chars))
+                out.append((tuple(a for a in stack if a[0] not in HIDDEN) if hidden else tuple(stack), text, link_chars))
             parts.clear()
         link_chars = 0
 
+    def leave(i: int, drop: bool) -> None:
+        """Closes the stack from place i on; drops what the hidden element
+        there holds."""
+        nonlocal links
+        del stack[i:]
+        while hidden and hidden[-1][0] >= i:
+            at, blocks_before, links_before = hidden.pop()
+            if drop and at == i:
+                del out[blocks_before:]
+                links = links_before
+
     def words(raw: str) -> None:
         nonlocal link_chars
         t = html.unescape(raw) if "&" in raw else raw
@@ -88,6 +111,10 @@ def blocks(page: str | None) -> list[tuple[tuple, str, int]]:
                 words(m[0][9:].removesuffix("]]>"))
             continue
         name, closing, attrs = name.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
+        if hidden and not closing and name in BREAKOUT and stack[hidden[-1][0]][0] == "svg" and not any(
+                t == "foreignobject" for t, _ in stack[hidden[-1][0]:]):
+            flush()
+            leave(hidden[-1][0], True)
         if name in INLINE:
             if name == "br":
                 parts.append(" ")
@@ -101,11 +128,19 @@ def blocks(page: str | None) -> list[tuple[tuple, str, int]]:
                 pos = end.end() if end else len(page)
             continue
         flush()
-        links = 0
+        if name in HIDDEN and not closing:
+            if not attrs.endswith("/"):
+                hidden.append((len(stack), len(out), links))
+                stack.append((name, ()))
+            continue
+        if not (closing and name in HIDDEN):
+            links = 0
         if closing:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    del stack[i:]
+                    leave(i, name in HIDDEN)
+                    break
+                if name == "p" and stack[i][0] in HIDDEN and stack[i][0] != "svg":
                     break
         elif name not in VOID and not attrs.endswith("/"):
             if stack and stack[-1][0] == "p":

@@ -201,6 +201,22 @@ def test_other_markup(spark):
                                                "Second <one>, also with words.")
 
 
+def test_hidden_elements_end_where_html_ends_them():
+    def texts(page):
+        return [t for _, t, _ in html_text.blocks(page)]
+
+    for tag in ("button", "svg", "select", "object", "noscript", "template"):
+        assert texts(f"<div><p>a</p><{tag}>no</{tag}><p>b</p></div>c") == ["a", "b", "c"]
+        assert texts(f"<div><p>a</p><{tag}>no<{tag}>no</{tag}>no</{tag}><p>b</p></div>c") == ["a", "b", "c"]
+        assert texts(f"<article><p>a</p><{tag}><p>b</p></article><p>c</p>") == ["a", "b", "c"]
+        assert texts(f"<{tag}><article><p>a</p><p>b</p></article>") == ["a", "b"]
+        assert [x for x, _, _ in html_text.blocks(f"<article><{tag}><p>b</p></article>")] == [(("article", ()), ("p", ()))]
+    assert texts("<p>a<svg><text>no</text><p>b<p>c") == ["a", "b", "c"]
+    assert texts("<div><svg><foreignObject><p>no</p></foreignObject></svg>a</div>") == ["a"]
+    assert texts("<p>a<button>no</p>no</button>b</p>") == ["a", "b"]
+    assert texts("<p>a</p><script>no<p>no") == ["a"]
+
+
 # --- op6 -----------------------------------------------------------------
 
 def plain_line_dedup(docs):
