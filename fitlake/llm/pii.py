@@ -29,13 +29,18 @@ ROUNDS = 8
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 # Patterns, in the order in which they are tried at a place.
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
-DATE = (r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}"
-        r"|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}-[0-9]{2}-[0-9]{4})(?![0-9]|[./-][0-9])")
+DATE = (r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}"
+        r"|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4})(?![0-9]|[./-][0-9])")
 IP = rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])"
 SSN = r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"
-PHONE = r"(?<![0-9])\+[0-9]{1,3}[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
-CARD = (r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4} [0-9]{6} [0-9]{5}"
-        r"|[0-9]{4}-[0-9]{6}-[0-9]{5})(?![0-9])")
+# with a country code (8 to 15 digits in any grouping), 3-3-4, or with a trunk zero
+PHONE = (r"(?:(?<![0-9])\+(?=(?:[ .()-]{0,2}[0-9]){8,15}(?![0-9]))[0-9]{1,3}(?:[ .-]?\([0-9]{1,5}\)|[ .-]?[0-9]{1,12}){1,7}"
+         r"|(?<![0-9.-])(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
+         r"|(?<![0-9.-])(?:\(0[0-9]{1,4}\)|0[0-9]{1,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4})(?![0-9]|[.-][0-9])")
+#: Groups of digits that no other kind begins with (1000 at a time: the matcher's stack grows with them); numbers that
+#: pass the check digit are sought in them.
+CARD = (r"(?<![0-9])(?=(?:[0-9][ -]?){12}[0-9])[0-9]+"
+        rf"(?:[ -](?!{EMAIL}|{DATE}|{IP}|{SSN}|{PHONE})[0-9]+(?![0-9]|[./][0-9])){{0,999}}(?![0-9])")
 KINDS = ("email", "date", "ip", "ssn", "phone", "card")
 ALL = "|".join((EMAIL, DATE, IP, SSN, PHONE, CARD))
 #: Days of the 400 years from 1800-01-01 on, as two residues: 189 * 773.
@@ -130,11 +135,41 @@ def _card(key: str, s: Column) -> Column:
     return F.when(luhn_sum(d, 2) % 10 == 0, _pour(s, F.get(new, 0)))
 
 
+def _cards(key: str, s: Column) -> Column:
+    """struct(new, n): runs of whole groups with 13 to 19 digits and a right
+    check digit replaced, leftmost first, then longest."""
+    both = F.struct(F.regexp_extract_all(s, F.lit("([0-9]+)"), 1).alias("groups"),
+                    F.regexp_extract_all(s, F.lit("([ -]?[0-9]+)"), 1).alias("pieces"))
+
+    def step(t, i, groups, pieces):
+        digits = lambda j: F.array_join(F.slice(groups, i + 1, j - i + 1), "")
+        ends = F.filter(F.sequence(i, F.least(i + 18, F.size(groups) - 1)),
+                        lambda j: F.length(digits(j)).between(13, 19) & (luhn_sum(digits(j), 2) % 10 == 0))
+        found = F.transform(F.array(F.array_max(ends)), lambda j: F.when(j.isNull(), F.struct(
+            F.concat(t["out"], F.get(pieces, i)).alias("out"), (i + 1).alias("upto"), t["n"].alias("n"))).otherwise(F.struct(
+                F.concat(t["out"], _card(key, F.array_join(F.slice(pieces, i + 1, j - i + 1), ""))).alias("out"),
+                (j + 1).alias("upto"), (t["n"] + 1).alias("n"))))
+        return F.when(i < t["upto"], t).otherwise(F.get(found, 0))
+
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("upto"), F.lit(0).alias("n"))
+    # both lists are looked at for each group: bound by a one-element array
+    return F.get(F.transform(F.array(both), lambda b: F.aggregate(
+        F.sequence(F.lit(0), F.size(b["groups"]) - 1), start, lambda t, i: step(t, i, b["groups"], b["pieces"]))), 0)
+
+
 def _phone(key: str, s: Column) -> Column:
+    """The country code (what stands before the last 10 digits if it is not set
+    apart) or trunk zero stays."""
     d = _digits(s)
-    code, rest = F.substr(d, F.lit(1), F.length(d) - 10), F.substr(d, F.length(d) - 9)
-    p = feistel(key, "phone", F.substr(rest, F.lit(1), F.lit(5)), F.substr(rest, F.lit(6)), 100_000, 100_000)
-    return F.get(F.transform(F.array(p), lambda q: _pour(s, F.concat(code, _pad(q["x"], 5), _pad(q["y"], 5)))), 0)
+    first = F.length(F.regexp_extract(s, r"^\+([0-9]{1,3})(?![0-9])", 1))
+    kept = (F.when(s.startswith("+"), F.when(first > 0, first).otherwise(F.least(F.lit(3), F.greatest(F.lit(1), F.length(d) - 10))))
+            .when(s.rlike(r"^\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}$"), 0).otherwise(1))
+    code, rest = F.substr(d, F.lit(1), kept), F.substr(d, kept + 1)
+    left = F.floor(F.length(rest) / 2).cast("int")
+    right = F.length(rest) - left
+    tweak = F.when(F.length(rest) == 10, F.lit("phone")).otherwise(F.concat(F.lit("phone"), F.length(rest).cast("string")))
+    p = feistel(key, tweak, F.substr(rest, F.lit(1), left), F.substr(rest, left + 1), _power(left), _power(right))
+    return F.get(F.transform(F.array(p), lambda q: _pour(s, F.concat(code, _pad(q["x"], left), _pad(q["y"], right)))), 0)
 
 
 def _ip(key: str, s: Column) -> Column:
@@ -162,9 +197,11 @@ def _date(key: str, s: Column) -> Column:
             F.date_add(F.lit(EPOCH).cast("date"), (q["x"] * DAYS[1] + q["y"]).cast("int")), fmt))
         return F.when(days.between(0, DAYS[0] * DAYS[1] - 1), F.get(back, 0))
 
-    return (F.when(s.rlike("^[0-9]{4}-"), of("yyyy-MM-dd")).when(s.rlike("^[0-9]{4}/"), of("yyyy/MM/dd"))
-            .when(s.contains("."), of("dd.MM.yyyy"))
-            .when(s.contains("/"), F.coalesce(of("MM/dd/yyyy"), of("dd/MM/yyyy"))).otherwise(of("dd-MM-yyyy")))
+    two = lambda wide, short: F.when(s.rlike("(?<![0-9])[0-9](?![0-9])"), of(short)).otherwise(of(wide))
+    return (F.when(s.rlike("^[0-9]{4}-"), two("yyyy-MM-dd", "yyyy-M-d"))
+            .when(s.rlike("^[0-9]{4}/"), two("yyyy/MM/dd", "yyyy/M/d")).when(s.contains("."), two("dd.MM.yyyy", "d.M.yyyy"))
+            .when(s.contains("/"), F.coalesce(two("MM/dd/yyyy", "M/d/yyyy"), two("dd/MM/yyyy", "d/M/yyyy")))
+            .otherwise(two("dd-MM-yyyy", "d-M-yyyy")))
 
 
 def _email(key: str, s: Column) -> Column:
@@ -186,12 +223,14 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
         # the tests look at the value alone, without what stands around it
         is_ = lambda p: s.rlike(f"^(?:{p})$")
         kind = (F.when(s.contains("@"), F.lit("email")).when(is_(DATE), F.lit("date")).when(is_(IP), F.lit("ip"))
-                .when(is_(SSN), F.lit("ssn")).when(s.startswith("+"), F.lit("phone")).otherwise(F.lit("card")))
+                .when(is_(SSN), F.lit("ssn")).when(is_(PHONE), F.lit("phone")).otherwise(F.lit("card")))
         made = F.transform(F.array(kind), lambda k: F.struct(k.alias("kind"), reduce(
             lambda w, x: w.when(k == x[0], x[1](key, s)),
-            zip(KINDS[1:], (_date, _ip, _ssn, _phone, _card)), F.when(k == "email", _email(key, s))).alias("new")))
+            zip(KINDS[1:-1], (_date, _ip, _ssn, _phone)), F.when(k == "email", _email(key, s))).alias("new"),
+            F.when(k == "card", _cards(key, s)).alias("cards")))
         return F.transform(made, lambda m: F.struct(
-            F.when(m["new"].isNotNull(), m["kind"]).alias("kind"), F.coalesce(m["new"], s).alias("new")))
+            F.when(m["new"].isNotNull() | (m["cards"]["n"] > 0), m["kind"]).alias("kind"),
+            F.coalesce(m["new"], m["cards"]["out"], s).alias("new"), F.coalesce(m["cards"]["n"], F.lit(1)).alias("n")))
 
     maybe = F.col("text").rlike(r"[0-9@]")
     d = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), "text")
@@ -200,7 +239,7 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     d = d.withColumn("_new", F.when(F.size("_found") > 0, F.array_join(F.zip_with(
         F.split("text", ALL, -1), "_found", lambda gap, f: F.concat(gap, F.coalesce(f["new"], F.lit("")))), ""))
         .otherwise(F.col("text")))
-    counts = {f"n_{k}": F.coalesce(F.size(F.filter("_found", lambda f: f["kind"] == k)), F.lit(0)).cast("long")
+    counts = {f"n_{k}": F.aggregate(F.filter("_found", lambda f: f["kind"] == k), F.lit(0).cast("long"), lambda t, f: t + f["n"])
               for k in KINDS}
     counts = {n: F.when(F.col("_found").isNull(), F.lit(0).cast("long")).otherwise(c) for n, c in counts.items()}
     cols = [F.col("_new").alias(c) if c == "text"

@@ -525,3 +525,27 @@ def test_formats(spark):
     assert re.fullmatch(r"[A-Z][a-z]\.\d[a-z]@mail\.example\.com", new[17])
     assert (a.n_date, a.n_card, a.n_ip, a.n_ssn, a.n_phone, a.n_email) == (6, 1, 1, 1, 1, 1)
     assert pii.pseudonymised(df, "other").first().text != a.text
+
+
+def test_every_shape_of_a_number(spark):
+    def card(n, shape):
+        d = "4" + "3071928465"[:9] * 3
+        d = next(d[:n - 1] + c for c in "0123456789" if luhn(d[:n - 1] + c))
+        at = iter(d)
+        return "".join(next(at) if c == "9" else c for c in shape)
+
+    shapes = {"card": [card(14, "9999 999999 9999"), card(19, "9999-9999-9999-9999-999"), card(16, "9999-9999 9999-9999"),
+                       card(13, "9" * 13), card(15, "9999 999999 99999"), card(17, "99999 9999 9999 9999")],
+              "phone": ["(743) 555-3824", "743-555-3824", "743.555.3824", "+44 20 7946 0958", "+49 30 901820", "020 7946 0958",
+                        "+45 12 34 56 78", "+1 (743) 555-3824", "+442079460958"],
+              "date": ["3/4/2020", "2020-3-4", "4.3.2020", "2020/3/14", "4-3-2020", "31/1/2020"]}
+    rows = [(f"{k} {x}", k, f"See {x}, please") for k, xs in shapes.items() for x in xs]
+    rows += [("after", "card", f"No 123456 {shapes['card'][2]} 12"), ("two", "card", f"{shapes['card'][2]} {shapes['card'][1]}")]
+    df = spark.createDataFrame(rows, "name string, kind string, text string")
+    for r in pii.pseudonymised(df, "k").collect():
+        old = next(t for n, _, t in rows if n == r.name)
+        assert r.text != old and r[f"n_{r.kind}"] == (2 if r.name == "two" else 1), (r, old)
+        if r.kind != "date":
+            assert re.sub("[0-9]", "9", r.text) == re.sub("[0-9]", "9", old)
+        if r.name == "after":
+            assert r.text.startswith("No 123456 ") and r.text.endswith(" 12")
