@@ -37,8 +37,8 @@ from fitlake.llm.base import for_python, query, read, stored
 
 #: Discount, passes over the training words, prior share of the end.
 DISCOUNT, PASSES, END_SHARE = 0.75, 2, 1e-3
-#: Longest piece in bytes; bytes of text of a block; words of a lattice batch.
-LONGEST, BLOCK_BYTES, WORDS = 16, 16 << 20, 16384
+#: Bytes of text of a block; words of a lattice batch.
+BLOCK_BYTES, WORDS = 16 << 20, 16384
 #: Distinct words a task counts before it passes them on.
 COUNTED = 200_000
 END = b""
@@ -55,7 +55,7 @@ def vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
         if m.is_control(i) or m.is_unknown(i) or m.is_byte(i):
             continue
         p = m.id_to_piece(i).lstrip("▁").encode()
-        if 0 < len(p) <= LONGEST:
+        if p:
             weight[p] = weight.get(p, 0.0) + 1.0 / (10.0 - m.get_score(i))
     w = np.array(list(weight.values()))
     return list(weight), np.log(w / w.sum())
@@ -70,7 +70,8 @@ class Lattice:
         self.base = np.uint64(0x9E3779B97F4A7C15)
         self.inv = np.uint64(pow(int(self.base), -1, 2**64))
         h = np.zeros(len(pieces), np.uint64)
-        for n in {len(p) for p in pieces}:
+        self.lengths = sorted({len(p) for p in pieces}, reverse=True)  # all arcs there are
+        for n in self.lengths:
             own = [i for i, p in enumerate(pieces) if len(p) == n]
             x = np.frombuffer(b"".join(pieces[i] for i in own), np.uint8).reshape(-1, n)
             h[own] = self._sums(x)[:, -1]
@@ -125,7 +126,7 @@ class Lattice:
         inv[:1] = 1
         inv = np.cumprod(inv)
         for j in range(1, size + 1):
-            yield j, [(i, self._find((sums[:, j] - sums[:, i]) * inv[i])) for i in range(max(0, j - LONGEST), j)]
+            yield j, [(i, self._find((sums[:, j] - sums[:, i]) * inv[i])) for i in (j - k for k in self.lengths if k <= j)]
 
     def forward(self, x: np.ndarray, logp: np.ndarray, keep: list | None = None) -> np.ndarray:
         """Log probabilities of all starts of the words: [n, length + 1]."""

@@ -101,6 +101,19 @@ def test_lattice_marginal_is_the_sum_over_segmentations():
     assert counts[:3] == pytest.approx([.02 / both, .02 / both, .3 / both])
 
 
+def test_pieces_of_any_length_count():
+    import sentencepiece
+    path = lm_scoring.piece_vocabulary()
+    m = sentencepiece.SentencePieceProcessor(model_file=path)
+    want = {m.id_to_piece(i).lstrip("▁").encode() for i in range(m.get_piece_size())
+            if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i))} - {b""}
+    assert max(map(len, want)) > 16 and want <= set(lm_scoring.vocabulary(path)[0])
+    long = b"abcdefghij" * 4
+    lattice = lm_scoring.Lattice([bytes([i]) for i in range(256)] + [long])
+    got = np.exp(lattice.forward(np.frombuffer(long, np.uint8).reshape(1, -1), np.log(np.array([1e-3] * 256 + [.5])))[:, -1])
+    assert got == pytest.approx([.5])
+
+
 # --- op3 -----------------------------------------------------------------
 
 def check_packing(rows, ids_of, tokens=4096):
