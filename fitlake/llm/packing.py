@@ -46,8 +46,18 @@ class WordTokens:
             last = np.zeros(t.get_vocab_size(), bool)
             for piece, i in t.get_vocab().items():
                 last[i] = piece.endswith("</w>")
-            _CACHE[path] = t, t.normalizer, last, {}
-        self.tokenizer, self.normalizer, self.last, self.known = _CACHE[path]
+            _CACHE[path] = t, t.normalizer, last, {}, {}
+        self.tokenizer, self.normalizer, self.last, self.known, self.parted = _CACHE[path]
+
+    def _parts(self, letter: str) -> bool:
+        """Whether a comma or full stop after this letter is a token of its
+        own; not so if its lower-case or composed form ends in a mark."""
+        if letter.isascii():
+            return True
+        if letter not in self.parted:
+            x, y, z, xy, xz = self._each([letter, ",", ".", letter + ",", letter + "."])
+            self.parted[letter] = xy == x + y and xz == x + z
+        return self.parted[letter]
 
     def _each(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -68,8 +78,9 @@ class WordTokens:
     def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         """The ids of words not known yet; remembered while there is room."""
         known, out = self.known, {}
-        # a comma or full stop after a letter is a token of its own
-        marked = [w for w in words if len(w) > 1 and w[-1] in b".," and w[:-1].decode()[-1].isalpha()]
+        # a comma or full stop after a letter is a token of its own, as a rule
+        marked = [w for w in words if len(w) > 1 and w[-1] in b".," and (c := w[:-1].decode()[-1]).isalpha()
+                  and self._parts(c)]
         whole = words.difference(marked)
         whole.update(w[:-1] for w in marked)
         whole.update({b".", b","} if marked else ())
