@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fitlake.llm.base import for_python, query, read, stored
-from fitlake.llm.packing import WordTokens, word_tokenizer
+from fitlake.llm.packing import WordTokens, merged, word_tokenizer
 
 
 class CapacityTree:
@@ -122,7 +122,7 @@ def _pieces(docs: DataFrame, tokenizer: str, end_id: int, tokens: int) -> DataFr
 
     def run(batches):
         part, met = TaskContext.get().partitionId(), [0] * (tokens + 1)
-        for b in batches:
+        for b in merged(batches):
             out = []
             texts = [t or "" for t in b.column("text").to_pylist()]
             for key, ids in zip(b.column("doc_id").to_pylist(), WordTokens(tokenizer)(texts)):

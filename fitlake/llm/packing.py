@@ -13,6 +13,7 @@ into powers of two, which need no padding.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -23,12 +24,18 @@ from pyspark.sql import functions as F
 
 from fitlake.llm.base import for_python, query, read
 
-#: Words whose ids a Python worker remembers: the first that it meets, the
-#: common ones among them.  About 200 bytes each.
+#: Words whose ids a Python worker remembers: the first that it meets in two
+#: batches.  About 200 bytes each.
 CACHE_WORDS = 500_000
+#: Places (of a byte) that tell, by hash, a word met before from a new one.
+MET_PLACES = 1 << 23
+#: Rows and bytes of texts whose words are looked up together.
+MERGED_ROWS, MERGED_BYTES = 2048, 1 << 24
 #: Pieces that wait in a task's buffer.
 BUFFER = 1024
 _CACHE: dict[str, tuple] = {}
+#: Marks at the end of a word, after a letter: a token or tokens of their own.
+_MARKS = re.compile(rb"(?<=[a-z])[!#$%&()*+,./:;=?@\[\]^_`{}~\\-]+(?![^\x20\x09-\x0d])")
 
 
 class WordTokens:
@@ -46,8 +53,8 @@ class WordTokens:
             last = np.zeros(t.get_vocab_size(), bool)
             for piece, i in t.get_vocab().items():
                 last[i] = piece.endswith("</w>")
-            _CACHE[path] = t, t.normalizer, last, {}, {}
-        self.tokenizer, self.normalizer, self.last, self.known, self.parted = _CACHE[path]
+            _CACHE[path] = t, t.normalizer, last, {}, {}, bytearray(MET_PLACES)
+        self.tokenizer, self.normalizer, self.last, self.known, self.parted, self.met = _CACHE[path]
 
     def _parts(self, letter: str) -> bool:
         """Whether a comma or full stop after this letter is a token of its
@@ -76,7 +83,8 @@ class WordTokens:
         return [raw[i:j] for i, j in zip([0, *cuts], cuts)]
 
     def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """The ids of words not known yet; remembered while there is room."""
+        """The ids of words not known yet; remembered, while there is room, if
+        met before."""
         known, out = self.known, {}
         # a comma or full stop after a letter is a token of its own, as a rule
         marked = [w for w in words if len(w) > 1 and w[-1] in b".," and (c := w[:-1].decode()[-1]).isalpha()
@@ -93,16 +101,22 @@ class WordTokens:
                 out.update(zip(plain[k:k + 4096], self._letters(plain[k:k + 4096], normalizer)))
         rest = [w for w in whole if w not in out]
         out.update(zip(rest, self._each([w.decode() for w in rest])))
+        met, mask = self.met, MET_PLACES - 1
+        for w in out if len(known) < CACHE_WORDS else ():
+            at = hash(w) & mask
+            if met[at]:
+                known[w] = out[w]
+            else:
+                met[at] = 1
+        # the marked ones are put together from what is remembered of their parts
         for w in marked:
             x, y = w[:-1], w[-1:]
             out[w] = (known[x] if x in known else out[x]) + (known[y] if y in known else out[y])
-        if len(known) + len(out) <= CACHE_WORDS:
-            known.update(out)
         return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         # "<|" may name a special token, which is matched before letters are folded
-        ws = [None if "<|" in t else t.encode().lower().split() for t in texts]
+        ws = [None if "<|" in t else _MARKS.sub(rb" \g<0>", t.encode().lower()).split() for t in texts]
         here: set[bytes] = set()
         for x in ws:
             if x is not None:
@@ -116,6 +130,19 @@ class WordTokens:
         return [self._each([t])[0] if x is None else b"".join(map(table.__getitem__, x)) for t, x in zip(texts, ws)]
 
 
+def merged(batches):
+    """Record batches put together up to MERGED_ROWS rows or MERGED_BYTES: the
+    more texts at once, the fewer words are looked up apart."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= MERGED_ROWS or sum(x.nbytes for x in held) >= MERGED_BYTES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 class Packer:
     """Pieces are (key, start, ids, loss, total): `ids` bytes of 4 an id,
     `loss` the loss-bearing ones as bytes of 0 and 1, or None for all."""
@@ -241,7 +268,7 @@ def _packed(rows: DataFrame, examples, limits, cut: bool) -> DataFrame:
             cols, packer.out = list(zip(*packer.out)), []
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _SCHEMA.types)], schema=_SCHEMA)
 
-        for b in batches:
+        for b in merged(batches):
             for key, ids, loss in examples(b):
                 packer.add(key, ids, loss)
                 if len(packer.out) >= 20_000:
