@@ -33,8 +33,8 @@ from fitlake.llm.base import for_python, query, read, stored
 
 #: A block of items: so many at most, and so many distinct terms (or one item).
 BLOCK_ITEMS, BLOCK_TERMS = 512, 16_384
-#: Rows below a leaf of the trees.
-LEAF_ITEMS, LEAF_DOCS = 8, 16
+#: Rows below a leaf of the trees; rows that others are compared with to lay them out.
+LEAF_ITEMS, LEAF_DOCS, PIVOTS = 8, 16, 8
 #: Documents that are searched first, for thresholds that prune from the start.
 FIRST_DOCS = 2048
 #: Tasks' results are merged in so many groups an item first.
@@ -86,18 +86,21 @@ def _counted(docs: DataFrame, vocabulary) -> DataFrame:
 
 
 class Tree:
-    """Rows of a matrix halved again and again, by which of two far rows each
-    is more like, down to leaves of at most `leaf` rows."""
+    """Rows of a matrix halved again and again, down to leaves of at most
+    `leaf` rows.  Rows are laid out by which of a few rows, each as unlike the
+    earlier ones as can be, they are most like, so that a half holds like rows."""
 
     def __init__(self, x: np.ndarray, leaf: int, rows: np.ndarray | None = None):
         self.rows = np.arange(len(x)) if rows is None else rows
         self.kids: list[Tree] = []
         if len(self.rows) > leaf:
             mine = x[self.rows]
-            size = np.sqrt((mine * mine).sum(axis=1)) + 1e-9
-            like = mine @ mine[size.argmax()] / size
-            other = mine @ mine[like.argmin()] / size
-            order = np.argsort(other - like, kind="stable")
+            mine = mine / (np.sqrt((mine * mine).sum(axis=1, keepdims=True)) + 1e-9)
+            likes = [mine @ mine[0]]
+            while len(likes) < PIVOTS:
+                likes.append(mine @ mine[np.max(likes, axis=0).argmin()])
+            likes = np.array(likes)
+            order = np.lexsort((-likes.max(axis=0), likes.argmax(axis=0)))
             half = len(order) // 2
             self.kids = [Tree(x, leaf, self.rows[o]) for o in (order[:half], order[half:])]
 
@@ -138,26 +141,38 @@ class Search:
                 here[id(node)] = cols[cols >= 0], node.top[t], None if node.kids else self.weights[node.rows][:, t].T
             return here[id(node)]
 
-        def bound(i: Tree, d: Tree) -> int:
-            cols, top, _ = mine(i)
-            return int(d.top[cols].astype(top.dtype) @ top)
-
-        def visit(i: Tree, d: Tree, most: int):
-            if most < self.floor[i.rows].min():
-                return
+        def bound(i: Tree, d: Tree, items: np.ndarray | None) -> np.ndarray:
+            """What a node's items can score at most with a document below d;
+            at a leaf of the items, for each of those still searched for."""
+            cols, top, w = mine(i)
+            best = d.top[cols].astype(top.dtype)
+            return best @ w[:, items] if w is not None else np.array([best @ top])
+
+        def visit(i: Tree, d: Tree, items: np.ndarray | None, most: np.ndarray):
+            if i.kids:
+                if most[0] < self.floor[i.rows].min():
+                    return
+            else:
+                items = items[most >= self.floor[i.rows[items]]]
+                if not len(items):
+                    return
             if not i.kids and not d.kids:
                 cols, _, w = mine(i)
-                self.pairs += len(i.rows) * len(d.rows)
-                scores = values[d.rows][:, cols].astype(w.dtype) @ w
-                for r, c in zip(*np.nonzero(scores >= self.floor[i.rows])):
-                    self._add(int(i.rows[c]), ids[d.rows[r]], int(scores[r, c]))
+                which = i.rows[items]
+                self.pairs += len(items) * len(d.rows)
+                scores = values[d.rows][:, cols].astype(w.dtype) @ w[:, items]
+                for r, c in zip(*np.nonzero(scores >= self.floor[which])):
+                    self._add(int(which[c]), ids[d.rows[r]], int(scores[r, c]))
                 return
-            pairs = [(bound(a, b), n, a, b) for n, (a, b) in enumerate(
-                (a, b) for a in (i.kids or [i]) for b in (d.kids or [d]))]
-            for most_, _, a, b in sorted(pairs, key=lambda p: -p[0]):
-                visit(a, b, most_)
-
-        visit(self.tree, tree, bound(self.tree, tree))
+            below = []
+            for a in i.kids or [i]:
+                rest = items if not i.kids else None if a.kids else np.arange(len(a.rows))
+                below += [(a, b, rest, bound(a, b, rest)) for b in d.kids or [d]]
+            for a, b, rest, most_ in sorted(below, key=lambda x: -x[3].max()):
+                visit(a, b, rest, most_)
+
+        whole = None if self.tree.kids else np.arange(len(self.tree.rows))
+        visit(self.tree, tree, whole, bound(self.tree, tree, whole))
 
     def _add(self, item: int, doc, score: int) -> None:
         if score < self.floor[item]:
