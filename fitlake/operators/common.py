@@ -100,6 +100,42 @@ def assign_ids(df: DataFrame, order_col: str | list[str], base: Column | int, id
             .drop("_pid", "_lix", "_off", "_skip"))
 
 
+#: Running functions that can be put together from parts of a key's rows.
+_JOINED = {"sum": (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))),
+           "max": (F.max, lambda a, b: F.greatest(a, b))}
+
+
+def segments(df: DataFrame, keys: list[str], order: list[str], name: str = "_seg") -> DataFrame:
+    """`df`, stored, with the number of the range of (keys, order) in which a
+    row lies: ranges are of about equal size, so the rows of a hot key lie in
+    many.  (Stored twice, like in `assign_ids`: the range partitioner samples
+    its input, and the numbers are read more than once afterwards.)"""
+    checkpoint_dir(df.sparkSession)
+    src = df.checkpoint(eager=True)
+    return (src.repartitionByRange(*[F.col(c) for c in [*keys, *order]])
+            .withColumn(name, F.spark_partition_id()).checkpoint(eager=True))
+
+
+def running(df: DataFrame, keys: list[str], seg: str, order: list[str], cols: dict[str, tuple[str, Column]],
+            before: bool = False) -> DataFrame:
+    """Running sums ("sum") or greatest values ("max") of each key's rows in
+    `order` (unique for a key), up to the row or, with `before`, up to the one
+    before it.  A key's rows are handled segment by segment (`segments`), and
+    each segment's result is put together with that of the key's earlier
+    segments, so no task holds all rows of a hot key.  Null keys are keys."""
+    tmp = df.withColumns({f"_x_{n}": c for n, (_, c) in cols.items()})
+    inside = (Window.partitionBy(*keys, seg).orderBy(*order)
+              .rowsBetween(Window.unboundedPreceding, -1 if before else Window.currentRow))
+    inner = tmp.withColumns({f"_i_{n}": _JOINED[f][0](f"_x_{n}").over(inside) for n, (f, _) in cols.items()})
+    totals = tmp.groupBy(*keys, seg).agg(*[_JOINED[f][0](f"_x_{n}").alias(f"_x_{n}") for n, (f, _) in cols.items()])
+    earlier = Window.partitionBy(*keys).orderBy(seg).rowsBetween(Window.unboundedPreceding, -1)
+    prefix = totals.select(*[F.col(k).alias(f"_k_{k}") for k in [*keys, seg]],
+                           *[_JOINED[f][0](f"_x_{n}").over(earlier).alias(f"_p_{n}") for n, (f, _) in cols.items()])
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in [*keys, seg]]
+    return inner.join(prefix, same, "left").select(
+        *df.columns, *[_JOINED[f][1](F.col(f"_p_{n}"), F.col(f"_i_{n}")).alias(n) for n, (f, _) in cols.items()])
+
+
 def max_id(df: DataFrame, col: str) -> Column:
     """`COALESCE(MAX(col), 0)` as a lazy scalar subquery."""
     return df.select(F.coalesce(F.max(col), F.lit(0))).scalar()

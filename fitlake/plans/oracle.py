@@ -104,6 +104,23 @@ cancel_requests AS (
   SELECT event_id AS request_id, CAST(event_id AS BIGINT) AS L_ID,
          CAST(CASE WHEN event_id % 7 < 4 THEN user_id ELSE user_id + 1 END AS BIGINT) AS M_ID
   FROM events),
+seat_requests AS (
+  SELECT 8 * event_id AS request_id, 'book' AS kind, CAST(user_id AS BIGINT) AS M_ID,
+         CAST((event_id * 7) % greatest((SELECT count(*) FROM part) // 8, 1) AS BIGINT) AS S_ID,
+         CAST(NULL AS BIGINT) AS L_ID, CAST(NULL AS BIGINT) AS booking
+  FROM events WHERE event_type = 'view'
+  UNION ALL
+  SELECT 8 * (event_id + 300) + 1, 'book', user_id, (event_id * 7) % greatest((SELECT count(*) FROM part) // 8, 1), NULL, NULL
+  FROM events WHERE event_type = 'view' AND event_id % 2 = 0
+  UNION ALL
+  SELECT 8 * (event_id + 700) + 2, 'cancel', CASE WHEN event_id % 9 = 0 THEN user_id + 1 ELSE user_id END, NULL, NULL, 8 * event_id
+  FROM events WHERE event_type = 'view' AND event_id % 3 = 0
+  UNION ALL
+  SELECT 8 * (event_id + 1000) + 3, 'book', user_id, (event_id * 7) % greatest((SELECT count(*) FROM part) // 8, 1), NULL, NULL
+  FROM events WHERE event_type = 'view' AND event_id % 6 = 0
+  UNION ALL
+  SELECT 8 * (event_id + 100) + 4, 'cancel', user_id, NULL, event_id, NULL
+  FROM events WHERE event_type = 'signup' AND event_id % 2 = 0),
 workout_requests AS (
   SELECT event_id AS request_id, CAST(user_id AS BIGINT) AS M_ID,
          CASE event_id % 3 WHEN 0 THEN 'Running' WHEN 1 THEN 'Cycling' ELSE 'Rowing' END AS Exercise,

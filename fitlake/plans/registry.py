@@ -116,7 +116,7 @@ def _load() -> None:
     # Importing the catalogs fills the registry.
     from fitlake.plans import (catalog_base, catalog_metrics, catalog_reports,  # noqa: F401
                                catalog_rules, catalog_app, catalog_maintenance,
-                               catalog_streaming)
+                               catalog_streaming, catalog_changes)
 
 
 def queries() -> dict[str, Builder]:

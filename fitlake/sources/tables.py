@@ -289,6 +289,30 @@ def cancel_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         .cast("bigint").alias("M_ID"))
 
 
+def seat_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bookings and cancellations in one sequence: views book, half of them
+    again a little later; a third of those bookings are cancelled (some by
+    another member), and half of those tried once more; every other stored
+    booking is cancelled in between.  Eight ids for each event."""
+    ev = _raw(spark, sf_dir, "events")
+    few = F.greatest(F.floor(F.lit(_raw(spark, sf_dir, "part").count()) / 8), F.lit(1))
+    eid, uid = F.col("event_id").cast("bigint"), F.col("user_id").cast("bigint")
+    none = F.lit(None).cast("bigint")
+
+    def rows(where, later: int, slot: int, kind: str, member=uid, session=none, log=none, booking=none):
+        return ev.filter(where).select(
+            (8 * (eid + later) + slot).alias("request_id"), F.lit(kind).alias("kind"), member.alias("M_ID"),
+            session.cast("bigint").alias("S_ID"), log.alias("L_ID"), booking.alias("booking"))
+
+    view, session = F.col("event_type") == "view", (eid * 7) % few
+    other = F.when(eid % 9 == 0, uid + 1).otherwise(uid)
+    return (rows(view, 0, 0, "book", session=session)
+            .unionByName(rows(view & (eid % 2 == 0), 300, 1, "book", session=session))
+            .unionByName(rows(view & (eid % 3 == 0), 700, 2, "cancel", other, booking=8 * eid))
+            .unionByName(rows(view & (eid % 6 == 0), 1000, 3, "book", session=session))
+            .unionByName(rows((F.col("event_type") == "signup") & (eid % 2 == 0), 100, 4, "cancel", log=eid)))
+
+
 def workout_requests(spark: SparkSession, sf_dir: str, as_of: dt.date = DEFAULT_AS_OF) -> DataFrame:
     ev = _raw(spark, sf_dir, "events")
     eid = F.col("event_id")
