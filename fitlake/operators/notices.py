@@ -39,6 +39,32 @@ def _recent(t: Tables, ntype: str, since: Column, like: str | None = None,
     return n.select("M_ID").distinct()
 
 
+def renewal_message(day: Column) -> Column:
+    """Of a member's row (Name, `_renew`) on run date `day`."""
+    days = F.datediff("_renew", day)
+    return F.concat(F.lit("Hello "), F.col("Name"), F.lit("! Your membership renews in "),
+                    days.cast("string"), F.lit(" day"), F.when(days > 1, "s").otherwise(""),
+                    F.lit(" on "), long_date("_renew"),
+                    F.lit(". Please contact us to renew your membership."))
+
+
+def expiry_message(day: Column) -> Column:
+    """Of a member's row (`_type`, MembershipEndDate) on run date `day`."""
+    return F.concat(F.lit("Your "), F.coalesce(F.col("_type"), F.lit("None")),
+                    F.lit(" membership expires in "),
+                    F.datediff("MembershipEndDate", day).cast("string"),
+                    F.lit(" day(s) on "), long_date("MembershipEndDate"),
+                    F.lit(". Please renew to continue enjoying our services."))
+
+
+def inactive_message() -> Column:
+    """Of a member's row (Name, Days_Inactive); NULL without a workout."""
+    return F.concat(F.lit("We miss you, "), F.col("Name"), F.lit("! It has been "),
+                    F.col("Days_Inactive").cast("string"),
+                    F.lit(" days since your last workout. "),
+                    F.lit("Come back and continue your fitness journey!"))
+
+
 def renewal_notices(t: Tables, as_of: dt.date = DEFAULT_AS_OF) -> DataFrame:
     """Active members whose JoinDate + Duration falls in [as_of, as_of+7] and
     who got no renewal notice since as_of-7 (midnight)."""
@@ -50,12 +76,7 @@ def renewal_notices(t: Tables, as_of: dt.date = DEFAULT_AS_OF) -> DataFrame:
            .filter(F.col("_renew").between(lit_date(as_of), days_after(as_of, 7)))
            .join(_recent(t, "renewal", midnight(as_of - dt.timedelta(days=7))), "M_ID",
                  "left_anti"))
-    days = F.datediff("_renew", lit_date(as_of))
-    msg = F.concat(F.lit("Hello "), F.col("Name"), F.lit("! Your membership renews in "),
-                   days.cast("string"), F.lit(" day"), F.when(days > 1, "s").otherwise(""),
-                   F.lit(" on "), long_date("_renew"),
-                   F.lit(". Please contact us to renew your membership."))
-    return notice(due, msg, "renewal", as_of)
+    return notice(due, renewal_message(lit_date(as_of)), "renewal", as_of)
 
 
 def renewal_notices_stored_date(t: Tables, as_of: dt.date = DEFAULT_AS_OF,
@@ -71,12 +92,7 @@ def renewal_notices_stored_date(t: Tables, as_of: dt.date = DEFAULT_AS_OF,
                                                                 days_after(as_of, 7)))
            .join(mt, F.col("MembershipType_ID") == F.col("Type_ID"))
            .join(_recent(t, "renewal", since), "M_ID", "left_anti"))
-    msg = F.concat(F.lit("Your "), F.coalesce(F.col("_type"), F.lit("None")),
-                   F.lit(" membership expires in "),
-                   F.datediff("MembershipEndDate", lit_date(as_of)).cast("string"),
-                   F.lit(" day(s) on "), long_date("MembershipEndDate"),
-                   F.lit(". Please renew to continue enjoying our services."))
-    return notice(due, msg, "renewal", as_of)
+    return notice(due, expiry_message(lit_date(as_of)), "renewal", as_of)
 
 
 def _inactive(t: Tables, as_of: dt.date, days: int, ci: bool = False) -> DataFrame:
@@ -102,11 +118,7 @@ def inactive_member_notices(t: Tables, as_of: dt.date = DEFAULT_AS_OF, days: int
                             ci: bool = False) -> DataFrame:
     """Notice rows; the message is NULL for never-active members ([T5])."""
     m = _inactive(t, as_of, days, ci)
-    msg = F.concat(F.lit("We miss you, "), F.col("Name"), F.lit("! It has been "),
-                   F.col("Days_Inactive").cast("string"),
-                   F.lit(" days since your last workout. "),
-                   F.lit("Come back and continue your fitness journey!"))
-    return notice(m, msg, "system", as_of)
+    return notice(m, inactive_message(), "system", as_of)
 
 
 def touched_by_metric_update(t: Tables, updates: DataFrame) -> DataFrame:

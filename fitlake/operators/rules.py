@@ -96,35 +96,52 @@ def validate_member_age(df: DataFrame) -> DataFrame:
                                              F.lit(MSG_AGE)))
 
 
-def validate_log_rows(t: Tables, as_of: dt.date = DEFAULT_AS_OF) -> DataFrame:
-    """All BEFORE INSERT rules on WorkoutLog in trigger order (capacity,
-    ranges, past session), treating the log as its insertion sequence in
-    L_ID order.  A booking fails capacity once `MaxParticipants` earlier
-    bookings of its session were accepted; rejected rows do not consume
-    capacity.  The cut-off is the L_ID of the max-th accepted booking per
-    session, found with a top-K bounded by the largest capacity (a scalar).
-    Only booking rows are joined to sessions; the others (no session for most:
-    one NULL key) pass straight through their own rules."""
+def _judged(session: DataFrame, log: DataFrame, taken: DataFrame | None, as_of: dt.date) -> DataFrame:
+    """`log` with its violations; `taken` (S_ID, n): seats taken before it."""
     bk = _is_session_booking()
-    j = _booking_with_session(t.workout_log.filter(bk), t.session)
+    session = session.select("S_ID", "SessionDate", F.col("MaxParticipants").cast("long").alias("MaxParticipants"))
+    if taken is not None:
+        session = session.join(taken, "S_ID", "left").withColumn(
+            "MaxParticipants", F.col("MaxParticipants") - F.coalesce("n", F.lit(0))).drop("n")
     ranges = workout_range_rules(as_of)
     past = F.col("_sdate") < lit_date(as_of)
     any_range = reduce(lambda a, b: a | b, [F.coalesce(c, F.lit(False)) for c, _ in ranges])
-    valid_bk = j.filter(~any_range & ~F.coalesce(past, F.lit(False)))
-    k = scalar_int(t.session, F.max("MaxParticipants"))
-    # cut-off per session: the L_ID of the max-th accepted booking, or "before
-    # everything" when the capacity is 0 or less.
-    cut = (top_k(valid_bk.select("S_ID", "L_ID", "_max"), ["S_ID"], [F.col("L_ID")], max(k, 1),
-                 rank_col="_rn")
-           .filter(F.col("_rn") == F.col("_max"))
-           .select("S_ID", F.col("L_ID").cast("long").alias("_cut"))
-           .unionByName(t.session.filter(F.col("MaxParticipants") <= 0)
-                        .select("S_ID", F.lit(-(2 ** 63)).cast("long").alias("_cut"))))
+    k = max(scalar_int(session, F.max("MaxParticipants")), 1)
+    # The sessions with their cut-off: the L_ID of the last booking that finds
+    # a seat, or "before everything" when there is none.  Bookings that pass
+    # the other rules are ranked; of a session's rows only the first k travel.
+    dates = session.select("S_ID", F.col("SessionDate").alias("_sdate"), F.col("MaxParticipants").alias("_max"))
+    in_range = log.filter(bk & ~any_range).select("S_ID", "L_ID")
+    ranked = top_k(in_range, ["S_ID"], [F.col("L_ID")], k, rank_col="_rn")
+    cut = (dates.join(ranked, "S_ID", "left").groupBy("S_ID", "_sdate", "_max")
+           .agg(F.max(F.when(F.col("_rn") == F.col("_max"), F.col("L_ID"))).alias("_cut"))
+           # bookings of past sessions never take a seat
+           .withColumn("_cut", F.when(F.col("_max") <= 0, F.lit(-(2 ** 63)).cast("long"))
+                       .when(~F.coalesce(past, F.lit(False)), F.col("_cut"))))
     full = F.col("_cut").isNotNull() & (F.col("L_ID") > F.col("_cut"))
     v = first_violation((full, MSG_FULL), *ranges, (past, MSG_PAST_SESSION))
-    booked = j.join(cut, "S_ID", "left").select(*t.workout_log.columns, v.alias("violation"))
-    return booked.unionByName(
-        t.workout_log.filter(~bk).withColumn("violation", first_violation(*ranges)))
+    booked = log.filter(bk).join(cut, "S_ID", "left").select(*log.columns, v.alias("violation"))
+    return booked.unionByName(log.filter(~bk).withColumn("violation", first_violation(*ranges)))
+
+
+def validate_log_rows(t: Tables, as_of: dt.date = DEFAULT_AS_OF) -> DataFrame:
+    """All BEFORE INSERT rules on WorkoutLog in trigger order (capacity,
+    ranges, past session), treating the log as its insertion sequence in
+    L_ID order.  A booking fails capacity once `MaxParticipants` earlier
+    bookings of its session were accepted; rejected rows do not consume
+    capacity.  The cut-off is the L_ID of the max-th accepted booking per
+    session, found with a top-K bounded by the largest capacity (a scalar) and
+    joined to the sessions, so the log meets them once.  Only booking rows are
+    joined; the others (no session for most: one NULL key) pass straight
+    through their own rules."""
+    return _judged(t.session, t.workout_log, None, as_of)
+
+
+def judged_after(taken: DataFrame, inserted: DataFrame, session: DataFrame,
+                 as_of: dt.date = DEFAULT_AS_OF) -> DataFrame:
+    """`inserted` log rows with their violations, `taken` (S_ID, n) seats of
+    the sessions being taken before."""
+    return _judged(session, inserted, taken, as_of)
 
 
 def overbooked_sessions(t: Tables) -> DataFrame:

@@ -313,6 +313,30 @@ def seat_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
             .unionByName(rows((F.col("event_type") == "signup") & (eid % 2 == 0), 100, 4, "cancel", log=eid)))
 
 
+def next_version(t: Tables) -> Tables:
+    """A later version of the tables: some rows of members, sessions, metrics
+    and log changed, some gone, some new (copies with ids beyond all others)."""
+    m, h, s, w = t.member, t.health_metrics, t.session, t.workout_log
+    far = 10 ** 9
+
+    def copies(df, key, where):
+        return df.filter(where).withColumn(key, F.col(key) + far)
+
+    member = m.filter("M_ID % 50 <> 49").withColumns({
+        "Phone": F.when(F.expr("M_ID % 7 = 0"), F.concat(F.coalesce("Phone", F.lit("")), F.lit("0"))).otherwise(F.col("Phone")),
+        "IsActive": F.expr("CASE WHEN M_ID % 11 = 0 THEN NOT IsActive ELSE IsActive END")})
+    metrics = h.withColumns({
+        "Weight": F.expr("CASE WHEN Metric_ID % 5 = 0 THEN CAST(Weight + 1 AS DECIMAL(5,2)) ELSE Weight END"),
+        "Steps": F.expr("CASE WHEN Metric_ID % 13 = 0 THEN NULL ELSE Steps END")})
+    session = s.withColumns({
+        "Details": F.expr("CASE WHEN S_ID % 3 = 0 THEN concat(Details, ' (moved)') ELSE Details END"),
+        "SessionDate": F.expr("CASE WHEN S_ID % 6 = 0 THEN date_add(SessionDate, 1) ELSE SessionDate END")})
+    log = w.filter("L_ID % 100 <> 5")
+    return t.replace(member=member.unionByName(copies(m, "M_ID", "M_ID % 40 = 1")),
+                     health_metrics=metrics.unionByName(copies(h, "Metric_ID", "Metric_ID % 29 = 3")), session=session,
+                     workout_log=log.unionByName(copies(w, "L_ID", "L_ID % 10 = 0")))
+
+
 def workout_requests(spark: SparkSession, sf_dir: str, as_of: dt.date = DEFAULT_AS_OF) -> DataFrame:
     ev = _raw(spark, sf_dir, "events")
     eid = F.col("event_id")
