@@ -22,29 +22,32 @@ from fitlake.sources.tables import Tables
 _DAYS = "struct<next:date,days:array<date>>"
 
 
-def chosen_days(due: DataFrame, silenced: DataFrame, first: dt.date, last: dt.date, gap: int) -> DataFrame:
-    """(M_ID, day): of the days in the intervals `due` (M_ID, lo, hi; NULL: open
-    end) between `first` and `last`, each member's first one after `until` of
-    `silenced` (M_ID, until), and always the next one `gap` days later at least.
-    Intervals may overlap and repeat."""
-    lo = F.greatest(F.coalesce("lo", lit_date(first)), lit_date(first))
-    hi = F.least(F.coalesce("hi", lit_date(last)), lit_date(last))
+def chosen_days(due: DataFrame, silenced: DataFrame, first: dt.date | None, last: dt.date | None, gap: int,
+                keys: tuple[str, ...] = ("M_ID",)) -> DataFrame:
+    """(keys, day): of the days in the intervals `due` (keys, lo, hi; NULL: up
+    to the end of the range) between `first` and `last` (None: no such bound),
+    each key's first one after `until` of `silenced` (keys, until), and always
+    the next one `gap` days later at least.  Intervals may overlap and repeat."""
+    lo, hi = F.col("lo"), F.col("hi")
+    if first is not None:
+        lo = F.greatest(F.coalesce(lo, lit_date(first)), lit_date(first))
+    if last is not None:
+        hi = F.least(F.coalesce(hi, lit_date(last)), lit_date(last))
     # distinct intervals within the range: their number is bounded by its days
-    spans = (due.select("M_ID", lo.alias("lo"), hi.alias("hi")).filter("lo <= hi").groupBy("M_ID")
+    spans = (due.select(*keys, lo.alias("lo"), hi.alias("hi")).filter("lo <= hi").groupBy(*keys)
              .agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
-             .join(silenced, "M_ID", "left"))
-    start = F.struct(F.coalesce(F.date_add("until", 1), lit_date(first)).alias("next"),
-                     F.array().cast("array<date>").alias("days")).cast(_DAYS)
+             .join(silenced, list(keys), "left"))
+    start = F.struct(F.date_add("until", 1).alias("next"), F.array().cast("array<date>").alias("days")).cast(_DAYS)
 
     def step(done: Column, span: Column) -> Column:
-        begin = F.greatest(done["next"], span["lo"])
+        begin = F.greatest(done["next"], span["lo"])  # passes over a NULL: not silenced
         days = F.sequence(begin, span["hi"], F.expr(f"INTERVAL {gap} DAYS"))
         more = F.struct(F.date_add(F.element_at(days, -1), gap).alias("next"),
                         F.concat(done["days"], days).alias("days")).cast(_DAYS)
         return F.when(begin <= span["hi"], more).otherwise(done)
 
     fold = F.aggregate("spans", start, step)
-    return spans.select("M_ID", F.explode(fold["days"]).alias("day"))
+    return spans.select(*keys, F.explode(fold["days"]).alias("day"))
 
 
 def _silenced(t: Tables, ntype: str, before: dt.date | None, like: str | None = None, hours: int = 0) -> DataFrame:

@@ -206,16 +206,29 @@ def workout_milestones(t: Tables, as_of: dt.date = DEFAULT_AS_OF,
     milestone (a booking after the 10th workout, before the 11th) repeats the
     notice.  Only the first 101 counted rows per member are ranked (bounded
     top-k); other rows are matched to the [n-th, (n+1)-th) L_ID interval."""
-    counted = t.workout_log.filter(not_booking()).select("M_ID", "L_ID")
+    return milestones_after(None, t.workout_log, as_of, workouts_only)
+
+
+def milestones_after(prior: DataFrame | None, log: DataFrame, as_of: dt.date = DEFAULT_AS_OF,
+                     workouts_only: bool = False) -> DataFrame:
+    """`workout_milestones` of the rows `log`, inserted in the order of L_ID
+    after others of which `prior` (M_ID, c) says how many counted."""
+    counted = log.filter(not_booking()).select("M_ID", "L_ID")
     top = max(MILESTONES) + 1
     ranked = top_k(counted, ["M_ID"], [F.col("L_ID")], top, rank_col="n")
+    if prior is not None:
+        ranked = (ranked.join(prior, "M_ID", "left").filter(F.col("n") + F.coalesce("c", F.lit(0)) <= top)
+                  .select("M_ID", "L_ID", (F.col("n") + F.coalesce("c", F.lit(0))).cast("int").alias("n")))
     hits = ranked.filter(F.col("n").isin(*MILESTONES))
     parts = hits
     if not workouts_only:
         nxt = ranked.select("M_ID", (F.col("n") - 1).alias("n"), F.col("L_ID").alias("_hi"))
-        bounds = hits.select("M_ID", "n", F.col("L_ID").alias("_lo")).join(nxt, ["M_ID", "n"], "left")
-        others = t.workout_log.filter(~F.coalesce(not_booking(), F.lit(False))) \
-            .select("M_ID", "L_ID")
+        reached = hits.select("M_ID", "n", F.col("L_ID").alias("_lo"))
+        if prior is not None:  # the count may have sat on a milestone before the first row
+            reached = reached.unionByName(prior.filter(F.col("c").isin(*MILESTONES)).select(
+                "M_ID", F.col("c").cast("int").alias("n"), F.lit(-(2 ** 63)).cast("long").alias("_lo")))
+        bounds = reached.join(nxt, ["M_ID", "n"], "left")
+        others = log.filter(~F.coalesce(not_booking(), F.lit(False))).select("M_ID", "L_ID")
         inside = others.join(bounds, "M_ID").filter(
             (F.col("L_ID") > F.col("_lo")) & (F.col("_hi").isNull() | (F.col("L_ID") < F.col("_hi"))))
         parts = hits.unionByName(inside.select("M_ID", "L_ID", "n"))

@@ -13,6 +13,7 @@ from fitlake.plans.catalog_rules import _WORKOUT_CASE
 from fitlake.plans.oracle import q
 from fitlake.plans.registry import register, tables
 from fitlake.sources import schema as SC
+from fitlake.streaming import ledgers as LG
 from fitlake.streaming import twins as ST
 
 _NOTICE_COLS = "FALSE AS IsRead, TIMESTAMP '2024-01-30 00:00:00' AS CreatedAt"
@@ -45,9 +46,68 @@ SELECT L_ID, M_ID,
        'progress' AS Type, {_NOTICE_COLS}
 FROM run WHERE n IN (10, 25, 50, 100)"""))
 def _stream_milestones(spark, d):
-    # the only one that needs its input in L_ID order
-    parts = ST.slices(tables(spark, d).workout_log, "L_ID", 4)
-    return ST.replay_to_table(spark, parts, SC.WORKOUT_LOG, ST.stream_milestones)
+    folder = ST.scratch(spark, "milestones")
+    sink = LG.milestone_sink(LG.workouts_ledger(spark, f"{folder}/counts"), f"{folder}/notices")
+    # rows come in L_ID order
+    ST.replay(spark, ST.slices(tables(spark, d).workout_log, "L_ID", 4),
+              lambda stream, ck: LG.start(stream, sink, ck), SC.WORKOUT_LOG)
+    notices = T.StructType([T.StructField("L_ID", T.LongType()), *[f for f in SC.NOTIFICATIONS if f.name != "Notif_ID"]])
+    return LG.results(spark, f"{folder}/notices", notices)
+
+
+@register("stream_capacity", q(f"""
+, lined AS (
+  SELECT w.*, s.SessionDate AS day, s.MaxParticipants AS seats,
+         coalesce(w.Exercise = 'Session Booking', FALSE) AND w.S_ID IS NOT NULL AS books, CASE {_WORKOUT_CASE} END AS wrong
+  FROM workout_log w LEFT JOIN (SELECT S_ID, SessionDate, MaxParticipants FROM session) s USING (S_ID)),
+judged AS (
+  SELECT *, count(*) FILTER (WHERE books AND wrong IS NULL AND NOT coalesce(day < DATE '2024-01-30', FALSE))
+              OVER (PARTITION BY S_ID ORDER BY L_ID ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ahead
+  FROM lined)
+SELECT * EXCLUDE (day, seats, books, wrong, ahead),
+       CASE WHEN books AND ahead >= seats THEN 'Session is already full. Cannot book this session.'
+            WHEN wrong IS NOT NULL THEN wrong
+            WHEN books AND day < DATE '2024-01-30' THEN 'Cannot book sessions that have already passed' END AS violation
+FROM judged"""))
+def _stream_capacity(spark, d):
+    """The log as a stream in L_ID order, every micro-batch handled twice."""
+    t = tables(spark, d)
+    return LG.capacity_replay(t, ST.slices(t.workout_log, "L_ID", 4), ST.scratch(spark, "capacity"), ST.replay, repeat=True)
+
+
+# Day by day: a notice passes when its member has none of its type from seven
+# days before on, stored (before 10 January) or passed.
+_NOTICE_WINDOW = """
+, coming AS (
+  SELECT *, CAST(CreatedAt AS DATE) AS day FROM notifications WHERE CreatedAt >= TIMESTAMP '2024-01-10 00:00:00'),
+daily AS (
+  SELECT * FROM coming QUALIFY row_number() OVER (PARTITION BY M_ID, Type, day ORDER BY CreatedAt, Notif_ID) = 1),
+span AS (SELECT min(day) AS lo, max(day) AS hi FROM daily),
+pass AS (
+  SELECT k.M_ID, k.Type, s.newest, (SELECT lo - 1 FROM span) AS day, CAST(NULL AS BIGINT) AS Notif_ID
+  FROM (SELECT DISTINCT M_ID, Type FROM daily) k
+  LEFT JOIN (SELECT M_ID, Type, CAST(max(CreatedAt) AS DATE) AS newest FROM notifications
+             WHERE CreatedAt < TIMESTAMP '2024-01-10 00:00:00' GROUP BY M_ID, Type) s ON s.M_ID = k.M_ID AND s.Type = k.Type
+  UNION ALL
+  SELECT p.M_ID, p.Type, CASE WHEN d.Notif_ID IS NOT NULL AND coalesce(p.newest < d.day - 7, TRUE) THEN d.day ELSE p.newest END,
+         p.day + 1, CASE WHEN coalesce(p.newest < d.day - 7, TRUE) THEN d.Notif_ID END
+  FROM pass p LEFT JOIN daily d ON d.M_ID = p.M_ID AND d.Type = p.Type AND d.day = p.day + 1
+  WHERE p.day < (SELECT hi FROM span))
+SELECT n.* FROM notifications n JOIN pass USING (Notif_ID)"""
+
+
+@register("stream_notice_window", q(_NOTICE_WINDOW).replace("WITH ", "WITH RECURSIVE ", 1))
+def _stream_notice_window(spark, d):
+    """Notices from 10 January on as a stream in four frames by date, against
+    the ones stored before, with the rule's own seven days."""
+    n = tables(spark, d).notifications
+    cut = dt.datetime(2024, 1, 10)
+    stored, coming = n.filter(F.col("CreatedAt") < F.lit(cut)), n.filter(F.col("CreatedAt") >= F.lit(cut))
+    folder = ST.scratch(spark, "notices")
+    sink = LG.notice_sink(LG.notice_ledger(spark, f"{folder}/newest", stored), f"{folder}/kept")
+    parts = [p.drop("_day") for p in ST.slices(coming.withColumn("_day", F.unix_date(F.to_date("CreatedAt"))), "_day", 4)]
+    ST.replay(spark, parts, lambda stream, ck: LG.start(stream, sink, ck), SC.NOTIFICATIONS)
+    return LG.results(spark, f"{folder}/kept", SC.NOTIFICATIONS)
 
 
 @register("stream_daily_calories", q("""

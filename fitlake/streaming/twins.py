@@ -3,33 +3,25 @@ whose output matches on a bounded replay.
 
 * `stream_validate`        stateless rule projection; foreachBatch to valid /
                            quarantine Parquet sinks (idempotent per batch id).
-* `stream_milestones`      per-member running count kept in GroupState
-                           (`applyInPandasWithState`), append mode.
 * `stream_daily_calories`  1-day tumbling window with a watermark.
 * `stream_notice_dedupe`   `dropDuplicatesWithinWatermark` on (M_ID, Type).
 
 `replay` feeds a sequence of batch frames through a file source, each frame
-read by parallel tasks; only milestones need the frames in key order.
+read by parallel tasks.  Rules whose state is a table are in `ledgers`.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import uuid
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fitlake.functions.exprs import DEFAULT_AS_OF
-from fitlake.operators.notices import MILESTONES
 from fitlake.operators.rules import first_violation, workout_range_rules
 from fitlake.session import checkpoint_dir
-from fitlake.sources.schema import BOOKING
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -91,54 +83,6 @@ def stream_validate(stream: DataFrame, valid_path: str, quarantine_path: str, ch
     return w.start()
 
 
-# ---- milestones -------------------------------------------------------------
-
-_MILESTONE_OUT = T.StructType([T.StructField("M_ID", T.LongType()),
-                               T.StructField("L_ID", T.LongType()),
-                               T.StructField("n", T.IntegerType())])
-_MILESTONE_STATE = T.StructType([T.StructField("count", T.LongType())])
-
-
-def _milestone_state(workouts_only: bool):
-    marks = np.array(list(MILESTONES))
-
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        count = state.get[0] if state.exists else 0
-        ids, counted = [], []  # nine bytes a row; the rows themselves are let go
-        for pdf in pdfs:
-            ids.append(pdf["L_ID"].to_numpy("int64"))
-            counted.append((pdf["Exercise"].notna() & (pdf["Exercise"] != BOOKING)).to_numpy(bool))
-        ids, counted = np.concatenate(ids), np.concatenate(counted)
-        order = np.argsort(ids, kind="stable")
-        ids, counted = ids[order], counted[order]
-        running = np.cumsum(counted) + count
-        fire = np.isin(running, marks)
-        if workouts_only:
-            fire &= counted
-        state.update((int(running[-1]),))
-        yield pd.DataFrame({"M_ID": np.full(int(fire.sum()), key[0], "int64"), "L_ID": ids[fire],
-                            "n": running[fire].astype("int32")})
-
-    return fn
-
-
-def stream_milestones(stream: DataFrame, as_of: dt.date = DEFAULT_AS_OF,
-                      workouts_only: bool = False) -> DataFrame:
-    """Running per-member workout count in state; emits the same rows as the
-    batch `workout_milestones` when rows arrive in L_ID order."""
-    hits = (stream.select("M_ID", "L_ID", "Exercise").groupBy("M_ID")
-            .applyInPandasWithState(_milestone_state(workouts_only), _MILESTONE_OUT,
-                                    _MILESTONE_STATE, "append", GroupStateTimeout.NoTimeout))
-    msg = None
-    for k, text in MILESTONES.items():
-        msg = F.when(F.col("n") == k, F.lit(text)) if msg is None \
-            else msg.when(F.col("n") == k, F.lit(text))
-    return hits.select("L_ID", "M_ID", msg.alias("Message"), F.lit("progress").alias("Type"),
-                       F.lit(False).alias("IsRead"),
-                       F.lit(dt.datetime.combine(as_of, dt.time())).cast("timestamp_ntz")
-                       .alias("CreatedAt"))
-
-
 # ---- windowed calories ------------------------------------------------------
 
 def stream_daily_calories(stream: DataFrame, watermark: str = "1 day") -> DataFrame:
