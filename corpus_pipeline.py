@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fitlake.llm import decontaminate, line_dedup, ngram_join, packing, quality
-from fitlake.llm.base import read, stored
+from fitlake.llm.base import read, stored, unused
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +24,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated chunks of lines; one of which nothing is
     left (a copy of earlier ones) goes."""
-    out = line_dedup.deduplicated(docs, "_gone")
-    return out.filter((F.col("_gone") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop("_gone")
+    gone = unused(docs.columns, "_gone")
+    out = line_dedup.deduplicated(docs, gone)
+    return out.filter((F.col(gone) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop(gone)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
