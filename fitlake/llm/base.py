@@ -61,6 +61,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """`name`, with as many underscores as make it none of `columns`."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def release(spark: SparkSession) -> None:
     """Lets go of what finished jobs have left: Spark deletes a shuffle's files
     once the driver has collected the frames that refer to it."""

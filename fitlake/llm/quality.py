@@ -20,12 +20,15 @@ aggregation, so that a source with a third of all rows is no burden.
 
 from __future__ import annotations
 
+import logging
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitlake.llm.base import query, read, stored, words
+from fitlake.llm.base import query, read, stored, unused, words
+
+_LOG = logging.getLogger(__name__)
 
 #: Transformed statistics.  Counts are shrunk towards a usual text by SHRINK
 #: words, so that short texts do not scatter wildly: mean word length, then
@@ -170,7 +173,9 @@ def _log_det() -> Column:
 
 def _settled(rows: DataFrame, est: DataFrame) -> DataFrame:
     """Concentration steps until each group's determinant stands still; groups
-    that do are left out of later steps."""
+    that do are left out of later steps.  Every step reads the stored rows and
+    the stored estimates of the step before, so its plan is the same size; one
+    that does not settle in STEPS steps keeps its last estimate and is logged."""
     done: list[DataFrame] = []
     for _ in range(STEPS):
         was = est.select("grp", _log_det().alias("was"))
@@ -180,34 +185,46 @@ def _settled(rows: DataFrame, est: DataFrame) -> DataFrame:
         est = new.filter("NOT still").drop("still")
         if est.isEmpty():
             break
-    return reduce(DataFrame.unionByName, done, est)
-
-
-def _grouped(rows: DataFrame) -> DataFrame:
-    """Rows with `grp`: the language and source, the language or all."""
-    some = rows.groupBy("g_lang", "g_source").agg(F.sum(F.when(F.col("fit"), 1).otherwise(0)).alias("n"))
+    else:
+        _LOG.warning("%d groups have not settled in %d steps", est.count(), STEPS)
+    return stored(reduce(DataFrame.unionByName, done, est), "mcd")
+
+
+def _group_names(stats: DataFrame) -> DataFrame:
+    """(g_lang, g_source, grp, fits): the estimate that a language and source
+    uses (its own, the language's or that of all), and those it helps to fit:
+    of its own, its language's and that of all, the ones that somebody uses.
+    One row for each language and source."""
+    some = stats.groupBy("g_lang", "g_source").agg(F.count(F.when(F.col("fit"), 1)).alias("n"))
+    some = stored(some, "quality-groups")
     langs = some.groupBy("g_lang").agg(F.sum("n").alias("n_lang"))
-    names = some.join(langs, "g_lang").select(
-        "g_lang", "g_source",
-        F.when(F.col("n") >= LEAST_ROWS, F.to_json(F.array("g_lang", "g_source")))
-        .when(F.col("n_lang") >= LEAST_ROWS, F.to_json(F.array("g_lang"))).otherwise(F.lit("[]")).alias("grp"))
-    return rows.join(names, ["g_lang", "g_source"])
+    own, lang, every = F.to_json(F.array("g_lang", "g_source")), F.to_json(F.array("g_lang")), F.lit("[]")
+    names = stored(some.join(langs, "g_lang").select(
+        "g_lang", "g_source", F.when(F.col("n") >= LEAST_ROWS, own).when(F.col("n_lang") >= LEAST_ROWS, lang)
+        .otherwise(every).alias("grp")), "quality-groups")
+    used = names.select("grp").distinct()
+    levels = names.select("g_lang", "g_source", F.explode(F.array(own, lang, every)).alias("level"))
+    fits = (levels.join(used, F.col("level") == F.col("grp"), "left_semi").groupBy("g_lang", "g_source")
+            .agg(F.collect_set("level").alias("fits")))  # three names at most
+    return names.join(fits, ["g_lang", "g_source"])
+
+
+def _with_group(rows: DataFrame, per_group: DataFrame) -> DataFrame:
+    """Rows with what their language and source has, joined in SALTS parts."""
+    spread = per_group.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(spread, ["g_lang", "g_source", "salt"], "left")
 
 
-def _estimates(rows: DataFrame) -> DataFrame:
+def _estimates(stats: DataFrame) -> DataFrame:
     """(g_lang, g_source, and the estimate to use), one row a group.
 
     A pooled estimate is fitted on all rows of its language (or all rows), not
     only on those of its small groups."""
-    named = _grouped(rows)
-    use = named.select("g_lang", "g_source", "grp").distinct()
-    fit = rows.filter("fit")
-    levels = [F.to_json(F.array("g_lang", "g_source")), F.to_json(F.array("g_lang")), F.lit("[]")]
-    fit = (fit.withColumn("grp", F.explode(F.array(*levels)))
-           .withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS)).cast("int")))
-    fit = _beside(fit, use.select("grp").distinct()).select("grp", "salt", *FEATURES)
+    names = stored(_group_names(stats), "quality-groups")
+    fit = _with_group(stats.filter("fit"), names.select("g_lang", "g_source", "fits"))
+    fit = stored(fit.select(F.explode("fits").alias("grp"), "salt", *FEATURES), "quality-fit")
     est = _settled(fit, stored(_start(fit), "mcd"))
-    return use.join(est, "grp", "left").drop("grp")
+    return names.join(est, "grp", "left").drop("grp", "fits")
 
 
 def judged(docs: DataFrame) -> DataFrame:
@@ -225,9 +242,12 @@ def judged(docs: DataFrame) -> DataFrame:
     stats = text_statistics(src).withColumns({
         "text_hash": F.xxhash64("text"), "base_failed": base_rule(),
         "g_lang": F.to_json(F.array("g_lang")), "g_source": F.to_json(F.array("g_source"))})
-    stats = stored(stats.withColumns(_features()).withColumn("fit", ~F.col("base_failed")).drop("text"), "quality")
-    est = _estimates(stats)
-    return (stats.join(est, ["g_lang", "g_source"], "left").withColumn("distance", _d2())
+    # a part for each row by its place in its file, so that copies are spread too
+    salt = (F.monotonically_increasing_id() % SALTS).cast("int")
+    stats = stored(stats.withColumns(_features()).withColumns({"fit": ~F.col("base_failed"), "salt": salt})
+                   .drop("text"), "quality")
+    est = stored(_estimates(stats), "quality-estimates")
+    return (_with_group(stats, est).withColumn("distance", _d2())
             .select("doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                     "base_failed", "distance",
                     (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF)).alias("kept")))
@@ -235,10 +255,11 @@ def judged(docs: DataFrame) -> DataFrame:
 
 def filtered(docs: DataFrame) -> DataFrame:
     """`docs`, whole rows and all columns, without those that are rejected."""
+    key, digest = unused(docs.columns, "_bad_id"), unused(docs.columns, "_bad_hash")
     bad = judged(docs).filter("NOT kept").select(
-        F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad_id"))
-                     & (F.xxhash64(docs["text"]) == F.col("_bad_hash")), "left_anti")
+        F.col("doc_id").alias(key), F.col("text_hash").alias(digest)).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(key))
+                     & (F.xxhash64(docs["text"]) == F.col(digest)), "left_anti")
 
 
 @query("op7_quality_rules")
