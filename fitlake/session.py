@@ -27,6 +27,9 @@ _DEFAULTS = {
     # runtime shuffle sizes); beyond this the join stays sort-merge / hash.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    # Spark 4.1 joins a union's equally partitioned inputs partition by
+    # partition, and fails if AQE has coalesced them differently.
+    "spark.sql.unionOutputPartitioning": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
