@@ -42,6 +42,12 @@ def not_booking(col: str = "Exercise") -> Column:
 
 
 
+def email_key(email: Column | str) -> Column:
+    """What makes two e-mail addresses the same: letters' case does not count
+    ([T1], the source's collation)."""
+    return F.lower(F.col(email) if isinstance(email, str) else email)
+
+
 def age_group(age: Column | str) -> Column:
     """Age bucket; NULL age falls through to the last branch like a SQL CASE."""
     a = F.col(age) if isinstance(age, str) else age

@@ -7,8 +7,8 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fitlake.functions.exprs import (DEFAULT_AS_OF, avg_exact, half_up_ratio, is_booking,
-                                     lit_date)
+from fitlake.functions.exprs import (DEFAULT_AS_OF, avg_exact, email_key, half_up_ratio,
+                                     is_booking, lit_date)
 from fitlake.operators.common import booking_counts, log_rows_per_session, top_k
 from fitlake.sources.tables import Tables
 
@@ -30,7 +30,7 @@ def member_directory(t: Tables, ordered: bool = True) -> DataFrame:
 
 def member_by_email(t: Tables, email: str) -> DataFrame:
     """Point lookup on the unique e-mail (pushed into the Parquet scan)."""
-    return t.member.filter(F.col("Email") == F.lit(email))
+    return t.member.filter(email_key("Email") == email_key(F.lit(email)))
 
 
 def recent_workouts(t: Tables, k: int = 10) -> DataFrame:

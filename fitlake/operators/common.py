@@ -69,15 +69,15 @@ def assign_ids(df: DataFrame, order_col: str | list[str], base: Column | int, id
     sizes (a tiny one-row-per-partition frame, broadcast).
 
     With `only`, ids go to the rows where `only` is true (others get NULL):
-    those rows are ordered first, so no join back to the input is needed."""
+    only those are ranged and sorted, the others pass beside."""
     order = [order_col] if isinstance(order_col, str) else list(order_col)
     checkpoint_dir(df.sparkSession)  # the shared folder (set only if unset)
     # The range partitioner samples its input before the shuffle, which would
     # run the whole upstream plan twice: compute it once, lineage cut.
-    src = df.checkpoint(eager=True)
+    src, rest = df.checkpoint(eager=True), None
     if only is not None:
-        src = src.withColumn("_skip", F.when(only, F.lit(0)).otherwise(F.lit(1)))
-        order = ["_skip", *order]
+        given = F.coalesce(only, F.lit(False))
+        src, rest = src.filter(given), src.filter(~given).withColumn(id_col, F.lit(None).cast("bigint"))
     # Partition number and position are read twice below (rows and sizes).
     # They are stored first: planned twice, the range shuffle would sample
     # other bounds, and be coalesced otherwise, on the side that prunes columns.
@@ -92,12 +92,11 @@ def assign_ids(df: DataFrame, order_col: str | list[str], base: Column | int, id
             Window.unboundedPreceding, -1)), F.lit(0))).select("_pid", "_off")
     b = base if isinstance(base, Column) else F.lit(base)
     new_id = (b + F.col("_off") + F.col("_lix")).cast("bigint")
-    if only is not None:
-        new_id = F.when(F.col("_skip") == 0, new_id)
     # one row a partition: bounded by the number of shuffle partitions
-    return (part.join(F.broadcast(offs), "_pid")
-            .withColumn(id_col, new_id)
-            .drop("_pid", "_lix", "_off", "_skip"))
+    out = (part.join(F.broadcast(offs), "_pid")
+           .withColumn(id_col, new_id)
+           .drop("_pid", "_lix", "_off"))
+    return out if rest is None else out.unionByName(rest)
 
 
 #: Running functions that can be put together from parts of a key's rows.

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fitlake.functions.exprs import DEFAULT_AS_OF, is_booking, lit_date
+from fitlake.functions.exprs import DEFAULT_AS_OF, email_key, is_booking, lit_date
 from fitlake.operators.common import booking_counts, scalar_int, top_k
 from fitlake.sources import schema as SC
 from fitlake.sources.tables import Tables
@@ -161,7 +161,8 @@ def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def check_unique(t: Tables, table_names: tuple[str, ...] | None = None) -> DataFrame:
     """Duplicate values of every primary key and UNIQUE column (of all
-    tables, or of `table_names`)."""
+    tables, or of `table_names`); e-mail addresses are the same whatever the
+    case of their letters, and shown in lower case."""
     parts = []
     for table, pk in SC.PRIMARY_KEYS.items():
         if table_names is not None and table not in table_names:
@@ -169,8 +170,9 @@ def check_unique(t: Tables, table_names: tuple[str, ...] | None = None) -> DataF
         cols = [(pk,)] + [tuple(u) for u in ([SC.UNIQUE_KEYS[table]] if table in SC.UNIQUE_KEYS else [])]
         for key in cols:
             c = key[0]
+            value = email_key(c) if c == "Email" else F.col(c)
             parts.append(getattr(t, table).filter(F.col(c).isNotNull())
-                         .groupBy(c).agg(F.count(F.lit(1)).alias("n"))
+                         .groupBy(value.alias(c)).agg(F.count(F.lit(1)).alias("n"))
                          .filter(F.col("n") > 1)
                          .select(F.lit(table).alias("table_name"), F.lit(c).alias("column_name"),
                                  F.col(c).cast("string").alias("value"), "n"))

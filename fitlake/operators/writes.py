@@ -6,11 +6,12 @@ order as if the requests ran one after another."""
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fitlake.functions.exprs import DEFAULT_AS_OF, is_booking
+from fitlake.functions.exprs import DEFAULT_AS_OF, email_key, is_booking
 from fitlake.operators.common import assign_ids, max_id, scalar_int, top_k
 from fitlake.operators.rules import MSG_AGE, first_violation, workout_range_rules
 from fitlake.sources.schema import BOOKING
@@ -61,7 +62,7 @@ def apply_bookings(t: Tables, requests: DataFrame, precedence: str = "procedure"
                     (F.col("_max") - F.coalesce("_n0", F.lit(0))).alias("_free")))
     r = (requests.select("request_id", "M_ID", "S_ID")
          .join(sess, "S_ID", "left").join(existing, ["M_ID", "S_ID"], "left")
-         .withColumn("_booked", F.coalesce("_booked", F.lit(False))))
+         .withColumn("_booked", F.coalesce("_booked", F.lit(False))).checkpoint(eager=True))
     first = (r.filter(F.col("_found").isNotNull() & ~F.col("_booked"))
              .groupBy("M_ID", "S_ID").agg(F.min("request_id").alias("_first")))
     r1 = r.join(first, ["M_ID", "S_ID"], "left")
@@ -175,16 +176,17 @@ def upsert_health_metrics(t: Tables, updates: DataFrame) -> DataFrame:
         F.max("request_id").alias("_last"),
         *[F.max_by(c, "request_id").alias(f"_v_{c}") for c in vals],
         F.min(F.when(F.col("_valid"), F.col("request_id"))).alias("_first_ok"))
-    hm = t.health_metrics
-    upd = (hm.join(per_key.select("M_ID", "Date", "_last", *[f"_v_{c}" for c in vals]),
-                   ["M_ID", "Date"], "left")
-           .select(*[F.when(F.col("_last").isNotNull(), F.col(f"_v_{c}")).otherwise(F.col(c)).alias(c)
-                     if c in vals else F.col(c) for c in hm.columns]))
-    new_keys = (per_key.filter(F.col("_first_ok").isNotNull())
-                .join(hm.select("M_ID", "Date").distinct(), ["M_ID", "Date"], "left_anti"))
-    ins = assign_ids(new_keys, "_first_ok", max_id(hm, "Metric_ID"), "Metric_ID")
-    ins = ins.select(*[F.col(f"_v_{c}").alias(c) if c in vals else F.col(c) for c in hm.columns])
-    return upd.unionByName(ins)
+    # One join and one scan: stored rows, those with an update, and keys not
+    # stored yet come out of it together and are stored once, new ids pending.
+    hm = t.health_metrics.withColumn("_stored", F.lit(True))
+    both = hm.join(per_key, ["M_ID", "Date"], "full_outer").checkpoint(eager=True)
+    cols = t.health_metrics.columns
+    upd = both.filter("_stored").select(*[
+        F.when(F.col("_last").isNotNull(), F.col(f"_v_{c}")).otherwise(F.col(c)).alias(c) if c in vals else F.col(c)
+        for c in cols])
+    new = both.filter(F.col("_stored").isNull() & F.col("_first_ok").isNotNull()).drop("Metric_ID")
+    ins = assign_ids(new, "_first_ok", max_id(both, "Metric_ID"), "Metric_ID")
+    return upd.unionByName(ins.select(*[F.col(f"_v_{c}").alias(c) if c in vals else F.col(c) for c in cols]))
 
 
 def upsert_statuses(t: Tables, updates: DataFrame) -> DataFrame:
@@ -207,27 +209,23 @@ def _register(existing: DataFrame, requests: DataFrame, required: list[str], fk_
               rule, ok_msg: str, pk: str) -> DataFrame:
     """Shared registration logic: required fields, insert rule, unique
     e-mail (against the table and earlier successful requests), FKs."""
-    taken = existing.select("Email").distinct().withColumn("_taken", F.lit(True))
-    missing = None
-    for c in required:
-        m = F.col(c).isNull()
-        missing = m if missing is None else (missing | m)
-    r = requests.join(taken, "Email", "left")
-    pre = (F.when(missing, REG_MISSING))
+    missing = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in required])
+    pre = F.when(missing, REG_MISSING)
     if rule is not None:
         pre = pre.when(rule, MSG_AGE)
-    pre = pre.when(F.col("_taken").isNotNull(), REG_DUPLICATE)
-    r = r.withColumn("_pre", pre).withColumn("_fk", fk_ok)
-    # Among requests passing the checks above (FK failures do not take the
-    # e-mail), the first per e-mail succeeds; later ones are duplicates.
-    winner = (r.filter(F.col("_pre").isNull() & F.col("_fk"))
-              .groupBy("Email").agg(F.min("request_id").alias("_w")))
-    r = r.join(winner, "Email", "left")
-    status = (F.when(F.col("_pre").isNotNull(), F.col("_pre"))
-              .when(F.col("_w").isNotNull() & (F.col("request_id") > F.col("_w")), REG_DUPLICATE)
+    r = requests.withColumn("_pre", pre).withColumn("_fk", fk_ok).withColumn("_mail", email_key("Email"))
+    # Requests that fail by themselves pass beside the joins (no e-mail: one
+    # NULL key).  For each address of the others: whether it is taken, and the
+    # first request that could have it (FK failures do not take an address).
+    open_ = r.filter(F.col("_pre").isNull())
+    taken = existing.select(email_key("Email").alias("_mail")).distinct().withColumn("_taken", F.lit(True))
+    state = (open_.groupBy("_mail").agg(F.min(F.when(F.col("_fk"), F.col("request_id"))).alias("_w"))
+             .join(taken, "_mail", "left"))
+    status = (F.when(F.col("_taken") | (F.col("request_id") > F.col("_w")), REG_DUPLICATE)
               .when(~F.col("_fk"), REG_FK)
               .otherwise(ok_msg))
-    st = r.select("request_id", "Email", status.alias("status"))
+    st = (open_.join(state, "_mail", "left").select("request_id", "Email", status.alias("status"))
+          .unionByName(r.filter(F.col("_pre").isNotNull()).select("request_id", "Email", F.col("_pre").alias("status"))))
     return assign_ids(st, "request_id", max_id(existing, pk), pk, only=F.col("status") == ok_msg)
 
 

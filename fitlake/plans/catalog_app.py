@@ -303,8 +303,8 @@ _INFO = """
 @register("member_dashboard_profile", q(_INFO + f""",
   day AS (SELECT M_ID, SUM(CaloriesBurnt) AS c, SUM(Distance) AS di, COUNT(*) AS n FROM workout_log
           WHERE Date = {_AS} GROUP BY M_ID),
-  body AS (SELECT M_ID, max_by(Weight, Metric_ID) AS Weight, max_by(Steps, Metric_ID) AS Steps
-           FROM health_metrics WHERE Date = {_AS} GROUP BY M_ID)
+  body AS (SELECT M_ID, Weight, Steps FROM health_metrics WHERE Date = {_AS}
+           QUALIFY row_number() OVER (PARTITION BY M_ID ORDER BY Metric_ID DESC) = 1)
 SELECT info.*, CAST(COALESCE(c, 0) AS DECIMAL(16,2)) AS TodayCalories, CAST(COALESCE(di, 0) AS DECIMAL(16,2)) AS TodayDistance,
        COALESCE(n, 0) AS TodayWorkouts, Weight, Steps
 FROM (info LEFT JOIN day USING (M_ID)) LEFT JOIN body USING (M_ID)"""))

@@ -18,9 +18,9 @@ def _member_directory(spark, d):
 
 
 @register("member_by_email", q("""
-SELECT * FROM member WHERE Email = 'm7@example.org'"""))
+SELECT * FROM member WHERE lower(Email) = 'm7@example.org'"""))
 def _member_by_email(spark, d):
-    return B.member_by_email(tables(spark, d), "m7@example.org")
+    return B.member_by_email(tables(spark, d), "m7@EXAMPLE.org")
 
 
 @register("recent_workouts", q("""

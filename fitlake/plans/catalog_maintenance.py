@@ -370,18 +370,18 @@ _REG = """
 , pre AS (
   SELECT r.*, CASE WHEN {missing} THEN 'Missing required fields'
                    {rule}
-                   WHEN EXISTS (SELECT 1 FROM {table} x WHERE x.Email = r.Email) THEN 'Email already exists'
+                   WHEN lower(r.Email) IN (SELECT lower(Email) FROM {table}) THEN 'Email already exists'
               END AS p,
          {fk} AS fk
   FROM {requests} r),
-  win AS (SELECT Email, MIN(request_id) AS w FROM pre WHERE p IS NULL AND fk GROUP BY Email),
+  win AS (SELECT lower(Email) AS mail, MIN(request_id) AS w FROM pre WHERE p IS NULL AND fk GROUP BY mail),
   st AS (
   SELECT pre.request_id, pre.Email,
          CASE WHEN p IS NOT NULL THEN p
               WHEN win.w IS NOT NULL AND pre.request_id > win.w THEN 'Email already exists'
               WHEN NOT fk THEN 'ERROR: foreign key constraint fails'
               ELSE '{ok}' END AS status
-  FROM pre LEFT JOIN win ON pre.Email = win.Email)
+  FROM pre LEFT JOIN win ON lower(pre.Email) = win.mail)
 SELECT st.*, CASE WHEN status = '{ok}' THEN CAST(
          (SELECT MAX({pk}) FROM {table}) + row_number() OVER (
            PARTITION BY status = '{ok}' ORDER BY request_id) AS BIGINT) END AS {pk}

@@ -24,7 +24,7 @@ membership_type AS (
   FROM nation),
 member AS (
   SELECT CAST(c_custkey AS BIGINT) AS M_ID, c_name AS Name,
-         concat('m', CAST(c_custkey AS VARCHAR), '@example.org') AS Email,
+         concat(CASE WHEN c_custkey % 10 = 7 THEN 'M' ELSE 'm' END, CAST(c_custkey AS VARCHAR), '@example.org') AS Email,
          CASE WHEN c_custkey % 29 = 0 THEN NULL ELSE CAST(8 + c_custkey % 95 AS INT) END AS Age,
          CAST(DATE '2022-12-01' + CAST(c_custkey % 425 AS INT) AS DATE) AS JoinDate,
          CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE CAST(c_custkey AS VARCHAR) END AS Phone,
@@ -38,7 +38,7 @@ member AS (
   FROM customer JOIN nation ON c_nationkey = n_nationkey),
 trainer AS (
   SELECT CAST(s_suppkey AS BIGINT) AS T_ID, s_name AS Name,
-         concat('t', CAST(CASE WHEN s_suppkey % 17 = 0 THEN s_suppkey % 34 ELSE s_suppkey END AS VARCHAR), '@example.org') AS Email,
+         concat(CASE WHEN s_suppkey % 34 = 0 THEN 'T' ELSE 't' END, CAST(CASE WHEN s_suppkey % 17 = 0 THEN s_suppkey % 34 ELSE s_suppkey END AS VARCHAR), '@example.org') AS Email,
          CASE s_suppkey % 4 WHEN 0 THEN 'Strength' WHEN 1 THEN 'Yoga' WHEN 2 THEN 'Cardio' END
            AS Specialization,
          CAST(n_regionkey AS BIGINT) AS Gym_ID
@@ -144,8 +144,8 @@ metric_updates AS (
 member_registrations AS (
   SELECT c_custkey AS request_id, c_name AS Name,
          CASE WHEN c_custkey % 11 = 0 THEN NULL
-              WHEN c_custkey % 3 = 0 THEN concat('m', CAST(c_custkey AS VARCHAR), '@example.org')
-              ELSE concat('new', CAST(c_custkey % 97 AS VARCHAR), '@example.org') END AS Email,
+              WHEN c_custkey % 3 = 0 THEN concat('m', CAST(c_custkey AS VARCHAR), '@Example.org')
+              ELSE concat(CASE WHEN c_custkey % 2 = 0 THEN 'New' ELSE 'new' END, CAST(c_custkey % 97 AS VARCHAR), '@example.org') END AS Email,
          CAST(18 + c_custkey % 50 AS INT) AS Age,
          CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE CAST(c_custkey AS VARCHAR) END AS Phone,
          CAST(c_nationkey AS BIGINT) AS MembershipType_ID,
@@ -153,7 +153,7 @@ member_registrations AS (
   FROM customer),
 trainer_registrations AS (
   SELECT s_suppkey AS request_id, s_name AS Name,
-         CASE WHEN s_suppkey % 2 = 0 THEN concat('t', CAST(s_suppkey AS VARCHAR), '@example.org')
+         CASE WHEN s_suppkey % 2 = 0 THEN concat('T', CAST(s_suppkey AS VARCHAR), '@example.org')
               ELSE concat('coach', CAST(s_suppkey AS VARCHAR), '@example.org') END AS Email,
          CASE WHEN s_suppkey % 9 = 0 THEN NULL ELSE 'Pilates' END AS Specialization,
          CAST(s_nationkey % 5 AS BIGINT) AS Gym_ID

@@ -168,7 +168,7 @@ def derive_tables(spark: SparkSession, sf_dir: str, as_of: dt.date = DEFAULT_AS_
     member = customer.join(nation, customer.c_nationkey == nation.n_nationkey).select(
         ck.cast("bigint").alias("M_ID"),
         F.col("c_name").alias("Name"),
-        F.concat(F.lit("m"), ck.cast("string"), F.lit("@example.org")).alias("Email"),
+        F.concat(F.when(ck % 10 == 7, "M").otherwise("m"), ck.cast("string"), F.lit("@example.org")).alias("Email"),
         F.when(ck % 29 == 0, F.lit(None)).otherwise((F.lit(8) + ck % 95).cast("int"))
         .cast("int").alias("Age"),
         join_date.alias("JoinDate"),
@@ -184,7 +184,7 @@ def derive_tables(spark: SparkSession, sf_dir: str, as_of: dt.date = DEFAULT_AS_
         sk.cast("bigint").alias("T_ID"),
         F.col("s_name").alias("Name"),
         # some trainers share an address: the unique-key audit has work to do
-        F.concat(F.lit("t"), F.when(sk % 17 == 0, sk % 34).otherwise(sk).cast("string"),
+        F.concat(F.when(sk % 34 == 0, "T").otherwise("t"), F.when(sk % 17 == 0, sk % 34).otherwise(sk).cast("string"),
                  F.lit("@example.org")).alias("Email"),
         F.when(sk % 4 == 0, "Strength").when(sk % 4 == 1, "Yoga").when(sk % 4 == 2, "Cardio")
         .alias("Specialization"),
@@ -374,8 +374,8 @@ def member_registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
     some lack a required field."""
     c = _raw(spark, sf_dir, "customer")
     ck = F.col("c_custkey")
-    email = F.when(ck % 3 == 0, F.concat(F.lit("m"), ck.cast("string"), F.lit("@example.org"))) \
-        .otherwise(F.concat(F.lit("new"), (ck % 97).cast("string"), F.lit("@example.org")))
+    email = F.when(ck % 3 == 0, F.concat(F.lit("m"), ck.cast("string"), F.lit("@Example.org"))) \
+        .otherwise(F.concat(F.when(ck % 2 == 0, "New").otherwise("new"), (ck % 97).cast("string"), F.lit("@example.org")))
     return c.select(
         ck.alias("request_id"), F.col("c_name").alias("Name"),
         F.when(ck % 11 == 0, F.lit(None)).otherwise(email).alias("Email"),
@@ -388,7 +388,7 @@ def member_registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trainer_registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _raw(spark, sf_dir, "supplier")
     sk = F.col("s_suppkey")
-    email = F.when(sk % 2 == 0, F.concat(F.lit("t"), sk.cast("string"), F.lit("@example.org"))) \
+    email = F.when(sk % 2 == 0, F.concat(F.lit("T"), sk.cast("string"), F.lit("@example.org"))) \
         .otherwise(F.concat(F.lit("coach"), sk.cast("string"), F.lit("@example.org")))
     return s.select(
         sk.alias("request_id"), F.col("s_name").alias("Name"), email.alias("Email"),

@@ -173,7 +173,7 @@ def test_changed_source_is_seen(spark, tmp_path):
     import shutil
     from fitlake.plans.registry import queries
     for name in ("region", "nation", "customer", "supplier", "part", "orders", "events"):
-        shutil.copy(f"/root/testdata/sf0.001/{name}.parquet", tmp_path / f"{name}.parquet")
+        shutil.copyfile(f"/root/testdata/sf0.001/{name}.parquet", tmp_path / f"{name}.parquet")
     q = queries()["admin_totals"]
     before = q(spark, str(tmp_path)).first().totalMembers
     import pyarrow.parquet as pq
