@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from fitlake.operators import app as A
@@ -9,6 +11,7 @@ from fitlake.operators import dashboards as DB
 from fitlake.plans.oracle import avg_exact as AV
 from fitlake.plans.oracle import q
 from fitlake.plans.registry import register, tables
+from fitlake.session import checkpoint_dir
 from fitlake.sources.tables import questions
 
 _AS = "DATE '2024-01-30'"
@@ -300,14 +303,28 @@ _INFO = """
   FROM (member LEFT JOIN membership_type p ON p.Type_ID = MembershipType_ID) LEFT JOIN gym g ON g.Gym_ID = member.Gym_ID)"""
 
 
-@register("member_dashboard_profile", q(_INFO + f""",
+_PROFILE = q(_INFO + f""",
   day AS (SELECT M_ID, SUM(CaloriesBurnt) AS c, SUM(Distance) AS di, COUNT(*) AS n FROM workout_log
           WHERE Date = {_AS} GROUP BY M_ID),
   body AS (SELECT M_ID, Weight, Steps FROM health_metrics WHERE Date = {_AS}
            QUALIFY row_number() OVER (PARTITION BY M_ID ORDER BY Metric_ID DESC) = 1)
 SELECT info.*, CAST(COALESCE(c, 0) AS DECIMAL(16,2)) AS TodayCalories, CAST(COALESCE(di, 0) AS DECIMAL(16,2)) AS TodayDistance,
        COALESCE(n, 0) AS TodayWorkouts, Weight, Steps
-FROM (info LEFT JOIN day USING (M_ID)) LEFT JOIN body USING (M_ID)"""))
+FROM (info LEFT JOIN day USING (M_ID)) LEFT JOIN body USING (M_ID)""")
+
+
+@register("member_dashboard_json_stored", _PROFILE)
+def _member_dashboard_json_stored(spark, d):
+    """The nested dashboard written as JSON lines and read again, its single
+    values flat."""
+    m = DB.member_dashboard(tables(spark, d))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/fitlake-json/{uuid.uuid4().hex}"
+    DB.write_json(m, path)
+    m = spark.read.schema(m.schema).json(path)
+    return m.select("member.*", "todayStats.*", "healthMetrics.Weight", "healthMetrics.Steps")
+
+
+@register("member_dashboard_profile", _PROFILE)
 def _member_dashboard_profile(spark, d):
     """The dashboard's single values, flat."""
     m = DB.member_dashboard(tables(spark, d))

@@ -4,16 +4,22 @@ notice jobs over run dates, as-of lookups, rules fired by changed rows."""
 from __future__ import annotations
 
 import datetime as dt
+import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fitlake.operators import asof as A
 from fitlake.operators import changes as CH
+from fitlake.operators import maintenance as MT
 from fitlake.operators import notice_runs as NR
 from fitlake.operators import requests as RQ
 from fitlake.plans.catalog_rules import _workout_case
 from fitlake.plans.oracle import q
 from fitlake.plans.registry import register, tables
+from fitlake.session import checkpoint_dir
+from fitlake.sources import partitioned as PT
 from fitlake.sources import schema as SC
 from fitlake.sources import tables as S
 
@@ -330,3 +336,42 @@ FROM session2 b"""))
 def _sessions_after_rules(spark, d):
     t = tables(spark, d)
     return CH.after_rules(t, S.next_version(t))[1]
+
+
+# ---- stored versions -------------------------------------------------------------
+
+def _written(spark, d, table: str, new):
+    """`new` written over the stored table, partition by partition, and read again."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/fitlake-versions/{uuid.uuid4().hex}"
+    PT.save_partitioned(getattr(tables(spark, d), table), table, folder)
+    PT.write_version(spark, new, table, folder)
+    return PT.load_partitioned(spark, table, folder).drop(PT.MONTH)
+
+
+@register("stored_purge", q("""
+SELECT * FROM notifications WHERE NOT coalesce(IsRead AND CreatedAt < TIMESTAMP '2023-11-01 00:00:00', FALSE)"""))
+def _stored_purge(spark, d):
+    return _written(spark, d, "notifications", MT.purge_read_notifications(tables(spark, d))[0])
+
+
+@register("stored_next_log", q(_NEXT + """
+SELECT * FROM log2"""))
+def _stored_next_log(spark, d):
+    return _written(spark, d, "workout_log", S.next_version(tables(spark, d)).workout_log)
+
+
+@register("stored_tables", q("\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS n_rows, count({c}) AS n_values, "
+    f"count(DISTINCT {c}) AS n_distinct FROM {t}" for t in SC.TABLE_NAMES for c in SC.SCHEMAS[t].names)))
+def _stored_tables(spark, d):
+    """All nine tables written, read back with their declared schemas, and counted."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/fitlake-versions/{uuid.uuid4().hex}"
+    S.save_tables(tables(spark, d), folder)
+    parts = []
+    for name, df in S.load_tables(spark, folder).as_dict().items():
+        one = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(f"v_{c}") for c in df.columns],
+                     *[F.count_distinct(c).alias(f"d_{c}") for c in df.columns])
+        rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col("_n").alias("n_rows"), F.col(f"v_{c}").alias("n_values"),
+                                  F.col(f"d_{c}").alias("n_distinct")) for c in df.columns])
+        parts.append(one.select(F.lit(name).alias("table_name"), F.inline(rows)))
+    return reduce(DataFrame.unionByName, parts)

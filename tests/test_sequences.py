@@ -283,3 +283,41 @@ def test_six_seven_and_eight_days_differ(spark):
     assert passed(spark, stored, parts, 6) == common | {1, 6}
     assert passed(spark, stored, parts, 7) == common | {3, 7}
     assert passed(spark, stored, parts, 8) == common | {4, 8}
+
+
+# ---- versions that write what they touch -----------------------------------------------
+
+def files(folder):
+    return {str(p.relative_to(folder)) for p in folder.rglob("*.parquet")}
+
+
+def test_only_touched_partitions_are_written(spark, tmp_path):
+    from fitlake.sources import partitioned as PT
+    log = [(i, 1, None, "Run", None if i % 10 == 9 else D - dt.timedelta(days=31 * (i % 10)), 30, None, None, None) for i in range(100)]
+    old = spark.createDataFrame(log, SC.WORKOUT_LOG)
+    path = str(tmp_path)
+    PT.save_partitioned(old, "workout_log", path)
+    folder = tmp_path / "workout_log"
+    before = files(folder)
+
+    def check(new, touched):
+        now = files(folder)
+        want = sorted(map(tuple, new.collect()), key=str)
+        assert PT.write_version(spark, new, "workout_log", path) == touched
+        after = files(folder)
+        assert sorted(map(tuple, PT.load_partitioned(spark, "workout_log", path).drop("month").collect()), key=str) == want
+        gone = {f for f in now if f.split("/")[0].split("=")[1] in touched}
+        assert now - gone <= after and not gone & after
+
+    stored = lambda: PT.load_partitioned(spark, "workout_log", path).drop("month")
+    check(stored(), [])
+    assert files(folder) == before
+    # one row changed, one moved to another month, one without a date removed
+    check(stored().withColumn("Date", F.expr("CASE WHEN L_ID = 12 THEN DATE'2023-10-01' ELSE Date END"))
+          .withColumn("Duration", F.expr("CASE WHEN L_ID = 3 THEN 31 ELSE Duration END")).filter("L_ID <> 19"),
+          ["2023-10", "2023-11", "none"])
+    # a whole month goes, and a new one comes
+    gone = stored().filter("Date is null or date_format(Date, 'yyyy-MM') <> '2024-01'")
+    check(gone.unionByName(spark.createDataFrame([(500, 2, None, "Run", dt.date(2025, 5, 5), 1, None, None, None)], SC.WORKOUT_LOG)),
+          ["2024-01", "2025-05"])
+    assert not (folder / "month=2024-01").exists()
