@@ -1,17 +1,21 @@
-"""Line dedup by chunks of lines.
-
-The chunks of a text are all windows of two neighbouring lines, and each line of
-`LONG` words or more by itself; blank lines are passed over.  A chunk depends on
-its own lines only, so a passage has the same chunks wherever it stands, and a
-run of repeated lines is the union of its windows: it is found whole, whatever
-its length, with nothing left to the luck of a hash.
-
-Digests of all chunks are counted first (64 bits each); only chunks whose
-digest comes twice are fetched with their bytes, grouped by these bytes (the
-comparison, with partial aggregation, so that a passage in a third of all
-documents reaches no task whole), and every occurrence but the first by
-(doc_id, text hash, line) is removed, if the removed run has `LEAST` words.
-Neighbouring windows make one run even if they stand in different earlier texts.
+"""Line dedup by repeated runs of lines.
+
+Runs are built from units: every window of two neighbouring lines, and each line
+of `LONG` words or more by itself; blank lines are passed over.  A window's hash
+rolls over the hashes of its lines, so it depends on nothing outside, and a run
+that several texts share is the union of its windows wherever it stands; the
+edges of a run are where windows stop being repeated.  (Boundaries that a hash
+condition picks within the lines miss short passages: see README.)
+
+Windows are counted by digest first (64 bits each).  Only the lines of windows
+whose digest comes twice are fetched with their bytes; lines are the same if
+their 128-bit digests are and the least and greatest text of that digest agree,
+byte for byte.  An occurrence of a unit is removed if an earlier one, by
+(doc_id, text hash, line), is kept whole, and if the run of such lines has
+`LEAST` words.  Whether the earlier one is kept depends on what stands before
+it, so this is decided in rounds over the repeated units alone (a few numbers a
+row) until nothing changes: what a text decides rests on earlier texts only, so
+each round settles at least the first that was wrong.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitlake.llm.base import for_python, query, read, stored
+from fitlake.llm.base import _ODD, _P, for_python, mix, query, read, stored, trimmed
 
 LONG, LEAST = 50, 25
 #: Positions of the bit map of repeated digests that spares other chunks.
@@ -34,8 +38,8 @@ def _n_words(line: str) -> int:
     return len(line.encode().split())
 
 
-def chunks(lines: list[str]) -> list[tuple[int, int]]:
-    """[from, to) of the chunks of a text's non-blank lines."""
+def units(lines: list[str]) -> list[tuple[int, int]]:
+    """[from, to) of the units of a text's non-blank lines."""
     out = [(i, i + 1) for i, x in enumerate(lines) if len(x) >= 2 * LONG - 1 and _n_words(x) >= LONG]
     return out + [(i, i + 2) for i in range(len(lines) - 1)]
 
@@ -70,25 +74,35 @@ def without(text: str, spans) -> tuple[str, int]:
     return "\n".join(keep), int(gone.sum())
 
 
+def _unit_hashes(lines: list[str]) -> np.ndarray:
+    """Hashes of the units of a text: of long lines, then the hash that rolls
+    over pairs of line hashes."""
+    h = np.array([xxhash.xxh3_64_intdigest(x) for x in lines], np.uint64)
+    long = [i for i, j in units(lines) if j == i + 1]
+    return np.concatenate([mix(h[long] + _ODD[0]), mix(h[:-1] * _P + h[1:] * _ODD[1])])
+
+
 def _each(batch):
     for r, t in enumerate(batch.column("text")):
         t = t.as_py()
         if t:
             lines = full_lines(t)
-            yield r, lines, chunks(lines)
+            if lines:
+                yield r, lines, _unit_hashes(lines)
 
 
 def _digests(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
-            out = [xxhash.xxh3_64_intdigest("\n".join(lines[i:j])) for _, lines, cut in _each(b) for i, j in cut]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(out, np.uint64).view(np.int64))], names=["digest"])
-    return docs.select("text").mapInArrow(run, "digest long")
+            out = [h for _, _, h in _each(b)]
+            out = np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(out)], names=["digest"])
+    return docs.select("text").mapInArrow(trimmed(run), "digest long")
 
 
-def _repeated(docs: DataFrame, digests: DataFrame) -> DataFrame:
-    """(doc_id, hash, line, to, chunk) of the chunks whose digest is repeated
-    (and of a few others that share a place of the bit map)."""
+def _lines(docs: DataFrame, digests: DataFrame) -> DataFrame:
+    """(doc_id, hash, line, words, digest, text) of the lines of units whose
+    digest is repeated (and of a few others that share a place of the bit map)."""
     at = digests.select(F.pmod(F.col("digest"), F.lit(BITS)).cast("int").alias("b")).distinct()
     bits = np.zeros(BITS, bool)
     bits[at.toPandas()["b"].to_numpy(np.int64)] = True  # at most BITS integers
@@ -98,44 +112,138 @@ def _repeated(docs: DataFrame, digests: DataFrame) -> DataFrame:
         mask = np.unpackbits(shared.value).view(bool)
         for b in batches:
             rows = []
-            for r, lines, cut in _each(b):
-                for i, j in cut:
-                    x = "\n".join(lines[i:j])
-                    if mask[xxhash.xxh3_64_intdigest(x) % BITS]:
-                        rows.append((r, i, j, x))
+            for r, lines, h in _each(b):
+                # Spark's pmod is of signed numbers
+                hit = np.flatnonzero(mask[np.mod(h.view(np.int64), BITS)])
+                if len(hit):
+                    cut = units(lines)
+                    rows += [(r, i, _n_words(lines[i]), xxhash.xxh3_128_digest(lines[i]), lines[i])
+                             for i in sorted({i for k in hit for i in range(*cut[k])})]
             if rows:
-                r, i, j, x = zip(*rows)
+                r, i, n, d, x = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id").take(pa.array(r)), b.column("hash").take(pa.array(r)), pa.array(i, pa.int64()),
-                     pa.array(j, pa.int64()), pa.array(x, pa.string())], names=names)
+                     pa.array(n, pa.int64()), pa.array(d, pa.binary()), pa.array(x, pa.string())], names=names)
 
-    names = ["doc_id", "hash", "line", "to", "chunk"]
+    names = ["doc_id", "hash", "line", "words", "digest", "text"]
     return docs.select("doc_id", "hash", "text").mapInArrow(
-        run, "doc_id long, hash long, line long, to long, chunk string")
+        trimmed(run), "doc_id long, hash long, line long, words long, digest binary, text string")
+
+
+def _named(found: DataFrame) -> DataFrame:
+    """Lines with `lid`, the same for equal bytes alone, of those that come twice."""
+    same = stored(found.groupBy("digest").agg(F.min("text").alias("a"), F.max("text").alias("b"),
+                                              F.count(F.lit(1)).alias("n")).filter("n > 1").select(
+        "digest", (F.col("a") == F.col("b")).alias("agree"), F.monotonically_increasing_id().alias("lid")), "lines")
+    rows = found.select("doc_id", "hash", "line", "words", "digest")
+    named = rows.join(same.filter("agree"), "digest").select("doc_id", "hash", "line", "words", "lid")
+    apart = same.filter("NOT agree").select("digest")
+    if apart.isEmpty():
+        return named
+    # different lines of one digest: told apart by their bytes
+    odd = found.join(apart, "digest", "left_semi")
+    by_text = stored(odd.groupBy("text").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(
+        "text", (-1 - F.monotonically_increasing_id()).alias("lid")), "lines")
+    return named.unionByName(odd.join(by_text, "text").select("doc_id", "hash", "line", "words", "lid"))
+
+
+def _occurrences(named: DataFrame) -> DataFrame:
+    """(doc_id, hash, line, to, words, a, b): the units made of named lines that
+    come in two places, `words` of each line, `a` and `b` their lines (b is -1
+    for a long line by itself).  Rows equal in doc_id and text are one text."""
+    texts = named.groupBy("doc_id", "hash").agg(F.sort_array(F.collect_set(F.struct("line", "lid", "words"))).alias("l"))
+    none = F.lit(-1).cast("long")
+
+    def pair(x, i):
+        nxt = F.get("l", i + 1)
+        return F.when(nxt["line"] == x["line"] + 1, F.struct(
+            x["line"].alias("line"), (x["line"] + 2).alias("to"), F.array(x["words"], nxt["words"]).alias("words"),
+            x["lid"].alias("a"), nxt["lid"].alias("b")))
+
+    alone = F.transform(F.filter("l", lambda x: x["words"] >= LONG), lambda x: F.struct(
+        x["line"].alias("line"), (x["line"] + 1).alias("to"), F.array(x["words"]).alias("words"),
+        x["lid"].alias("a"), none.alias("b")))
+    both = F.concat(F.array_compact(F.transform("l", pair)), alone)
+    rows = stored(texts.select("doc_id", "hash", F.explode(both).alias("u")).select("doc_id", "hash", "u.*"), "units")
+    twice = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a", "b")
+    return rows.join(stored(twice, "units"), ["a", "b"])
+
+
+def settle(rows: list[tuple]) -> tuple[list[bool], list[tuple[int, int]]]:
+    """Of one text, given (line, to, words, unit, whether an earlier text keeps
+    the unit whole) in order: which units lose a line, and the runs that go."""
+    gone: dict[int, int] = {}  # line -> words
+    kept: dict = {}
+    for line, to, words, unit, earlier in rows:
+        here = kept.get(unit)
+        if earlier or (here is not None and here[1] <= line and not any(k in gone for k in range(*here))):
+            gone.update(zip(range(line, to), words))
+        elif here is None or any(k in gone for k in range(*here)):
+            kept[unit] = (line, to)
+    runs: list[list[int]] = []
+    for k in sorted(gone):
+        if runs and runs[-1][1] == k:
+            runs[-1][1] = k + 1
+        else:
+            runs.append([k, k + 1])
+    runs = [(i, j) for i, j in runs if sum(gone[k] for k in range(i, j)) >= LEAST]
+    lost = {k for i, j in runs for k in range(i, j)}
+    return [any(k in lost for k in range(line, to)) for line, to, *_ in rows], runs
+
+
+_TURN_DDL = ("doc_id long, hash long, units array<struct<line:long,to:long,words:array<long>,a:long,b:long,lost:boolean>>, "
+             "spans array<struct<line:long,to:long>>, moved boolean")
+
+
+def _decide(batches):
+    for b in batches:
+        out = []
+        for doc_id, hash_, mine in zip(*(b.column(c).to_pylist() for c in ("doc_id", "hash", "units"))):
+            lost, spans = settle([(u["line"], u["to"], u["words"], (u["a"], u["b"]), u["earlier"]) for u in mine])
+            moved = any(x != u["lost"] for x, u in zip(lost, mine))
+            out.append({"doc_id": doc_id, "hash": hash_, "moved": moved,
+                        "units": [{"line": u["line"], "to": u["to"], "words": u["words"], "a": u["a"], "b": u["b"], "lost": x}
+                                  for x, u in zip(lost, mine)],
+                        "spans": [{"line": i, "to": j} for i, j in spans]})
+        yield pa.RecordBatch.from_pylist(out, schema=_TURN)
+
+
+_UNIT = pa.struct([("line", pa.int64()), ("to", pa.int64()), ("words", pa.list_(pa.int64())), ("a", pa.int64()),
+                   ("b", pa.int64()), ("lost", pa.bool_())])
+_TURN = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("units", pa.list_(_UNIT)),
+                   ("spans", pa.list_(pa.struct([("line", pa.int64()), ("to", pa.int64())]))), ("moved", pa.bool_())])
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, hash, spans) of the texts with chunks that stand earlier."""
+    """(doc_id, hash, spans): the runs of non-blank lines that go."""
     rows = for_python(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text"))
     twice = _digests(rows).groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest")
-    found = stored(_repeated(rows, stored(twice, "digests")), "chunks")
-    first = (found.groupBy("chunk").agg(F.min(F.struct("doc_id", "hash", "line")).alias("first"),
-                                        F.count(F.lit(1)).alias("n")).filter("n > 1").select("chunk", "first"))
-    # stored, so that the join is one of two shuffles and a passage that stands
-    # everywhere can be split over tasks
-    first = stored(first, "first")
-    later = found.join(first, "chunk").filter(
-        ~F.struct("doc_id", "hash", "line").eqNullSafe(F.col("first")))
-    return later.groupBy("doc_id", "hash").agg(F.collect_set(F.struct("line", "to")).alias("spans"))
+    found = stored(_lines(rows, stored(twice, "digests")), "lines")
+    state = _occurrences(stored(_named(found), "lines")).withColumn("lost", F.lit(False))
+    state = stored(state, "units")
+    while True:
+        # the first text that keeps a unit whole; stored, so that the join can
+        # split a passage that stands everywhere
+        whole = stored(state.filter("NOT lost").groupBy("a", "b").agg(
+            F.min(F.struct("doc_id", "hash")).alias("first")), "whole")
+        own = F.struct("doc_id", "hash")
+        judged = state.join(whole, ["a", "b"], "left").withColumn(
+            "earlier", F.coalesce(F.col("first") < own, F.lit(False)))
+        texts = judged.groupBy("doc_id", "hash").agg(F.sort_array(F.collect_list(
+            F.struct("line", "to", "words", "a", "b", "earlier", "lost"))).alias("units"))
+        turn = stored(for_python(texts).mapInArrow(trimmed(_decide), _TURN_DDL), "turn")
+        if turn.filter("moved").isEmpty():
+            return turn.filter(F.size("spans") > 0).select("doc_id", "hash", "spans")
+        state = turn.select("doc_id", "hash", F.explode("units").alias("u")).select("doc_id", "hash", "u.*")
 
 
 def deduplicated(docs: DataFrame, n_removed: str | None = None) -> DataFrame:
-    """`docs`, all rows and columns, with repeated chunks taken from `text`;
-    n_chars, if there, follows it.  `n_removed` names a column for the number
-    of lines that went.
+    """`docs`, all rows and columns, with repeated runs of lines taken from
+    `text`; n_chars, if there, follows it.  `n_removed` names a column for the
+    number of lines that went.
 
-    A null or empty text stays as it is.  The first occurrence is that of the
-    smallest (doc_id, hash of the text, line), a null doc_id first; rows equal
+    A null or empty text stays as it is.  What goes stands whole in an
+    earlier text or place, by (doc_id, hash of the text, line), a null doc_id first; rows equal
     in doc_id and text count as one document and are treated alike.  An empty
     table gives no rows.
     """

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+import regex
 
 from fitlake.llm import QUERIES, SQL, decontaminate, html_text, line_dedup, lm_scoring, packing, pii, quality, secrets
 
@@ -233,15 +234,39 @@ def test_hidden_elements_end_where_html_ends_them():
 # --- op6 -----------------------------------------------------------------
 
 def plain_line_dedup(docs):
-    import xxhash  # noqa: F401  (the order of texts of one id is by Spark's hash, not needed here: ids differ)
-    first, spans = {}, defaultdict(list)
+    """Text after text: a pair of lines (or a line of 50 words) goes if it stands whole before."""
+    whole, out = set(), {}
     for i, t in sorted(docs, key=lambda d: d[0]):
-        lines = line_dedup.full_lines(t or "")
-        for a, b in sorted(line_dedup.chunks(lines)):
-            if "\n".join(lines[a:b]) in first and first["\n".join(lines[a:b])] != (i, a):
-                spans[i].append((a, b))
-            first.setdefault("\n".join(lines[a:b]), (i, a))
-    return {i: line_dedup.without(t, spans[i]) if t is not None else (None, 0) for i, t in docs}
+        all_lines = (t or "").split("\n")
+        full = [k for k, x in enumerate(all_lines) if re.search(r"[^ \t\x0b\x0c\r]", x)]
+        lines = [all_lines[k] for k in full]
+        size = [len(x.encode().split()) for x in lines]
+        units = sorted([(k, k + 1) for k in range(len(lines)) if size[k] >= 50] + [(k, k + 2) for k in range(len(lines) - 1)])
+        gone, first = set(), {}
+        for a, b in units:
+            key = tuple(lines[a:b])
+            src = first.get(key)
+            if key in whole or (src and src[1] <= a and not gone & set(range(*src))):
+                gone |= {*range(a, b)}
+            elif src is None or gone & set(range(*src)):
+                first[key] = (a, b)
+        k = 0
+        while k < len(lines):
+            j = k
+            while j in gone:
+                j += 1
+            if k < j and sum(size[k:j]) < 25:
+                gone -= {*range(k, j)}
+            k = max(j, k + 1)
+        whole |= {tuple(lines[a:b]) for a, b in units if not gone & {*range(a, b)}}
+        keep, last = [], True
+        for k, x in enumerate(all_lines):
+            if k in full:
+                last = full.index(k) not in gone
+            if last:
+                keep.append(x)
+        out[i] = ("\n".join(keep) if t is not None else None, len(gone))
+    return out
 
 
 def test_line_dedup(spark, documents):
@@ -279,6 +304,36 @@ def test_every_repeated_run_goes(spark):
     assert {r.doc_id: (r.text, r.gone) for r in line_dedup.deduplicated(df, "gone").collect()} == want
 
 
+def test_what_goes_still_stands_somewhere(spark):
+    """A run whose source has itself lost a line stays: X A, X A B, A B."""
+    x, a, b, c = (" ".join(f"{n}{k}" for k in range(30)) for n in "xabc")
+    df = spark.createDataFrame([(1, f"{x}\n{a}"), (2, f"{x}\n{a}\n{b}"), (3, f"{a}\n{b}"), (4, f"{a}\n{b}\n{c}"), (5, f"{b}\n{c}"),
+                                (6, f"{b}\n{c}")], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in line_dedup.deduplicated(df).collect()}
+    assert out == {1: f"{x}\n{a}", 2: b, 3: f"{a}\n{b}", 4: c, 5: f"{b}\n{c}", 6: ""}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_line_dedup_of_random_texts(spark, seed):
+    """Few lines, long and short, blank ones between, in many orders."""
+    import random
+    rng = random.Random(seed)
+    line = [" ".join(f"w{k}x{j}" for j in range(rng.choice([1, 5, 12, 13, 20, 30, 55]))) for k in range(7)] + ["", "  "]
+    docs = [(i, None if i % 17 == 16 else "\n".join(rng.choices(line, k=rng.randint(0, 9)))) for i in range(70)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    assert {r.doc_id: (r.text, r.gone) for r in line_dedup.deduplicated(df, "gone").collect()} == plain_line_dedup(docs)
+
+
+def test_lines_of_one_digest_are_told_apart(spark, monkeypatch):
+    """Every line has the same 128-bit digest: the bytes decide."""
+    from fitlake.llm.line_dedup import _named
+    rows = [(i, 0, k, 30, b"same", t) for i, k, t in [(1, 0, "a"), (2, 0, "a"), (2, 1, "b"), (3, 4, "c"), (4, 0, "b")]]
+    df = spark.createDataFrame(rows, "doc_id long, hash long, line long, words long, digest binary, text string")
+    got = {(r.doc_id, r.line): r.lid for r in _named(df).collect()}
+    assert set(got) == {(1, 0), (2, 0), (2, 1), (4, 0)}
+    assert got[1, 0] == got[2, 0] != got[2, 1] == got[4, 0]
+
+
 # --- op7 -----------------------------------------------------------------
 
 def plain_statistics(t):
@@ -454,6 +509,16 @@ def test_secrets(spark, documents):
         assert set(joined.split(",")) - {""} <= set(r.spans.split(","))
 
 
+def test_a_blob_twice_in_the_ledger_counts_once(spark):
+    from fitlake.llm.base import scratch
+    path = scratch(spark, "test-ledger")
+    df = spark.createDataFrame([(1, "token=abcdefgh"), (2, "token=abcdefgh"), (3, None)], "doc_id long, text string")
+    want = sorted(map(tuple, secrets.secret_scan(df, path).collect()))
+    spark.read.parquet(path).limit(9).write.mode("append").parquet(path)  # as by a scan that ran beside it
+    assert secrets.read_ledger(spark, path).count() == 4
+    assert sorted(map(tuple, secrets.secret_scan(df, path).collect())) == want and len(want) == 3
+
+
 def test_ledger_scans_a_blob_once(spark, monkeypatch):
     from fitlake.llm.base import scratch
     path = scratch(spark, "test-ledger")
@@ -498,10 +563,10 @@ def luhn(d):
 
 def test_pseudonyms(spark, documents):
     rows = {r.doc_id: r for r in QUERIES["op10_pii_pseudonyms"](spark, SF).collect()}
-    seen = {}
+    seen, every = {}, regex.compile(pii.ALL)  # `re` has no look-behind of varying width
     for i, t in documents:
-        old, new = [re.findall(pii.ALL, x or "") for x in (t, rows[i].text)]
-        assert re.split(pii.ALL, t or "") == re.split(pii.ALL, rows[i].text or "")  # nothing else changes
+        old, new = [every.findall(x or "") for x in (t, rows[i].text)]
+        assert every.split(t or "") == every.split(rows[i].text or "")  # nothing else changes
         assert len(old) == len(new)
         for a, b in zip(old, new):
             assert seen.setdefault(a, b) == b
@@ -562,3 +627,35 @@ def test_every_shape_of_a_number(spark):
             assert re.sub("[0-9]", "9", r.text) == re.sub("[0-9]", "9", old)
         if r.name == "after":
             assert r.text.startswith("No 123456 ") and r.text.endswith(" 12")
+
+
+@pytest.mark.parametrize("before", [0, 498, 499, 500, 998, 999, 1000, 1001, 3000])
+def test_a_card_after_many_groups(spark, before):
+    """Wherever it lies among groups of digits; a card over a block's end too."""
+    text = "12345678901234567890 " * before + "4111 1111 1111 1111"
+    r = pii.pseudonymised(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").first()
+    assert r.n_card == 1 and "4111 1111" not in r.text and r.text[:21 * before] == text[:21 * before]
+    assert luhn(r.text[21 * before:].replace(" ", ""))
+
+
+def test_long_runs_take_linear_time(spark):
+    import time
+    texts = ["a" * 1_000_000, "a1" * 50_000 + "@example.org", "ab.cd-" * 50_000, "-" * 100_000 + "x@y.org", "12 34567 " * 4_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    start = time.time()
+    got = {r.doc_id: r for r in pii.pseudonymised(df, "k").collect()}
+    assert time.time() - start < 90
+    assert got[0].text == texts[0] and got[2].text == texts[2] and got[1].n_email == got[3].n_email == 1
+    assert got[3].text.startswith("-" * 100_000) and not got[3].text.endswith("-x@y.org")
+
+
+def test_addresses_in_runs(spark):
+    from pyspark.sql import functions as F
+    cases = {"x.-_a.b@c.org": "x", "(..a@b.org)": "a", "-a-@b.co.uk": "a", "m@n.org,o@p.org;q@r": "m", "%a%@x.io": "a",
+             "to:a.b+c@d-e.org.": "a", "a@b@c.org": "b"}
+    df = spark.createDataFrame([(k, k) for k in cases], "name string, text string").withColumn("doc_id", F.lit(1).cast("long"))
+    got = {r.name: r for r in pii.pseudonymised(df, "k").collect()}
+    plain = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
+    for k in cases:
+        assert got[k].n_email == len(plain.findall(k)), k
+        assert plain.sub("#", got[k].text) == plain.sub("#", k), k
