@@ -121,7 +121,9 @@ def secret_scan(versions: DataFrame, ledger: str) -> DataFrame:
     the empty string and empty spans.  Repeated rows, null ids and extra
     columns do no harm; an empty table gives no rows.
     """
-    known = scan_new(versions, ledger).filter(F.col("rules") == RULES).select(F.col("blob").alias("_blob"), "spans")
+    # a scan that was repeated or ran beside another may have written a blob twice
+    known = (scan_new(versions, ledger).filter(F.col("rules") == RULES).dropDuplicates(["blob"])
+             .select(F.col("blob").alias("_blob"), "spans"))
     paths = versions.select("doc_id", address(F.col("text")).alias("blob"))
     names = F.array(*[F.lit(k) for k in KINDS])
 
