@@ -28,7 +28,12 @@ from fitlake.llm.base import query, read
 ROUNDS = 8
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 # Patterns, in the order in which they are tried at a place.
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
+# An address begins at the first letter or digit of its run of characters: the
+# other places of a run, which end at the same "@" or at none, are not tried
+# (but behind 64 marks, where the run's beginning is out of sight).
+_MARK = "[._%+-]"
+EMAIL = (rf"(?<![A-Za-z0-9])(?:(?<!{_MARK})|(?<=(?<![A-Za-z0-9._%+-]){_MARK}{{1,64}})|(?<={_MARK}{{64}}))"
+         r"[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
 DATE = (r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}"
         r"|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4})(?![0-9]|[./-][0-9])")
 IP = rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])"
@@ -37,10 +42,11 @@ SSN = r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-
 PHONE = (r"(?:(?<![0-9])\+(?=(?:[ .()-]{0,2}[0-9]){8,15}(?![0-9]))[0-9]{1,3}(?:[ .-]?\([0-9]{1,5}\)|[ .-]?[0-9]{1,12}){1,7}"
          r"|(?<![0-9.-])(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
          r"|(?<![0-9.-])(?:\(0[0-9]{1,4}\)|0[0-9]{1,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4})(?![0-9]|[.-][0-9])")
-#: Groups of digits that no other kind begins with (1000 at a time: the matcher's stack grows with them); numbers that
-#: pass the check digit are sought in them.
+#: Groups of digits that no other kind begins with, however many (possessive: the matcher's stack does not grow with
+#: them); numbers that pass the check digit are sought in them.
 CARD = (r"(?<![0-9])(?=(?:[0-9][ -]?){12}[0-9])[0-9]+"
-        rf"(?:[ -](?!{EMAIL}|{DATE}|{IP}|{SSN}|{PHONE})[0-9]+(?![0-9]|[./][0-9])){{0,999}}(?![0-9])")
+        rf"(?:[ -](?!{EMAIL}|{DATE}|{IP}|{SSN}|{PHONE})[0-9]+(?![0-9]|[./][0-9]))*+(?![0-9])")
+CARD_BLOCK = 500
 KINDS = ("email", "date", "ip", "ssn", "phone", "card")
 ALL = "|".join((EMAIL, DATE, IP, SSN, PHONE, CARD))
 #: Days of the 400 years from 1800-01-01 on, as two residues: 189 * 773.
@@ -73,13 +79,15 @@ def _feistel_text(key: str, tweak: str, s: Column) -> Column:
     def shifted(part: Column, other: Column, r: Column) -> Column:
         mac = F.sha2(F.concat_ws("|", F.lit(key), F.lit(tweak), r.cast("string"), other).cast("binary"), 512)
 
-        def one(c: Column, i: Column) -> Column:
+        def one(c: Column, i: Column, mac: Column) -> Column:
             f = F.conv(F.substr(mac, (i % 32) * 4 + 1, F.lit(4)), 16, 10).cast("int") + F.floor(i / 32).cast("int")
             at = lambda base, size: F.char((F.lit(base) + F.pmod(F.ascii(c) - base + f, F.lit(size))).cast("long"))
             return (F.when(c.between("0", "9"), at(48, 10)).when(c.between("a", "z"), at(97, 26))
                     .when(c.between("A", "Z"), at(65, 26)).otherwise(c))
 
-        return F.array_join(F.transform(F.filter(F.split(part, ""), lambda c: c != ""), one), "")
+        # the digest is looked at for each character: bound by a one-element array
+        return F.get(F.transform(F.array(mac), lambda m: F.array_join(F.transform(
+            F.filter(F.split(part, ""), lambda c: c != ""), lambda c, i: one(c, i, m)), "")), 0)
 
     start = F.struct(F.substr(s, F.lit(1), half).alias("a"), F.substr(s, half + 1).alias("b"))
     # odd rounds change the second half, even ones the first
@@ -152,9 +160,19 @@ def _cards(key: str, s: Column) -> Column:
         return F.when(i < t["upto"], t).otherwise(F.get(found, 0))
 
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("upto"), F.lit(0).alias("n"))
+
+    # the text is put together in blocks of groups, so that each step copies a
+    # block's text and not the whole
+    def block(t, lo, b):
+        here = F.aggregate(F.sequence(lo, F.least(lo + CARD_BLOCK - 1, F.size(b["groups"]) - 1)),
+                           F.struct(F.lit("").alias("out"), t["upto"].alias("upto"), t["n"].alias("n")),
+                           lambda u, i: step(u, i, b["groups"], b["pieces"]))
+        return F.get(F.transform(F.array(here), lambda u: F.struct(
+            F.concat(t["out"], u["out"]).alias("out"), u["upto"].alias("upto"), u["n"].alias("n"))), 0)
+
     # both lists are looked at for each group: bound by a one-element array
     return F.get(F.transform(F.array(both), lambda b: F.aggregate(
-        F.sequence(F.lit(0), F.size(b["groups"]) - 1), start, lambda t, i: step(t, i, b["groups"], b["pieces"]))), 0)
+        F.sequence(F.lit(0), F.size(b["groups"]) - 1, F.lit(CARD_BLOCK)), start, lambda t, lo: block(t, lo, b))), 0)
 
 
 def _phone(key: str, s: Column) -> Column:
