@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
@@ -89,6 +90,20 @@ def for_python(df: DataFrame) -> DataFrame:
     return df
 
 
+def trimmed(run: Callable) -> Callable:
+    """`run` for mapInArrow, after which the worker, which may idle beside the
+    workers of the next stages, gives back the memory that it no longer uses."""
+    def out(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library: it keeps its own counsel
+            pass
+    return out
+
+
 # --- word hashes of whole Arrow batches ---------------------------------
 # A word's hash is a polynomial over its bytes (random 64-bit value for each
 # byte, odd base, modulo 2**64) and a final mixing step; prefix sums give all

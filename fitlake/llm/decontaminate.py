@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitlake.llm.base import NOT_ALNUM, for_python, mix, query, read, text_blocks, word_hashes, _ODD
+from fitlake.llm.base import NOT_ALNUM, for_python, mix, query, read, text_blocks, trimmed, word_hashes, _ODD
 
 #: Bytes of benchmark text that tasks hold at a time.
 BLOCK_BYTES = 8 << 20
@@ -168,7 +168,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, lea
     rows = for_python(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     out = None
     for shared in _blocks(benchmark, min_match):
-        part = rows.mapInArrow(scan(shared), "doc_id long, item_id long, n_item_words long, n_matched long, coverage double")
+        part = rows.mapInArrow(trimmed(scan(shared)), "doc_id long, item_id long, n_item_words long, n_matched long, coverage double")
         out = part if out is None else out.union(part)
     return out
 
@@ -184,7 +184,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, le
         return run
 
     for shared in _blocks(benchmark, min_match):
-        docs = for_python(docs).mapInArrow(keep(shared), docs.schema)
+        docs = for_python(docs).mapInArrow(trimmed(keep(shared)), docs.schema)
     return docs
 
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fitlake.llm.base import (for_python, query, read, release, sequence_hash, shingle_hashes, stored,
-                              text_blocks, word_hashes)
+                              text_blocks, trimmed, word_hashes)
 from fitlake.session import checkpoint_dir
 
 #: Counters of the n-gram table, and in how many pieces it travels.
@@ -101,7 +101,7 @@ def _nodes(docs: DataFrame, k: int) -> DataFrame:
     names = ["doc_id", "hash", "node", "n", "profile", "piece", "counts"]
     return for_python(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"),
                                   "text")).mapInArrow(
-        run, "doc_id long, hash long, node long, n long, profile binary, piece int, counts binary")
+        trimmed(run), "doc_id long, hash long, node long, n long, profile binary, piece int, counts binary")
 
 
 def _ranks(counts: DataFrame) -> np.ndarray:
@@ -117,7 +117,7 @@ def _ranks(counts: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([rank.tobytes()])],
                                              names=["piece", "rank"])
 
-    rows = counts.repartition(PIECES, "piece").mapInArrow(run, "piece int, rank binary").collect()
+    rows = counts.repartition(PIECES, "piece").mapInArrow(trimmed(run), "piece int, rank binary").collect()
     out = np.zeros((PIECES, SKETCH // PIECES), np.uint8)
     for r in rows:  # PIECES rows, SKETCH bytes together
         out[r["piece"]] = np.frombuffer(r["rank"], np.uint8)
@@ -158,7 +158,7 @@ def _prefixes(docs: DataFrame, rank: np.ndarray, k: int, pct: int) -> DataFrame:
                       | np.concatenate([np.arange(x) for x in p]))],
             names=["token", "node", "size_at"])
 
-    return for_python(docs.select("text")).mapInArrow(run, "token long, node long, size_at long")
+    return for_python(docs.select("text")).mapInArrow(trimmed(run), "token long, node long, size_at long")
 
 
 def _lists(prefixes: DataFrame, pct: int) -> DataFrame:
@@ -208,7 +208,7 @@ def _lists(prefixes: DataFrame, pct: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*[(*x, 0) for x in waits])], names=names)
 
     return (prefixes.repartition("token").sortWithinPartitions("token", "size_at", "node")
-            .mapInArrow(run, ", ".join(f"{n} long" for n in names)))
+            .mapInArrow(trimmed(run), ", ".join(f"{n} long" for n in names)))
 
 
 def _at(c: str):
@@ -246,7 +246,7 @@ def _wanted(docs: DataFrame, nodes: DataFrame, classes: DataFrame, k: int) -> Da
                     names=["node", "grams"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return for_python(rows).mapInArrow(run, "node long, grams binary")
+    return for_python(rows).mapInArrow(trimmed(run), "node long, grams binary")
 
 
 def _place(node: int, doc_id: int | None) -> int:
@@ -277,7 +277,7 @@ def _plausible(pairs: DataFrame, classes: DataFrame, pct: int) -> DataFrame:
         return classes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("profile").alias(f"p{x}"))
 
     return for_python(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "pa", "pb")
-                      ).mapInArrow(run, "a long, b long")
+                      ).mapInArrow(trimmed(run), "a long, b long")
 
 
 def _forest(pairs) -> list[tuple[int, int]]:
@@ -331,7 +331,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, pct
 
     one = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a")
     two = one.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
-    links = stored(for_python(two.select("a", "b", "ga", "gb")).mapInArrow(run, "a long, b long"), "links")
+    links = stored(for_python(two.select("a", "b", "ga", "gb")).mapInArrow(trimmed(run), "a long, b long"), "links")
     few = -(-links.count() // FOREST_LINKS) or 1
     release(docs.sparkSession)
     return links.coalesce(few).mapInArrow(forest, "a long, b long")
@@ -444,7 +444,7 @@ def _rest(lists: DataFrame, roots: DataFrame, classes: DataFrame, pct: int, best
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*sent)], names=["token", "a", "b"])
 
     return (for_python(rows.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y"))
-            .mapInArrow(run, "token long, a long, b long"))
+            .mapInArrow(trimmed(run), "token long, a long, b long"))
 
 
 def ngram_components(docs: DataFrame, k: int = 5, pct: int = 80) -> DataFrame:

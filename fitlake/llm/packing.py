@@ -22,11 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitlake.llm.base import for_python, query, read
+from fitlake.llm.base import for_python, query, read, trimmed
 
 #: Words whose ids a Python worker remembers: the first that it meets in two
 #: batches.  About 200 bytes each.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 #: Places (of a byte) that tell, by hash, a word met before from a new one.
 MET_PLACES = 1 << 23
 #: Rows and bytes of texts whose words are looked up together.
@@ -116,18 +116,20 @@ class WordTokens:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         # "<|" may name a special token, which is matched before letters are folded
-        ws = [None if "<|" in t else _MARKS.sub(rb" \g<0>", t.encode().lower()).split() for t in texts]
+        marked = [None if "<|" in t else _MARKS.sub(rb" \g<0>", t.encode().lower()) for t in texts]
         here: set[bytes] = set()
-        for x in ws:
+        for x in marked:
             if x is not None:
-                here.update(x)
+                here.update(x.split())
         # a table of these texts' words: small enough for a processor's cache
         table = dict(zip(here, map(self.known.get, here)))
         new = {w for w, ids in table.items() if ids is None}
         if new:
             learnt = self._learn(new)
             table.update(zip(new, map(learnt.__getitem__, new)))
-        return [self._each([t])[0] if x is None else b"".join(map(table.__getitem__, x)) for t, x in zip(texts, ws)]
+        # split once more rather than hold all words of all texts
+        return [self._each([t])[0] if x is None else b"".join(map(table.__getitem__, x.split()))
+                for t, x in zip(texts, marked)]
 
 
 def merged(batches):
@@ -277,7 +279,7 @@ def _packed(rows: DataFrame, examples, limits, cut: bool) -> DataFrame:
         if packer.out:
             yield rows_out()
 
-    return for_python(rows).mapInArrow(run, _DDL)
+    return for_python(rows).mapInArrow(trimmed(run), _DDL)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, tokens: int = 4096, segments: int = 512,
