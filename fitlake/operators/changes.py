@@ -37,11 +37,13 @@ def changes(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
         raise ValueError("the versions have different columns")
 
     def digests(df: DataFrame, side: str) -> DataFrame:
-        return df.select(key, F.struct(_digest(names, 1).alias("a"), _digest(names, 2).alias("b")).alias(side))
+        return df.select(key, _digest(names, 1).alias(f"_{side}1"), _digest(names, 2).alias(f"_{side}2"))
 
-    both = digests(old, "_o").unionByName(digests(new, "_n"), allowMissingColumns=True)
-    keys = (both.groupBy(key).agg(F.max("_o").alias("_o"), F.max("_n").alias("_n"))
-            .filter(~F.col("_o").eqNullSafe(F.col("_n"))).select(key).checkpoint(eager=True))
+    both = digests(old, "o").unionByName(digests(new, "n"), allowMissingColumns=True)
+    # one row a key and side; NULL: not there
+    keys = (both.groupBy(key).agg(*[F.max(c).alias(c) for c in ("_o1", "_o2", "_n1", "_n2")])
+            .filter(~(F.col("_o1").eqNullSafe(F.col("_n1")) & F.col("_o2").eqNullSafe(F.col("_n2"))))
+            .select(key).checkpoint(eager=True))
 
     def rows(df: DataFrame, side: str) -> DataFrame:
         return df.join(keys, key, "left_semi").select(key, F.struct(*old.columns).alias(side))
