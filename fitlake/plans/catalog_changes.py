@@ -364,14 +364,18 @@ def _stored_next_log(spark, d):
     f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS n_rows, count({c}) AS n_values, "
     f"count(DISTINCT {c}) AS n_distinct FROM {t}" for t in SC.TABLE_NAMES for c in SC.SCHEMAS[t].names)))
 def _stored_tables(spark, d):
-    """All nine tables written, read back with their declared schemas, and counted."""
+    """All nine tables written, read back with their declared schemas, and
+    counted.  Each column is counted by itself: a task holds the distinct values
+    of one column, not those of all columns in rows as wide as the table."""
     folder = f"{checkpoint_dir(spark).rstrip('/')}/fitlake-versions/{uuid.uuid4().hex}"
     S.save_tables(tables(spark, d), folder)
     parts = []
     for name, df in S.load_tables(spark, folder).as_dict().items():
-        one = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(f"v_{c}") for c in df.columns],
-                     *[F.count_distinct(c).alias(f"d_{c}") for c in df.columns])
-        rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col("_n").alias("n_rows"), F.col(f"v_{c}").alias("n_values"),
-                                  F.col(f"d_{c}").alias("n_distinct")) for c in df.columns])
-        parts.append(one.select(F.lit(name).alias("table_name"), F.inline(rows)))
+        for c in df.columns:
+            values = df.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
+            parts.append(values.agg(
+                F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
+                F.coalesce(F.sum(F.when(F.col(c).isNotNull(), F.col("n"))), F.lit(0)).alias("n_values"),
+                F.count(c).alias("n_distinct"),
+            ).select(F.lit(name).alias("table_name"), F.lit(c).alias("column_name"), "n_rows", "n_values", "n_distinct"))
     return reduce(DataFrame.unionByName, parts)

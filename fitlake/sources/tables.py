@@ -61,6 +61,10 @@ _SORT_ON_WRITE = {"workout_log": ("Date", "M_ID", "L_ID"),
                   "notifications": ("CreatedAt", "M_ID", "Notif_ID")}
 
 
+# A task starts another file after so many rows: a table that one task has
+# written is still read by several, and what one of them holds stays bounded.
+_ROWS_A_FILE = 250_000
+
 #: The plan whose members the coach serves (a fixed value of the application).
 COACH_PLAN = "Gold"
 
@@ -100,7 +104,7 @@ def save_table(df: DataFrame, name: str, path: str, mode: str = "overwrite") ->
     keys = [k for k in _SORT_ON_WRITE.get(name, ()) if k in df.columns]
     if keys:
         df = df.repartitionByRange(*[F.col(k) for k in keys]).sortWithinPartitions(*keys)
-    df.write.mode(mode).parquet(f"{path}/{name}")
+    df.write.mode(mode).option("maxRecordsPerFile", _ROWS_A_FILE).parquet(f"{path}/{name}")
 
 
 def save_tables(t: Tables, path: str, mode: str = "overwrite", parallel: int = 4) -> None:

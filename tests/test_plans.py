@@ -45,6 +45,10 @@ def test_scans_are_column_pruned(static_plans):
     assert "ReadSchema: struct<M_ID:bigint,Date:date,CaloriesBurnt:decimal(6,2)>" in plan
 
 
+def test_columns_are_counted_one_by_one(static_plans):
+    assert "Expand" not in static_plans["stored_tables"]
+
+
 def test_null_session_keys_stay_out_of_joins(spark):
     """Broadcasts off: only booking rows are shuffled to sessions; each leaf
     table of a delete is shuffled once."""
