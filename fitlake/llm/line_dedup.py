@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitlake.llm.base import _ODD, _P, for_python, mix, query, read, stored, trimmed
+from fitlake.llm.base import _IS_SPACE, _ODD, _P, for_python, mix, query, read, stored, text_blocks, trimmed
 
 LONG, LEAST = 50, 25
 #: Positions of the bit map of repeated digests that spares other chunks.
@@ -38,16 +38,6 @@ def _n_words(line: str) -> int:
     return len(line.encode().split())
 
 
-def units(lines: list[str]) -> list[tuple[int, int]]:
-    """[from, to) of the units of a text's non-blank lines."""
-    out = [(i, i + 1) for i, x in enumerate(lines) if len(x) >= 2 * LONG - 1 and _n_words(x) >= LONG]
-    return out + [(i, i + 2) for i in range(len(lines) - 1)]
-
-
-def full_lines(text: str) -> list[str]:
-    return [x for x in text.split("\n") if x.strip(" \t\x0b\x0c\r")]
-
-
 def without(text: str, spans) -> tuple[str, int]:
     """A text without the lines of `spans` (by non-blank line), and how many
     of them went: only runs of LEAST words or more do.  A blank line goes with
@@ -74,27 +64,43 @@ def without(text: str, spans) -> tuple[str, int]:
     return "\n".join(keep), int(gone.sum())
 
 
-def _unit_hashes(lines: list[str]) -> np.ndarray:
-    """Hashes of the units of a text: of long lines, then the hash that rolls
-    over pairs of line hashes."""
-    h = np.array([xxhash.xxh3_64_intdigest(x) for x in lines], np.uint64)
-    long = [i for i, j in units(lines) if j == i + 1]
-    return np.concatenate([mix(h[long] + _ODD[0]), mix(h[:-1] * _P + h[1:] * _ODD[1])])
+def _layout(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, from, to, words) of the non-blank lines of a block of texts, as
+    `without` and `_n_words` have them."""
+    full = ~_IS_SPACE[data]
+    starts = full.copy()
+    starts[1:] &= ~full[:-1]
+    cut = off[:-1][off[:-1] < len(data)]
+    starts[cut] = full[cut]  # a text's first word starts there, whatever ends the text before
+    ends = np.flatnonzero(data == 10)
+    # by text both are in order, so sorting pairs them
+    begin, end = np.sort(np.concatenate([off[:-1], ends + 1])), np.sort(np.concatenate([ends, off[1:]]))
+    at = np.flatnonzero(starts)
+    words = np.searchsorted(at, end) - np.searchsorted(at, begin)
+    begin, end, words = begin[words > 0], end[words > 0], words[words > 0]
+    return np.searchsorted(off, begin, "right") - 1, begin, end, words
 
 
 def _each(batch):
-    for r, t in enumerate(batch.column("text")):
-        t = t.as_py()
-        if t:
-            lines = full_lines(t)
-            if lines:
-                yield r, lines, _unit_hashes(lines)
+    """(row, from, to, words of each non-blank line, bytes, the long lines, the
+    lines that have a next one, hashes of the units) of each block of texts: a
+    unit is a long line or two neighbours, whose hash rolls over those of the
+    lines."""
+    for first, data, off in text_blocks(batch.column("text")):
+        text, begin, end, words = _layout(data, off)
+        if not len(text):
+            continue
+        raw = data.tobytes()
+        h = np.array([xxhash.xxh3_64_intdigest(raw[i:j]) for i, j in zip(begin.tolist(), end.tolist())], np.uint64)
+        long, pair = np.flatnonzero(words >= LONG), np.flatnonzero(text[1:] == text[:-1])
+        hashes = np.concatenate([mix(h[long] + _ODD[0]), mix(h[pair] * _P + h[pair + 1] * _ODD[1])])
+        yield first + text, begin, end, words, raw, long, pair, hashes
 
 
 def _digests(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
-            out = [h for _, _, h in _each(b)]
+            out = [x[-1] for x in _each(b)]
             out = np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(out)], names=["digest"])
     return docs.select("text").mapInArrow(trimmed(run), "digest long")
@@ -111,19 +117,21 @@ def _lines(docs: DataFrame, digests: DataFrame) -> DataFrame:
     def run(batches):
         mask = np.unpackbits(shared.value).view(bool)
         for b in batches:
-            rows = []
-            for r, lines, h in _each(b):
+            for row, begin, end, words, raw, long, pair, h in _each(b):
                 # Spark's pmod is of signed numbers
-                hit = np.flatnonzero(mask[np.mod(h.view(np.int64), BITS)])
-                if len(hit):
-                    cut = units(lines)
-                    rows += [(r, i, _n_words(lines[i]), xxhash.xxh3_128_digest(lines[i]), lines[i])
-                             for i in sorted({i for k in hit for i in range(*cut[k])})]
-            if rows:
-                r, i, n, d, x = zip(*rows)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").take(pa.array(r)), b.column("hash").take(pa.array(r)), pa.array(i, pa.int64()),
-                     pa.array(n, pa.int64()), pa.array(d, pa.binary()), pa.array(x, pa.string())], names=names)
+                hit = mask[np.mod(h.view(np.int64), BITS)]
+                own = np.zeros(len(row), bool)
+                own[long[hit[:len(long)]]] = True
+                two = pair[hit[len(long):]]
+                own[two] = own[two + 1] = True
+                k = np.flatnonzero(own)
+                if len(k):
+                    x = [raw[i:j] for i, j in zip(begin[k].tolist(), end[k].tolist())]
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column("doc_id").take(pa.array(row[k])), b.column("hash").take(pa.array(row[k])),
+                         pa.array(k - np.searchsorted(row, row[k])), pa.array(words[k]),
+                         pa.array([xxhash.xxh3_128_digest(t) for t in x], pa.binary()),
+                         pa.array(x, pa.binary()).cast(pa.string())], names=names)
 
     names = ["doc_id", "hash", "line", "words", "digest", "text"]
     return docs.select("doc_id", "hash", "text").mapInArrow(
@@ -197,21 +205,39 @@ _TURN_DDL = ("doc_id long, hash long, units array<struct<line:long,to:long,words
 
 def _decide(batches):
     for b in batches:
-        out = []
-        for doc_id, hash_, mine in zip(*(b.column(c).to_pylist() for c in ("doc_id", "hash", "units"))):
-            lost, spans = settle([(u["line"], u["to"], u["words"], (u["a"], u["b"]), u["earlier"]) for u in mine])
-            moved = any(x != u["lost"] for x, u in zip(lost, mine))
-            out.append({"doc_id": doc_id, "hash": hash_, "moved": moved,
-                        "units": [{"line": u["line"], "to": u["to"], "words": u["words"], "a": u["a"], "b": u["b"], "lost": x}
-                                  for x, u in zip(lost, mine)],
-                        "spans": [{"line": i, "to": j} for i, j in spans]})
-        yield pa.RecordBatch.from_pylist(out, schema=_TURN)
+        units = b.column("units")
+        ends = _ends(units)
+        u = dict(zip((f.name for f in units.type.value_type), units.flatten().flatten()))
+        to_words = _ends(u["words"])
+        words = u["words"].flatten()
+        line, to, a, b_, earlier, was = (u[c].to_pylist() for c in ("line", "to", "a", "b", "earlier", "lost"))
+        n, flat = to_words.tolist(), words.to_pylist()
+        lost, spans, count, moved = [], [], [0], []
+        for i, j in zip(ends.tolist(), ends[1:].tolist()):
+            now, runs = settle([(line[k], to[k], flat[n[k]:n[k + 1]], (a[k], b_[k]), earlier[k]) for k in range(i, j)])
+            lost += now
+            spans += runs
+            count.append(len(spans))
+            moved.append(now != was[i:j])
+        turned = pa.StructArray.from_arrays(
+            [u["line"], u["to"], pa.ListArray.from_arrays(pa.array(to_words), words), u["a"], u["b"],
+             pa.array(lost, pa.bool_())], fields=list(_UNIT))
+        gone = pa.StructArray.from_arrays([pa.array([x[k] for x in spans], pa.int64()) for k in (0, 1)], fields=list(_SPAN))
+        yield pa.RecordBatch.from_arrays(
+            [b.column("doc_id"), b.column("hash"), pa.ListArray.from_arrays(pa.array(ends), turned),
+             pa.ListArray.from_arrays(pa.array(count, pa.int32()), gone), pa.array(moved, pa.bool_())], schema=_TURN)
+
+
+def _ends(lists: pa.Array) -> np.ndarray:
+    """Where the lists begin among all their values, and the end."""
+    return np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int32)
 
 
 _UNIT = pa.struct([("line", pa.int64()), ("to", pa.int64()), ("words", pa.list_(pa.int64())), ("a", pa.int64()),
                    ("b", pa.int64()), ("lost", pa.bool_())])
+_SPAN = pa.struct([("line", pa.int64()), ("to", pa.int64())])
 _TURN = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("units", pa.list_(_UNIT)),
-                   ("spans", pa.list_(pa.struct([("line", pa.int64()), ("to", pa.int64())]))), ("moved", pa.bool_())])
+                   ("spans", pa.list_(_SPAN)), ("moved", pa.bool_())])
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -258,8 +284,9 @@ def deduplicated(docs: DataFrame, n_removed: str | None = None) -> DataFrame:
     own = docs.select(F.struct(*[docs[c] for c in names]).alias("_row"), F.col("doc_id").cast("long").alias("_key"),
                       F.xxhash64("text").alias("_own"))
     out = own.join(spans, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left")
-    # only texts with something to remove go through Python
-    out = out.withColumn("_new", F.when(F.col("spans").isNotNull(), cut(F.col("_row.text"), F.col("spans"))))
+    # every row goes through Python, but only texts with something to remove go along
+    some = F.when(F.col("spans").isNotNull(), F.col("_row.text"))
+    out = out.withColumn("_new", cut(some, F.col("spans")))
     text = F.when(F.col("spans").isNull(), F.col("_row.text")).otherwise(F.col("_new.text"))
     cols = [text.alias(c) if c == "text"
             else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars"

@@ -324,6 +324,25 @@ def test_line_dedup_of_random_texts(spark, seed):
     assert {r.doc_id: (r.text, r.gone) for r in line_dedup.deduplicated(df, "gone").collect()} == plain_line_dedup(docs)
 
 
+def test_lines_and_words_of_a_block_of_texts():
+    """All at once, as line by line: empty texts, edges of texts, odd spaces."""
+    import numpy as np
+    rng = np.random.default_rng(5)
+    texts = ["", "a", "\n", "b c\n\n d", "", "e\n", "\u00a0 \x1c f", "\r\n\x0bg"] + [
+        "".join(rng.choice(list("ab\u00e9 \t\n\r\x0b\x0c"), rng.integers(0, 40))) for _ in range(300)]
+    raw = [t.encode() for t in texts]
+    off = np.cumsum([0, *map(len, raw)])
+    got = line_dedup._layout(np.frombuffer(b"".join(raw), np.uint8), off)
+    assert [(t, b"".join(raw)[i:j].decode(), n) for t, i, j, n in zip(*(x.tolist() for x in got))] == [
+        (t, x, len(x.encode().split())) for t, text in enumerate(texts) for x in text.split("\n") if x.strip(" \t\x0b\x0c\r")]
+
+
+def test_only_texts_that_lose_lines_go_through_python(spark):
+    df = spark.createDataFrame([(i, f"own {i}\n" + "word " * 60) for i in range(4)], "doc_id long, text string")
+    plan = line_dedup.deduplicated(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "[cut(CASE WHEN isnotnull(spans" in plan, plan
+
+
 def test_lines_of_one_digest_are_told_apart(spark, monkeypatch):
     """Every line has the same 128-bit digest: the bytes decide."""
     from fitlake.llm.line_dedup import _named
