@@ -14,8 +14,8 @@ similarity of their sets reaches the threshold.  The steps:
    the length filter allows.  Star pairs that pass the positional and suffix
    filters (shared counts over classes of n-grams) are verified, once each, on
    the whole sets.
-4. Lists whose nodes are not yet in one component are gone through again, cut
-   into blocks, for pairs across components that the length, positional and
+4. Lists whose nodes are not yet in one component are gone through again, one
+   of those with the same nodes, cut into blocks, for pairs across components that the length, positional and
    suffix filters let through: first only each node's likeliest partner, which
    joins nearly all that belongs together, then every pair that is left.  A
    pair inside a component cannot change it, so none is missed and no group of
@@ -50,6 +50,9 @@ CLASSES = 128
 FULL = 255
 #: Nodes of a list that meet in one task; longer lists go in pairs of blocks.
 LIST_BLOCK = 512
+#: Lists of a node, its first by n-gram, that go along with it to tell whether
+#: a pair meets elsewhere too.
+LEADS = 8
 #: Links that one task thins to stars before components are searched.
 FOREST_LINKS = 250_000
 
@@ -370,11 +373,23 @@ def components(edges: DataFrame) -> DataFrame:
         e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _distinct(lists: DataFrame) -> DataFrame:
+    """One list of all that hold the same nodes: nodes that link pass the
+    filters in each list that they share."""
+    of = lists.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"),
+                                    F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    one = stored(of.groupBy("m", "x", "y").agg(F.min("token").alias("token")).select("token"), "tokens")
+    return lists.join(one, "token", "left_semi")
+
+
 def _rest(lists: DataFrame, roots: DataFrame, classes: DataFrame, pct: int, best: bool) -> DataFrame:
     """(token, a, b): candidate pairs across components that the filters let
     through; with `best` only each node's likeliest one (that may share the
-    largest part) of each list and block."""
-    known = classes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "profile")
+    largest part) of each list and block, else each pair in the first list of
+    those that both nodes' leads name."""
+    leads = lists.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("token")), 1, 1 if best else LEADS).alias("lead"))
+    known = (classes.join(leads, "node").join(roots, "node", "left")
+             .select("node", F.coalesce("root", "node").alias("root"), "profile", "lead"))
     long_ = (lists.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > LIST_BLOCK)
              .select("token", F.ceil(F.col("m") / LIST_BLOCK).cast("int").alias("blocks")))
     rows = (lists.select("token", "node", "size_at").join(known, "node").join(long_, "token", "left")
@@ -382,14 +397,17 @@ def _rest(lists: DataFrame, roots: DataFrame, classes: DataFrame, pct: int, best
             .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .select("token", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"),
-                    "own", "node", "size_at", "root", "profile"))
+                    "own", "node", "size_at", "root", "profile", "lead"))
 
     def cell(token, g, sent):
-        own, node, at, root, prof = g
+        own, node, at, root, prof, lead = g
         n, pos = at >> 32, at & 0xFFFFFFFF
         if (root == root[0]).all():
             return
         prof = np.frombuffer(b"".join(prof), np.uint8).reshape(-1, CLASSES)
+        # only lists before this one matter; what fills a row up is this one
+        lead = np.array([(x + [token] * LEADS)[:LEADS] for x in lead])
+        before = lead < token
         cross = len(np.unique(own)) > 1
         everyone = np.arange(len(node))
         for i in range(len(node) if best else len(node) - 1):
@@ -408,6 +426,10 @@ def _rest(lists: DataFrame, roots: DataFrame, classes: DataFrame, pct: int, best
                 if best and fit.any():
                     at = int(np.argmax(np.where(fit, most / need, 0.0)))
                     fit = np.arange(len(j)) == at
+                elif fit.any():
+                    j, fit = j[fit], np.ones(int(fit.sum()), bool)
+                    for x in lead[i][before[i]]:
+                        fit &= ~(lead[j] == x).any(axis=1)
                 for o in node[j[fit]].tolist():
                     sent.add((token, min(o, int(node[i])), max(o, int(node[i]))))
 
@@ -416,15 +438,15 @@ def _rest(lists: DataFrame, roots: DataFrame, classes: DataFrame, pct: int, best
 
         def flush():
             if held and sum(len(x[0]) for x in held) > 1:
-                cell(key[0], [np.concatenate([x[c] for x in held]) if c < 4 else sum((x[c] for x in held), [])
-                             for c in range(5)], sent)
+                cell(int(key[0]), [np.concatenate([x[c] for x in held]) if c < 4 else sum((x[c] for x in held), [])
+                                  for c in range(6)], sent)
 
         for b in batches:
             c = [b.column(i).to_numpy() for i in range(3)]
             edge = np.flatnonzero((c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1]) | (c[2][1:] != c[2][:-1])) + 1
             cuts = [0, *edge.tolist(), b.num_rows]
             vals = [b.column(i).to_numpy() for i in range(3, 7)]
-            prof = b.column(7)
+            prof, lead = b.column(7), b.column(8)
             for lo, hi in zip(cuts, cuts[1:]):
                 if lo == hi:
                     continue
@@ -432,7 +454,7 @@ def _rest(lists: DataFrame, roots: DataFrame, classes: DataFrame, pct: int, best
                 if now != key:
                     flush()
                     key, held = now, []
-                held.append([v[lo:hi] for v in vals] + [prof[lo:hi].to_pylist()])
+                held.append([v[lo:hi] for v in vals] + [prof[lo:hi].to_pylist(), lead[lo:hi].to_pylist()])
             if len(sent) > 100_000:
                 yield out(sent)
                 sent.clear()
@@ -484,11 +506,13 @@ def _rooted(docs: DataFrame, k: int, pct: int) -> tuple[DataFrame, DataFrame]:
              .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
     links = stored(_verified(docs, _plausible(stars, classes, pct), classes, k, pct), "links")
     # lists without a pair that the filters let through are settled
-    open_ = lists.filter("open = 1").select("token", "node", "size_at")
-    likely = stored(_rest(open_, components(links), classes, pct, True), "pairs")
+    open_ = stored(_distinct(lists.filter("open = 1").select("token", "node", "size_at")), "lists")
+    listed = stored(open_.select("node").distinct(), "nodes")
+    held = stored(classes.join(listed, "node", "left_semi"), "classes")
+    likely = stored(_rest(open_, components(links), held, pct, True), "pairs")
     links = links.union(stored(_verified(docs, likely.select("a", "b").distinct(), classes, k, pct), "links"))
     open_ = open_.join(likely.select("token").distinct(), "token", "left_semi")
-    rest = _rest(open_, components(links), classes, pct, False)
+    rest = _rest(open_, components(links), held, pct, False)
     links = links.union(stored(_verified(docs, rest.select("a", "b").distinct(), classes, k, pct), "links"))
     roots = components(links)
 

@@ -97,6 +97,21 @@ def test_lists_longer_than_a_block(spark, monkeypatch):
     test_ngram_components_of_many_near_copies(spark)
 
 
+def test_pairs_that_share_many_lists_come_once(spark):
+    """Rows out of the last step are pairs, not pairs times n-grams."""
+    prof = bytes([2]) * ngram_join.CLASSES  # 256 n-grams
+    nodes = [(i, i, 256, prof) for i in range(1, 13)]
+    rows = [(t, i, 256 << 32 | t) for t in range(40) for i in range(1, 13 if t % 2 else 12)]  # equal lists, and shorter ones
+    lists = spark.createDataFrame(rows, "token long, node long, size_at long").repartition(5)
+    classes = spark.createDataFrame(nodes, "node long, least long, n long, profile binary")
+    roots = spark.createDataFrame([(2, 1)], "node long, root long")
+    one = ngram_join._distinct(lists)
+    assert sorted({r.token for r in one.collect()}) == [0, 1]
+    want = sorted((a, b) for a in range(1, 13) for b in range(a + 1, 13) if (a, b) != (1, 2))
+    for x in (lists, one):
+        assert sorted((r.a, r.b) for r in ngram_join._rest(x, roots, classes, 80, False).collect()) == want
+
+
 def test_pages(spark):
     rows = [(1, None, None, "k"), (2, "u", "", "k"), (3, "u", "plain text only", "k"), (None, "u", "<p", "k"),
             (4, "u", "<article>" + "<p>Some words stand here, as they do.</p>" * 5000 + "</article>", "k"),
