@@ -53,12 +53,24 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/fitlake-llm/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: Spark deletes a statement's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, name: str, clear: bool = False) -> DataFrame:
     """`df` written as Parquet to the shared folder and read again: computed
-    once, lineage cut, and safe when an executor is lost."""
+    once, lineage cut, and safe when an executor is lost.  With `clear` the
+    files of its shuffles go as soon as it is written."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    was = spark.conf.get(CLEANUP, None)
+    if clear:
+        spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if clear:
+            spark.conf.set(CLEANUP, was or "false")
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -12,8 +12,9 @@ similarity of their sets reaches the threshold.  The steps:
 3. Prefix rows meet by n-gram, sorted by set size.  Each list of two or more
    nodes is linked as a star: every node with the list's smallest node that
    the length filter allows.  Star pairs that pass the positional and suffix
-   filters (shared counts over classes of n-grams) are verified, once each, on
-   the whole sets.
+   filters (shared counts over classes of n-grams) are verified, once each:
+   first by counts over as many classes as a set has n-grams, a sixteenth to an
+   eighth of its size, then those left on the whole sets.
 4. Lists whose nodes are not yet in one component are gone through again, one
    of those with the same nodes, cut into blocks, for pairs across components that the length, positional and
    suffix filters let through: first only each node's likeliest partner, which
@@ -36,8 +37,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitlake.llm.base import (for_python, query, read, release, sequence_hash, shingle_hashes, stored,
-                              text_blocks, trimmed, word_hashes)
+from fitlake.llm import base
+from fitlake.llm.base import (for_python, mix, query, read, release, sequence_hash, shingle_hashes, text_blocks, trimmed,
+                              word_hashes)
 from fitlake.session import checkpoint_dir
 
 #: Counters of the n-gram table, and in how many pieces it travels.
@@ -48,6 +50,8 @@ BITS = 1 << 22
 CLASSES = 128
 #: Counts of a class stop here (255: "or more").
 FULL = 255
+#: Counts of the finer classes, four bits each, stop here.
+FINE_FULL = 15
 #: Nodes of a list that meet in one task; longer lists go in pairs of blocks.
 LIST_BLOCK = 512
 #: Lists of a node, its first by n-gram, that go along with it to tell whether
@@ -57,6 +61,10 @@ LEADS = 8
 FOREST_LINKS = 250_000
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    return base.stored(df, name, clear=True)
+
+
 def _words(col):
     """(row, node, hashes of the words) of each text of a column."""
     for first, data, off in text_blocks(col):
@@ -120,7 +128,7 @@ def _ranks(counts: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([rank.tobytes()])],
                                              names=["piece", "rank"])
 
-    rows = counts.repartition(PIECES, "piece").mapInArrow(trimmed(run), "piece int, rank binary").collect()
+    rows = stored(counts.repartition(PIECES, "piece").mapInArrow(trimmed(run), "piece int, rank binary"), "ranks").collect()
     out = np.zeros((PIECES, SKETCH // PIECES), np.uint8)
     for r in rows:  # PIECES rows, SKETCH bytes together
         out[r["piece"]] = np.frombuffer(r["rank"], np.uint8)
@@ -222,40 +230,84 @@ def _size(c: str):
     return F.shiftright(F.col(c), 32)
 
 
-def _wanted(docs: DataFrame, nodes: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """(node, grams): the sets of the given nodes, from the row with the class's
-    smallest doc_id; the bit map lets a few others through, and a repeated row
-    may come from several tasks."""
+def _wanted(docs: DataFrame, nodes: DataFrame, classes: DataFrame, k: int, brief) -> DataFrame:
+    """(node, grams): `brief` of the sets of the given nodes, from the row with
+    the class's smallest doc_id; the bit maps (by doc_id, before a text is
+    hashed, and by node) let a few others through, and a repeated row may come
+    from several tasks."""
     nodes = nodes.join(classes.select("node", "least"), "node")
-    at = nodes.select(F.pmod(F.col("node").bitwiseXOR(F.coalesce("least", F.lit(0))), F.lit(BITS))
-                      .cast("int").alias("b")).distinct()
-    bits = np.zeros(BITS, bool)
-    bits[at.toPandas()["b"].to_numpy(np.int64)] = True  # at most BITS integers
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    def bit_map(at):
+        bits = np.zeros(BITS, bool)
+        bits[at.distinct().toPandas()["b"].to_numpy(np.int64)] = True  # at most BITS integers
+        return docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    of_id, own = _id_place("least"), F.col("node").bitwiseXOR(F.coalesce("least", F.lit(0)))
+    rows_at = bit_map(nodes.select(of_id.alias("b")))
+    nodes_at = bit_map(nodes.select(F.pmod(own, F.lit(BITS)).cast("int").alias("b")))
 
     def run(batches):
-        mask = np.unpackbits(shared.value).view(bool)
+        first, second = (np.unpackbits(x.value).view(bool) for x in (rows_at, nodes_at))
         seen: set[int] = set()
         for b in batches:
+            b = b.filter(pa.array(first[b.column("place").to_numpy()]))
             out = []
             ids = b.column("doc_id").to_pylist()
             for r, node, h in _words(b.column("text")):
-                if node is not None and mask[_place(node, ids[r])] and node not in seen:
+                if node is not None and second[_place(node, ids[r])] and node not in seen:
                     seen.add(node)
-                    out.append((node, np.unique(shingle_hashes(h, k)).tobytes()))
+                    out.append((node, brief(np.unique(shingle_hashes(h, k)))))
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())],
                     names=["node", "grams"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("place", _id_place("doc_id"))
     return for_python(rows).mapInArrow(trimmed(run), "node long, grams binary")
 
 
+def _id_place(c: str):
+    return F.pmod(F.xxhash64(F.coalesce(c, F.lit(0)).cast("long")), F.lit(BITS)).cast("int")
+
+
 def _place(node: int, doc_id: int | None) -> int:
     return (node ^ (doc_id or 0)) % BITS
 
 
+def _whole(s: np.ndarray) -> bytes:
+    return s.tobytes()
+
+
+def _linked(p, q, pct: int) -> bool:
+    """Whether the whole sets reach the threshold."""
+    p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+    both = np.concatenate([p, q])
+    both.sort(kind="stable")
+    n = int((both[1:] == both[:-1]).sum())
+    return 100 * n >= pct * (len(p) + len(q) - n)
+
+
+def _fine(s: np.ndarray) -> bytes:
+    """A set's size and its counts over classes, a power of two of them and at
+    least as many as n-grams."""
+    m = max(2, 1 << (len(s) - 1).bit_length())
+    count = np.minimum(np.bincount((mix(s) & np.uint64(m - 1)).astype(np.int64), minlength=m), FINE_FULL).astype(np.uint8)
+    return np.int64(len(s)).tobytes() + (count[::2] << 4 | count[1::2]).tobytes()
+
+
+def _may_link(p, q, pct: int) -> bool:
+    """Whether sets with these finer counts can reach the threshold; the counts
+    of the larger number of classes are added up to those of the smaller."""
+    both, counts = 0, []
+    for x in (p, q):
+        both += int(np.frombuffer(x, np.int64, 1)[0])
+        c = np.frombuffer(x, np.uint8, offset=8)
+        counts.append(np.stack([c >> 4, c & 15], axis=1).reshape(-1))
+    m = min(len(c) for c in counts)
+    least = np.minimum(*(np.minimum(c.reshape(-1, m).sum(axis=0, dtype=np.int64), FINE_FULL) for c in counts))
+    return bool((least == FINE_FULL).any()) or int(least.sum()) * (100 + pct) >= pct * both
+
+
 def _matrix(col, dtype, width: int) -> np.ndarray:
     """A column of binaries of one length as rows of a matrix."""
     return np.frombuffer(b"".join(col.to_pylist()), dtype).reshape(-1, width)
@@ -305,36 +357,36 @@ def _pairs_out(pairs):
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, pct: int) -> DataFrame:
-    """Pairs (node, other) that connect the same nodes as those of the pairs
-    (a, b) whose whole sets reach the threshold."""
-    pairs = stored(pairs, "pairs")
+def _passing(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, brief, passes) -> DataFrame:
+    """The pairs (a, b) of which `passes` holds for `brief` of both sets."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    # one shuffle by node serves this and both joins
-    sets = stored(_wanted(docs, nodes, classes, k), "sets").dropDuplicates(["node"])
+    # one shuffle by node serves both joins
+    sets = stored(_wanted(docs, nodes, classes, k, brief), "sets").dropDuplicates(["node"])
 
     def run(batches):
         for b in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(b.column("ga"), b.column("gb"))):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([p, q])
-                both.sort(kind="stable")
-                n = int((both[1:] == both[:-1]).sum())
-                if 100 * n >= pct * (len(p) + len(q) - n):
-                    keep.append(i)
+            keep = [i for i, (x, y) in enumerate(zip(b.column("ga"), b.column("gb"))) if passes(x.as_buffer(), y.as_buffer())]
             if keep:
                 yield b.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
+    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a")
+    two = one.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
+    return for_python(two.select("a", "b", "ga", "gb")).mapInArrow(trimmed(run), "a long, b long")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, pct: int) -> DataFrame:
+    """Pairs (node, other) that connect the same nodes as those of the pairs
+    (a, b) whose whole sets reach the threshold; only sets of pairs that the
+    finer counts let through are sent whole."""
     def forest(batches):
         held: list = []
         for b in batches:
             held = _forest([*held, *zip(b.column(0).to_pylist(), b.column(1).to_pylist())])
         yield _pairs_out(held)
 
-    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a")
-    two = one.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
-    links = stored(for_python(two.select("a", "b", "ga", "gb")).mapInArrow(trimmed(run), "a long, b long"), "links")
+    pairs = stored(pairs, "pairs")
+    pairs = stored(_passing(docs, pairs, classes, k, _fine, lambda x, y: _may_link(x, y, pct)), "pairs")
+    links = stored(_passing(docs, pairs, classes, k, _whole, lambda x, y: _linked(x, y, pct)), "links")
     few = -(-links.count() // FOREST_LINKS) or 1
     release(docs.sparkSession)
     return links.coalesce(few).mapInArrow(forest, "a long, b long")
@@ -392,8 +444,9 @@ def _rest(lists: DataFrame, roots: DataFrame, classes: DataFrame, pct: int, best
              .select("node", F.coalesce("root", "node").alias("root"), "profile", "lead"))
     long_ = (lists.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > LIST_BLOCK)
              .select("token", F.ceil(F.col("m") / LIST_BLOCK).cast("int").alias("blocks")))
-    rows = (lists.select("token", "node", "size_at").join(known, "node").join(long_, "token", "left")
-            .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    # the profiles come last, so that they move once
+    rows = (lists.select("token", "node", "size_at").join(long_, "token", "left")
+            .withColumn("blocks", F.coalesce("blocks", F.lit(1))).join(known, "node")
             .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .select("token", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"),

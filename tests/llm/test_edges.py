@@ -1,11 +1,15 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and extra
 columns, for every operator and every stage; and the pipeline as a whole."""
 
+import time
+
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as CP
-from fitlake.llm import (decontaminate, html_text, licenses, line_dedup, lm_scoring, ngram_join, packing, pii, quality,
-                         secrets)
+from fitlake.llm import (base, decontaminate, html_text, licenses, line_dedup, lm_scoring, ngram_join, packing, pii,
+                         quality, secrets)
 from fitlake.llm.base import scratch, stored
 from tests.llm.conftest import EDGES, SF
 
@@ -112,6 +116,66 @@ def test_pairs_that_share_many_lists_come_once(spark):
         assert sorted((r.a, r.b) for r in ngram_join._rest(x, roots, classes, 80, False).collect()) == want
 
 
+def test_finer_counts_lose_no_link():
+    """What the finer counts reject is below the threshold, and of long sets they reject nearly all that is far below."""
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 3, 17, 128, 1000, 6000):
+        pool = np.unique(rng.integers(0, 2**63, 3 * n, dtype=np.uint64))
+        for pct in (30, 80, 100):
+            for m in range(0, n + 1, max(1, n // 40)):
+                for q in {n, max(m, 1), n + n // 5}:
+                    x, y = np.sort(pool[:n]), np.sort(pool[n - m:n - m + q])
+                    fx, fy = ngram_join._fine(x), ngram_join._fine(y)
+                    link = ngram_join._linked(x.tobytes(), y.tobytes(), pct)
+                    shared = len(np.intersect1d(x, y))
+                    assert link == (100 * shared >= pct * (len(x) + len(y) - shared))
+                    assert ngram_join._may_link(fx, fy, pct) or not link
+                    if n >= 1000 and pct == 80 and shared < 0.6 * n:
+                        assert not ngram_join._may_link(fx, fy, pct)
+        assert len(ngram_join._fine(pool[:n])) <= 8 + n + 1
+
+
+def test_only_sets_of_likely_pairs_are_sent_whole(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 3000)) for _ in range(12)]
+    texts += [texts[0] + " end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = ngram_join.stored
+    sizes = []
+
+    def stored(df, name):
+        out = kept(df, name)
+        if name == "sets":
+            sizes.append(sum(len(r.grams) for r in out.dropDuplicates(["node"]).collect()))
+        return out
+
+    both = ngram_join._nodes(docs, 5).filter("node IS NOT NULL")
+    classes = kept(both.selectExpr("node", "doc_id AS least", "n", "profile"), "classes")
+    of = {r.least: r.node for r in classes.collect()}
+    ids = sorted(of.values())
+    pairs = spark.createDataFrame([(a, b) for i, a in enumerate(ids) for b in ids[i + 1:]], "a long, b long")
+    monkeypatch.setattr(ngram_join, "stored", stored)
+    got = [(r.a, r.b) for r in ngram_join._verified(docs, pairs, classes, 5, 80).collect()]
+    assert got == [(max(of[0], of[12]), min(of[0], of[12]))]
+    assert sum(sizes) < 13 * 2996 * 8 / 2  # of 13 whole sets
+
+
+def test_stored_leaves_no_shuffle_files(spark):
+    def files():
+        disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+        all_, out = disk.getAllFiles(), set()
+        for i in range(all_.size()):
+            out.add(all_.apply(i).getName())
+        return {x for x in out if x.startswith("shuffle_")}
+
+    was, before = spark.conf.get(base.CLEANUP, None), files()
+    kept = ngram_join.stored(spark.range(1000).repartition(7, "id").groupBy((F.col("id") % 10).alias("k")).count(), "rows")
+    left = time.time() + 20
+    while (new := files() - before) and time.time() < left:
+        time.sleep(0.2)
+    assert not new and kept.count() == 10 and spark.conf.get(base.CLEANUP, None) in (was, "false")
+
+
 def test_pages(spark):
     rows = [(1, None, None, "k"), (2, "u", "", "k"), (3, "u", "plain text only", "k"), (None, "u", "<p", "k"),
             (4, "u", "<article>" + "<p>Some words stand here, as they do.</p>" * 5000 + "</article>", "k"),
