@@ -32,14 +32,30 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 # other places of a run, which end at the same "@" or at none, are not tried
 # (but behind 64 marks, where the run's beginning is out of sight).
 _MARK = "[._%+-]"
+# (the domain's labels are possessive: the matcher's stack does not grow with them)
+_LABELS = r"(?:(?![A-Za-z]{2})[A-Za-z0-9-]+\.)*+[A-Za-z]{2,}"
 EMAIL = (rf"(?<![A-Za-z0-9])(?:(?<!{_MARK})|(?<=(?<![A-Za-z0-9._%+-]){_MARK}{{1,64}})|(?<={_MARK}{{64}}))"
-         r"[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
+         rf"[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+\.{_LABELS}(?:[A-Za-z0-9-]*\.{_LABELS})*+")
 DATE = (r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}"
         r"|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4})(?![0-9]|[./-][0-9])")
 IP = rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])"
 SSN = r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"
 # with a country code (8 to 15 digits in any grouping), 3-3-4, or with a trunk zero
-PHONE = (r"(?:(?<![0-9])\+(?=(?:[ .()-]{0,2}[0-9]){8,15}(?![0-9]))[0-9]{1,3}(?:[ .-]?\([0-9]{1,5}\)|[ .-]?[0-9]{1,12}){1,7}"
+# Groups behind a country code are taken whole, the more the better; what stands behind the 15th digit is another value,
+# and a card's digits are left together.  (Looked back at in nested options: Java sees no bound in a repeated group of
+# varying length.)
+_GROUPS = [rf"(?:[ .-]?\([0-9]{{1,5}}\)|(?:[ .-]|(?<=\)))[0-9]++){{{n}}}" for n in ("1,7", "0,6")]
+_DIGIT = r"[ .()-]{0,3}[0-9]"
+
+
+def _number(least: int) -> str:
+    """Groups, `least` to 15 digits in all."""
+    back = _DIGIT * least + reduce(lambda more, _: f"(?:{_DIGIT}{more})?", range(15 - least), "")
+    return rf"(?:[0-9]{{1,3}}+(?![0-9]){_GROUPS[0]}|[0-9]{{2,15}}+{_GROUPS[1]})(?<=\+{back}\)?)(?![0-9]|[.-][0-9])"
+
+
+PHONE = (r"(?:(?<![0-9])\+(?=(?:[ .()-]{0,2}[0-9]){8,15}(?![0-9]))"
+         rf"(?:{_number(8)}(?:(?! \(?[0-9])|(?= (?:[0-9][ -]?){{12,18}}[0-9](?![0-9])))|{_number(2)})"
          r"|(?<![0-9.-])(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
          r"|(?<![0-9.-])(?:\(0[0-9]{1,4}\)|0[0-9]{1,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4})(?![0-9]|[.-][0-9])")
 #: Groups of digits that no other kind begins with, however many (possessive: the matcher's stack does not grow with

@@ -648,6 +648,29 @@ def test_every_shape_of_a_number(spark):
             assert r.text.startswith("No 123456 ") and r.text.endswith(" 12")
 
 
+def test_values_behind_a_phone_number(spark):
+    """A phone number has 15 digits at most: what stands behind them is another value, with its own pseudonym."""
+    phone, card, spaced = "+1 (963) 555-1408", "4909629000452649", "4909 6290 0045 2649"
+    values = {card: (0, 1), f"{card} 4582828489349508": (0, 2), spaced: (0, 1), f"{spaced} {card}": (0, 2),
+              "29.217.118.233": (1, 0), f"29.217.118.233 {card}": (1, 1), f"123456789 123456789 123456789 {card}": (0, 1)}
+    df = spark.createDataFrame([(k, f"See {phone} {k}.") for k in values] + [(f"only {k}", f"See {k}.") for k in values]
+                               + [("only", f"See {phone}.")], "name string, text string")
+    got = {r.name: r for r in pii.pseudonymised(df, "k").collect()}
+    new = got["only"].text[:-1]
+    for k, counts in list(values.items())[:-1]:
+        assert (got[k].n_phone, got[k].n_ip, got[k].n_card) == (1, *counts), got[k]
+        assert got[k].text == new + got[f"only {k}"].text[3:] and k not in got[k].text
+    r = got[list(values)[-1]]
+    assert r.n_phone == 1 and card not in r.text and phone not in r.text
+
+
+def test_an_address_of_many_labels(spark):
+    texts = ["a@" + "b." * 20_000 + "com", "a@b.co.1.2.", "a@b.1.2c.de-.f", "a@b.c.d"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_email, r.text[1:]) for r in pii.pseudonymised(df, "k").collect()}
+    assert got == {i: (int(i < 3), t[1:]) for i, t in enumerate(texts)}
+
+
 @pytest.mark.parametrize("before", [0, 498, 499, 500, 998, 999, 1000, 1001, 3000])
 def test_a_card_after_many_groups(spark, before):
     """Wherever it lies among groups of digits; a card over a block's end too."""
